@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandloom.llm import sentencepiece_codec
+from strandloom.llm import language_id, quality_cnn, sentencepiece_codec
+from strandloom.llm._rows import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +33,27 @@ def piece_model() -> bytes:
 @query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip_digest(table(spark, sf_dir, "documents"), piece_model())
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(remainder("doc_id", 4) != 2))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+#: Rows to learn quality from are those whose remainder by this number is not 0.
+QUALITY_FOLDS = 5
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality_cnn.Model:
+    return quality_cnn.train(docs, labels.where(remainder("doc_id", QUALITY_FOLDS) != 0))
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality_cnn.predict(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    held = (remainder("doc_id", QUALITY_FOLDS) == 0).alias("held_out")
+    return found.select("doc_id", held, "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
