@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import language_id, quality_cnn, sentencepiece_codec
+from strandloom.llm import embedding_dedup, kdtree_topk, language_id, quality_cnn, sentencepiece_codec
 from strandloom.llm._rows import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,40 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_cnn.predict(docs, quality_model(docs, table(spark, sf_dir, "labels")))
     held = (remainder("doc_id", QUALITY_FOLDS) == 0).alias("held_out")
     return found.select("doc_id", held, "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op3_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
+), reach(x, y) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), component AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+degree AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN component c ON c.vec_id = e.vec_id LEFT JOIN degree d ON d.vec_id = e.vec_id
+"""
+
+
+@query
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+SQL["op7_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 20
+"""
