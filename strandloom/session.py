@@ -34,7 +34,8 @@ def scratch_root(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="strandloom-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir() or found
-    return found.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
