@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import embedding_dedup, kdtree_topk, language_id, quality_cnn, sentencepiece_codec
+from strandloom.llm import embedding_dedup, flow_sharding, kdtree_topk, language_id, quality_cnn, raking_mix, sentencepiece_codec, warc
 from strandloom.llm._rows import remainder
+from strandloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,3 +95,68 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 20
 """
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("target_uri")
+
+
+SQL["op6_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS n, sha1(body) AS hex, min(page_id) OVER (PARTITION BY sha1(body)) AS first FROM p),
+b AS (
+  SELECT *, list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((
+    (instr('0123456789abcdef', substr(hex, 1 + (5 * k) // 4, 1)) - 1) * 16
+    + (instr('0123456789abcdef', substr(hex || '0', 2 + (5 * k) // 4, 1)) - 1)) // (CASE (5 * k) % 4 WHEN 0 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END)
+    % 32)::INTEGER, 1)), 'string_agg', '') AS digest FROM d
+)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM b
+"""
+
+#: How many shards documents lie in before, and how many they go to.
+OLD_SHARDS, SHARDS = 32, 40
+
+
+@query
+def op8_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    old = F.coalesce(remainder("doc_id", OLD_SHARDS), F.lit(0))
+    planned = flow_sharding.plan(docs, F.greatest(old, F.lit(0)), OLD_SHARDS, SHARDS)
+    written = flow_sharding.rewrite(planned, scratch_path(spark, "shards"))
+    body = F.coalesce(F.col("text"), F.lit(""))
+    return written.select(
+        "doc_id", (F.octet_length(body) + flow_sharding.OVERHEAD).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
+        F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+
+
+def _mixing_sql() -> str:
+    ctes = ["""d AS (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+    CASE WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, '!!') THEN 'loud' WHEN contains(t, '$$$') OR contains(t, '%%%') THEN 'symbols'
+      WHEN contains(t, '@') OR contains(t, 'token =') THEN 'record' WHEN contains(t, '.' || chr(10)) THEN 'prose' ELSE 'short' END AS topic,
+    CASE WHEN length(t) = 0 THEN 0 ELSE length(t) - length(replace(t, ' ', '')) + 1 END::BIGINT AS n_tokens
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents)
+), c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)"""]
+    for s in raking_mix.SIDES:
+        ctes.append(f"t_{s} AS (SELECT {s}, p / sum(p) OVER () AS t FROM (SELECT {s}, pow(sum(tokens), {raking_mix.TEMPER}) AS p FROM c GROUP BY {s}))")
+    ctes.append("w0 AS (SELECT *, tokens AS w FROM c)")
+    k = 0
+    for _ in range(raking_mix.SWEEPS):
+        for s in raking_mix.SIDES:
+            ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT x.* REPLACE (w * t / sum(w) OVER (PARTITION BY x.{s}) AS w) FROM w{k} x JOIN t_{s} USING ({s}))")
+            k += 1
+    ctes.append(f"odds AS (SELECT *, round(w / tokens / max(w / tokens) OVER (), 9) AS p FROM w{k})")
+    ctes.append("h AS (SELECT d.*, coalesce(p, 0.0) AS probability, list_sum(list_transform(range(1, 13), lambda i: (instr('0123456789abcdef', substr(md5('mix' || doc_id), i, 1)) - 1) * pow(16, 12 - i))) / pow(2, 48) AS u FROM d LEFT JOIN odds USING (source, lang, topic))")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, source, lang, topic, n_tokens, probability, u < probability AS sampled FROM h"
+
+
+SQL["op10_mixing"] = _mixing_sql()
