@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import embedding_dedup, flow_sharding, katz_lm, kdtree_topk, language_id, quality_cnn, raking_mix, sentencepiece_codec, warc
+from strandloom.llm import bagminhash, embedding_dedup, flow_sharding, katz_lm, kdtree_topk, language_id, quality_cnn, raking_mix, sentencepiece_codec, warc
 from strandloom.llm._rows import remainder
 from strandloom.session import scratch_path
 
@@ -166,3 +166,15 @@ SQL["op10_mixing"] = _mixing_sql()
 def op9_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return katz_lm.score(docs, remainder("doc_id", 7) != 2)
+
+
+@query
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
