@@ -8,8 +8,9 @@ smallest time of its points, so two texts agree at a place with probability equa
 as long as a point can still lower some place.
 
 Signatures are cut into bands; texts that share a band are candidates. Texts with equal multisets form one class first. In each
-bucket the classes are compared with one hub, exactly, on their whole texts; components follow. Buckets that still
-span several components are compared with another hub, and what spans components after that pair by pair, across components only. So copies
+bucket the classes are compared with one hub, exactly, on their whole texts; components follow. Buckets that then
+still span several components are compared whole: small ones pair by pair across components, larger ones in tiles of bounded
+size, where one matrix product over the shingles gives all intersections and the links found come back as a row for each class. So copies
 aren't expanded into pairs, and no candidate link between components is lost.
 
 A pair of similarity s misses all bands with probability (1 - s^4)^24: 3 in a million at 0.8.
@@ -28,11 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm._rows import text_blocks
+from strandloom.llm._vectors import merge_labels
 from strandloom.llm._words import mixed, word_hashes
 from strandloom.operators.components import connected_components
 from strandloom.session import materialise
 
 WORDS, BANDS, ROWS, SIMILAR = 5, 24, 4, 0.8
+#: Buckets of up to this many classes are compared pair by pair; a tile has two blocks of about so many classes and shingles.
+SMALL, BLOCK, BLOCK_WEIGHT = 12, 1024, 2_000_000
 PLACES = BANDS * ROWS
 _ODD = mixed(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -149,6 +153,41 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
 
+def _tile(table: pa.Table, threshold: float) -> pa.Table:
+    """(a, b): for each class of one or two blocks the smallest class that it reaches here, if that is another."""
+    table = table.sort_by("rep")
+    rep, left = table["rep"].to_numpy(), table["left"].to_numpy(zero_copy_only=False)
+    same = bool(table["same"][0].as_py())
+    ids, sizes, texts = [], [], table["text"].to_pylist()
+    for lo, hi in text_blocks(texts, 2000, 2_000_000):
+        for h, c in bags(texts[lo:hi]):
+            # a multiset as a set: the kth copy of a shingle is an element of its own
+            copy = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+            ids.append(mixed(np.repeat(h, c) + copy.astype(np.uint64) * _GOLD))
+            sizes.append(len(ids[-1]))
+    sizes = np.array(sizes)
+    found, element, often = np.unique(np.concatenate(ids), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(rep)), sizes)
+    shared = often[element] > 1
+    row, element = row[shared], (np.cumsum(often > 1) - 1)[element[shared]]
+    order = np.argsort(element, kind="stable")
+    row, element = row[order], element[order]
+    ia = np.flatnonzero(left)
+    ib = ia if same else np.flatnonzero(~left)
+    both = np.zeros((len(ia), len(ib)), np.float32)
+    total, width = int((often > 1).sum()), 4096
+    for at in range(0, total, width):
+        lo, hi = np.searchsorted(element, (at, at + width))
+        m = np.zeros((len(rep), min(width, total - at)), np.float32)
+        m[row[lo:hi], element[lo:hi] - at] = 1
+        both += m[ia] @ m[ib].T
+    whole = sizes[ia][:, None] + sizes[ib][None, :] - both.astype(np.int64)
+    i, j = np.nonzero(both.astype(np.float64) / np.maximum(whole, 1) >= threshold)
+    labels = merge_labels(np.arange(len(rep)), ia[i], ib[j])
+    moved = labels != np.arange(len(rep))
+    return pa.table({"a": rep[labels[moved]], "b": rep[moved]})
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
     """(key, class_id, kept) for each row of df; class_id is the smallest key that links reach."""
     rows = df.select(df[key].cast("long").alias("id"), F.coalesce(df[text].cast("binary"), F.lit(b"")).alias("text"))
@@ -173,18 +212,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     weights = classes.select(F.col("rep").alias("a"), F.col("weight").alias("wa"))
     stars = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("weight").alias("wb"))
     links = verified(stars.distinct().join(weights, "a"))
-    for last in (False, True):
-        components = connected_components(links)
-        at = shared.select("bucket", "rep", "weight").join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-        open_ = at.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.struct(F.xxhash64("rep"), "rep", "weight", "c")).alias("hub")).where("low <> high")
-        at = materialise(at.join(open_, "bucket").select("bucket", "rep", "weight", "c", "hub"), "open")
-        if not last:
-            pairs = at.where("c <> hub.c").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.weight").alias("wa"), F.col("weight").alias("wb"))
-        else:
-            x, y = at.select("bucket", F.col("rep").alias("a"), F.col("weight").alias("wa"), F.col("c").alias("ca")), at.select("bucket", F.col("rep").alias("b"), F.col("weight").alias("wb"), F.col("c").alias("cb"))
-            fits = (F.col("ca") < F.col("cb")) & (F.least("wa", "wb") >= threshold * F.greatest("wa", "wb") - 1e-9)
-            pairs = x.join(y, "bucket").where(fits)
-        links = materialise(links.unionByName(verified(pairs)), "links")
+    components = connected_components(links)
+    at = shared.select("bucket", "rep", "weight").join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    spans = at.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.sum("weight").alias("sum")).where("low <> high")
+    at = materialise(at.join(spans, "bucket").select("bucket", "rep", "weight", "c", "n", "sum"), "open")
+    side = lambda x: at.where(F.col("n") <= SMALL).select("bucket", F.col("rep").alias(x), F.col("weight").alias(f"w{x}"), F.col("c").alias(f"c{x}"))
+    crossing = side("a").join(side("b"), "bucket").where("ca < cb")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("sum") / BLOCK_WEIGHT)).cast("int")
+    large = at.where(F.col("n") > SMALL).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", "rep", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
+        (F.col("own") <= F.col("other")).alias("left"), (F.col("own") == F.col("other")).alias("own_tile"),
+    )
+    large = large.withColumn("same", F.col("p") == F.col("q")).drop("own_tile").join(bodies, large.rep == bodies.id).drop("id")
+    tiles = large.groupBy("bucket", "p", "q").applyInArrow(lambda t: _tile(t, threshold), "a long, b long")
+    links = materialise(links.unionByName(verified(crossing)).unionByName(tiles), "links")
     components = connected_components(links)
     named = classes.select("one", "two", "weight", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_id", F.coalesce("component", "rep")).drop("rep", "component")
     out = digests.select("id", "one", "two", "weight").join(named, ["one", "two", "weight"], "left")
