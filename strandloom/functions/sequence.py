@@ -142,6 +142,14 @@ def hamming(a: Column, b: Column) -> Column:
     return F.size(mismatch_positions(a, b))
 
 
+def hamming_of(a: Column, b: Column, length: int) -> Column:
+    """hamming() of two sequences of a known length, as one generated expression."""
+    out = F.lit(0)
+    for i in range(1, length + 1):
+        out = out + (F.substring(a, i, 1) != F.substring(b, i, 1)).cast("int")
+    return out
+
+
 def matching_prefix(a: Column, b: Column) -> Column:
     """Length of the common start; letters match if their IUPAC sets meet and N doesn't absorb: exact letters only."""
     places = mismatch_positions(a, b)

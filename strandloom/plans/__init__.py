@@ -1,6 +1,6 @@
 """Registered queries over the bridge from ordinary tables to sequences."""
 
-from strandloom.plans import sequence_queries
+from strandloom.plans import design_queries, sequence_queries
 from strandloom.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "sequence_queries"]
+__all__ = ["QUERIES", "SQL", "design_queries", "sequence_queries"]
