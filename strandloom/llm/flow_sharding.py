@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 OVERHEAD = 16
+#: Columns that plan() and slotted() add; input columns of these names are left out.
+RESERVED = ("__old", "__block", "__size", "__shard", "__offset", "__part", "__slot")
 MOST_BLOCKS = 65_536
 
 
@@ -133,7 +135,8 @@ def plan(df: DataFrame, old: Column, old_shards: int, shards: int, key: str = "d
     spark = df.sparkSession
     size = (F.coalesce(F.octet_length(df[text]), F.lit(0)) + OVERHEAD).cast("long")
     block = F.pmod(F.xxhash64(F.coalesce(df[key].cast("string"), F.lit(""))), F.lit(blocks)).cast("int")
-    rows = df.withColumns({"__old": old.cast("int"), "__block": block, "__size": size})
+    kept = [df[c] for c in df.columns if c not in RESERVED]
+    rows = df.select(*kept, old.cast("int").alias("__old"), block.alias("__block"), size.alias("__size"))
     found = rows.groupBy("__old", "__block").agg(F.sum("__size").alias("s"), F.count("*").alias("n")).collect()
     at = place({(r["__old"], r["__block"]): r.s for r in found}, shards)
     offset, plans = [0] * shards, []

@@ -154,7 +154,11 @@ def _mixing_sql() -> str:
         for s in raking_mix.SIDES:
             ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT x.* REPLACE (w * t / sum(w) OVER (PARTITION BY x.{s}) AS w) FROM w{k} x JOIN t_{s} USING ({s}))")
             k += 1
-    ctes.append(f"odds AS (SELECT *, round(w / tokens / max(w / tokens) OVER (), 9) AS p FROM w{k})")
+    ctes.append(f"r AS (SELECT *, w / tokens AS r FROM w{k})")
+    above = "(ORDER BY r DESC, source, lang, topic)"
+    ctes.append(f"a AS (SELECT sum(tokens) OVER {above} AS t, sum(w) OVER {above} AS s, sum(tokens) OVER () AS tt, sum(w) OVER () AS ww FROM r)")
+    ctes.append(f"f AS (SELECT greatest({raking_mix.KEEP}::DOUBLE * max(tt) / max(ww), max(({raking_mix.KEEP}::DOUBLE * tt - t) / (ww - s)) FILTER (ww - s > 1e-9 * ww)) AS f FROM a)")
+    ctes.append("odds AS (SELECT r.*, round(least(r * f, 1.0::DOUBLE), 9) AS p FROM r, f)")
     ctes.append("h AS (SELECT d.*, coalesce(p, 0.0) AS probability, list_sum(list_transform(range(1, 13), lambda i: (instr('0123456789abcdef', substr(md5('mix' || doc_id), i, 1)) - 1) * pow(16, 12 - i))) / pow(2, 48) AS u FROM d LEFT JOIN odds USING (source, lang, topic))")
     return "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, source, lang, topic, n_tokens, probability, u < probability AS sampled FROM h"
 

@@ -2,9 +2,9 @@
 
 Token counts of the cells (source, language, topic) are raked in turn to target marginals: each sweep scales the cells of
 every source, then of every language, then of every topic to its target. A document's sampling probability is its
-cell's raked weight over its observed tokens, divided by the largest such ratio, so no probability exceeds
-1 and the expected token shares of the sample are the raked ones. A document is drawn if a hash of its id, as
-a number in [0, 1), is under its probability.
+cell's ratio r of raked weight to observed tokens times a factor f, at most 1. f is the one at which the expected tokens of the
+sample are the share `keep` of all: so cells keep their calibrated odds to each other, and a cell whose target is more than it has is
+taken whole. A document is drawn if a hash of its id, as a number in [0, 1), is under its probability.
 
 Targets are tempered: a value's share is its observed share to the power `temper`, normalised. Cells are few next to
 documents; they are written after every few sweeps, so plans stay short.
@@ -24,7 +24,7 @@ from strandloom.session import materialise
 
 #: Columns of the cells, in the order of raking.
 SIDES = ("source", "lang", "topic")
-TEMPER, SWEEPS, SWEEPS_A_JOB = 0.7, 24, 6
+TEMPER, SWEEPS, SWEEPS_A_JOB, KEEP = 0.7, 24, 6, 0.5
 #: Cells beyond this many are joined by shuffle, not broadcast.
 BROADCAST_CELLS = 20_000
 
@@ -68,13 +68,22 @@ def draw(key: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", temper: float = TEMPER, sweeps: int = SWEEPS, keep_all_columns: bool = False) -> DataFrame:
+def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
+    """(source, lang, topic, probability) of the cells. With the k largest ratios taken whole the factor would be (keep T - t_k) / (W - w_k), for
+    their tokens t_k and weights w_k; the right k gives the largest of these. One row for each cell is ordered here, none for documents."""
+    above = Window.orderBy(F.desc("r"), *SIDES)
+    sums = raked.select("r", F.sum("tokens").over(above).alias("t"), F.sum("w").over(above).alias("s"), F.sum("tokens").over(Window.partitionBy()).alias("all_t"), F.sum("w").over(Window.partitionBy()).alias("all_w"))
+    left = F.col("all_w") - F.col("s")
+    factor = F.greatest(keep * F.max("all_t") / F.max("all_w"), F.max(F.when(left > 1e-9 * F.col("all_w"), (keep * F.col("all_t") - F.col("t")) / left)))
+    f = sums.agg(factor.alias("f")).first().f or 0.0
+    return raked.select(*SIDES, F.round(F.least(F.col("r") * f, F.lit(1.0)), 9).alias("probability"))
+
+
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", temper: float = TEMPER, sweeps: int = SWEEPS, keep: float = KEEP, keep_all_columns: bool = False) -> DataFrame:
     """(key, source, lang, topic, n_tokens, probability, sampled) for each row; keep_all_columns: df's sampled rows instead."""
     rows = labelled(df, key, text)
     cells = materialise(rows.groupBy(*SIDES).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    raked = rake(cells, temper, sweeps)
-    largest = raked.agg(F.max("r")).first()[0] or 1.0
-    odds = materialise(raked.select(*(F.col(s).alias(f"__{s}") for s in SIDES), F.round(F.col("r") / largest, 9).alias("__probability")), "odds")
+    odds = materialise(probabilities(rake(cells, temper, sweeps), keep).select(*(F.col(s).alias(f"__odds_{s}") for s in SIDES), F.col("probability").alias("__odds")), "odds")
     if keep_all_columns:
         value = lambda c: F.coalesce(df[c].cast("string"), F.lit("(none)"))
         rows = df
@@ -82,9 +91,10 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", temper: float =
     else:
         on = [rows[s] for s in SIDES]
     few = odds.count() <= BROADCAST_CELLS
-    meets = on[0].eqNullSafe(F.col("__source")) & on[1].eqNullSafe(F.col("__lang")) & on[2].eqNullSafe(F.col("__topic"))
-    out = rows.join(F.broadcast(odds) if few else odds, meets, "left").withColumn("__probability", F.coalesce("__probability", F.lit(0.0)))
-    drawn = draw(rows[key]) < F.col("__probability")
+    meets = on[0].eqNullSafe(odds["__odds_source"]) & on[1].eqNullSafe(odds["__odds_lang"]) & on[2].eqNullSafe(odds["__odds_topic"])
+    out = rows.join(F.broadcast(odds) if few else odds, meets, "left")
+    probability = F.coalesce(odds["__odds"], F.lit(0.0))
+    drawn = draw(rows[key]) < probability
     if keep_all_columns:
         return out.where(drawn).select(*(rows[c] for c in df.columns))
-    return out.select(*(rows[c] for c in rows.columns), F.col("__probability").alias("probability"), drawn.alias("sampled"))
+    return out.select(*(rows[c] for c in rows.columns), probability.alias("probability"), drawn.alias("sampled"))
