@@ -238,7 +238,8 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
     """df with one row of each class: that with the smallest key; rows with a null key stay."""
     found = materialise(near_duplicates(df, key, text, threshold), "classes")
     gone = found.where("not kept").select(F.col(key).alias("__gone")).distinct()
-    left = df.join(gone, df[key] == gone["__gone"], "left_anti")
+    # one plan at every size: ids of all dropped rows aren't a broadcast of bounded size
+    left = df.join(gone.hint("merge"), df[key] == gone["__gone"], "left_anti")
     twice = materialise(found.where("kept").groupBy(F.col(key).alias("__twice")).agg(F.count("*").alias("n")).where("n > 1 and __twice is not null").select("__twice"), "twice")
     if twice.limit(1).count() == 0:
         return left
