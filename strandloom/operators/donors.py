@@ -95,3 +95,15 @@ def splits(seq: Column, least: int = 1) -> Column:
     """All (left, right) of a donor with both at least so long."""
     cuts = S.positions(F.lit(max(least, 0)), F.length(seq) - least)
     return F.transform(cuts, lambda i: F.struct(F.left(seq, i).alias("left"), F.substring(seq, i + 1, F.length(seq)).alias("right")))
+
+
+def spanning_tag(features: DataFrame, motif: str, length: int, samples: int = 100) -> DataFrame:
+    """Donors whose insert is an instance of the motif, kept where a target spans the whole insert. Instances are decided by their number."""
+    from strandloom.functions.motif import random_instance
+    from strandloom.operators.target_finder import find_targets
+
+    tags = F.explode(F.array(*(F.lit(random_instance(motif, k)) for k in range(samples))))
+    made = centred(features.withColumn("tag", tags), F.col("tag"), length)
+    made = made.withColumn("up_n", F.length(part(F.col("seq"), F.col("us_start"), F.col("start")))).withColumn("key", F.concat_ws(":", "feature", "tag"))
+    found = find_targets(made.select(F.col("key").alias("contig"), F.col("donor").alias("seq")), [motif]).select(F.col("contig").alias("key"), F.col("start").alias("t_start"), F.col("end").alias("t_end"), "spacer")
+    return made.join(found, "key").where((F.col("t_start") == F.col("up_n")) & (F.col("t_end") == F.col("up_n") + F.length("tag"))).drop("key", "seq")

@@ -154,3 +154,37 @@ def test_stream(spark, tmp_path):
     q = stream_targets(spark, str(tmp_path / "in"), ["N{20}>NGG"]).writeStream.format("memory").queryName("targets_seen").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("targets_seen").select("contig", "strand", "start", "end", "spacer", "pam").collect()} == plain_targets("s", seq)
+
+
+def test_recombination(spark):
+    from strandloom.operators import recombination
+
+    seq, insert = dna(21, 400), "ACGTACGTAA"
+    donor = seq[100:150] + insert + seq[180:230]
+    back = seq[100:150] + seq[150:180] + seq[180:230]
+    contigs = spark.createDataFrame([("c", seq), ("other", dna(22, 200))], "contig string, seq string")
+    one = lambda s: spark.createDataFrame([("d", s)], "donor string, seq string")
+    r0, r1, r2 = recombination.recombine(contigs, [one(donor), one(back)])
+    assert {r.contig: r.seq for r in r1.collect()}["c-d"] == seq[:150] + insert + seq[180:]
+    assert {r.contig: r.seq for r in r2.collect()}["c-d-d"] == seq
+    assert r0 is contigs and r2.where("contig = 'other'").count() == 1
+
+
+def test_barcodes_and_alignments(spark):
+    from strandloom.functions import barcodes
+
+    found = barcodes.codes("N{8}", 4, 50, 12)
+    assert len(found) == 12 and all(barcodes.levenshtein(a, b) >= 4 for i, a in enumerate(found) for b in found[:i])
+    assert barcodes.levenshtein("kitten", "sitting") == 3
+    lines = barcodes.star_alignment(["ACGTACGT", "ACGACGT", "ACGTTACGT"])
+    assert len({len(x) for x in lines}) == 1 and [x.replace("-", "") for x in lines] == ["ACGTACGT", "ACGACGT", "ACGTTACGT"]
+    rows = spark.createDataFrame([("g", "a", "ACGT"), ("g", "b", "AGT"), ("h", "c", "TT")], "grp string, name string, seq string")
+    assert {r.name: r.seq for r in barcodes.align_groups(rows).collect()} == {"a": "ACGT", "b": "A-GT", "c": "TT"}
+
+
+def test_spanning_tag(spark):
+    from strandloom.operators import donors
+
+    f = spark.createDataFrame([("f", "c", 100, 150, dna(23, 300))], "feature string, contig string, start int, end int, seq string")
+    got = donors.spanning_tag(f, "N{20}>NGG", 100, 8).collect()
+    assert len(got) >= 8 and all(r.donor[r.up_n : r.up_n + 23] == r.tag and len(r.donor) == 100 for r in got)
