@@ -42,6 +42,20 @@ def gram_codes(text: bytes) -> Iterator[np.ndarray]:
         yield ((two[:-1] << 8) | a[2:]) + _START[2]
 
 
+#: The one lookup table that a process holds: the codes it is for, and column numbers by code.
+_HELD: list[np.ndarray] = []
+
+
+def _lookup(codes: np.ndarray) -> np.ndarray:
+    """The column of each code, len(codes) for others. A worker lives for many tasks and models, so only the last table stays."""
+    if not _HELD or not np.array_equal(_HELD[0], codes):
+        _HELD.clear()
+        table = np.full(_START[3], len(codes), np.uint16 if len(codes) < 65_535 else np.int32)
+        table[codes] = np.arange(len(codes))
+        _HELD.extend([codes, table])
+    return _HELD[1]
+
+
 @dataclass
 class Model:
     """langs; the landmarks' n-gram codes in order; landmark presence rows; weights for each language."""
@@ -51,23 +65,15 @@ class Model:
     landmarks: np.ndarray
     weights: np.ndarray
 
-    def __post_init__(self) -> None:
-        self._table: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_table": None}
-
     def presence(self, texts: list[bytes]) -> np.ndarray:
         """A row for each text: for each n the known n-grams that it holds, over the root of their number."""
         v = len(self.codes)
-        if self._table is None:
-            self._table = np.full(_START[3], v, np.int32)
-            self._table[self.codes] = np.arange(v)
+        table = _lookup(self.codes)
         cuts = np.searchsorted(self.codes, _START)
         rows = np.zeros((len(texts), v + 1), np.float32)
         for row, text in zip(rows, texts, strict=True):
             for codes in gram_codes(text):
-                row[self._table[codes]] = 1
+                row[table[codes]] = 1
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 row[lo:hi] *= 1 / np.sqrt(max(1.0, 3 * row[lo:hi].sum()))
         return rows[:, :v]

@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: A task's table is emptied when it holds this many entries or characters, so its memory is bounded.
-TABLE_ENTRIES, TABLE_CHARS = 300_000, 16_000_000
+TABLE_ENTRIES, TABLE_CHARS = 150_000, 8_000_000
 
 _TABLES: dict[str, ChunkTable] = {}
 
 
 class ChunkTable:
-    """Distinct marked words of one model, each with (ids joined by commas, decoded text, ids)."""
+    """Distinct marked words of one model, each with (ids joined by commas, decoded text)."""
 
     def __init__(self, model: bytes) -> None:
         import sentencepiece
@@ -35,7 +35,7 @@ class ChunkTable:
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.separable = separable(self.sp)
         self.mark_id = self.sp.piece_to_id(MARK)
-        self.rows: dict[str, tuple[str, str, list[int]]] = {}
+        self.rows: dict[str, tuple[str, str]] = {}
         self.chars = 0
 
     def keys(self, text: str) -> list[str]:
@@ -47,11 +47,13 @@ class ChunkTable:
             return marked.split(MARK)
         return [c[1:] for c in _CHUNK.findall(MARK + marked)]
 
+    def empty(self) -> None:
+        self.rows, self.chars = {}, 0
+
     def fill(self, keys: set[str]) -> None:
         """Segment and decode those keys that the table lacks, each once."""
         if len(self.rows) > TABLE_ENTRIES or self.chars > TABLE_CHARS:
-            self.rows.clear()
-            self.chars = 0
+            self.empty()
         new = [k for k in keys if k not in self.rows]
         if not new:
             return
@@ -59,10 +61,10 @@ class ChunkTable:
         if "" in keys and "" not in self.rows:
             ids[new.index("")] = [self.mark_id]  # a marker alone; the library encodes the empty text as nothing
         for key, own, text in zip(new, ids, self.sp.decode(ids), strict=True):
-            self.rows[key] = (",".join(map(str, own)), text, own)
+            self.rows[key] = (",".join(map(str, own)), text)
             self.chars += len(key)
 
-    def encode_texts(self, texts: list[str]) -> Iterator[list[tuple[str, str, list[int]]]]:
+    def encode_texts(self, texts: list[str]) -> Iterator[list[tuple[str, str]]]:
         """For each text the table's entries by position. Texts are taken in runs of bounded size."""
         at = 0
         while at < len(texts):
@@ -77,6 +79,10 @@ class ChunkTable:
                 yield list(map(get, keys))
 
 
+def ids_of(entries: list[tuple[str, str]]) -> list[int]:
+    return [int(i) for e in entries for i in e[0].split(",")]
+
+
 def separable(sp) -> bool:
     """True if segmentation by marked word is exact: no piece holds a marker after another character, the
     normaliser is the identity with a leading marker, and no piece is user-defined."""
@@ -91,7 +97,7 @@ def separable(sp) -> bool:
 
 
 def _table(model: bytes) -> ChunkTable:
-    """The worker's table for this model; a worker keeps it from task to task."""
+    """The worker's table for this model; it is empty between tasks, as the worker goes on to other operators."""
     key = hashlib.sha256(model).hexdigest()
     if key not in _TABLES:
         _TABLES.clear()
@@ -113,6 +119,7 @@ def _map(df: DataFrame, key: str, text: str, out: pa.Schema, ddl: str, model: by
             texts = [t or "" for t in batch.column(1).to_pylist()]
             cols = list(zip(*(row(table, e) for e in table.encode_texts(texts)), strict=True)) or [[] for _ in out.names[1:]]
             yield pa.RecordBatch.from_arrays([ids.cast(out.field(0).type), *(pa.array(c, type=f.type) for c, f in zip(cols, list(out)[1:], strict=True))], schema=out)
+        table.empty()
 
     return df.select(df[key], df[text]).mapInArrow(run, ddl)
 
@@ -120,7 +127,7 @@ def _map(df: DataFrame, key: str, text: str, out: pa.Schema, ddl: str, model: by
 def encode(df: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>) of each whole text."""
     schema = pa.schema([(key, pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return _map(df, key, text, schema, f"`{key}` long, ids array<int>", model, lambda t, e: ([i for x in e for i in x[2]],))
+    return _map(df, key, text, schema, f"`{key}` long, ids array<int>", model, lambda t, e: (ids_of(e),))
 
 
 def decode(df: DataFrame, model: bytes, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -138,7 +145,7 @@ def decode(df: DataFrame, model: bytes, key: str = "doc_id", ids: str = "ids") -
 def round_trip_digest(df: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): encodes each whole text and decodes the ids again."""
 
-    def row(table: ChunkTable, entries: list[tuple[str, str, list[int]]]) -> tuple[int, str, str]:
+    def row(table: ChunkTable, entries: list[tuple[str, str]]) -> tuple[int, str, str]:
         csv = ",".join([e[0] for e in entries])
         # each entry's text lacks the one marker that its first piece starts with
         text = " ".join([e[1] for e in entries])
