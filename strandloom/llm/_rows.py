@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,6 +36,26 @@ def text_blocks(texts: list, most_rows: int, most_chars: int = 4_000_000) -> Ite
         at = end
 
 
+#: Rows of whole texts that go to a Python worker at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark) -> None:
+    """Texts are long, so a batch of Spark's usual 10,000 rows may be large; fewer rows bound a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; then what the task no longer needs goes back to the system, as its worker stays for other tasks."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def append_columns(df: DataFrame, text: str, fields: list[StructField], predict: Callable[[list[bytes | None]], list[list]]) -> DataFrame:
     """df with the fields that predict() gives for the whole texts, in UTF-8, of each Arrow batch.
 
@@ -50,5 +73,6 @@ def append_columns(df: DataFrame, text: str, fields: list[StructField], predict:
             cols = [pa.array(c, type=t) for c, t in zip(predict(raw), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=names)
 
+    small_batches(df.sparkSession)
     raw = df.select(*(df[c] for c in kept), df[text].cast("binary").alias("__text_utf8"))
-    return raw.mapInArrow(run, schema)
+    return raw.mapInArrow(lambda batches: released(run(batches)), schema)

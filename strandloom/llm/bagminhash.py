@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm._rows import text_blocks
+from strandloom.llm._rows import released, small_batches, text_blocks
 from strandloom.llm._vectors import merge_labels
 from strandloom.llm._words import mixed, word_hashes
 from strandloom.operators.components import connected_components
@@ -191,7 +191,8 @@ def _tile(table: pa.Table, threshold: float) -> pa.Table:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
     """(key, class_id, kept) for each row of df; class_id is the smallest key that links reach."""
     rows = df.select(df[key].cast("long").alias("id"), F.coalesce(df[text].cast("binary"), F.lit(b"")).alias("text"))
-    digests = materialise(rows.mapInArrow(_digest, "id long, one long, two long, weight long, buckets array<long>"), "digests")
+    small_batches(df.sparkSession)
+    digests = materialise(rows.mapInArrow(lambda x: released(_digest(x)), "id long, one long, two long, weight long, buckets array<long>"), "digests")
     filled = digests.where("weight > 0 and id is not null")
     classes = filled.groupBy("one", "two", "weight").agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets"))
     classes = materialise(classes, "classes")
@@ -207,7 +208,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
         near = pairs.where(F.least("wa", "wb") >= threshold * F.greatest("wa", "wb") - 1e-9).select("a", "b").distinct()
         near = near.join(bodies.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         near = near.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-        return materialise(near.mapInArrow(lambda x: _verify(x, threshold), "a long, b long"), "links")
+        return materialise(near.mapInArrow(lambda x: released(_verify(x, threshold)), "a long, b long"), "links")
 
     weights = classes.select(F.col("rep").alias("a"), F.col("weight").alias("wa"))
     stars = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("weight").alias("wb"))

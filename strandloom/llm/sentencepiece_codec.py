@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strandloom.llm._rows import released, small_batches
+
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: A task's table is emptied when it holds this many entries or characters, so its memory is bounded.
@@ -121,7 +123,8 @@ def _map(df: DataFrame, key: str, text: str, out: pa.Schema, ddl: str, model: by
             yield pa.RecordBatch.from_arrays([ids.cast(out.field(0).type), *(pa.array(c, type=f.type) for c, f in zip(cols, list(out)[1:], strict=True))], schema=out)
         table.empty()
 
-    return df.select(df[key], df[text]).mapInArrow(run, ddl)
+    small_batches(df.sparkSession)
+    return df.select(df[key], df[text]).mapInArrow(lambda batches: released(run(batches)), ddl)
 
 
 def encode(df: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
