@@ -123,3 +123,22 @@ def best_motif(motifs: list):
         return pd.DataFrame([one(s) for s in seq], columns=["motif", "errors", "spacer", "pam"])
 
     return choose
+
+
+def common_region(first: str, second: str, start: int = 600, step: int = 100, least: int = 200) -> tuple[int, int, int]:
+    """(start in first, start in second, size) of a shared stretch of at least `least` letters, looked for in ever longer prefixes."""
+    size = start
+    while True:
+        a, b = first[:size], second[:size]
+        m = difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
+        if m.size >= least or (len(a) == len(first) and len(b) == len(second)):
+            return m.a, m.b, m.size
+        size += step
+
+
+def label_track(labels: list[str], lengths: list[int]) -> str:
+    """Labels over stretches of the given lengths, each between bars; one that doesn't fit is cut."""
+    out = []
+    for text, n in zip(labels, lengths, strict=True):
+        out.append("" if n <= 0 else "│" if n == 1 else "┌" + text[: n - 2].center(n - 2, "─") + "┐")
+    return "".join(out)

@@ -64,6 +64,20 @@ def list_algorithms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s.name, s.kind, ",".join(s.roles), float(s.least), float(s.most), None if s.default is None else float(s.default), s.weight) for s in scoring.REGISTRY], "name string, kind string, roles string, least double, most double, default double, weight string")
 
 
+def list_aligners(spark: SparkSession) -> DataFrame:
+    rows = [("seed join", "mismatches", "operators.offtarget.seed_join"), ("seed join with shifts", "mismatches and gaps", "operators.similarity.similar_targets"), ("global", "affine gaps", "functions.alignment.align"), ("star", "several sequences", "functions.barcodes.align_groups")]
+    return spark.createDataFrame(rows, "name string, allows string, place string")
+
+
+def list_thermodynamics(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("nearest neighbour", "functions.thermodynamics")], "name string, place string")
+
+
+def list_catalogue(spark: SparkSession, path: str, schema: str = "motif string, protein string, activity string, organism string") -> DataFrame:
+    """A catalogue of motifs, restriction sites or terms in a tab-separated file of the user's."""
+    return spark.read.csv(path, sep="\t", comment="#", schema=schema)
+
+
 def design_targets(contigs: DataFrame, features: DataFrame, motifs: list[str], most_mismatches: int = 4, spacer_length: int = 20, weights: dict[str, str] | None = None, keep: int = 5) -> DataFrame:
     """The best `keep` targets of each feature: search, prefilters, off-targets over all contigs, guide score, weight, rank.
 

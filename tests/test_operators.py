@@ -188,3 +188,48 @@ def test_spanning_tag(spark):
     f = spark.createDataFrame([("f", "c", 100, 150, dna(23, 300))], "feature string, contig string, start int, end int, seq string")
     got = donors.spanning_tag(f, "N{20}>NGG", 100, 8).collect()
     assert len(got) >= 8 and all(r.donor[r.up_n : r.up_n + 23] == r.tag and len(r.donor) == 100 for r in got)
+
+
+@pytest.mark.parametrize("limits", [(0, 0), (2, 0), (1, 1)])
+def test_similar_targets(spark, limits):
+    from strandloom.functions.barcodes import levenshtein
+    from strandloom.operators.similarity import equivalents, similar_targets
+
+    r, rows = random.Random(5), []
+    for i in range(8):
+        s = dna(30 + i, 20)
+        for f in "abc":
+            t = list(s)
+            for _ in range(r.randint(0, 2)):
+                t[r.randrange(20)] = r.choice("ACGT")
+            rows.append((f, "".join(t) if r.random() < 0.7 else "".join(t[1:]) + "A"))
+    m, g = limits
+    near = lambda x, y: levenshtein(x, y) <= m + g if g else sum(p != q for p, q in zip(x, y, strict=True)) <= m
+    want = {(a, s, b, t) for a, s in rows for b, t in rows if a > b and near(s, t)}
+    df = spark.createDataFrame(rows, "feature string, seq string")
+    pairs = similar_targets(df, 20, m, g)
+    assert {tuple(x)[:4] for x in pairs.collect()} == want
+    if limits == (2, 0):
+        groups = spark.createDataFrame([(f, 1) for f in "abc"], "feature string, group int")
+        for keep, ok in (("all", lambda n: n == 3), ("exclusive", lambda n: n == 1), ("any", lambda n: True)):
+            by = {}
+            for x in equivalents(df, pairs, groups, keep).collect():
+                by.setdefault(x.component, set()).add(x.feature)
+            assert by and all(ok(len(v)) for v in by.values())
+
+
+def test_small_formatters():
+    from strandloom.functions import alignment
+
+    a, b = dna(41, 900), dna(42, 900)
+    shared = dna(43, 250)
+    one, two = a[:500] + shared + a, b[:300] + shared + b
+    i, j, n = alignment.common_region(one, two)
+    assert n >= 200 and one[i : i + n] == two[j : j + n] and alignment.common_region(a, b, least=900)[2] < 30
+    assert alignment.label_track(["ab", "long", "x"], [6, 4, 1]) == "┌─ab─┐┌lo┐│"
+
+
+def test_listings(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text("# motif\tprotein\nN{20}>NGG\tCas9\tcut\tbug\n")
+    assert api.list_catalogue(spark, str(tmp_path / "m.tsv")).first().protein == "Cas9"
+    assert api.list_algorithms(spark).count() == 18 and api.list_aligners(spark).count() == 4 and api.list_thermodynamics(spark).count() == 1
