@@ -188,9 +188,8 @@ def rank_donors(spark, d):
     return number_rows(g, ["gap", "gene"], "i").select("gene", "gap", (F.col("i") + 1).cast("int").alias("rank"))
 
 
-def _featured(spark, d, every: int = 1):
-    f = B.features(spark, d).where(f"cast(substring(feature, 2) as int) % {every} = 0")
-    return f.join(B.contigs(spark, d), "contig")
+def _featured(spark, d):
+    return B.features(spark, d).join(B.contigs(spark, d), "contig")
 
 
 _SEQD = f"WITH {B.CONTIGS}, {B.FEATURES}, x AS (SELECT f.*, seq FROM features f JOIN contigs c ON c.contig = f.contig)"
@@ -223,7 +222,7 @@ def unitag_donors(spark, d):
   SELECT feature, insert, donor, t_strand, t0::INTEGER AS t_start, left(w, 20) AS spacer FROM t WHERE NOT (t0 + 23 < up_n OR t0 >= up_n + length(insert))""")
 def mintag_donors(spark, d):
     """Donors with arms of 24 and inserts of 0 or 1, and the targets that touch their junction."""
-    made = D.mintag(_featured(spark, d, 10), (24, 24), (24, 24), (48, 49), (0, 1)).select("feature", "insert", "donor", "up_n")
+    made = D.mintag(_featured(spark, d), (24, 24), (24, 24), (48, 49), (0, 1)).select("feature", "insert", "donor", "up_n")
     key = F.concat_ws(":", "feature", "insert")
     found = find_targets(made.select(key.alias("contig"), F.col("donor").alias("seq")), [CAS9])
     t = found.select(F.col("contig").alias("key"), F.col("strand").alias("t_strand"), F.col("start").alias("t_start"), F.col("end").alias("t_end"), "spacer")
@@ -295,7 +294,7 @@ _REGIONS = "r AS (SELECT feature, start, \"end\", seq FROM x WHERE substr(featur
   p AS (SELECT *, unnest(range(greatest(start - (size - CASE WHEN strand = '+' THEN 4 ELSE 8 END), 0), least("end" - CASE WHEN strand = '+' THEN 8 ELSE 4 END, length(seq) - size) + 1)) AS p_start FROM r, sizes, st)
   SELECT feature, strand, p_start::INTEGER AS p_start, CASE WHEN strand = '+' THEN substr(seq, p_start + 1, size) ELSE reverse(translate(substr(seq, p_start + 1, size), 'ACGT', 'TGCA')) END AS primer FROM p""")
 def primer_scan(spark, d):
-    r = _featured(spark, d, 10).select("feature", "start", "end", "seq")
+    r = _featured(spark, d).select("feature", "start", "end", "seq")
     both = P.scan(r, (18, 18)).unionByName(P.scan(r, (20, 20)))
     return both.select("feature", "strand", "p_start", "primer")
 

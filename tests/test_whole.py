@@ -1,5 +1,8 @@
 """Queries over their whole tables, against plain Python."""
 
+import hashlib
+from collections import Counter, defaultdict
+
 import pyarrow.parquet as pq
 
 from strandloom.plans import QUERIES
@@ -27,3 +30,54 @@ def test_homolog_components(spark, sf_dir):
         a, b = sorted((root(part), root(supplier + 1000000)))
         above[b] = a
     assert result(spark, sf_dir, "homolog_components") == sorted((x, root(x)) for x in above)
+
+
+TURN = str.maketrans("ACGT", "TGCA")
+
+
+def letters_of(text):
+    return hashlib.md5(text.encode()).hexdigest().translate(str.maketrans("0123456789abcdef", "ACGT" * 4))
+
+
+def contigs_of(sf_dir):
+    out = defaultdict(str)
+    for key, brand in sorted(rows_of(sf_dir, "part", "p_partkey", "p_brand")):
+        out[brand] += letters_of(str(key))
+    return out
+
+
+def features_of(sf_dir):
+    """(feature, gene, contig, start, end)"""
+    out, at = [], Counter()
+    for key, brand, kind, size in sorted(rows_of(sf_dir, "part", "p_partkey", "p_brand", "p_type", "p_size")):
+        start = at[brand] * 32 + key % 20
+        at[brand] += 1
+        out.append((f"f{key}", kind, brand, start, start + 10 + size))
+    return out
+
+
+def test_primer_scan(spark, sf_dir):
+    contigs, want = contigs_of(sf_dir), []
+    for feature, _, contig, start, end in features_of(sf_dir):
+        seq = contigs[contig]
+        for size in (18, 20):
+            for strand, left, right in (("+", 4, 8), ("-", 8, 4)):
+                for i in range(max(start - (size - left), 0), min(end - right, len(seq) - size) + 1):
+                    text = seq[i : i + size]
+                    want.append((feature, strand, i, text if strand == "+" else text.translate(TURN)[::-1]))
+    assert result(spark, sf_dir, "primer_scan") == sorted(want)
+
+
+def test_mintag_donors(spark, sf_dir):
+    contigs, want = contigs_of(sf_dir), []
+    for feature, _, contig, start, end in features_of(sf_dir):
+        seq = contigs[contig]
+        up = seq[max(start - 24, 0) : start]
+        for insert in ("", "A", "C", "G", "T"):
+            donor = up + insert + seq[end : end + 24]
+            for strand, s in (("+", donor), ("-", donor.translate(TURN)[::-1])):
+                for i in range(len(s) - 22):
+                    at = i if strand == "+" else len(s) - i - 23
+                    if s[i + 21 : i + 23] == "GG" and at + 23 >= len(up) and at < len(up) + len(insert):
+                        want.append((feature, insert, donor, strand, at, s[i : i + 20]))
+    assert result(spark, sf_dir, "mintag_donors") == sorted(want)
