@@ -81,3 +81,70 @@ def test_mintag_donors(spark, sf_dir):
                     if s[i + 21 : i + 23] == "GG" and at + 23 >= len(up) and at < len(up) + len(insert):
                         want.append((feature, insert, donor, strand, at, s[i : i + 20]))
     assert result(spark, sf_dir, "mintag_donors") == sorted(want)
+
+
+def hits_of(sf_dir):
+    """(hit, target, contig, start, end, score)"""
+    size, brand = {k: len(s) for k, s in contigs_of(sf_dir).items()}, dict(rows_of(sf_dir, "part", "p_partkey", "p_brand"))
+    out = []
+    for order, part, supplier, number, quantity in rows_of(sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"):
+        if part in brand:
+            start = (order * 37 + supplier) % (size[brand[part]] - 23)
+            out.append((order * 10 + number, supplier % 50, brand[part], start, start + 23, quantity * 2))
+    return out
+
+
+def met_of(sf_dir):
+    """(hit, target, feature, gene, contig, overlap) of each hit and feature that overlap."""
+    on = defaultdict(list)
+    for f in features_of(sf_dir):
+        on[f[2]].append(f)
+    return [(h[0], h[1], f[0], f[1], h[2], min(h[4], f[4]) - max(h[3], f[3])) for h in hits_of(sf_dir) for f in on[h[2]] if h[3] < f[4] and f[3] < h[4]]
+
+
+def test_interval_overlap_join(spark, sf_dir):
+    assert result(spark, sf_dir, "interval_overlap_join") == sorted((m[0], m[2], m[5]) for m in met_of(sf_dir))
+
+
+def test_offtarget_classify(spark, sf_dir):
+    target, related, want = {}, defaultdict(bool), []
+    for hit, t, *_ in hits_of(sf_dir):
+        target[hit] = min(t, target.get(hit, t))
+    for hit, t, _, gene, *_ in met_of(sf_dir):
+        related[hit] |= len(gene) % 2 == t % 2
+    for hit, t in target.items():
+        donor, near = hit % 3 == 0, related[hit]
+        if t % 2 == 0:
+            action = ("off" if near else "skip") if donor else ("on" if near else "off")
+        else:
+            action = ("on" if near else "skip") if donor else "off"
+        want.append((hit, action))
+    assert result(spark, sf_dir, "offtarget_classify") == sorted(want)
+
+
+def test_guide_score(spark, sf_dir):
+    on, whole = defaultdict(float), defaultdict(float)
+    for hit, target, _, _, _, score in hits_of(sf_dir):
+        if 10 <= score <= 90:
+            w = score * (1000 if hit % 5 == 0 else 1)
+            whole[target] += w
+            on[target] += w if hit % 2 == 0 else 0
+    got = result(spark, sf_dir, "guide_score")
+    assert [t for t, _ in got] == sorted(whole) and all(abs(x - 100 * on[t] / whole[t]) < 1e-5 for t, x in got)
+
+
+def test_homolog_complete_targets(spark, sf_dir):
+    genes, covered = defaultdict(set), defaultdict(set)
+    for _, gene, contig, *_ in features_of(sf_dir):
+        genes[contig].add(gene)
+    for _, target, _, gene, contig, _ in met_of(sf_dir):
+        covered[target, contig].add(gene)
+    want = sorted((t, c, len(x)) for (t, c), x in covered.items() if len(x) * 4 >= len(genes[c]))
+    assert result(spark, sf_dir, "homolog_complete_targets") == want
+
+
+def test_allele_specific_targets(spark, sf_dir):
+    features = defaultdict(set)
+    for hit, _, feature, *_ in met_of(sf_dir):
+        features[hit].add(feature)
+    assert result(spark, sf_dir, "allele_specific_targets") == sorted((h, *x) for h, x in features.items() if len(x) == 1)
