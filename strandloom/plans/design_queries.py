@@ -366,7 +366,7 @@ _ALIGN = "al AS (SELECT l_orderkey % 200 AS q, l_suppkey % 20 AS s, (l_partkey %
 
 def _alignments(spark, d):
     c = F.col
-    return table(spark, d, "lineitem").where("l_quantity >= 35").select((c("l_orderkey") % 200).alias("q"), (c("l_suppkey") % 20).alias("s"), (c("l_partkey") % 10).cast("int").alias("q0"), (90 + c("l_linenumber") * 2).cast("int").alias("q1"), c("l_quantity").alias("n"))
+    return table(spark, d, "lineitem").select((c("l_orderkey") % 200).alias("q"), (c("l_suppkey") % 20).alias("s"), (c("l_partkey") % 10).cast("int").alias("q0"), (90 + c("l_linenumber") * 2).cast("int").alias("q1"), c("l_quantity").alias("n"))
 
 
 @query(f"WITH {_ALIGN} SELECT q, s FROM al GROUP BY q, s HAVING count(*) FILTER (q0 < 3) = 1 AND count(*) FILTER (q0 >= 3 AND q1 > 97) = 1")
@@ -419,7 +419,7 @@ _MSA = f"msa AS (SELECT p_brand AS grp, p_partkey AS id, translate(md5('m' || p_
 def _msa_columns(spark, d):
     k = F.col("p_partkey")
     s = F.translate(F.md5(F.concat(F.lit("m"), (k % 7).cast("string"), "p_brand")), B.HEX, "ACGTACGTACGTACG-")
-    rows = table(spark, d, "part").where("p_partkey % 10 < 7").select(F.col("p_brand").alias("grp"), F.posexplode(S.letters(s)).alias("i", "nt"))
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.posexplode(S.letters(s)).alias("i", "nt"))
     return rows.groupBy("grp", (F.col("i") + 1).cast("long").alias("i"), "nt").agg(F.count("*").alias("n"))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from strandloom.plans import QUERIES
@@ -148,3 +149,67 @@ def test_allele_specific_targets(spark, sf_dir):
     for hit, _, feature, *_ in met_of(sf_dir):
         features[hit].add(feature)
     assert result(spark, sf_dir, "allele_specific_targets") == sorted((h, *x) for h, x in features.items() if len(x) == 1)
+
+
+def alignments_of(sf_dir):
+    """(query, subject) -> [(q0, q1)]"""
+    out = defaultdict(list)
+    for order, part, supplier, number in rows_of(sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"):
+        out[order % 200, supplier % 20].append((part % 10, 90 + number * 2))
+    return out
+
+
+def test_flank_pair_filter(spark, sf_dir):
+    want = [k for k, x in alignments_of(sf_dir).items() if sum(a < 3 for a, _ in x) == 1 == sum(a >= 3 and b > 97 for a, b in x)]
+    assert result(spark, sf_dir, "flank_pair_filter") == sorted(want)
+
+
+def test_full_length_hit_filter(spark, sf_dir):
+    full = {k: [(a, b) for a, b in x if a < 3 and b > 97] for k, x in alignments_of(sf_dir).items()}
+    assert result(spark, sf_dir, "full_length_hit_filter") == sorted((*k, *x[0]) for k, x in full.items() if len(x) == 1)
+
+
+def columns_of(sf_dir):
+    """(group, place) -> numbers of letters"""
+    out = defaultdict(Counter)
+    for key, brand in rows_of(sf_dir, "part", "p_partkey", "p_brand"):
+        text = hashlib.md5(f"m{key % 7}{brand}".encode()).hexdigest().translate(str.maketrans("0123456789abcdef", "ACGTACGTACGTACG-"))
+        for i, nt in enumerate(text, 1):
+            out[brand, i][nt] += 1
+    return out
+
+
+def test_msa_consensus(spark, sf_dir):
+    want = []
+    for (group, i), n in columns_of(sf_dir).items():
+        total, gaps = n.total(), n.pop("-", 0)
+        best = max(n.values(), default=None)
+        mark = " "
+        if not gaps:
+            mark = "*" if best == total else "|" if best * 4 >= total * 3 else ":" if best * 2 >= total else "." if best * 4 >= total else " "
+        want.append((group, i, "".join(sorted(x for x in n if n[x] == best)) or None, best, mark))
+    got = QUERIES["msa_consensus"](spark, sf_dir).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
+def test_msa_gap_filter(spark, tmp_path):
+    # at one place most rows have a gap, all in rows that a key test would leave out
+    text = lambda key, brand: hashlib.md5(f"m{key % 7}{brand}".encode()).hexdigest()
+    brand, place = next((b, i) for b in map(str, range(2000)) for i in range(32) if all(text(k, b)[i] == "f" for k in (0, 1, 2)) and all(text(k, b)[i] != "f" for k in (3, 4, 5, 6)))
+    keys = [3, 7, 8, 9, 17]
+    pq.write_table(pa.table({"p_partkey": keys, "p_brand": [brand] * len(keys)}), tmp_path / "part.parquet")
+    want = [k for k, n in columns_of(tmp_path).items() if n["-"] * 2 <= n.total()]
+    assert result(spark, tmp_path, "msa_gap_filter") == sorted(want) and (brand, place + 1) not in want
+
+
+def test_msa_window_search(spark, sf_dir, tmp_path):
+    whole = pq.read_table(f"{sf_dir}/part.parquet", columns=["p_partkey", "p_brand"])
+    keys = [k for k in whole["p_partkey"].to_pylist() if k % 10 >= 7]
+    pq.write_table(pa.table({"p_partkey": keys, "p_brand": [str(k % 9) for k in keys]}), tmp_path / "part.parquet")
+    columns, want = columns_of(tmp_path), []
+    for group in {g for g, _ in columns}:
+        gap = {i: "-" in columns[group, i] for i in range(1, 33)}
+        fits = [i for i in range(1, 26) if sum(gap[j] for j in range(i, i + 8)) <= 3]  # 8 columns never have over 8 mismatches
+        if fits:
+            want.append((group, max(fits), len(fits)))
+    assert want and result(spark, tmp_path, "msa_window_search") == sorted(want)
