@@ -493,5 +493,5 @@ def features_by_gene(spark, d):
 
 @query(f"WITH {B.OLIGOS} SELECT id, i::INTEGER AS cut, left(s, i) AS l, substr(s, i + 1) AS r FROM (SELECT id, left(seq, 12) AS s, unnest(range(4, 9)) AS i FROM oligos)")
 def donor_splits(spark, d):
-    x = B.oligos(spark, d).select("id", F.inline(D.splits(F.left("seq", F.lit(12)), 4)))
+    x = B.oligos(spark, d).select("id", F.inline(D.splits(F.col("seq"), 4)))
     return x.select("id", F.length("left").alias("cut"), F.col("left").alias("l"), F.col("right").alias("r"))

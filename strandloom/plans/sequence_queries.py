@@ -75,14 +75,14 @@ _LOW, _UP = "regexp_matches(m, '[a-z]')", "regexp_matches(m, '[A-Z]')"
     f"{_LOW} AS c_mixed_lower, {_UP} AS c_mixed_upper, {_LOW} AND {_UP} AS c_mixed_only FROM x"
 )
 def target_case_filter(spark, d):
-    m = F.substring("mixed", 1, 3)
+    m = F.col("mixed")
     modes = ["ignore", "upper-only", "lower-only", "mixed-lower", "mixed-upper", "mixed-only"]
     return B.oligos(spark, d).select("id", *(S.case_rule(m, x).alias("c_" + x.replace("-", "_")) for x in modes))
 
 
 @query(f"WITH {B.OLIGOS} SELECT id, substr(amb, 1, 4) AS s FROM oligos WHERE NOT regexp_matches(substr(amb, 1, 4), '[^ACGT]')")
 def target_ambiguity_discard(spark, d):
-    return B.oligos(spark, d).select("id", F.substring("amb", 1, 4).alias("s")).where(~S.is_ambiguous(F.col("s")))
+    return B.oligos(spark, d).select("id", F.col("amb").alias("s")).where(~S.is_ambiguous(F.col("s")))
 
 
 @query(

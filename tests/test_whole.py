@@ -213,3 +213,24 @@ def test_msa_window_search(spark, sf_dir, tmp_path):
         if fits:
             want.append((group, max(fits), len(fits)))
     assert want and result(spark, tmp_path, "msa_window_search") == sorted(want)
+
+
+def oligos_of(sf_dir, prefix, alphabet):
+    turn = str.maketrans("0123456789abcdef", alphabet)
+    return [(k, hashlib.md5(f"{prefix}{k}".encode()).hexdigest().translate(turn)) for (k,) in rows_of(sf_dir, "part", "p_partkey")]
+
+
+def test_target_case_filter(spark, sf_dir):
+    want = []
+    for key, s in oligos_of(sf_dir, "m", "ACGTacgtACGTacgt"):
+        low, up = s.upper() != s, s.lower() != s
+        want.append((key, True, not low, not up, low, up, low and up))
+    assert result(spark, sf_dir, "target_case_filter") == sorted(want)
+
+
+def test_target_ambiguity_discard(spark, sf_dir):
+    assert result(spark, sf_dir, "target_ambiguity_discard") == sorted((k, s) for k, s in oligos_of(sf_dir, "i", "ACGTRYMKWSBDHVNA") if not set(s) - set("ACGT"))
+
+
+def test_donor_splits(spark, sf_dir):
+    assert result(spark, sf_dir, "donor_splits") == sorted((k, i, s[:i], s[i:]) for k, s in oligos_of(sf_dir, "o", "ACGT" * 4) for i in range(4, 29))
