@@ -1,8 +1,10 @@
-"""Connected components by spreading minimum labels, with pointer jumping.
+"""Connected components by hooking of roots and pointer jumping.
 
-Every round is joins and partial aggregates over the edges; nothing is gathered on the driver but one count, and
-each round's labels are written to the shared scratch folder, so lineage stays short and a lost executor
-costs one round at most.
+Each round, a node's parent becomes the smallest of its own grandparent, the grandparents of its neighbours, and the grandparents
+that neighbours of its children have found; so trees hook onto trees, not single nodes, and rounds grow with the logarithm of a
+component's size. Rounds are joins and partial aggregates over the edges; nothing is gathered on the driver but one flag,
+and each round's labels are written to the shared scratch folder, so lineage stays short and a lost executor costs one round
+at most. A round's labels are deleted once the next round has them.
 """
 
 from __future__ import annotations
@@ -10,26 +12,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.session import materialise
+from strandloom.session import drop_tables, materialise
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of the edges; component is the smallest node that it can reach.
 
-    Null ends and loops are ignored; repeated edges count once; no edges give no rows.
+    Null ends and loops are ignored; repeated edges count once; no edges give no rows. Labels only ever fall, so the loop ends.
     """
     pairs = edges.select(edges[a].alias("u"), edges[b].alias("v")).where("u is not null and v is not null and u <> v")
     both = materialise(pairs.union(pairs.select("v", "u")).distinct(), "edges")
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label"))
-    labels = materialise(labels, "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        hooked = labels.join(near, labels.node == near.u, "left").select("node", F.least("label", "m").alias("now"), F.col("label").alias("old"))
-        roots = labels.select(F.col("node").alias("root"), F.col("label").alias("above"))
-        jumped = hooked.join(roots, hooked.now == roots.root, "left").select("node", F.least("now", "above").alias("label"), "old")
-        step = materialise(jumped, "labels")
-        changed = step.where("label <> old").limit(1).count()
-        labels = step.select("node", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components still changed after {most_rounds} rounds")
+    first = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("f"))
+    grand = lambda f: f.join(f.select(F.col("node").alias("f"), F.col("f").alias("g")), "f", "left").select("node", "f", F.coalesce("g", "f").alias("g"))
+    labels = materialise(grand(first), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("v"), "g"), "v").groupBy(F.col("u").alias("node")).agg(F.min("g").alias("m"))
+        seen = labels.join(near, "node")
+        hook = seen.groupBy(F.col("f").alias("node")).agg(F.min("m").alias("h"))
+        now = seen.join(hook, "node", "left").select("node", F.least("f", "g", "m", "h").alias("f"), F.col("f").alias("old_f"), F.col("g").alias("old_g"))
+        up = now.select(F.col("node").alias("f"), F.col("f").alias("g"))
+        step = materialise(now.join(up, "f").select("node", "f", "g", ((F.col("f") != F.col("old_f")) | (F.col("g") != F.col("old_g"))).alias("moved")), "labels")
+        drop_tables(labels)
+        labels = step.select("node", "f", "g")
+        if not step.where("moved").limit(1).count():
+            drop_tables(both)
+            return labels.select("node", F.col("f").alias("component"))

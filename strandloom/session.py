@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it, the shuffle files of a write go when it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(master: str = "local[*]", app: str = "strandloom", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A session with the settings the operators assume: UTC and adaptive execution."""
@@ -27,9 +32,13 @@ def build_session(master: str = "local[*]", app: str = "strandloom", shuffle_par
 def scratch_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share.
 
-    Where the setting is missing (local tests), a local folder is made and set, so that later calls agree.
+    Where the setting is missing on a local master (tests), a local folder is made and set, so that later calls agree. On a cluster
+    that is an error: executors don't share a machine's own folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not found and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="strandloom-")
         spark.sparkContext.setCheckpointDir(found)
@@ -38,16 +47,32 @@ def scratch_root(spark: SparkSession) -> str:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
+_written: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under scratch_root()."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with _cleaned(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,3 +81,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote, once nothing reads them any more."""
+    for t in tables:
+        files = t.inputFiles()
+        if files:
+            drop_path(t.sparkSession, files[0].rpartition("/")[0])
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this session has written to the shared folder. Results that still read it fail afterwards."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        drop_path(spark, path)
