@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 #: With it, the shuffle files of a write go when it ends, not when the driver happens to collect its garbage.
-_CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(master: str = "local[*]", app: str = "strandloom", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
@@ -72,7 +72,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with _cleaned(spark):
-        df.write.parquet(path)
+        df.select("*").write.parquet(path)  # the setting is read when a plan is made
     return spark.read.schema(df.schema).parquet(path)
 
 
