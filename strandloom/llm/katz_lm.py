@@ -1,20 +1,25 @@
-"""A Katz backoff bigram model: training over the corpus and scores of whole texts.
+"""A Katz backoff model of any order (trigrams by default): training over the corpus and scores of whole texts.
 
-Probabilities. Counts c come from the training texts; each text begins after a begin mark and closes with an end
-token. Good-Turing discounts d_r apply to counts r of 1 to 5. A seen bigram has P(w|h) = d c(h,w) / c(h); any other has
-a(h) P(w), evaluated on the next lower order, where a(h) makes the sum over all words exactly 1; a history without training counts backs
-off whole. On the lowest order a seen word has d c(w) / N, and what the discounts free is the probability of
-the unknown word. A history none of whose continuations is discounted uses c(h) + 1 below the line.
+Probabilities. Counts c come from the training texts; each text begins after begin marks and closes with an end token.
+On every order Good-Turing discounts d_r apply to counts r of 1 to 5. After a history h with training counts a seen word has
+P(w|h) = d c(h,w) / c(h); any other has a(h) P(w|h'), where h' is h without its oldest word, evaluated in the same way one order
+down, and a(h) makes the sum over all words exactly 1. A history without training counts backs off whole. On the lowest
+order a seen word has d c(w) / N, and what the discounts free is the probability of the unknown word. A history none of whose
+continuations is discounted uses c(h) + 1 below the line.
 
 Plan. Counts are too many for one machine, and tokens too many to shuffle as rows, so packed arrays move instead:
-  1. A task cuts its texts into chunks of bounded size, writes each chunk's tokens as a file in the shared folder, and asks a table
-     partitioned by word hash for its distinct words (with their training counts in the chunk).
-  2. A partition of that table adds the counts up, numbers the words and answers each chunk.
-  3. A chunk asks a table partitioned by history for its distinct bigrams. Histories with over 1/P of all tokens are
-     partitioned by history and word, and their sums are put together from the parts, at most P of them.
-  4. A partition adds up bigram counts and answers with each count, and for each history with how many continuations
-     have each low count and the mass of the seen words on the lower order. From these a chunk scores its texts.
-What moves is distinct words and bigrams of chunks, a few bytes each; each step's answers are written tables.
+  1. A task cuts its texts into chunks, writes each chunk's tokens as a file in the shared folder, and asks a table partitioned by
+     word hash for its distinct words (with their training counts in the chunk).
+  2. A bucket adds the counts up, numbers the words and answers each chunk.
+  3. For each order k from 2 a chunk notes the answers of order k - 1 in a file beside its tokens, and asks a table partitioned by history
+     for its distinct k-grams. Left out are histories without training counts, about which nothing is to be learned, and
+     histories that no other chunk holds: the chunk counts those itself. Histories with over 1/P of all tokens are
+     partitioned by history and word, and their sums are put together from the parts, a bounded number of them.
+  4. A bucket adds up k-gram counts and answers with each count, and for each history with how many continuations have each low count and
+     with what order k - 1 knows of its seen words, as whole numbers: how many have each low count, and the sum of higher ones.
+  5. With the answers of the last order a chunk scores its texts, from the unigrams up.
+What moves is distinct k-grams of chunks, a few bytes each; each order's answers are a written table, deleted when the next order has
+noted them.
 
 Defined results: a null text is empty, so just the end token; repeated rows each count; a null id counts as training and is
 kept; an empty table gives no rows; with no training text at all the only probability is that of the unknown word, 1.
@@ -23,49 +28,38 @@ kept; an empty table gives no rows; with no training text at all the only probab
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm import _chunks
+from strandloom.llm._chunks import load, pack, range_of, save, unpack
+from strandloom.llm._rows import released
 from strandloom.llm._words import mixed, word_hashes
-from strandloom.session import drop_path, materialise, scratch_path
+from strandloom.session import drop_path, drop_tables, materialise, scratch_path
 
 END = np.uint64(0x5851F42D4C957F2D)
 #: Counts up to this are discounted.
 LOW = 5
-CHUNK_BYTES = 16 << 20
-_ANSWER = "chunk string, bucket int, kind int, data binary, h long, s double, " + ", ".join(f"m{r} long" for r in range(1, LOW + 2))
-_NAMES = ["chunk", "bucket", "kind", "data", "h", "s", *(f"m{r}" for r in range(1, LOW + 2))]
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of integers or floats, in byte planes, compressed."""
-    parts = []
-    for a in arrays:
-        if a.dtype.kind in "iu" and a.dtype.itemsize > 4 and (not len(a) or (a.min() >= 0 and a.max() < 1 << 32)):
-            a = a.astype(np.uint32)
-        parts.append(f"{a.dtype.str},{len(a)};".encode() + np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    """Integers come back as int64 or uint64."""
-    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
-    while at < len(raw):
-        end = raw.index(b";", at)
-        kind, n = raw[at:end].decode().split(",")
-        kind, n = np.dtype(kind), int(n)
-        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, end + 1).reshape(kind.itemsize, n)
-        a = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-        out.append(a.astype(np.int64) if kind.str in ("<u4", "<i4") else a)
-        at = end + 1 + n * kind.itemsize
-    return out
+#: Hot histories are kept for all chunks; there are fewer than this many.
+MOST_HOT = 1 << 16
+#: Kinds of rows: questions and answers; sums over a bucket; a chunk's own sums; parts of a hot history.
+ASK, SUMS, OWN, HOT = 0, 1, 2, 3
+_ROW = "chunk string, bucket int, kind int, data binary, h string, x array<long>"
+_SCHEMA = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()), ("h", pa.string()), ("x", pa.list_(pa.int64()))])
+
+
+def _rows(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{k: r.get(k) for k in _SCHEMA.names} for r in rows], schema=_SCHEMA)
+
+
+def _table(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_batches([_rows(rows)])
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -78,52 +72,105 @@ def discounts(n: list[int]) -> np.ndarray:
     return d
 
 
+def tally(counts: np.ndarray) -> list[int]:
+    """How many counts are 1, 2 and so on to LOW + 1."""
+    n = np.bincount(np.minimum(counts, LOW + 2), minlength=LOW + 3)
+    return [int(v) for v in n[1 : LOW + 2]]
+
+
+def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(counts <= LOW, d[np.minimum(counts, LOW)], 1.0) * counts
+
+
 @dataclass
 class Unigrams:
-    """total: training tokens; types: distinct ones; d: discounts; unknown: the unknown word's probability."""
+    """total: training tokens; types: distinct ones; d: discounts; unknown: the unknown word's probability; line: what counts are divided by."""
 
     total: int
     types: int
     d: np.ndarray
     unknown: float
+    line: float
 
     @classmethod
     def of(cls, total: int, types: int, n: list[int]) -> Unigrams:
         d = discounts(n)
         unknown = sum((1 - d[r]) * r * n[r] for r in range(1, LOW + 1)) / total if total else 1.0
         if total and unknown <= 0:  # nothing is discounted: one more token is counted, the unknown word
-            return cls(total, types, np.append(np.ones(LOW + 1), 1.0), 1 / (total + 1))
-        return cls(total, types, d, unknown)
+            return cls(total, types, np.ones(LOW + 1), 1 / (total + 1), total + 1.0)
+        return cls(total, types, d, unknown, max(1.0, total))
 
     def p(self, count: np.ndarray) -> np.ndarray:
-        line = self.total + (len(self.d) > LOW + 1)
-        return np.where(count > 0, self.d[np.minimum(count, LOW)] ** (count <= LOW) * count / max(1, line), self.unknown)
+        return np.where(count > 0, discounted(count, self.d) / self.line, self.unknown)
+
 
+def line_of(count: np.ndarray, low: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For histories with training counts and numbers of continuations by count (columns 1 to LOW): (what to divide their k-gram counts by,
+    the probability that is left for unseen words)."""
+    freed = (low * np.arange(1, LOW + 1) * (1 - d[1:])).sum(1)
+    line = np.maximum(np.where(freed > 0, count, count + 1), 1).astype(float)
+    return line, np.where(freed > 0, freed, 1.0) / line
 
-def backoff(count: np.ndarray, low: np.ndarray, mass: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For histories with training counts, numbers of continuations by count (columns 1 to LOW) and lower-order mass of their seen
-    words: (what to divide bigram counts by, a(h)). A history without counts has a(h) = 1."""
-    r = np.arange(1, LOW + 1)
-    freed = (low * r * (1 - d[1:])).sum(1)
-    line = np.where(freed > 0, count, count + 1).astype(float)
-    left = np.where(freed > 0, freed, 1.0) / np.maximum(line, 1)
-    return line, np.where(count > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
+
+def unique_rows(columns: list[np.ndarray]) -> np.ndarray:
+    """A number for each row of the columns, equal rows having equal numbers. Rows are told apart by their values, not by a hash of them."""
+    if len(columns) == 1:
+        return np.unique(columns[0], return_inverse=True)[1]
+    x = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        x = mixed(x + c.astype(np.uint64) + np.uint64(1))
+    _, first, number = np.unique(x, return_index=True, return_inverse=True)
+    if all((c[first][number] == c).all() for c in columns):
+        return number
+    return np.unique(np.stack(columns, 1), axis=0, return_inverse=True)[1].reshape(-1)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of equal values."""
+    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(x)))
+
+
+@dataclass
+class Grams:
+    """Distinct k-grams of a chunk: history (a number of the order below; one more than all stands for the begin marks), word, lower (the
+    k-gram without its oldest word), seen (training counts in the chunk), and the k-gram that ends at each token."""
+
+    history: np.ndarray
+    word: np.ndarray
+    lower: np.ndarray
+    seen: np.ndarray
+    place: np.ndarray
 
 
 class Chunk:
-    """Texts of one chunk as tokens, numbered in the order of the words' hashes."""
+    """Texts of one chunk as tokens, numbered in the order of the words' hashes, and their k-grams order by order."""
 
     def __init__(self, doc: np.ndarray, known: np.ndarray, train: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> None:
         self.doc, self.known, self.train, self.sizes, self.tokens = doc, known.astype(bool), train.astype(bool), sizes, tokens
         self.of_train = np.repeat(self.train, self.sizes)
-
-    def bigrams(self, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(history, word, place of each token's bigram); the begin mark is number `words`."""
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[np.cumsum(self.sizes) - self.sizes] = words
-        key, place = np.unique(before * (words + 1) + self.tokens, return_inverse=True)
-        return key // (words + 1), key % (words + 1), place
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        self.words = int(tokens.max()) + 1
+        none = np.zeros(self.words, np.int64)
+        seen = np.bincount(tokens[self.of_train], minlength=self.words)
+        #: orders[k - 1] are the k-grams.
+        self.orders = [Grams(none, np.arange(self.words), none, seen, tokens)]
+
+    def packed(self) -> bytes:
+        return pack(self.doc, self.known.view(np.uint8), self.train.view(np.uint8), self.sizes, self.tokens)
+
+    def grow(self) -> Grams:
+        """The k-grams of the next order."""
+        below = self.orders[-1]
+        before = np.empty_like(below.place)
+        before[1:] = below.place[:-1]
+        before[self.firsts] = len(below.word)
+        key, place = np.unique(before * self.words + self.tokens, return_inverse=True)
+        lower = np.empty(len(key), np.int64)
+        lower[place] = below.place
+        seen = np.bincount(place[self.of_train], minlength=len(key))
+        self.orders.append(Grams(key // self.words, key % self.words, lower, seen, place))
+        return self.orders[-1]
 
 
 def build_chunk(rows: list[tuple[int | None, bytes, bool]]) -> tuple[Chunk, np.ndarray]:
@@ -139,48 +186,24 @@ def build_chunk(rows: list[tuple[int | None, bytes, bool]]) -> tuple[Chunk, np.n
     return Chunk(ids, np.array([k is not None for k, _, _ in rows]), np.array([x for _, _, x in rows]), sizes, number.astype(np.int64)), words
 
 
-def _range_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets that follow the order of the hashes."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def _save(folder: str, chunk: Chunk) -> str:
-    fs, inside = pyarrow.fs.FileSystem.from_uri(folder)
-    fs.create_dir(inside, recursive=True)
-    name = f"{uuid.uuid4().hex}.chunk"
-    with fs.open_output_stream(f"{inside}/{name}", compression=None) as out:
-        out.write(pack(chunk.doc, chunk.known.view(np.uint8), chunk.train.view(np.uint8), chunk.sizes, chunk.tokens))
-    return f"{folder}/{name}"
-
-
-def _load(path: str) -> Chunk:
-    fs, inside = pyarrow.fs.FileSystem.from_uri(path)
-    with fs.open_input_file(inside) as f:
-        return Chunk(*unpack(f.read()))
-
-
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.float64(), *[pa.int64()] * (LOW + 1)]
-    return pa.RecordBatch.from_pylist([{k: r.get(k) for k in _NAMES} for r in rows], schema=pa.schema(list(zip(_NAMES, types, strict=True))))
-
-
-def _ask_words(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Iterator[pa.RecordBatch]:
+def _ask_words(batches: Iterator[pa.RecordBatch], folder: str, buckets: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     """Step 1."""
     rows: list[tuple[int | None, bytes, bool]] = []
 
     def close() -> pa.RecordBatch:
         chunk, words = build_chunk(rows)
-        path, of = _save(folder, chunk), _range_of(words, buckets)
-        counts = np.bincount(chunk.tokens[chunk.of_train], minlength=len(words))
+        path, of = f"{folder}/{uuid.uuid4().hex}", range_of(words, buckets)
+        save(path, chunk.packed())
         cuts = np.searchsorted(of, np.arange(buckets + 1))
-        return _batch([{"chunk": path, "bucket": b, "kind": 0, "data": pack(words[lo:hi], counts[lo:hi])} for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo])
+        seen = chunk.orders[0].seen
+        return _rows([{"chunk": path, "bucket": b, "kind": ASK, "data": pack(words[lo:hi], seen[lo:hi])} for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo])
 
     held = 0
     for batch in batches:
         for key, text, train in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             rows.append((key, text, train))
             held += len(text) + 1
-            if held >= CHUNK_BYTES:
+            if held >= chunk_bytes:
                 yield close()
                 rows, held = [], 0
     if rows:
@@ -190,159 +213,280 @@ def _ask_words(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) ->
 def _answer_words(table: pa.Table, buckets: int) -> pa.Table:
     """Step 2."""
     bucket, asked = table["bucket"][0].as_py(), [unpack(x) for x in table["data"].to_pylist()]
-    words, place = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    words, place, often = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True, return_counts=True)
     total = np.bincount(place, np.concatenate([a[1] for a in asked]), len(words)).astype(np.int64)
     number = np.empty(len(words), np.int64)
     number[np.argsort(-total, kind="stable")] = np.arange(len(words)) * buckets + bucket + 1  # 0 is the begin mark
     rows, at = [], 0
     for chunk, a in zip(table["chunk"].to_pylist(), asked, strict=True):
         own = place[at : at + len(a[0])]
-        rows.append({"chunk": chunk, "bucket": bucket, "kind": 0, "data": pack(number[own], total[own])})
+        rows.append({"chunk": chunk, "bucket": bucket, "kind": ASK, "data": pack(number[own], total[own], (often[own] == 1).view(np.uint8))})
         at += len(a[0])
-    low = np.bincount(np.minimum(total, LOW + 2), minlength=LOW + 3)
-    texts = int(total[words == END].sum())
-    rows.append({"kind": 1, "bucket": bucket, "h": int(total.sum()), "s": float((total > 0).sum()), "data": str(texts).encode()} | {f"m{r}": int(low[r]) for r in range(1, LOW + 2)})
-    return pa.Table.from_batches([_batch(rows)])
-
-
-def _numbers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers and counts of a chunk's words, in the chunk's order, from step 2's answers."""
-    got = [unpack(d) for _, d in sorted(zip(table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True))]
-    return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+    rows.append({"kind": SUMS, "bucket": bucket, "x": [int(total.sum()), int((total > 0).sum()), int(total[words == END].sum()), *tally(total)]})
+    return _table(rows)
 
 
 @dataclass
-class Shape:
-    """What all chunks and partitions know: lowest-order model, number of training texts and of partitions."""
+class Model:
+    """What all chunks and buckets know: lowest order, number of training texts and of buckets, and for each higher order learned so far
+    its discounts and the sums of its hot histories, by their words' numbers."""
 
     unigrams: Unigrams
     texts: int
     buckets: int
-
-    def hot(self, count: np.ndarray) -> np.ndarray:
-        return count > max(1, self.unigrams.total // self.buckets)
-
-    def spread(self, h: np.ndarray, w: np.ndarray, count: np.ndarray) -> np.ndarray:
-        x = mixed(h.astype(np.uint64) + np.uint64(1))
-        return ((np.where(self.hot(count), mixed(x + w.astype(np.uint64)), x) >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int64)
-
-    def asked(self, chunk: Chunk, number: np.ndarray, count: np.ndarray) -> tuple:
-        """(history, word, place, order by bucket, cuts of the buckets) of a chunk's distinct bigrams."""
-        h, w, place = chunk.bigrams(len(count))
-        number, count = np.append(number, 0), np.append(count, self.texts)
-        to = self.spread(number[h], number[w], count[h])
-        order = np.argsort(to, kind="stable")
-        return h, w, place, order, np.searchsorted(to[order], np.arange(self.buckets + 1)), number, count
-
-
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of runs of equal values."""
-    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
-    return starts, np.diff(np.append(starts, len(x)))
+    d: list[np.ndarray] = field(default_factory=list)
+    hot: list[dict[str, list[int]]] = field(default_factory=list)
+
+    def is_hot(self, count: np.ndarray) -> np.ndarray:
+        return count > max(1, self.unigrams.total // min(4 * self.buckets, MOST_HOT))
+
+    def discounts_of(self, order: int) -> np.ndarray:
+        return self.unigrams.d if order == 1 else self.d[order - 2]
+
+
+class Reader:
+    """A chunk with what it has learned: for each order counts of its k-grams, which of them no other chunk holds, and of histories the
+    sums; all from the answers and from the chunk itself."""
+
+    def __init__(self, path: str, model: Model) -> None:
+        self.path, self.model = path, model
+        self.chunk = Chunk(*unpack(load(path)))
+        self.counts: list[np.ndarray] = []
+        self.private: list[np.ndarray] = []
+        self.lines: list[tuple[np.ndarray, np.ndarray]] = []
+        self.numbers = np.zeros(0, np.int64)
+        #: What to note of the last order's answers.
+        self.noted: list[np.ndarray] = []
+
+    def words(self, data: list[bytes]) -> None:
+        got = [unpack(d) for d in data]  # in the order of the buckets, which is that of the words
+        self.numbers, count, private = (np.concatenate([g[i] for g in got]) for i in range(3))
+        self.counts.append(count)
+        self.private.append(private.astype(bool))
+
+    def history_counts(self, order: int) -> np.ndarray:
+        """Training counts of all histories of an order, the begin marks last."""
+        return np.append(self.counts[order - 2], self.model.texts)
+
+    def names(self, order: int, histories: np.ndarray) -> list[np.ndarray]:
+        """The words' numbers of histories of an order, oldest first; 0 for begin marks."""
+        out, own = [], histories
+        for k in range(order - 1, 0, -1):
+            grams = self.chunk.orders[k - 1]
+            marks = own == len(grams.word)
+            safe = np.where(marks, 0, own)
+            out.append(np.where(marks, 0, self.numbers[grams.word[safe]]))
+            own = np.where(marks, len(self.chunk.orders[k - 2].word) if k > 1 else 0, grams.history[safe])
+        return out[::-1]
+
+    def asks(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(order by bucket of the k-grams that other chunks may know about, cuts of the buckets)."""
+        grams, count = self.chunk.orders[order - 1], self.history_counts(order)
+        private = np.append(self.private[order - 2], False)
+        open_ = np.flatnonzero((count[grams.history] > 0) & ~private[grams.history])
+        x = np.zeros(len(count), np.uint64)
+        for c in self.names(order, np.arange(len(count))):
+            x = mixed(x + c.astype(np.uint64) + np.uint64(1))
+        x = np.where(self.model.is_hot(count)[grams.history[open_]], mixed(x[grams.history[open_]] + self.numbers[grams.word[open_]].astype(np.uint64)), x[grams.history[open_]])
+        to = ((x >> np.uint64(33)) % np.uint64(self.model.buckets)).astype(np.int64)
+        turn = np.argsort(to, kind="stable")
+        return open_[turn], np.searchsorted(to[turn], np.arange(self.model.buckets + 1))
+
+    def own_sums(self, order: int, counts: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """Sums of histories by what the chunk itself holds of the k-grams `among`."""
+        grams = self.chunk.orders[order - 1]
+        return history_sums(grams.history[among], counts[among], self.counts[order - 2][grams.lower[among]], len(self.history_counts(order)))
+
+    def learn(self, order: int, answers: dict[int, bytes], known: list[np.ndarray] | None = None) -> None:
+        """Take in an order's answers by bucket, or what was noted of them."""
+        grams = self.chunk.grow()
+        count, private = self.history_counts(order), np.append(self.private[order - 2], False)
+        alone = private[grams.history] & (count[grams.history] > 0)
+        if known is None:
+            own, cuts = self.asks(order)
+            c, only = np.zeros(len(grams.word), np.int64), private[grams.history].copy()
+            c[alone] = grams.seen[alone]
+            sums = self.own_sums(order, c, np.flatnonzero(alone))
+            hot = self.model.is_hot(count)
+            for b, data in answers.items():
+                mine = own[cuts[b] : cuts[b + 1]]
+                got, bits, *rest = unpack(data)
+                c[mine], only[mine] = got, np.unpackbits(bits, count=len(mine)).astype(bool)
+                starts, _ = _runs(grams.history[mine])
+                sums[grams.history[mine[starts]]] = np.stack(rest, 1)
+            for h in np.flatnonzero(hot & ~private):
+                sums[h] = self.model.hot[order - 2].get(",".join(str(int(n[0])) for n in self.names(order, np.array([h]))), [0] * (2 * LOW + 1))
+            known = [c, np.packbits(only), *sums.T]
+        self.noted = known
+        c, bits, *sums = known
+        self.counts.append(c)
+        self.private.append(np.unpackbits(bits, count=len(c)).astype(bool))
+        sums = np.stack(sums, 1)
+        line, left = line_of(count, sums[:, :LOW], self.model.discounts_of(order))
+        d = self.model.discounts_of(order - 1)
+        mass = (sums[:, LOW : 2 * LOW] * np.arange(1, LOW + 1) * d[1:]).sum(1) + sums[:, 2 * LOW]
+        if order == 2:
+            below = np.full(len(count), self.model.unigrams.line)
+        else:
+            lower = self.chunk.orders[order - 2].lower  # of histories as k-grams of the order below
+            below = self.lines[-1][0][np.append(lower, len(self.lines[-1][0]) - 1)]
+        self.lines.append((line, np.where(count > 0, left / np.maximum(1 - mass / below, 1e-300), 1.0)))
+
+    def probabilities(self) -> np.ndarray:
+        """Of each k-gram of the last order."""
+        p = self.model.unigrams.p(self.counts[0])
+        for k, (line, alpha) in enumerate(self.lines, 2):
+            grams, c = self.chunk.orders[k - 1], self.counts[k - 1]
+            p = np.where(c > 0, discounted(c, self.model.discounts_of(k)) / line[grams.history], alpha[grams.history] * p[grams.lower])
+        return p
+
+
+def history_sums(history: np.ndarray, count: np.ndarray, below: np.ndarray, histories: int) -> np.ndarray:
+    """A row for each history: how many of its seen words have count 1 to LOW, how many have each such count on the order below, and the
+    sum of higher counts there."""
+    seen = count > 0
+    history, count, below = history[seen], count[seen], below[seen]
+    out = np.zeros((histories, 2 * LOW + 1), np.int64)
+    for at, c in ((0, count), (LOW, below)):
+        low = c <= LOW
+        np.add.at(out.reshape(-1), history[low] * (2 * LOW + 1) + at + c[low] - 1, 1)
+    np.add.at(out[:, 2 * LOW], history[below > LOW], below[below > LOW])
+    return out
 
 
-def _ask_bigrams(table: pa.Table, shape: Shape) -> pa.Table:
-    """Step 3."""
+def _reader(table: pa.Table, model: Model, order: int) -> Reader:
+    """The chunk of a group of rows of order `order`'s answers, with all orders up to it learned."""
     path = table["chunk"][0].as_py()
-    chunk = _load(path)
-    h, w, place, order, cuts, number, count = shape.asked(chunk, *_numbers(table))
-    seen = np.bincount(place[chunk.of_train], minlength=len(h))
-    rows = []
-    for b in range(shape.buckets):
-        own = order[cuts[b] : cuts[b + 1]]
-        if len(own):
-            starts, lengths = _runs(h[own])
-            first = h[own[starts]]
-            rows.append({"chunk": path, "bucket": b, "kind": 2, "data": pack(number[first], count[first], lengths, number[w[own]], count[w[own]], seen[own])})
-    return pa.Table.from_batches([_batch(rows)])
-
-
-def _answer_bigrams(table: pa.Table, shape: Shape) -> pa.Table:
-    """Step 4, a partition."""
-    bucket, asked = table["bucket"][0].as_py(), [unpack(x) for x in table["data"].to_pylist()]
-    if max(int(a[i].max()) for a in asked for i in (0, 3)) >= 1 << 32:
-        raise ValueError("over 2^32 distinct words")
-    history = np.concatenate([np.repeat(a[0], a[2]) for a in asked])
-    key, place = np.unique((history << 32 | np.concatenate([a[3] for a in asked])).view(np.uint64), return_inverse=True)
-    total = np.bincount(place, np.concatenate([a[5] for a in asked]), len(key)).astype(np.int64)
-    below = np.empty(len(key), np.int64)
-    below[place] = np.concatenate([a[4] for a in asked])
-    counts = np.empty(len(key), np.int64)
-    counts[place] = np.concatenate([np.repeat(a[1], a[2]) for a in asked])
-    starts, _ = _runs(key >> np.uint64(32))
-    mass = np.add.reduceat(np.where(total > 0, shape.unigrams.p(below), 0.0), starts)
-    low = np.stack([np.add.reduceat((total == r).astype(np.int64), starts) for r in range(1, LOW + 1)], 1)
-    run_of = np.searchsorted(starts, np.arange(len(key)), "right") - 1
-    rows, at = [], 0
-    for chunk, a in zip(table["chunk"].to_pylist(), asked, strict=True):
-        own = place[at : at + len(a[3])]
-        at += len(a[3])
-        mine = run_of[own[np.cumsum(a[2]) - a[2]]]
-        rows.append({"chunk": chunk, "bucket": bucket, "kind": 2, "data": pack(total[own], mass[mine], *low[mine].T)})
-    names = (key[starts] >> np.uint64(32)).astype(np.int64)
-    for i in np.flatnonzero(shape.hot(counts[starts])):
-        rows.append({"kind": 3, "bucket": bucket, "h": int(names[i]), "s": float(mass[i])} | {f"m{r}": int(low[i, r - 1]) for r in range(1, LOW + 1)})
-    n = np.bincount(np.minimum(total, LOW + 2), minlength=LOW + 3)
-    rows.append({"kind": 4, "bucket": bucket} | {f"m{r}": int(n[r]) for r in range(1, LOW + 2)})
-    return pa.Table.from_batches([_batch(rows)])
-
-
-@dataclass
-class Bigrams:
-    """Discounts, and the sums of hot histories: number -> (counts of continuations by count, mass)."""
-
-    d: np.ndarray
-    hot: dict[int, tuple[list[int], float]]
-
-
-def _score(table: pa.Table, shape: Shape, model: Bigrams) -> pa.Table:
-    chunk = _load(table["chunk"][0].as_py())
-    kind = np.array(table["kind"].to_pylist())
-    number, count = _numbers(table.filter(pa.array(kind == 0)))
-    h, w, place, order, cuts, number, count = shape.asked(chunk, number, count)
-    c, line, alpha = np.zeros(len(h), np.int64), np.ones(len(h)), np.ones(len(h))
-    answers = table.filter(pa.array(kind == 2))
-    for b, data in zip(answers["bucket"].to_pylist(), answers["data"].to_pylist(), strict=True):
-        own = order[cuts[b] : cuts[b + 1]]
-        got, mass, *low = unpack(data)
-        low = np.stack(low, 1)
-        starts, lengths = _runs(h[own])
-        first = h[own[starts]]
-        mass = mass.copy()
-        for i in np.flatnonzero(shape.hot(count[first])):
-            low[i], mass[i] = model.hot[int(number[first[i]])]
-        below, weight = backoff(count[first], low, mass, model.d)
-        c[own], line[own], alpha[own] = got, np.repeat(below, lengths), np.repeat(weight, lengths)
-    lower = shape.unigrams.p(count[w])
-    p = np.where(c > 0, model.d[np.minimum(c, LOW)] ** (c <= LOW) * c / line, alpha * lower)
-    of = np.cumsum(chunk.sizes) - chunk.sizes
-    known = count[chunk.tokens]
-    base = np.log10((known + 1) / (shape.unigrams.total + shape.unigrams.types + 1))
-    ids = pa.array(chunk.doc, mask=~chunk.known)
-    add = lambda x: np.add.reduceat(x, of)
-    return pa.table({"id": ids, "held_out": ~chunk.train, "n_tokens": chunk.sizes.astype(np.int64), "n_known": add((known > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p)[place])})
-
-
-def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each whole text; the model learns
-    from the rows where train holds."""
+    reader = Reader(path, model)
+    got = dict(sorted(zip(table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True)))
+    if order == 1:
+        reader.words(list(got.values()))
+        return reader
+    noted = unpack(load(f"{path}.1"))
+    reader.numbers = noted[0]
+    reader.counts.append(noted[1])
+    reader.private.append(noted[2].astype(bool))
+    for k in range(2, order):
+        reader.learn(k, {}, unpack(load(f"{path}.{k}")))
+    reader.learn(order, {b: d for b, d in got.items() if b >= 0 and d is not None})
+    return reader
+
+
+def _ask(table: pa.Table, model: Model, order: int) -> pa.Table:
+    """Step 3: note the answers of the order below and ask for k-grams. A chunk's own sums go to some bucket, which gives it a row without
+    data back: so a chunk that has nothing to ask isn't lost."""
+    reader = _reader(table, model, order - 1)
+    path = reader.path
+    if order == 2:
+        save(f"{path}.1", pack(reader.numbers, reader.counts[0], reader.private[0].view(np.uint8)))
+    else:
+        save(f"{path}.{order - 1}", pack(*reader.noted))
+    grams = reader.chunk.grow()
+    own, cuts = reader.asks(order)
+    count = reader.history_counts(order)
+    private = np.append(reader.private[order - 2], False)[grams.history] & (count[grams.history] > 0)
+    rows = [{"chunk": path, "bucket": zlib.crc32(path.encode()) % model.buckets, "kind": OWN, "x": tally(grams.seen[private])}]
+    lower = reader.counts[order - 2][grams.lower]
+    for b in range(model.buckets):
+        mine = own[cuts[b] : cuts[b + 1]]
+        if len(mine):
+            starts, lengths = _runs(grams.history[mine])
+            first = grams.history[mine[starts]]
+            rows.append({"chunk": path, "bucket": b, "kind": ASK, "data": pack(*reader.names(order, first), count[first], lengths, reader.numbers[grams.word[mine]], lower[mine], grams.seen[mine])})
+    return _table(rows)
+
+
+def _answer(table: pa.Table, model: Model, order: int) -> pa.Table:
+    """Step 4, a bucket."""
+    bucket, kind = table["bucket"][0].as_py(), table["kind"].to_pylist()
+    sums, rows = np.zeros(LOW + 1, np.int64), []
+    for chunk, x, k in zip(table["chunk"].to_pylist(), table["x"].to_pylist(), kind, strict=True):
+        if k == OWN:
+            sums += np.array(x)
+            rows.append({"chunk": chunk, "bucket": -1, "kind": ASK})
+    table = table.filter(pa.array([k == ASK for k in kind]))
+    asked = [unpack(x) for x in table["data"].to_pylist()]
+    n = order - 1
+    if asked:
+        names = [np.concatenate([a[i] for a in asked]) for i in range(n)]
+        each = unique_rows(names)
+        history = np.concatenate([np.repeat(each[lo:hi], a[n + 1]) for a, lo, hi in _spans(asked, n)])
+        word = np.concatenate([a[n + 2] for a in asked])
+        if word.max() >= 1 << 32:
+            word = np.unique(word, return_inverse=True)[1]
+        _, first, place, often = np.unique(history << 32 | word, return_index=True, return_inverse=True, return_counts=True)
+        total = np.bincount(place, np.concatenate([a[n + 4] for a in asked]), len(often)).astype(np.int64)
+        below = np.concatenate([a[n + 3] for a in asked])[first]
+        found = history_sums(history[first], total, below, int(each.max()) + 1)
+        at = 0
+        for chunk, (a, lo, hi) in zip(table["chunk"].to_pylist(), _spans(asked, n), strict=True):
+            own = place[at : at + len(a[n + 2])]
+            at += len(own)
+            rows.append({"chunk": chunk, "bucket": bucket, "kind": ASK, "data": pack(total[own], np.packbits(often[own] == 1), *found[each[lo:hi]].T)})
+        counts = np.concatenate([a[n] for a in asked])
+        _, one = np.unique(each, return_index=True)
+        for i in one[model.is_hot(counts[one])]:
+            rows.append({"kind": HOT, "bucket": bucket, "h": ",".join(str(int(c[i])) for c in names), "x": [int(v) for v in found[each[i]]]})
+        sums += np.array(tally(total))
+    rows.append({"kind": SUMS, "bucket": bucket, "x": [int(v) for v in sums]})
+    return _table(rows)
+
+
+def _spans(asked: list[list[np.ndarray]], n: int) -> Iterator[tuple[list[np.ndarray], int, int]]:
+    """Each question with the range of its histories among all."""
+    at = 0
+    for a in asked:
+        yield a, at, at + len(a[n])
+        at += len(a[n])
+
+
+def _score(table: pa.Table, model: Model, order: int) -> pa.Table:
+    """Step 5."""
+    reader = _reader(table, model, order)
+    chunk, grams = reader.chunk, reader.chunk.orders[-1]
+    known = reader.counts[0][chunk.tokens]
+    base = np.log10((known + 1) / (model.unigrams.total + model.unigrams.types + 1))
+    add = lambda x: np.add.reduceat(x, chunk.firsts)
+    score = add(np.log10(reader.probabilities())[grams.place])
+    return pa.table({"id": pa.array(chunk.doc, mask=~chunk.known), "held_out": ~chunk.train, "n_tokens": chunk.sizes.astype(np.int64), "n_known": add((known > 0).astype(np.int64)), "base_score": add(base), "score": score})
+
+
+def _totals(answers: DataFrame, n: int) -> list[int]:
+    """Sums of the buckets' sums."""
+    got = answers.where(F.col("kind") == SUMS).agg(*(F.sum(F.get("x", F.lit(i))) for i in range(n))).first()
+    return [int(x or 0) for x in got]
+
+
+def _next_order(answers: DataFrame, model: Model, order: int) -> DataFrame:
+    questions = answers.groupBy("chunk").applyInArrow(lambda t: _ask(t, model, order), _ROW)
+    return questions.groupBy("bucket").applyInArrow(lambda t: _answer(t, model, order), _ROW)
+
+
+def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each whole text; the model learns from the rows where train
+    holds. order: words of the longest n-grams, 2 or more. The result is a written table; all else that was written is deleted."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = df.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunk_bytes, buckets = _chunks.plan_sizes(df, text)
     folder = scratch_path(spark, "chunks")
+    _chunks.shared_fs(folder)
     rows = df.select(df[key].cast("long").alias("k"), F.coalesce(df[text].cast("binary"), F.lit(b"")).alias("t"), F.coalesce(train, F.lit(True)).alias("l"))
-    asked = materialise(rows.mapInArrow(lambda b: _ask_words(b, folder, buckets), _ANSWER), "ask-words")
-    words = materialise(asked.groupBy("bucket").applyInArrow(lambda t: _answer_words(t, buckets), _ANSWER), "words")
-    drop_path(spark, asked.inputFiles()[0].rpartition("/")[0]) if asked.inputFiles() else None
-    lows = [f"m{r}" for r in range(1, LOW + 2)]
-    sums = words.where("kind = 1").agg(F.sum("h"), F.sum("s"), F.sum(F.col("data").cast("string").cast("long")), *(F.sum(m) for m in lows)).first()
-    total, types, texts, *low = (int(x or 0) for x in sums)
-    shape = Shape(Unigrams.of(total, types, [0, *low]), texts, buckets)
-    numbers = words.where("kind = 0")
-    bigrams = numbers.groupBy("chunk").applyInArrow(lambda t: _ask_bigrams(t, shape), _ANSWER)
-    counted = materialise(bigrams.groupBy("bucket").applyInArrow(lambda t: _answer_bigrams(t, shape), _ANSWER), "bigrams")
-    n = [int(x or 0) for x in counted.where("kind = 4").agg(*(F.sum(m) for m in lows)).first()]
-    hot = counted.where("kind = 3").groupBy("h").agg(F.sum("s").alias("s"), *(F.sum(m).alias(m) for m in lows[:LOW])).collect()  # at most one for each bucket
-    model = Bigrams(discounts([0, *n]), {r.h: ([r[m] for m in lows[:LOW]], r.s) for r in hot})
-    answers = numbers.unionByName(counted.where("kind = 2"))
-    out = answers.groupBy("chunk").applyInArrow(lambda t: _score(t, shape, model), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    asked = materialise(rows.mapInArrow(lambda b: released(_ask_words(b, folder, buckets, chunk_bytes)), _ROW), "ask-words")
+    answers = materialise(asked.groupBy("bucket").applyInArrow(lambda t: _answer_words(t, buckets), _ROW), "words")
+    drop_tables(asked)
+    total, types, texts, *n = _totals(answers, LOW + 4)
+    model = Model(Unigrams.of(total, types, [0, *n]), texts, buckets)
+    own = F.col("kind") == ASK
+    for k in range(2, order + 1):
+        found = materialise(_next_order(answers.where(own), model, k), f"answers-{k}")
+        drop_tables(answers)
+        answers = found
+        hot = answers.where(F.col("kind") == HOT).groupBy("h").agg(*(F.sum(F.get("x", F.lit(i))).alias(f"x{i}") for i in range(2 * LOW + 1))).collect()  # fewer than MOST_HOT
+        sums = {r.h: [int(r[f"x{i}"]) for i in range(2 * LOW + 1)] for r in hot}
+        model = Model(model.unigrams, texts, buckets, [*model.d, discounts([0, *_totals(answers, LOW + 1)])], [*model.hot, sums])
+    out = answers.where(own).groupBy("chunk").applyInArrow(lambda t: _score(t, model, order), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = materialise(out, "scores")
+    drop_tables(answers)
+    drop_path(spark, folder)
     return out.select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -8,11 +8,12 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandloom.llm import flow_sharding, katz_lm, queries, raking_mix, warc
+from strandloom.llm import _chunks, flow_sharding, katz_lm, queries, raking_mix, warc
 from strandloom.session import scratch_path
 from tests.llm.conftest import edge_rows, prose
 
@@ -114,69 +115,74 @@ def test_untouched_shards_stay(spark):
     assert flow_sharding.rewrite(planned, scratch_path(spark, "shards")).count() == 40
 
 
-def katz(docs: dict, train: set):
-    """The model by its definition."""
+def katz(docs: dict, train: set, order: int):
+    """The model by its definition: (texts, word counts, their sum, unknown word's probability, p(history, word), continuations)."""
     low = katz_lm.LOW
     tok = lambda x: re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x or "")) + [None]
     texts = {k: tok(t) for k, t in docs.items()}
-    uni, bi, hist = collections.Counter(), collections.Counter(), collections.Counter()
+    uni, after = collections.Counter(), collections.defaultdict(collections.Counter)
     for k in train:
-        before = "<b>"
-        for w in texts[k]:
-            uni[w] += 1
-            bi[before, w] += 1
-            hist[before] += 1
-            before = w
-    n = lambda c: [0, *(sum(1 for v in c.values() if v == r) for r in range(1, low + 2))]
-    total, du, db = sum(uni.values()), katz_lm.discounts(n(uni)), katz_lm.discounts(n(bi))
+        line = ["<b>"] * (order - 1) + texts[k]
+        for i in range(order - 1, len(line)):
+            uni[line[i]] += 1
+            for n in range(1, order):
+                after[tuple(line[i - n : i])][line[i]] += 1
+    counts = lambda values: [0, *(sum(1 for v in values if v == r) for r in range(1, low + 2))]
+    total, du = sum(uni.values()), katz_lm.discounts(counts(uni.values()))
+    by = {n: katz_lm.discounts(counts([v for h, c in after.items() if len(h) == n for v in c.values()])) for n in range(1, order)}
     d = lambda t, c: t[c] if c <= low else 1.0
     unknown = sum((1 - d(du, c)) * c for c in uni.values()) / total if total else 1.0
     plus = 0
     if total and unknown <= 0:
         du, plus, unknown = [1.0] * (low + 1), 1, 1 / (total + 1)
-    p1 = lambda w: d(du, uni[w]) * uni[w] / (total + plus) if uni[w] else unknown
-    after = collections.defaultdict(dict)
-    for (h, w), c in bi.items():
-        after[h][w] = c
 
-    def p2(h, w):
+    def p(h, w):
+        if not h:
+            return d(du, uni[w]) * uni[w] / (total + plus) if uni[w] else unknown
         if h not in after:
-            return p1(w)
-        freed = sum((1 - d(db, c)) * c for c in after[h].values())
-        line = hist[h] if freed > 0 else hist[h] + 1
-        if w in after[h]:
-            return d(db, after[h][w]) * after[h][w] / line
-        return (freed if freed > 0 else 1) / line / (1 - sum(p1(x) for x in after[h])) * p1(w)
+            return p(h[1:], w)
+        own, db = after[h], by[len(h)]
+        freed = sum((1 - d(db, c)) * c for c in own.values())
+        line = sum(own.values()) + (freed <= 0)
+        if w in own:
+            return d(db, own[w]) * own[w] / line
+        return (freed if freed > 0 else 1) / line / (1 - sum(p(h[1:], x) for x in own)) * p(h[1:], w)
 
-    return texts, uni, total, unknown, p1, p2, after
+    return texts, uni, total, unknown, p, after
 
 
-@pytest.mark.parametrize("chunk", [16 << 20, 300])
-def test_language_model(spark, monkeypatch, chunk):
-    monkeypatch.setattr(katz_lm, "CHUNK_BYTES", chunk)
+@pytest.mark.parametrize(("chunk", "order"), [(16 << 20, 2), (300, 2), (16 << 20, 3), (300, 3), (700, 4)])
+def test_language_model(spark, monkeypatch, chunk, order):
+    monkeypatch.setattr(_chunks, "CHUNK_BYTES", chunk)
     r = random.Random(3)
     words = ["The", "of", "and", "A", "é", "|", *(f"w{i}" for i in range(60))]
     docs = {i: " ".join(r.choices(words, [60, 30, 20, 10, 5, 5, *([1] * 60)], k=r.randint(0, 80))) for i in range(120)}
-    docs |= {200: None, 201: "", 202: " \t\n", 203: "unseen words only", 204: "the the the the"}
+    docs |= {200: None, 201: "", 202: " \t\n", 203: "unseen words only", 204: "the the the the", 205: "the of the of " * 100}
     train = {k for k in docs if k % 4}
     df = spark.createDataFrame([(k, t, "x") for k, t in docs.items()], "doc_id long, text string, h string").repartition(3)
-    got = {x.doc_id: x for x in katz_lm.score(df, F.col("doc_id") % 4 != 0).collect()}
-    texts, uni, total, unknown, p1, p2, after = katz(docs, train)
-    assert sum(map(p1, uni)) + unknown == pytest.approx(1)
-    for h in ["the", "of", "w3", "<b>"]:
-        seen = set(uni) | {"<unseen>"}
-        assert sum(p2(h, w) for w in seen) == pytest.approx(1)
+    got = {x.doc_id: x for x in katz_lm.score(df, F.col("doc_id") % 4 != 0, order=order).collect()}
+    texts, uni, total, unknown, p, after = katz(docs, train, order)
+    assert sum(p((), w) for w in uni) + unknown == pytest.approx(1)
+    for h in [*sorted(after)[:3], *(("<b>",) * n for n in range(1, order)), ("the",) * (order - 1)]:
+        assert sum(p(h, w) for w in set(uni) | {"<unseen>"}) == pytest.approx(1)
     assert len(got) == len(docs)
     for k, x in texts.items():
-        before, s = "<b>", 0.0
-        for w in x:
-            s += math.log10(p2(before, w))
-            before = w
+        line = ["<b>"] * (order - 1) + x
+        s = sum(math.log10(p(tuple(line[i - order + 1 : i]), line[i])) for i in range(order - 1, len(line)))
         base = sum(math.log10((uni[w] + 1) / (total + len(uni) + 1)) for w in x)
         assert got[k].score == pytest.approx(s) and got[k].base_score == pytest.approx(base)
         assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens, got[k].held_out) == (len(x), sum(uni[w] > 0 for w in x), total, k not in train)
 
 
+def test_unique_rows_when_hashes_meet(monkeypatch):
+    rows = [np.array([3, 1, 3, 2, 1]), np.array([1 << 40, 5, 1 << 40, 5, 6])]
+    want = [0, 1, 0, 2, 3]
+    for hashed in (katz_lm.mixed, lambda x: np.zeros(len(x), np.uint64)):
+        monkeypatch.setattr(katz_lm, "mixed", hashed)
+        got = katz_lm.unique_rows(rows).tolist()
+        assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(5) for j in range(5))
+
+
 def test_language_model_edges(edge, clashing, empty):
     for df in (edge, clashing):
         rows = katz_lm.score(df, F.lit(True)).collect()
