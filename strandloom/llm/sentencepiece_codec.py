@@ -1,35 +1,49 @@
-"""SentencePiece encoding and decoding through a table of distinct chunks.
+"""SentencePiece encoding and decoding through a partitioned table of distinct marked words.
 
-If no piece of a model continues after a non-marker character into a whitespace marker, no merge crosses the
-start of a marked word, so a text's segmentation is that of its marked words, one after another. A task keeps
-a table of the distinct marked words it has met; each is segmented and decoded once, and a text's ids
-are the table's entries joined by position. There is no shuffle, and a retried task needs only its input.
+If no piece of a model continues after a non-marker character into a whitespace marker, no merge crosses the start of a marked
+word, so a text's segmentation is that of its marked words, one after another.
+  1. A task cuts its texts into chunks of bounded size, writes each chunk's distinct marked words and their positions as a file in
+     the shared folder, and asks a table, partitioned by a hash of the word, for the words.
+  2. A bucket of the table segments and decodes each of its distinct words once, whatever the number of chunks that hold it,
+     and answers each chunk with ids; text goes back only where decoding changes the word.
+  3. A chunk joins the ids back to its texts by position.
+Text moves once for each distinct word of a chunk. The files are deleted when the result is written.
 
 Defined results: a null text counts as empty; an empty text has no ids; a literal marker character in a text
-acts as a space, as in the library; other columns of the input play no part.
+acts as a space, as in the library; rows that repeat an id are encoded each; a null id is kept; an empty table gives no rows; other
+columns of the input play no part. A model whose pieces may cross markers is served in the same way with whole texts as words.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from strandloom.llm import _chunks
+from strandloom.llm._chunks import load, pack, save, unpack
 from strandloom.llm._rows import released, small_batches
+from strandloom.session import drop_path, drop_tables, materialise, scratch_path
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: A task's table is emptied when it holds this many entries or characters, so its memory is bounded.
-TABLE_ENTRIES, TABLE_CHARS = 150_000, 8_000_000
+#: Words that the library segments in one call.
+_CALL = 20_000
+_ROW = "chunk string, bucket int, data binary"
+_SCHEMA = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("data", pa.binary())])
 
-_TABLES: dict[str, ChunkTable] = {}
+_CODECS: dict[str, Codec] = {}
 
 
-class ChunkTable:
-    """Distinct marked words of one model, each with (ids joined by commas, decoded text)."""
+class Codec:
+    """A model in a worker."""
 
     def __init__(self, model: bytes) -> None:
         import sentencepiece
@@ -37,11 +51,11 @@ class ChunkTable:
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.separable = separable(self.sp)
         self.mark_id = self.sp.piece_to_id(MARK)
-        self.rows: dict[str, tuple[str, str]] = {}
-        self.chars = 0
 
-    def keys(self, text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
         """The text's marked words without their first marker, in order; spaces and markers are alike."""
+        if not self.separable:
+            return [text] * bool(text)
         marked = text.replace(" ", MARK)
         if not marked:
             return []
@@ -49,40 +63,14 @@ class ChunkTable:
             return marked.split(MARK)
         return [c[1:] for c in _CHUNK.findall(MARK + marked)]
 
-    def empty(self) -> None:
-        self.rows, self.chars = {}, 0
-
-    def fill(self, keys: set[str]) -> None:
-        """Segment and decode those keys that the table lacks, each once."""
-        if len(self.rows) > TABLE_ENTRIES or self.chars > TABLE_CHARS:
-            self.empty()
-        new = [k for k in keys if k not in self.rows]
-        if not new:
-            return
-        ids = self.sp.encode(new, num_threads=1)
-        if "" in keys and "" not in self.rows:
-            ids[new.index("")] = [self.mark_id]  # a marker alone; the library encodes the empty text as nothing
-        for key, own, text in zip(new, ids, self.sp.decode(ids), strict=True):
-            self.rows[key] = (",".join(map(str, own)), text)
-            self.chars += len(key)
-
-    def encode_texts(self, texts: list[str]) -> Iterator[list[tuple[str, str]]]:
-        """For each text the table's entries by position. Texts are taken in runs of bounded size."""
-        at = 0
-        while at < len(texts):
-            run, size = [], 0
-            while at < len(texts) and (not run or size < 4_000_000):
-                run.append(self.keys(texts[at]) if self.separable else [texts[at]] * bool(texts[at]))
-                size += len(texts[at])
-                at += 1
-            self.fill(set().union(*run))
-            get = self.rows.__getitem__
-            for keys in run:
-                yield list(map(get, keys))
-
-
-def ids_of(entries: list[tuple[str, str]]) -> list[int]:
-    return [int(i) for e in entries for i in e[0].split(",")]
+    def segment(self, words: list[str]) -> Iterator[tuple[list[int], str]]:
+        """(ids, decoded text) of each of some distinct words."""
+        for lo in range(0, len(words), _CALL):
+            own = words[lo : lo + _CALL]
+            ids = self.sp.encode(own, num_threads=1)
+            if "" in own:
+                ids[own.index("")] = [self.mark_id]  # a marker alone; the library encodes the empty text as nothing
+            yield from zip(ids, self.sp.decode(ids), strict=True)
 
 
 def separable(sp) -> bool:
@@ -98,13 +86,12 @@ def separable(sp) -> bool:
     return bool(plain and before) and not any(p.type == 4 or re.search(f"[^{MARK}]{MARK}", p.piece) for p in proto.pieces)
 
 
-def _table(model: bytes) -> ChunkTable:
-    """The worker's table for this model; it is empty between tasks, as the worker goes on to other operators."""
+def _codec(model: bytes) -> Codec:
     key = hashlib.sha256(model).hexdigest()
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = ChunkTable(model)
-    return _TABLES[key]
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(model)
+    return _CODECS[key]
 
 
 def read_model(path: str) -> bytes:
@@ -113,31 +100,141 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def _map(df: DataFrame, key: str, text: str, out: pa.Schema, ddl: str, model: bytes, row) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model)
-        for batch in batches:
-            ids = batch.column(0)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            cols = list(zip(*(row(table, e) for e in table.encode_texts(texts)), strict=True)) or [[] for _ in out.names[1:]]
-            yield pa.RecordBatch.from_arrays([ids.cast(out.field(0).type), *(pa.array(c, type=f.type) for c, f in zip(cols, list(out)[1:], strict=True))], schema=out)
-        table.empty()
-
-    small_batches(df.sparkSession)
-    return df.select(df[key], df[text]).mapInArrow(lambda batches: released(run(batches)), ddl)
+def _texts_out(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and bytes of strings."""
+    raw = [w.encode() for w in words]
+    return np.array([len(w) for w in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8)
+
+
+def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of stretches that follow each other."""
+    ends = np.cumsum(sizes)
+    return zip((ends - sizes).tolist(), ends.tolist(), strict=True)
+
+
+def _texts_in(sizes: np.ndarray, data: np.ndarray) -> list[str]:
+    raw = data.tobytes()
+    return [raw[lo:hi].decode() for lo, hi in _spans(sizes)]
+
+
+class _Builder:
+    """The texts of one chunk as numbers of their distinct words."""
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec, self.number, self.docs, self.places, self.held = codec, {}, [], [], 0
+
+    def add(self, key: int | None, text: str) -> None:
+        number = self.number
+        self.places.append(np.array([number.setdefault(w, len(number)) for w in self.codec.words(text)], np.int64))
+        self.docs.append(key)
+        self.held += len(text) + 1
+
+    def close(self, folder: str, buckets: int) -> list[dict]:
+        """Write the chunk, its words in the order of their buckets; its questions."""
+        path, words = f"{folder}/{uuid.uuid4().hex}", list(self.number)
+        to = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int64)
+        turn = np.argsort(to, kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[turn] = np.arange(len(words))
+        words = [words[i] for i in turn]
+        sizes, data = _texts_out(words)
+        ids = np.array([0 if k is None else k for k in self.docs], np.int64)
+        place = rank[np.concatenate([*self.places, np.zeros(0, np.int64)])]
+        save(path, pack(ids, np.array([k is not None for k in self.docs], np.uint8), np.array([len(p) for p in self.places], np.int64), place, sizes, data))
+        cuts, at = np.searchsorted(to[turn], np.arange(buckets + 1)), np.append(0, np.cumsum(sizes))
+        # a row without words in some bucket: a chunk that has nothing to ask gets an answer too
+        rows = [{"chunk": path, "bucket": zlib.crc32(path.encode()) % buckets, "data": None}]
+        return rows + [{"chunk": path, "bucket": b, "data": pack(sizes[lo:hi], data[at[lo] : at[hi]])} for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+
+
+def _ask(batches: Iterator[pa.RecordBatch], model: bytes, folder: str, buckets: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Step 1."""
+    codec = _codec(model)
+    chunk = _Builder(codec)
+    for batch in batches:
+        for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            chunk.add(key, text or "")
+            if chunk.held >= chunk_bytes:
+                yield pa.RecordBatch.from_pylist(chunk.close(folder, buckets), schema=_SCHEMA)
+                chunk = _Builder(codec)
+    if chunk.docs:
+        yield pa.RecordBatch.from_pylist(chunk.close(folder, buckets), schema=_SCHEMA)
+
+
+def _answer(table: pa.Table, model: bytes) -> pa.Table:
+    """Step 2."""
+    codec, bucket = _codec(model), table["bucket"][0].as_py()
+    number: dict[str, int] = {}
+    asked = []
+    for data in table["data"].to_pylist():
+        asked.append(None if data is None else np.array([number.setdefault(w, len(number)) for w in _texts_in(*unpack(data))], np.int64))
+    words, sizes, flat, odd = list(number), np.empty(len(number), np.int64), [], {}
+    for i, (ids, text) in enumerate(codec.segment(words)):
+        sizes[i] = len(ids)
+        flat.extend(ids)
+        if text != words[i]:
+            odd[i] = text
+    flat, ends = np.array(flat, np.int64), np.cumsum(sizes)
+    changed = np.zeros(len(words), bool)
+    changed[list(odd)] = True
+    rows = []
+    for chunk, own in zip(table["chunk"].to_pylist(), asked, strict=True):
+        if own is None:
+            rows.append({"chunk": chunk, "bucket": -1, "data": None})
+            continue
+        n = sizes[own]
+        at = np.repeat(ends[own] - n - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        other = np.flatnonzero(changed[own])
+        rows.append({"chunk": chunk, "bucket": bucket, "data": pack(n, flat[at], other, *_texts_out([odd[i] for i in own[other].tolist()]))})
+    return pa.Table.from_pylist(rows, schema=_SCHEMA)
+
+
+def _join(table: pa.Table, schema: pa.Schema, row: Callable) -> pa.Table:
+    """Step 3: row(ids as text of each word, decoded text of each word, the text's places) of every text."""
+    docs, known, sizes, place, w_sizes, w_data = unpack(load(table["chunk"][0].as_py()))
+    csv, decoded = [], _texts_in(w_sizes, w_data)
+    for _, data in sorted((b, d) for b, d in zip(table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True) if d is not None):
+        n, flat, other, o_sizes, o_data = unpack(data)
+        for i, text in zip(other.tolist(), _texts_in(o_sizes, o_data), strict=True):
+            decoded[len(csv) + i] = text
+        said = list(map(str, flat.tolist()))
+        csv += [said[lo] if hi == lo + 1 else ",".join(said[lo:hi]) for lo, hi in _spans(n)]
+    place = place.tolist()
+    got = [row(csv, decoded, place[lo:hi]) for lo, hi in _spans(sizes)]
+    cols = list(zip(*got, strict=True)) or [[] for _ in schema.names[1:]]
+    return pa.table([pa.array(docs, pa.int64(), mask=known == 0), *(pa.array(c, type=f.type) for c, f in zip(cols, list(schema)[1:], strict=True))], schema=schema)
+
+
+def _map(df: DataFrame, key: str, text: str, schema: pa.Schema, ddl: str, model: bytes, row: Callable) -> DataFrame:
+    spark = df.sparkSession
+    chunk_bytes, buckets = _chunks.plan_sizes(df, text)
+    folder = scratch_path(spark, "words")
+    _chunks.shared_fs(folder)
+    small_batches(spark)
+    rows = df.select(df[key].cast("long").alias("k"), df[text].alias("t"))
+    asked = materialise(rows.mapInArrow(lambda b: released(_ask(b, model, folder, buckets, chunk_bytes)), _ROW), "ask-words")
+    answers = asked.groupBy("bucket").applyInArrow(lambda t: _answer(t, model), _ROW)
+    out = materialise(answers.groupBy("chunk").applyInArrow(lambda t: _join(t, schema, row), ddl), "encoded")
+    drop_tables(asked)
+    drop_path(spark, folder)
+    return out
 
 
 def encode(df: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>) of each whole text."""
+    """(key, ids array<int>) of each whole text, a written table."""
     schema = pa.schema([(key, pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return _map(df, key, text, schema, f"`{key}` long, ids array<int>", model, lambda t, e: (ids_of(e),))
+
+    def row(csv: list[str], _: list[str], place: list[int]) -> tuple[list[int]]:
+        return ([int(i) for p in place for i in csv[p].split(",")],)
+
+    return _map(df, key, text, schema, f"`{key}` long, ids array<int>", model, row)
 
 
 def decode(df: DataFrame, model: bytes, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, text) of each list of ids, as the library decodes it; a null list counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _table(model).sp
+        sp = _codec(model).sp
         for batch in batches:
             texts = [sp.decode(x) if x else "" for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=[key, "text"])
@@ -146,13 +243,13 @@ def decode(df: DataFrame, model: bytes, key: str = "doc_id", ids: str = "ids") -
 
 
 def round_trip_digest(df: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): encodes each whole text and decodes the ids again."""
+    """(key, n_tokens, ids_sha256, decoded_sha256): encodes each whole text and decodes the ids again; a written table."""
 
-    def row(table: ChunkTable, entries: list[tuple[str, str]]) -> tuple[int, str, str]:
-        csv = ",".join([e[0] for e in entries])
-        # each entry's text lacks the one marker that its first piece starts with
-        text = " ".join([e[1] for e in entries])
-        return csv.count(",") + bool(csv), hashlib.sha256(csv.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+    def row(csv: list[str], decoded: list[str], place: list[int]) -> tuple[int, str, str]:
+        ids = ",".join([csv[p] for p in place])
+        # each word's text lacks the one marker that its first piece starts with
+        said = " ".join([decoded[p] for p in place])
+        return ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest()
 
     schema = pa.schema([(key, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     return _map(df, key, text, schema, f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string", model, row)

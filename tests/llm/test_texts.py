@@ -6,35 +6,53 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from strandloom.llm import language_id, quality_cnn, queries, sentencepiece_codec
+from strandloom.llm import _chunks, language_id, quality_cnn, queries, sentencepiece_codec
 from tests.llm.conftest import edge_rows
 
 MODEL = sentencepiece_codec.read_model(public_tokenizers.path("piece_bpe_32k.model"))
 SP = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
 
 
-def test_chunks_equal_the_library_on_odd_texts():
-    table = sentencepiece_codec.ChunkTable(MODEL)
-    assert table.separable
+def test_words_equal_the_library_on_odd_texts():
+    codec = sentencepiece_codec.Codec(MODEL)
+    assert codec.separable
     r = random.Random(5)
     parts = [" ", "  ", "▁", "a", "the", "\n", "\t", "é", "😀", "　", "<s>", "1", "é́", "\x00", "퟿", "...", "b"]
     texts = ["".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(3000)]
-    for text, entries in zip(texts, table.encode_texts(texts), strict=True):
+    words = sorted({w for t in texts for w in codec.words(t)})
+    entries = dict(zip(words, codec.segment(words), strict=True))
+    for text in texts:
+        own = [entries[w] for w in codec.words(text)]
         ids = SP.encode(text)
-        assert sentencepiece_codec.ids_of(entries) == ids
-        assert " ".join(e[1] for e in entries) == SP.decode(ids)
-
-
-def test_table_is_emptied_when_full(monkeypatch):
-    monkeypatch.setattr(sentencepiece_codec, "TABLE_ENTRIES", 3)
-    table = sentencepiece_codec.ChunkTable(MODEL)
-    for text in ("one two three four five", "six seven", "one six"):
-        assert sentencepiece_codec.ids_of(next(table.encode_texts([text]))) == SP.encode(text)
-    assert len(table.rows) <= 5
+        assert [i for e in own for i in e[0]] == ids
+        assert " ".join(e[1] for e in own) == SP.decode(ids)
+
+
+def test_each_distinct_word_is_segmented_once(monkeypatch):
+    codec, calls = sentencepiece_codec.Codec(MODEL), []
+    monkeypatch.setattr(sentencepiece_codec, "_codec", lambda _: codec)
+    monkeypatch.setattr(codec, "segment", lambda words, f=codec.segment: calls.extend(words) or f(words))
+    ask = lambda *words: sentencepiece_codec.pack(*sentencepiece_codec._texts_out(list(words)))
+    table = pa.table({"chunk": ["a", "b", "c"], "bucket": pa.array([0, 0, 0], pa.int32()), "data": [ask("one", "\x00", "two"), ask("two", "one"), None]})
+    got = {r["chunk"]: r["data"] for r in sentencepiece_codec._answer(table, MODEL).to_pylist()}
+    assert sorted(calls) == ["\x00", "one", "two"] and got["c"] is None
+    assert sentencepiece_codec.unpack(got["b"])[1].tolist() == SP.encode("two one")
+
+
+@pytest.mark.parametrize("chunk", [16 << 20, 200])
+def test_round_trip_over_many_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(_chunks, "CHUNK_BYTES", chunk)
+    r = random.Random(6)
+    texts = {i: " ".join(r.choices(["a", "b\n", "", "▁", "straße", "\x00", "😀😀", "word", "  "], k=r.randint(0, 60))) for i in range(150)}
+    got = sentencepiece_codec.round_trip_digest(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), MODEL)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {i: (len(ids := SP.encode(t)), sha(",".join(map(str, ids))), sha(SP.decode(ids))) for i, t in texts.items()}
+    assert {x.doc_id: tuple(x)[1:] for x in got.collect()} == want
 
 
 def test_round_trip_digest(edge, clashing, empty):
