@@ -47,15 +47,20 @@ def small_batches(spark) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; then what the task no longer needs goes back to the system, as its worker stays for other tasks."""
-    yield from batches
+def release() -> None:
+    """Give memory that nothing holds back to the system, as a worker stays for other tasks."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; then release()."""
+    yield from batches
+    release()
+
+
 def append_columns(df: DataFrame, text: str, fields: list[StructField], predict: Callable[[list[bytes | None]], list[list]]) -> DataFrame:
     """df with the fields that predict() gives for the whole texts, in UTF-8, of each Arrow batch.
 

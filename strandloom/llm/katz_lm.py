@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import _chunks
 from strandloom.llm._chunks import load, pack, range_of, save, unpack
-from strandloom.llm._rows import released
+from strandloom.llm._rows import release, released
 from strandloom.llm._words import mixed, word_hashes
 from strandloom.session import drop_path, drop_tables, materialise, scratch_path
 
@@ -147,14 +147,15 @@ class Chunk:
     """Texts of one chunk as tokens, numbered in the order of the words' hashes, and their k-grams order by order."""
 
     def __init__(self, doc: np.ndarray, known: np.ndarray, train: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> None:
-        self.doc, self.known, self.train, self.sizes, self.tokens = doc, known.astype(bool), train.astype(bool), sizes, tokens
+        # a chunk has fewer than 2^31 tokens, so its own numbers take four bytes
+        self.doc, self.known, self.train, self.sizes, self.tokens = doc, known.astype(bool), train.astype(bool), sizes, tokens.astype(np.int32)
         self.of_train = np.repeat(self.train, self.sizes)
         self.firsts = np.cumsum(self.sizes) - self.sizes
         self.words = int(tokens.max()) + 1
-        none = np.zeros(self.words, np.int64)
-        seen = np.bincount(tokens[self.of_train], minlength=self.words)
+        none = np.zeros(self.words, np.int32)
+        seen = np.bincount(self.tokens[self.of_train], minlength=self.words)
         #: orders[k - 1] are the k-grams.
-        self.orders = [Grams(none, np.arange(self.words), none, seen, tokens)]
+        self.orders = [Grams(none, np.arange(self.words, dtype=np.int32), none, seen, self.tokens)]
 
     def packed(self) -> bytes:
         return pack(self.doc, self.known.view(np.uint8), self.train.view(np.uint8), self.sizes, self.tokens)
@@ -162,14 +163,17 @@ class Chunk:
     def grow(self) -> Grams:
         """The k-grams of the next order."""
         below = self.orders[-1]
-        before = np.empty_like(below.place)
-        before[1:] = below.place[:-1]
-        before[self.firsts] = len(below.word)
-        key, place = np.unique(before * self.words + self.tokens, return_inverse=True)
-        lower = np.empty(len(key), np.int64)
+        key = np.empty(len(self.tokens), np.int64)
+        key[1:] = below.place[:-1]
+        key[self.firsts] = len(below.word)
+        key *= self.words
+        key += self.tokens
+        key, place = np.unique(key, return_inverse=True)
+        place = place.astype(np.int32)
+        lower = np.empty(len(key), np.int32)
         lower[place] = below.place
-        seen = np.bincount(place[self.of_train], minlength=len(key))
-        self.orders.append(Grams(key // self.words, key % self.words, lower, seen, place))
+        seen = np.bincount(place[self.of_train], minlength=len(key)).astype(np.int32)
+        self.orders.append(Grams((key // self.words).astype(np.int32), (key % self.words).astype(np.int32), lower, seen, place))
         return self.orders[-1]
 
 
@@ -458,8 +462,17 @@ def _totals(answers: DataFrame, n: int) -> list[int]:
 
 
 def _next_order(answers: DataFrame, model: Model, order: int) -> DataFrame:
-    questions = answers.groupBy("chunk").applyInArrow(lambda t: _ask(t, model, order), _ROW)
-    return questions.groupBy("bucket").applyInArrow(lambda t: _answer(t, model, order), _ROW)
+    def ask(table: pa.Table) -> pa.Table:
+        out = _ask(table, model, order)
+        release()
+        return out
+
+    def answer(table: pa.Table) -> pa.Table:
+        out = _answer(table, model, order)
+        release()
+        return out
+
+    return answers.groupBy("chunk").applyInArrow(ask, _ROW).groupBy("bucket").applyInArrow(answer, _ROW)
 
 
 def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
