@@ -7,8 +7,16 @@ a signature place and a weight; in the last node only points of weight under c c
 smallest time of its points, so two texts agree at a place with probability equal to their similarity. Processes run only
 as long as a point can still lower some place.
 
-Signatures are cut into bands; texts that share a band are candidates. Texts with equal multisets form one class first. In each
-bucket the classes are compared with one hub, exactly, on their whole texts; components follow. Buckets that then
+The nodes are the leaves of a binary hierarchy over [0, 2^K) that lie beside its left spine. Splitting a Poisson process of a parent range
+gives its halves independent processes of half the rate, and joining independent processes gives one of the summed rate;
+so drawing each leaf's process from a seed of its own has the law of splitting the root's process down to the leaves, for any K.
+Starting at the leaves leaves out the K splits by which a root would come down to [0, 1), where most shingles' weight ends, and every subtree
+over the count, as those are never leaves of the text. Only the last node may reach over the count: it covers [2^k, 2^(k+1)) for some c
+over 2^k, so at most half of a shingle's points are drawn in vain. The law and this bound are tested.
+
+Signatures are cut into bands; texts that share a band are candidates. Texts with equal multisets form one class first; classes
+are numbered in the order of their smallest id. In each bucket the classes are compared with one hub, exactly, on their whole texts, in
+groups of bounded size, each of which gets the hub's text; components follow. Buckets that then
 still span several components are compared whole: small ones pair by pair across components, larger ones in tiles of bounded
 size, where one matrix product over the shingles gives all intersections and the links found come back as a row for each class. So copies
 aren't expanded into pairs, and no candidate link between components is lost.
@@ -16,7 +24,8 @@ aren't expanded into pairs, and no candidate link between components is lost.
 A pair of similarity s misses all bands with probability (1 - s^4)^24: 3 in a million at 0.8.
 
 Defined results: words are runs of bytes other than ASCII white space; a text of one to four words is one shingle;
-null and empty texts link with nothing; rows that repeat an id share its class; a null id has a null class and is kept.
+null and empty texts link with nothing; an id that stands for several texts is a document with each of them, judged apart; rows that
+repeat id and text share their result; a null id has a null class and is kept.
 """
 
 from __future__ import annotations
@@ -32,11 +41,14 @@ from strandloom.llm._rows import released, small_batches, text_blocks
 from strandloom.llm._vectors import merge_labels
 from strandloom.llm._words import mixed, word_hashes
 from strandloom.operators.components import connected_components
-from strandloom.session import materialise
+from strandloom.operators.target_finder import number_rows
+from strandloom.session import drop_tables, materialise
 
 WORDS, BANDS, ROWS, SIMILAR = 5, 24, 4, 0.8
 #: Buckets of up to this many classes are compared pair by pair; a tile has two blocks of about so many classes and shingles.
 SMALL, BLOCK, BLOCK_WEIGHT = 12, 1024, 2_000_000
+#: Classes of a bucket that are compared with its hub in one group.
+STAR = 256
 PLACES = BANDS * ROWS
 _ODD = mixed(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -117,9 +129,9 @@ def signatures(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, two hashes of the bag, its weight, a bucket for each band)."""
+    """(id, print of the text, two hashes of the bag, its weight, a bucket for each band)."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        ids, prints, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
         one, two, weights, buckets = [], [], [], []
         for lo, hi in text_blocks(texts, 2000, 2_000_000):
             found = bags(texts[lo:hi])
@@ -134,8 +146,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 two.append(int(mixed(x + c.astype(np.uint64)).sum().view(np.int64)))
                 weights.append(int(c.sum()))
                 buckets.append(row if len(h) else row[:0])
-        cols = [ids, pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(weights, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "one", "two", "weight", "buckets"])
+        cols = [ids, prints, pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(weights, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "print", "one", "two", "weight", "buckets"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -188,61 +200,85 @@ def _tile(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": rep[labels[moved]], "b": rep[moved]})
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
-    """(key, class_id, kept) for each row of df; class_id is the smallest key that links reach."""
-    rows = df.select(df[key].cast("long").alias("id"), F.coalesce(df[text].cast("binary"), F.lit(b"")).alias("text"))
+def _verified(pairs: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the similar ones of pairs (a, b, their weights wa and wb, the bucket where they meet and its size n). A pair counts in one of its
+    buckets; the pairs of a bucket and an a are dealt into groups of about STAR, and each group gets a's text once."""
+    near = pairs.where(F.least("wa", "wb") >= threshold * F.greatest("wa", "wb") - 1e-9).groupBy("a", "b").agg(F.min(F.struct("bucket", "n")).alias("at"))
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("at.n") / STAR)).cast("int")
+    near = materialise(near.select("a", "b", F.col("at.bucket").alias("bucket"), part.alias("part")), "pairs")
+    right = near.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    left = near.select("a", "bucket", "part").distinct().join(bodies.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    met = right.join(left, ["a", "bucket", "part"]).select("a", "b", "ta", "tb")
+    out = materialise(met.mapInArrow(lambda x: released(_verify(x, threshold)), "a long, b long"), "links")
+    drop_tables(near)
+    return out
+
+
+def _grouped(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """(id, print, weight, class_id, kept) for each row of df; print is a hash of the text."""
+    body = F.coalesce(df[text].cast("binary"), F.lit(b""))
+    rows = df.select(df[key].cast("long").alias("id"), F.xxhash64(body).alias("print"), body.alias("text"))
     small_batches(df.sparkSession)
-    digests = materialise(rows.mapInArrow(lambda x: released(_digest(x)), "id long, one long, two long, weight long, buckets array<long>"), "digests")
+    digests = materialise(rows.mapInArrow(lambda x: released(_digest(x)), "id long, print long, one long, two long, weight long, buckets array<long>"), "digests")
     filled = digests.where("weight > 0 and id is not null")
-    classes = filled.groupBy("one", "two", "weight").agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets"))
-    classes = materialise(classes, "classes")
-    spread = classes.select("rep", "weight", F.explode("buckets").alias("bucket")).distinct()
-    several = materialise(spread.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"), "buckets")
-    shared = materialise(spread.join(several, "bucket").select("bucket", "rep", "weight", "hub"), "shared")
-    own = shared.select("rep").distinct()
-    bodies = rows.join(own, rows.id == own.rep, "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    bodies = materialise(bodies, "bodies")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b, weights wa and wb): the similar ones."""
-        near = pairs.where(F.least("wa", "wb") >= threshold * F.greatest("wa", "wb") - 1e-9).select("a", "b").distinct()
-        near = near.join(bodies.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        near = near.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-        return materialise(near.mapInArrow(lambda x: released(_verify(x, threshold)), "a long, b long"), "links")
-
-    weights = classes.select(F.col("rep").alias("a"), F.col("weight").alias("wa"))
-    stars = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("weight").alias("wb"))
-    links = verified(stars.distinct().join(weights, "a"))
+    classes = filled.groupBy("one", "two", "weight").agg(F.min(F.struct("id", "print")).alias("first"), F.first("buckets").alias("buckets"))
+    classes = classes.select("one", "two", "weight", F.col("first.id").alias("rep"), F.col("first.print").alias("print"), "buckets")
+    # numbers follow the smallest ids, so the smallest number of a component belongs to its smallest id
+    classes = materialise(number_rows(classes, ["rep", "print", "one", "two", "weight"], "node"), "classes")
+    spread = classes.select("node", "weight", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    several = materialise(spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub", "n"), "buckets")
+    shared = materialise(spread.join(several, "bucket").select("bucket", "node", "weight", "hub", "n"), "shared")
+    drop_tables(several)
+    own = shared.select("node").distinct().join(classes.select("node", F.col("rep").alias("id"), "print"), "node")
+    bodies = materialise(rows.join(own, ["id", "print"]).groupBy("node").agg(F.min("text").alias("text")), "bodies")
+
+    weights = classes.select(F.col("node").alias("a"), F.col("weight").alias("wa"))
+    stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("weight").alias("wb"), "bucket", "n")
+    hubs = stars.select("a").distinct().join(weights, "a")
+    links = _verified(stars.join(hubs, "a"), bodies, threshold)
     components = connected_components(links)
-    at = shared.select("bucket", "rep", "weight").join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    at = shared.select("bucket", "node", "weight").join(components, "node", "left").withColumn("c", F.coalesce("component", "node"))
     spans = at.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.sum("weight").alias("sum")).where("low <> high")
-    at = materialise(at.join(spans, "bucket").select("bucket", "rep", "weight", "c", "n", "sum"), "open")
-    side = lambda x: at.where(F.col("n") <= SMALL).select("bucket", F.col("rep").alias(x), F.col("weight").alias(f"w{x}"), F.col("c").alias(f"c{x}"))
-    crossing = side("a").join(side("b"), "bucket").where("ca < cb")
+    at = materialise(at.join(spans, "bucket").select("bucket", "node", "weight", "c", "n", "sum"), "open")
+    drop_tables(shared)
+    side = lambda x: at.where(F.col("n") <= SMALL).select("bucket", "n", F.col("node").alias(x), F.col("weight").alias(f"w{x}"), F.col("c").alias(f"c{x}"))
+    crossing = side("a").join(side("b"), ["bucket", "n"]).where("ca < cb")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("sum") / BLOCK_WEIGHT)).cast("int")
-    large = at.where(F.col("n") > SMALL).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    large = at.where(F.col("n") > SMALL).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", "rep", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
-        (F.col("own") <= F.col("other")).alias("left"), (F.col("own") == F.col("other")).alias("own_tile"),
+        "bucket", F.col("node").alias("rep"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("left"),
     )
-    large = large.withColumn("same", F.col("p") == F.col("q")).drop("own_tile").join(bodies, large.rep == bodies.id).drop("id")
+    large = large.withColumn("same", F.col("p") == F.col("q")).join(bodies, large.rep == bodies.node).drop("node")
     tiles = large.groupBy("bucket", "p", "q").applyInArrow(lambda t: _tile(t, threshold), "a long, b long")
-    links = materialise(links.unionByName(verified(crossing)).unionByName(tiles), "links")
+    links = materialise(links.unionByName(_verified(crossing, bodies, threshold)).unionByName(tiles), "links")
+    drop_tables(at, bodies)
     components = connected_components(links)
-    named = classes.select("one", "two", "weight", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_id", F.coalesce("component", "rep")).drop("rep", "component")
-    out = digests.select("id", "one", "two", "weight").join(named, ["one", "two", "weight"], "left")
-    best = F.when(F.col("weight") > 0, F.col("class_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.when(F.col("id").isNotNull(), best).alias("class_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("class_id"), F.lit(True)))
+    named = components.join(classes.select(F.col("node").alias("component"), F.col("rep").alias("class_id")), "component").select("node", "component", "class_id")
+    named = classes.select("one", "two", "weight", "node", "rep", F.col("print").alias("first_print")).join(named, "node", "left")
+    named = named.withColumns({"class_id": F.coalesce("class_id", "rep"), "first": F.coalesce(F.col("component") == F.col("node"), F.lit(True))}).drop("node", "component")
+    out = digests.select("id", "print", "one", "two", "weight").join(named, ["one", "two", "weight"], "left")
+    has = (F.col("weight") > 0) & F.col("id").isNotNull()
+    kept = ~has | (F.col("first") & (F.col("id") == F.col("rep")) & (F.col("print") == F.col("first_print")))
+    return out.select("id", "print", "weight", F.when(has, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), kept.alias("kept"))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
+    """(key, class_id, kept) for each row of df; class_id is the smallest key that links of the row's text reach; kept: it is that key's row,
+    and of several texts that the key has in its class the first by hash."""
+    return _grouped(df, key, text, threshold).select(F.col("id").alias(key), "class_id", "kept")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
-    """df with one row of each class: that with the smallest key; rows with a null key stay."""
-    found = materialise(near_duplicates(df, key, text, threshold), "classes")
-    gone = found.where("not kept").select(F.col(key).alias("__gone")).distinct()
+    """df with one row of each class: that with the smallest key; rows with a null key and rows without words have no class and stay."""
+    found = materialise(_grouped(df, key, text, threshold), "classes")
+    own = F.xxhash64(F.coalesce(df[text].cast("binary"), F.lit(b"")))
+    gone = found.where("not kept").select(F.col("id").alias("__gone"), F.col("print").alias("__print")).distinct()
     # one plan at every size: ids of all dropped rows aren't a broadcast of bounded size
-    left = df.join(gone.hint("merge"), df[key] == gone["__gone"], "left_anti")
-    twice = materialise(found.where("kept").groupBy(F.col(key).alias("__twice")).agg(F.count("*").alias("n")).where("n > 1 and __twice is not null").select("__twice"), "twice")
+    left = df.join(gone.hint("merge"), (df[key] == gone["__gone"]) & (own == gone["__print"]), "left_anti")
+    twice = found.where("kept and weight > 0 and id is not null").groupBy(F.col("id").alias("__twice"), F.col("print").alias("__print")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    twice = materialise(twice, "twice")
     if twice.limit(1).count() == 0:
         return left
-    same = left[key] == twice["__twice"]
-    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([key]))
+    body = F.coalesce(left[text].cast("binary"), F.lit(b""))
+    same = (left[key] == twice["__twice"]) & (F.xxhash64(body) == twice["__print"])
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([key, text]))

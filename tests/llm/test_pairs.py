@@ -96,11 +96,32 @@ def test_large_group_of_near_copies(spark):
     assert got == want
 
 
-def test_tiles_across_blocks(spark, monkeypatch):
-    monkeypatch.setattr(B, "BLOCK", 10)
+@pytest.mark.parametrize("name", ["BLOCK", "STAR"])
+def test_groups_of_few(spark, monkeypatch, name):
+    monkeypatch.setattr(B, name, 10)
     test_large_group_of_near_copies(spark)
 
 
+def test_an_id_with_several_texts(spark):
+    a, b = prose(1, 100), prose(2, 100)
+    near = b.split()
+    near[3] = "changed"
+    rows = [(5, a), (5, b), (9, " ".join(near)), (11, a), (11, a), (12, prose(3, 60)), (12, prose(3, 60)), (13, None), (13, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.class_id, r.kept) for r in B.near_duplicates(df).collect())
+    assert got == {(5, 5, True): 2, (9, 5, False): 1, (11, 5, False): 2, (12, 12, True): 2, (13, 13, True): 2}
+    left = collections.Counter((r.doc_id, r.text) for r in B.one_of_each(df).collect())
+    assert left == collections.Counter([(5, a), (5, b), (12, prose(3, 60)), (13, None), (13, "")])
+
+
+def test_hierarchy_wastes_at_most_half():
+    """The nodes of a count cover it, and reach at most as far again; equal counts below a node's end share the node's points."""
+    for c in range(1, 300):
+        doc, seed, width, start, count = B._nodes(np.zeros(1, np.int64), np.array([77], np.uint64), np.array([c]))
+        assert sorted(zip(start.tolist(), (start + width).tolist(), strict=True)) == [(0, 1), *((1 << k, 2 << k) for k in range((c - 1).bit_length()))]
+        assert int(width.sum()) < 2 * c + (c == 1) and len(set(seed.tolist())) == len(seed)
+
+
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
