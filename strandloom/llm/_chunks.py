@@ -38,14 +38,14 @@ def shared_fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
         raise ValueError(f"tasks can't open files under '{scheme}://'; set spark.checkpoint.dir to a folder of file, hdfs, s3, gs or abfs") from e
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays of integers or floats, in byte planes, compressed."""
     parts = []
     for a in map(np.ascontiguousarray, arrays):
         if a.dtype.kind in "iu" and a.dtype.itemsize > 4 and (not len(a) or (a.min() >= 0 and a.max() < 1 << 32)):
             a = a.astype(np.uint32)
         parts.append(f"{a.dtype.str},{len(a)};".encode() + np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:

@@ -132,16 +132,21 @@ class _Builder:
     def close(self, folder: str, buckets: int) -> list[dict]:
         """Write the chunk, its words in the order of their buckets; its questions."""
         path, words = f"{folder}/{uuid.uuid4().hex}", list(self.number)
-        to = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int64)
-        turn = np.argsort(to, kind="stable")
-        rank = np.empty(len(words), np.int64)
-        rank[turn] = np.arange(len(words))
+        by_name = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        to = np.array([zlib.crc32(words[i].encode()) % buckets for i in by_name], np.int64)
+        turn = by_name[np.argsort(to, kind="stable")]
+        to.sort()
         words = [words[i] for i in turn]
         sizes, data = _texts_out(words)
         ids = np.array([0 if k is None else k for k in self.docs], np.int64)
-        place = rank[np.concatenate([*self.places, np.zeros(0, np.int64)])]
-        save(path, pack(ids, np.array([k is not None for k in self.docs], np.uint8), np.array([len(p) for p in self.places], np.int64), place, sizes, data))
-        cuts, at = np.searchsorted(to[turn], np.arange(buckets + 1)), np.append(0, np.cumsum(sizes))
+        # in the file frequent words have small numbers, which take little room; slot leads from them to the order of the buckets
+        place = np.concatenate([*self.places, np.zeros(0, np.int64)])
+        often = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")
+        rank, slot = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        rank[often] = np.arange(len(words))
+        slot[rank[turn]] = np.arange(len(words))
+        save(path, pack(ids, np.array([k is not None for k in self.docs], np.uint8), np.array([len(p) for p in self.places], np.int64), rank[place], slot, sizes, data, level=3))
+        cuts, at = np.searchsorted(to, np.arange(buckets + 1)), np.append(0, np.cumsum(sizes))
         # a row without words in some bucket: a chunk that has nothing to ask gets an answer too
         rows = [{"chunk": path, "bucket": zlib.crc32(path.encode()) % buckets, "data": None}]
         return rows + [{"chunk": path, "bucket": b, "data": pack(sizes[lo:hi], data[at[lo] : at[hi]])} for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
@@ -191,7 +196,7 @@ def _answer(table: pa.Table, model: bytes) -> pa.Table:
 
 def _join(table: pa.Table, schema: pa.Schema, row: Callable) -> pa.Table:
     """Step 3: row(ids as text of each word, decoded text of each word, the text's places) of every text."""
-    docs, known, sizes, place, w_sizes, w_data = unpack(load(table["chunk"][0].as_py()))
+    docs, known, sizes, place, slot, w_sizes, w_data = unpack(load(table["chunk"][0].as_py()))
     csv, decoded = [], _texts_in(w_sizes, w_data)
     for _, data in sorted((b, d) for b, d in zip(table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True) if d is not None):
         n, flat, other, o_sizes, o_data = unpack(data)
@@ -199,7 +204,8 @@ def _join(table: pa.Table, schema: pa.Schema, row: Callable) -> pa.Table:
             decoded[len(csv) + i] = text
         said = list(map(str, flat.tolist()))
         csv += [said[lo] if hi == lo + 1 else ",".join(said[lo:hi]) for lo, hi in _spans(n)]
-    place = place.tolist()
+    slot = slot.tolist()
+    csv, decoded, place = [csv[i] for i in slot], [decoded[i] for i in slot], place.tolist()
     got = [row(csv, decoded, place[lo:hi]) for lo, hi in _spans(sizes)]
     cols = list(zip(*got, strict=True)) or [[] for _ in schema.names[1:]]
     return pa.table([pa.array(docs, pa.int64(), mask=known == 0), *(pa.array(c, type=f.type) for c, f in zip(cols, list(schema)[1:], strict=True))], schema=schema)
