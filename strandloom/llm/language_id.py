@@ -1,14 +1,16 @@
 """Language identification by string kernels.
 
 Kernel: for n = 1, 2, 3 the presence of byte n-grams (ASCII letters in lower case, other ASCII characters as
-spaces), restricted to n-grams of the landmarks, normalised for each n and averaged (a blended spectrum).
+spaces), restricted to n-grams of the landmarks, normalised for each n and averaged (a blended spectrum). The norm is that of the
+restricted vectors, which makes this a kernel of its own: n-grams that no landmark holds count neither above nor below the line.
 Landmarks are training texts; K(landmarks, landmarks)^(-1/2) maps a text's kernel row to Nyström features,
 on which one ridge regression per language is solved (one versus rest). A batch of texts is scored by two matrix
 products: presence x landmarks, then kernel row x weights.
 
-The training sample is bounded by rows_per_language; whole texts are used in training and scoring.
+The training sample is bounded, for any number of languages, by rows a language, rows, bytes and languages in all (see train); whole
+texts are used in training and scoring.
 
-Defined results: a null text or one without a letter is `und` with score 0; without training rows every text is;
+Defined results: a null text or one without a letter (in the sense of str.isalpha, so numeric signs are none) is `und` with score 0; without training rows every text is;
 ties go to the language that sorts first; repeated rows get equal results.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField
 
 from strandloom.llm._rows import append_columns, spread, text_blocks
 
-LETTER = re.compile(r"[^\W\d_]")
+_MAYBE = re.compile(r"[^\W\d_]")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _START = (0, 256, 256 + 65536, 256 + 65536 + (1 << 24))
 _SLICE = 1 << 20
@@ -42,6 +44,11 @@ def gram_codes(text: bytes) -> Iterator[np.ndarray]:
         yield ((two[:-1] << 8) | a[2:]) + _START[2]
 
 
+def has_letter(text: bytes) -> bool:
+    """Word characters other than digits also take in numeric signs such as fractions and circled numbers, so each is asked."""
+    return any(m[0].isalpha() for m in _MAYBE.finditer(text.decode("utf-8", "replace")))
+
+
 #: The one lookup table that a process holds: the codes it is for, and column numbers by code.
 _HELD: list[np.ndarray] = []
 
@@ -86,7 +93,7 @@ class Model:
         langs, scores = ["und"] * len(raw), [0.0] * len(raw)
         if not self.langs:
             return [langs, scores]
-        at = [i for i, t in enumerate(raw) if t and LETTER.search(t.decode("utf-8", "replace"))]
+        at = [i for i, t in enumerate(raw) if t and has_letter(t)]
         for lo, hi in text_blocks([raw[i] for i in at], 256):
             d = 4 * self.decision([raw[i] for i in at[lo:hi]])
             p = np.exp(d - d.max(1, keepdims=True))
@@ -120,19 +127,22 @@ def fit(texts: list[bytes], langs: list[str], landmarks_per_language: int = 40,
     return model
 
 
-def train(df: DataFrame, rows_per_language: int = 500, most_languages: int = 1000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on about rows_per_language rows of each language, dealt by a hash of the key; rows without a language,
-    text or letter play no part. The languages beyond most_languages, by name, are an error."""
-    rows = df.select(df[key].alias("k"), df[text].alias("t"), df[lang].alias("l")).where("t is not null and l is not null")
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+def train(
+    df: DataFrame, rows_per_language: int = 500, most_rows: int = 40_000, most_bytes: int = 200_000_000, most_languages: int = 1000, most_landmarks: int = 4000,
+    key: str = "doc_id", text: str = "text", lang: str = "lang",
+) -> Model:
+    """Fit on a sample of about rows_per_language rows of each language, dealt by a hash of the key; rows without a language, text or letter play
+    no part. In all the sample has about most_rows rows and most_bytes bytes, shared alike by the languages, and most_landmarks landmarks.
+    Of more than most_languages values of lang, those with the most rows are learned (ties: by name)."""
+    rows = df.select(df[key].alias("k"), df[text].cast("binary").alias("t"), df[lang].alias("l")).where("t is not null and l is not null")
+    counts = rows.groupBy("l").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("size")).orderBy(F.desc("n"), "l").limit(most_languages).collect()
     if not counts:
         return fit([], [])
-    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, rows_per_language / n)])
-    got = rows.where(spread("k") < share[F.col("l")]).select("k", F.col("t").cast("binary").alias("t"), "l").collect()
-    got = sorted((r for r in got if LETTER.search(bytes(r.t).decode("utf-8", "replace"))), key=lambda r: (hash_order(r.k), bytes(r.t)))
-    return fit([bytes(r.t) for r in got], [r.l for r in got])
+    own_rows, own_bytes = min(rows_per_language, most_rows / len(counts)), most_bytes / len(counts)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.l, min(own_rows / r.n, own_bytes / max(1, r["size"])))])
+    got = rows.where(spread("k") < F.coalesce(F.try_element_at(share, F.col("l")), F.lit(0.0))).collect()
+    got = sorted((r for r in got if has_letter(bytes(r.t))), key=lambda r: (hash_order(r.k), bytes(r.t)))
+    return fit([bytes(r.t) for r in got], [r.l for r in got], max(1, min(40, most_landmarks // len(counts))))
 
 
 def hash_order(key) -> int:

@@ -1,6 +1,7 @@
 """SentencePiece, language, quality: against the library, held-out accuracy, and edge cases."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -88,6 +89,41 @@ def test_language_edges(edge, clashing, empty):
     assert {r.lang_pred for r in language_id.predict(edge, none).collect()} == {"und"}
 
 
+@pytest.mark.parametrize(("text", "letter"), [("½ ² ①", False), ("12 _ !", False), ("", False), ("² x", True), ("1é", True), ("字", True), ("٣", False), ("Ⅷ", False), ("ª", True)])
+def test_language_letters_are_those_of_unicode(text, letter):
+    assert language_id.has_letter(text.encode()) == letter == any(c.isalpha() for c in text)
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i, f"text {i} " * 20, f"l{i % 30:02}") for i in range(600)] + [(1000 + i, "some more", "l07") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = language_id.train(df, most_languages=5)
+    assert len(few.langs) == 5 and "l07" in few.langs and set(few.langs) <= {"l07", "l00", "l01", "l02", "l03"}
+    assert len(language_id.train(df, most_landmarks=60).landmarks) <= 60
+    assert len(language_id.train(df, most_rows=1).landmarks) < 30 and language_id.train(df, most_bytes=1).langs is not None
+
+
+def test_language_ridge_is_the_stated_one():
+    """Scores equal those of ridge regression over the Nyström features, solved directly in double precision."""
+    r = random.Random(1)
+    texts = ["".join(r.choices("abcde f" if i % 2 else "defgh i", k=r.randint(20, 60))) for i in range(40)]
+    langs = ["x" if i % 2 else "y" for i in range(40)]
+    model = language_id.fit([t.encode() for t in texts], langs, landmarks_per_language=5)
+    marks = [t for n in ("x", "y") for t in [t for t, g in zip(texts, langs, strict=True) if g == n][:5]]
+    grams = lambda t, n: {(f" {t} ")[i : i + n] for i in range(len(t) + 3 - n)}
+    known = {n: set().union(*(grams(m, n) for m in marks)) for n in (1, 2, 3)}
+    own = lambda t, n: grams(t, n) & known[n]
+    kernel = lambda s, t: sum(len(own(s, n) & own(t, n)) / math.sqrt(len(own(s, n)) * len(own(t, n))) for n in (1, 2, 3)) / 3
+    k = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(k)
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+    x = np.array([[kernel(t, m) for m in marks] for t in texts]) @ root
+    y = np.array([[1.0 if g == n else -1.0 for n in ("x", "y")] for g in langs])
+    weight = np.diag([1 / langs.count(g) for g in langs])
+    solved = np.linalg.solve(x.T @ weight @ x + 1e-3 * np.eye(len(marks)), x.T @ weight @ y)
+    assert model.decision([t.encode() for t in texts]) == pytest.approx(x @ solved, abs=1e-3)
+
+
 def test_language_long_text_is_read_whole():
     model = language_id.fit([b"the of and " * 9, "der und nicht über ".encode() * 9], ["en", "de"])
     text = b"zz " * 10 + b" " * (1 << 20) + b"the of and "
