@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import bagminhash, language_id, quality_cnn, queries, raking_mix, sentencepiece_codec
 from strandloom.llm._rows import remainder
-from strandloom.session import scratch_path
+from strandloom.session import drop_tables, scratch_path
 
 #: A document goes if its language's score is under this; that rejects texts without letters too, whose score is 0.
 LEAST_LANGUAGE = 0.4
@@ -19,16 +19,26 @@ LEAST_LANGUAGE = 0.4
 LEAST_QUALITY = 0.3
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(remainder("doc_id", 4) != 2))
-    found = language_id.predict(docs, model, lang_pred="__lang", score="__score")
-    return found.where(F.col("__score") >= LEAST_LANGUAGE).select(*docs.columns)
+    score = unused(docs, "__score")
+    found = language_id.predict(docs, model, lang_pred=unused(docs, "__lang"), score=score)
+    return found.where(F.col(score) >= LEAST_LANGUAGE).select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = queries.quality_model(docs, queries.table(spark, sf_dir, "labels"))
-    found = quality_cnn.predict(docs, model, score="__score")
-    return found.where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
+    score = unused(docs, "__score")
+    found = quality_cnn.predict(docs, model, score=score)
+    return found.where(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +71,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, spark.read.parquet(path)
+        if name != STAGES[0][0]:
+            drop_tables(before)
     return docs
