@@ -27,6 +27,7 @@ kept; an empty table gives no rows; with no training text at all the only probab
 
 from __future__ import annotations
 
+import pickle
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -259,8 +260,8 @@ class Reader:
         self.private: list[np.ndarray] = []
         self.lines: list[tuple[np.ndarray, np.ndarray]] = []
         self.numbers = np.zeros(0, np.int64)
-        #: What to note of the last order's answers.
-        self.noted: list[np.ndarray] = []
+        #: The last order's answers, to be noted.
+        self.last: dict[int, bytes] = {}
 
     def words(self, data: list[bytes]) -> None:
         got = [unpack(d) for d in data]  # in the order of the buckets, which is that of the words
@@ -296,45 +297,45 @@ class Reader:
         turn = np.argsort(to, kind="stable")
         return open_[turn], np.searchsorted(to[turn], np.arange(self.model.buckets + 1))
 
-    def own_sums(self, order: int, counts: np.ndarray, among: np.ndarray) -> np.ndarray:
-        """Sums of histories by what the chunk itself holds of the k-grams `among`."""
-        grams = self.chunk.orders[order - 1]
-        return history_sums(grams.history[among], counts[among], self.counts[order - 2][grams.lower[among]], len(self.history_counts(order)))
-
-    def learn(self, order: int, answers: dict[int, bytes], known: list[np.ndarray] | None = None) -> None:
-        """Take in an order's answers by bucket, or what was noted of them."""
-        grams = self.chunk.grow()
+    def learn(self, order: int, answers: dict[int, bytes]) -> None:
+        """Take in an order's answers by bucket. Sums of histories become at once what probabilities need of them, as sums take more room."""
+        grams, d = self.chunk.grow(), self.model.discounts_of(order)
         count, private = self.history_counts(order), np.append(self.private[order - 2], False)
-        alone = private[grams.history] & (count[grams.history] > 0)
-        if known is None:
-            own, cuts = self.asks(order)
-            c, only = np.zeros(len(grams.word), np.int64), private[grams.history].copy()
-            c[alone] = grams.seen[alone]
-            sums = self.own_sums(order, c, np.flatnonzero(alone))
-            hot = self.model.is_hot(count)
-            for b, data in answers.items():
-                mine = own[cuts[b] : cuts[b + 1]]
-                got, bits, *rest = unpack(data)
-                c[mine], only[mine] = got, np.unpackbits(bits, count=len(mine)).astype(bool)
-                starts, _ = _runs(grams.history[mine])
-                sums[grams.history[mine[starts]]] = np.stack(rest, 1)
-            for h in np.flatnonzero(hot & ~private):
-                sums[h] = self.model.hot[order - 2].get(",".join(str(int(n[0])) for n in self.names(order, np.array([h]))), [0] * (2 * LOW + 1))
-            known = [c, np.packbits(only), *sums.T]
-        self.noted = known
-        c, bits, *sums = known
+        line, alpha = np.ones(len(count)), np.ones(len(count))
+
+        def note(histories: np.ndarray, sums: np.ndarray) -> None:
+            line[histories], left = line_of(count[histories], sums[:, :LOW], d)
+            below = self.model.discounts_of(order - 1)
+            mass = (sums[:, LOW : 2 * LOW] * (np.arange(1, LOW + 1) * below[1:])).sum(1) + sums[:, 2 * LOW]
+            alpha[histories] = left / np.maximum(1 - mass / self.lines_below(order, histories), 1e-300)
+
+        own, cuts = self.asks(order)
+        c, only = np.zeros(len(grams.word), np.int64), private[grams.history]
+        alone = np.flatnonzero(only & (count[grams.history] > 0))
+        c[alone] = grams.seen[alone]
+        starts, lengths = _runs(grams.history[alone])
+        note(grams.history[alone[starts]], history_sums(np.repeat(np.arange(len(starts)), lengths), c[alone], self.counts[order - 2][grams.lower[alone]], len(starts)))
+        for b, data in answers.items():
+            mine = own[cuts[b] : cuts[b + 1]]
+            got, bits, *rest = unpack(data)
+            c[mine], only[mine] = got, np.unpackbits(bits, count=len(mine)).astype(bool)
+            starts, _ = _runs(grams.history[mine])
+            note(grams.history[mine[starts]], np.stack(rest, 1))
+        for h in np.flatnonzero(self.model.is_hot(count) & ~private):
+            found = self.model.hot[order - 2].get(",".join(str(int(n[0])) for n in self.names(order, np.array([h]))))
+            if found:
+                note(np.array([h]), np.array([found]))
         self.counts.append(c)
-        self.private.append(np.unpackbits(bits, count=len(c)).astype(bool))
-        sums = np.stack(sums, 1)
-        line, left = line_of(count, sums[:, :LOW], self.model.discounts_of(order))
-        d = self.model.discounts_of(order - 1)
-        mass = (sums[:, LOW : 2 * LOW] * np.arange(1, LOW + 1) * d[1:]).sum(1) + sums[:, 2 * LOW]
+        self.private.append(only)
+        self.lines.append((line, alpha))
+
+    def lines_below(self, order: int, histories: np.ndarray) -> np.ndarray | float:
+        """What counts of the order below are divided by, after these histories without their oldest word."""
         if order == 2:
-            below = np.full(len(count), self.model.unigrams.line)
-        else:
-            lower = self.chunk.orders[order - 2].lower  # of histories as k-grams of the order below
-            below = self.lines[-1][0][np.append(lower, len(self.lines[-1][0]) - 1)]
-        self.lines.append((line, np.where(count > 0, left / np.maximum(1 - mass / below, 1e-300), 1.0)))
+            return self.model.unigrams.line
+        lower, line = self.chunk.orders[order - 2].lower, self.lines[-1][0]  # lower: of histories as k-grams of the order below
+        marks = histories == len(lower)
+        return line[np.where(marks, len(line) - 1, lower[np.where(marks, 0, histories)])]
 
     def probabilities(self) -> np.ndarray:
         """Of each k-gram of the last order."""
@@ -362,17 +363,14 @@ def _reader(table: pa.Table, model: Model, order: int) -> Reader:
     """The chunk of a group of rows of order `order`'s answers, with all orders up to it learned."""
     path = table["chunk"][0].as_py()
     reader = Reader(path, model)
-    got = dict(sorted(zip(table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True)))
-    if order == 1:
-        reader.words(list(got.values()))
-        return reader
-    noted = unpack(load(f"{path}.1"))
-    reader.numbers = noted[0]
-    reader.counts.append(noted[1])
-    reader.private.append(noted[2].astype(bool))
-    for k in range(2, order):
-        reader.learn(k, {}, unpack(load(f"{path}.{k}")))
-    reader.learn(order, {b: d for b, d in got.items() if b >= 0 and d is not None})
+    got = dict(sorted((b, d) for b, d in zip(table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True) if d is not None))
+    for k in range(1, order + 1):
+        answers = got if k == order else pickle.loads(load(f"{path}.{k}"))
+        if k == 1:
+            reader.words(list(answers.values()))
+        else:
+            reader.learn(k, answers)
+    reader.last = got
     return reader
 
 
@@ -381,10 +379,7 @@ def _ask(table: pa.Table, model: Model, order: int) -> pa.Table:
     data back: so a chunk that has nothing to ask isn't lost."""
     reader = _reader(table, model, order - 1)
     path = reader.path
-    if order == 2:
-        save(f"{path}.1", pack(reader.numbers, reader.counts[0], reader.private[0].view(np.uint8)))
-    else:
-        save(f"{path}.{order - 1}", pack(*reader.noted))
+    save(f"{path}.{order - 1}", pickle.dumps(reader.last))
     grams = reader.chunk.grow()
     own, cuts = reader.asks(order)
     count = reader.history_counts(order)
