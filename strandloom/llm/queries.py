@@ -129,7 +129,7 @@ def op8_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
     return written.select(
         "doc_id", (F.octet_length(body) + flow_sharding.OVERHEAD).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
-        F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        F.lit("bytes").alias("law"), F.col(planned.name("shard")).alias("shard"), F.col(planned.name("slot")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

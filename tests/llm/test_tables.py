@@ -96,11 +96,13 @@ def test_shards(spark, edge, clashing, empty):
     for df in (edge, clashing):
         planned = flow_sharding.plan(df, F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)).cast("int"), 3, 5, blocks=64)
         path = scratch_path(spark, "shards")
-        rows = flow_sharding.rewrite(planned, path).select("doc_id", "text", "__shard", "__slot").collect()
+        written = flow_sharding.rewrite(planned, path)
+        rows = written.select("doc_id", "text", F.col(planned.name("shard")).alias("to"), F.col(planned.name("slot")).alias("at")).collect()
+        assert df is edge or all(set(r) == {"x"} for r in written.select("__shard", "__part").collect())
         assert collections.Counter((r.doc_id, r.text) for r in rows) == collections.Counter((k, t) for k, t, *_ in edge_rows())
         by = collections.defaultdict(list)
         for r in rows:
-            by[r["__shard"]].append(r["__slot"])
+            by[r.to].append(r["at"])
         assert all(sorted(v) == list(range(len(v))) for v in by.values()) and set(by) <= set(range(5))
         if planned.affected:
             assert spark.read.parquet(path).count() > 0
@@ -108,6 +110,42 @@ def test_shards(spark, edge, clashing, empty):
     assert flow_sharding.rewrite(none, scratch_path(spark, "shards")).collect() == []
 
 
+def test_query_moves_near_the_least(spark, sf_dir):
+    """The registered query's placement: whole rows, gapless slots, near equal sizes, and moved bytes near the flow's least."""
+    docs = queries.table(spark, sf_dir, "documents")
+    want = collections.Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    rows = queries.QUERIES["op8_flow_sharding"](spark, sf_dir).collect()
+    assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
+    load, slots, before = [0] * queries.SHARDS, collections.defaultdict(list), [0] * queries.OLD_SHARDS
+    moved = 0
+    for r in rows:
+        old = zlib.crc32(str(r.doc_id).encode()) % queries.OLD_SHARDS
+        load[r.shard] += r["size"]
+        before[old] += r["size"]
+        moved += r["size"] * (old != r.shard)
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    largest = max(r["size"] for r in rows)
+    assert max(load) - min(load) <= largest
+    least = sum(f for (i, j), f in flow_sharding.transfers(before, flow_sharding.capacities_of(sum(load), queries.SHARDS)).items() if i != j)
+    assert abs(moved - least) <= (max(load) - min(load)) * queries.SHARDS  # sizes differ a little, so the least may be undercut
+
+
+def test_slots_of_repeated_ids_are_decided_by_the_text(spark):
+    rows = [(1, f"text {i}") for i in range(10)] * 2
+    got = []
+    for parts in (1, 4):
+        planned = flow_sharding.plan(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), F.lit(0), 1, 2)
+        got.append(sorted((r[planned.name("slot")], r.text) for r in flow_sharding.rewrite(planned, scratch_path(spark, "shards")).collect()))
+    assert got[0] == got[1]
+
+
+def test_blocks_have_no_limit(spark):
+    df = spark.createDataFrame([(i, "x" * 20) for i in range(50)], "doc_id long, text string")
+    planned = flow_sharding.plan(df, F.lit(0), flow_sharding.MOST_BLOCKS + 5, 3)
+    assert flow_sharding.rewrite(planned, scratch_path(spark, "shards")).count() == 50
+
+
 def test_untouched_shards_stay(spark):
     df = spark.createDataFrame([(i, "x" * 20) for i in range(40)], "doc_id long, text string")
     planned = flow_sharding.plan(df, (F.col("doc_id") % 4).cast("int"), 4, 4, blocks=32)
