@@ -126,6 +126,26 @@ def unique_rows(columns: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.stack(columns, 1), axis=0, return_inverse=True)[1].reshape(-1)
 
 
+def differences(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows in ascending order, each value less the one above it where all columns before it are the same."""
+    same, out = np.arange(len(columns[0])) > 0, []
+    for c in columns:
+        before = np.append(c[:1], c[:-1])
+        out.append(np.where(same, c - before, c))
+        same = same & (c == before)
+    return out
+
+
+def sums_of_differences(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The rows that differences() took apart."""
+    same, out = np.arange(len(columns[0])) > 0, []
+    for c in columns:
+        total, starts = np.cumsum(c), np.flatnonzero(~same)
+        out.append(total - np.repeat((total - c)[starts], np.diff(np.append(starts, len(c)))))
+        same = same & (out[-1] == np.append(out[-1][:1], out[-1][:-1]))
+    return out
+
+
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of runs of equal values."""
     starts = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
@@ -134,8 +154,9 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Grams:
-    """Distinct k-grams of a chunk: history (a number of the order below; one more than all stands for the begin marks), word, lower (the
-    k-gram without its oldest word), seen (training counts in the chunk), and the k-gram that ends at each token."""
+    """Distinct k-grams of a chunk in the order of (history, word): history (a number of the order below; -1 stands for the begin marks,
+    so values of histories have theirs at the end), word, lower (the k-gram without its oldest word), seen (training counts in the
+    chunk), and the k-gram that ends at each token."""
 
     history: np.ndarray
     word: np.ndarray
@@ -153,20 +174,37 @@ class Chunk:
         self.of_train = np.repeat(self.train, self.sizes)
         self.firsts = np.cumsum(self.sizes) - self.sizes
         self.words = int(tokens.max()) + 1
-        none = np.zeros(self.words, np.int32)
-        seen = np.bincount(self.tokens[self.of_train], minlength=self.words)
         #: orders[k - 1] are the k-grams.
-        self.orders = [Grams(none, np.arange(self.words, dtype=np.int32), none, seen, self.tokens)]
+        self.orders = [self._words()]
+
+    def _words(self) -> Grams:
+        none = np.zeros(self.words, np.int32)
+        return Grams(none, np.arange(self.words, dtype=np.int32), none, np.bincount(self.tokens[self.of_train], minlength=self.words), self.tokens)
+
+    def renumber(self, rank: np.ndarray) -> None:
+        """Give the words new numbers, before any longer k-grams are made."""
+        self.tokens = rank.astype(np.int32)[self.tokens]
+        self.orders = [self._words()]
 
     def packed(self) -> bytes:
-        return pack(self.doc, self.known.view(np.uint8), self.train.view(np.uint8), self.sizes, self.tokens)
+        """The chunk with words numbered by frequency, as small numbers take little room, and the way back."""
+        often = np.argsort(-np.bincount(self.tokens, minlength=self.words), kind="stable")
+        rank = np.empty(self.words, np.int64)
+        rank[often] = np.arange(self.words)
+        return pack(self.doc, self.known.view(np.uint8), self.train.view(np.uint8), self.sizes, rank[self.tokens], often)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Chunk:
+        *rest, tokens, often = unpack(data)
+        return cls(*rest, often[tokens])
 
     def grow(self) -> Grams:
         """The k-grams of the next order."""
         below = self.orders[-1]
         key = np.empty(len(self.tokens), np.int64)
         key[1:] = below.place[:-1]
-        key[self.firsts] = len(below.word)
+        key += 1
+        key[self.firsts] = 0
         key *= self.words
         key += self.tokens
         key, place = np.unique(key, return_inverse=True)
@@ -174,7 +212,7 @@ class Chunk:
         lower = np.empty(len(key), np.int32)
         lower[place] = below.place
         seen = np.bincount(place[self.of_train], minlength=len(key)).astype(np.int32)
-        self.orders.append(Grams((key // self.words).astype(np.int32), (key % self.words).astype(np.int32), lower, seen, place))
+        self.orders.append(Grams((key // self.words - 1).astype(np.int32), (key % self.words).astype(np.int32), lower, seen, place))
         return self.orders[-1]
 
 
@@ -255,7 +293,7 @@ class Reader:
 
     def __init__(self, path: str, model: Model) -> None:
         self.path, self.model = path, model
-        self.chunk = Chunk(*unpack(load(path)))
+        self.chunk = Chunk.unpacked(load(path))
         self.counts: list[np.ndarray] = []
         self.private: list[np.ndarray] = []
         self.lines: list[tuple[np.ndarray, np.ndarray]] = []
@@ -265,9 +303,15 @@ class Reader:
 
     def words(self, data: list[bytes]) -> None:
         got = [unpack(d) for d in data]  # in the order of the buckets, which is that of the words
-        self.numbers, count, private = (np.concatenate([g[i] for g in got]) for i in range(3))
-        self.counts.append(count)
-        self.private.append(private.astype(bool))
+        numbers, count, private = (np.concatenate([g[i] for g in got]) for i in range(3))
+        # from here on the chunk's words, and so its k-grams, are in the order of all words' numbers: questions are sorted, and differences small
+        turn = np.argsort(numbers)
+        rank = np.empty(len(turn), np.int64)
+        rank[turn] = np.arange(len(turn))
+        self.chunk.renumber(rank)
+        self.numbers = numbers[turn]
+        self.counts.append(count[turn])
+        self.private.append(private[turn].astype(bool))
 
     def history_counts(self, order: int) -> np.ndarray:
         """Training counts of all histories of an order, the begin marks last."""
@@ -278,10 +322,10 @@ class Reader:
         out, own = [], histories
         for k in range(order - 1, 0, -1):
             grams = self.chunk.orders[k - 1]
-            marks = own == len(grams.word)
+            marks = (own < 0) | (own >= len(grams.word))
             safe = np.where(marks, 0, own)
             out.append(np.where(marks, 0, self.numbers[grams.word[safe]]))
-            own = np.where(marks, len(self.chunk.orders[k - 2].word) if k > 1 else 0, grams.history[safe])
+            own = np.where(marks, -1, grams.history[safe])
         return out[::-1]
 
     def asks(self, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -334,8 +378,8 @@ class Reader:
         if order == 2:
             return self.model.unigrams.line
         lower, line = self.chunk.orders[order - 2].lower, self.lines[-1][0]  # lower: of histories as k-grams of the order below
-        marks = histories == len(lower)
-        return line[np.where(marks, len(line) - 1, lower[np.where(marks, 0, histories)])]
+        marks = (histories < 0) | (histories >= len(lower))
+        return line[np.where(marks, -1, lower[np.where(marks, 0, histories)])]
 
     def probabilities(self) -> np.ndarray:
         """Of each k-gram of the last order."""
@@ -391,7 +435,8 @@ def _ask(table: pa.Table, model: Model, order: int) -> pa.Table:
         if len(mine):
             starts, lengths = _runs(grams.history[mine])
             first = grams.history[mine[starts]]
-            rows.append({"chunk": path, "bucket": b, "kind": ASK, "data": pack(*reader.names(order, first), count[first], lengths, reader.numbers[grams.word[mine]], lower[mine], grams.seen[mine])})
+            names, (words,) = differences(reader.names(order, first)), differences([np.repeat(np.arange(len(first)), lengths), reader.numbers[grams.word[mine]]])[1:]
+            rows.append({"chunk": path, "bucket": b, "kind": ASK, "data": pack(*names, count[first], lengths, words, lower[mine], grams.seen[mine])})
     return _table(rows)
 
 
@@ -406,6 +451,9 @@ def _answer(table: pa.Table, model: Model, order: int) -> pa.Table:
     table = table.filter(pa.array([k == ASK for k in kind]))
     asked = [unpack(x) for x in table["data"].to_pylist()]
     n = order - 1
+    for a in asked:
+        a[:n] = sums_of_differences(a[:n])
+        a[n + 2] = sums_of_differences([np.diff(np.repeat(np.arange(len(a[n])), a[n + 1]), prepend=0), a[n + 2]])[1]
     if asked:
         names = [np.concatenate([a[i] for a in asked]) for i in range(n)]
         each = unique_rows(names)

@@ -212,6 +212,14 @@ def test_language_model(spark, monkeypatch, chunk, order):
         assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens, got[k].held_out) == (len(x), sum(uni[w] > 0 for w in x), total, k not in train)
 
 
+def test_differences_come_back():
+    r = np.random.default_rng(1)
+    rows = np.unique(r.integers(0, 6, (200, 3)) * [1, 1 << 33, 7], axis=0).T
+    apart = katz_lm.differences(list(rows))
+    assert min(int(c.min()) for c in apart) >= 0
+    assert [c.tolist() for c in katz_lm.sums_of_differences(apart)] == [c.tolist() for c in rows]
+
+
 def test_unique_rows_when_hashes_meet(monkeypatch):
     rows = [np.array([3, 1, 3, 2, 1]), np.array([1 << 40, 5, 1 << 40, 5, 6])]
     want = [0, 1, 0, 2, 3]
