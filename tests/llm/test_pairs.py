@@ -196,9 +196,24 @@ def test_exact_top_k(spark, sizes):
 def test_search_prunes_and_is_exact():
     rng = np.random.default_rng(6)
     x, q = rng.integers(-64, 64, (3000, 8)), rng.integers(-64, 64, (20, 8))
-    for big in (1, 10**6):
-        row, got, score = kdtree_topk.search(x * big, np.arange(3000), q * big, np.full(20, -1), np.full(20, kdtree_topk.NONE), 5)
+    for big in (1, 10**6, 10**7):
+        tree = kdtree_topk.Tree.build(x * big, np.arange(3000), leaf=32)
+        row, got, score, scored = kdtree_topk.search(tree, q * big, np.full(20, -1), np.full(20, kdtree_topk.NONE), 5)
         full = (q * big) @ (x * big).T
         for i in range(20):
             best = sorted(zip(-full[i], range(3000), strict=True))[:5]
             assert [(-s, j) for s, j in best] == list(zip(score[row == i].tolist(), got[row == i].tolist(), strict=True))
+        assert scored < 0.5 * full.size  # most leaves stay closed
+    inner = tree.child >= 0
+    for side in (0, 1):
+        assert (tree.low[tree.child[inner] + side] >= tree.low[inner]).all() and (tree.high[tree.child[inner] + side] <= tree.high[inner]).all()
+
+
+def test_cells_cut_every_row():
+    rng = np.random.default_rng(7)
+    x = rng.integers(-5, 5, (500, 3))
+    cells = list(kdtree_topk.halves(x, 16))
+    at = kdtree_topk.cell_of(x, cells)
+    assert len(set(at.tolist())) == 16 and set(at.tolist()) <= {n for n, _, left, _ in cells if left < 0}
+    assert kdtree_topk.cell_of(x, list(kdtree_topk.halves(x[:1], 16))).tolist() == [0] * 500
+    assert len(list(kdtree_topk.halves(np.zeros((40, 0), np.int64), 8))) == 1
