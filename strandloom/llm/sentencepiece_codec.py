@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import _chunks
 from strandloom.llm._chunks import load, pack, save, unpack
-from strandloom.llm._rows import released, small_batches
+from strandloom.llm._rows import release, released, small_batches
 from strandloom.session import drop_path, drop_tables, materialise, scratch_path
 
 MARK = "▁"
@@ -100,10 +100,15 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def _texts_out(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and bytes of strings."""
+def _texts_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes that each string shares with the one before it, up to 16; lengths of the rest; the rest): in order, strings share much."""
     raw = [w.encode() for w in words]
-    return np.array([len(w) for w in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8)
+    sizes = np.array([len(w) for w in raw], np.int64)
+    heads = np.frombuffer(b"".join([w[:16].ljust(16, b"\0") for w in raw]), np.uint8).reshape(-1, 16)
+    shared = np.zeros(len(raw), np.int64)
+    shared[1:] = np.cumprod(heads[1:] == heads[:-1], axis=1).sum(1)
+    shared[1:] = np.minimum(shared[1:], np.minimum(sizes[1:], sizes[:-1]))
+    return shared.astype(np.uint8), sizes - shared, np.frombuffer(b"".join([w[n:] for w, n in zip(raw, shared.tolist(), strict=True)]), np.uint8)
 
 
 def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -112,9 +117,12 @@ def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip((ends - sizes).tolist(), ends.tolist(), strict=True)
 
 
-def _texts_in(sizes: np.ndarray, data: np.ndarray) -> list[str]:
-    raw = data.tobytes()
-    return [raw[lo:hi].decode() for lo, hi in _spans(sizes)]
+def _texts_in(shared: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> list[str]:
+    raw, out, last = data.tobytes(), [], b""
+    for n, (lo, hi) in zip(shared.tolist(), _spans(sizes), strict=True):
+        last = last[:n] + raw[lo:hi]
+        out.append(last.decode())
+    return out
 
 
 class _Builder:
@@ -137,7 +145,6 @@ class _Builder:
         turn = by_name[np.argsort(to, kind="stable")]
         to.sort()
         words = [words[i] for i in turn]
-        sizes, data = _texts_out(words)
         ids = np.array([0 if k is None else k for k in self.docs], np.int64)
         # in the file frequent words have small numbers, which take little room; slot leads from them to the order of the buckets
         place = np.concatenate([*self.places, np.zeros(0, np.int64)])
@@ -145,11 +152,11 @@ class _Builder:
         rank, slot = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
         rank[often] = np.arange(len(words))
         slot[rank[turn]] = np.arange(len(words))
-        save(path, pack(ids, np.array([k is not None for k in self.docs], np.uint8), np.array([len(p) for p in self.places], np.int64), rank[place], slot, sizes, data, level=3))
-        cuts, at = np.searchsorted(to, np.arange(buckets + 1)), np.append(0, np.cumsum(sizes))
+        save(path, pack(ids, np.array([k is not None for k in self.docs], np.uint8), np.array([len(p) for p in self.places], np.int64), rank[place], slot, *_texts_out(words), level=3))
+        cuts = np.searchsorted(to, np.arange(buckets + 1)).tolist()
         # a row without words in some bucket: a chunk that has nothing to ask gets an answer too
         rows = [{"chunk": path, "bucket": zlib.crc32(path.encode()) % buckets, "data": None}]
-        return rows + [{"chunk": path, "bucket": b, "data": pack(sizes[lo:hi], data[at[lo] : at[hi]])} for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+        return rows + [{"chunk": path, "bucket": b, "data": pack(*_texts_out(words[lo:hi]), level=3)} for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
 
 
 def _ask(batches: Iterator[pa.RecordBatch], model: bytes, folder: str, buckets: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -196,11 +203,11 @@ def _answer(table: pa.Table, model: bytes) -> pa.Table:
 
 def _join(table: pa.Table, schema: pa.Schema, row: Callable) -> pa.Table:
     """Step 3: row(ids as text of each word, decoded text of each word, the text's places) of every text."""
-    docs, known, sizes, place, slot, w_sizes, w_data = unpack(load(table["chunk"][0].as_py()))
-    csv, decoded = [], _texts_in(w_sizes, w_data)
+    docs, known, sizes, place, slot, *words = unpack(load(table["chunk"][0].as_py()))
+    csv, decoded = [], _texts_in(*words)
     for _, data in sorted((b, d) for b, d in zip(table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True) if d is not None):
-        n, flat, other, o_sizes, o_data = unpack(data)
-        for i, text in zip(other.tolist(), _texts_in(o_sizes, o_data), strict=True):
+        n, flat, other, *changed = unpack(data)
+        for i, text in zip(other.tolist(), _texts_in(*changed), strict=True):
             decoded[len(csv) + i] = text
         said = list(map(str, flat.tolist()))
         csv += [said[lo] if hi == lo + 1 else ",".join(said[lo:hi]) for lo, hi in _spans(n)]
@@ -219,9 +226,21 @@ def _map(df: DataFrame, key: str, text: str, schema: pa.Schema, ddl: str, model:
     small_batches(spark)
     rows = df.select(df[key].cast("long").alias("k"), df[text].alias("t"))
     asked = materialise(rows.mapInArrow(lambda b: released(_ask(b, model, folder, buckets, chunk_bytes)), _ROW), "ask-words")
-    answers = asked.groupBy("bucket").applyInArrow(lambda t: _answer(t, model), _ROW)
-    out = materialise(answers.groupBy("chunk").applyInArrow(lambda t: _join(t, schema, row), ddl), "encoded")
+
+    def answer(table: pa.Table) -> pa.Table:
+        out = _answer(table, model)
+        release()
+        return out
+
+    def join(table: pa.Table) -> pa.Table:
+        out = _join(table, schema, row)
+        release()
+        return out
+
+    answers = materialise(asked.groupBy("bucket").applyInArrow(answer, _ROW), "answers")
     drop_tables(asked)
+    out = materialise(answers.groupBy("chunk").applyInArrow(join, ddl), "encoded")
+    drop_tables(answers)
     drop_path(spark, folder)
     return out
 
