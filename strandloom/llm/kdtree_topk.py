@@ -169,14 +169,14 @@ def _visit(trees: pa.Table, queries: pa.Table, k: int) -> pa.Table:
 def top_k(df: DataFrame, asks: Column, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0, k: int = 20, shard_rows: int | None = None, block: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where asks holds, its k best among all other rows.
 
-    shard_rows: at most so many rows share a tree; by default a 64th of all rows, but 1,024 at least and 65,536 at most.
+    shard_rows: at most so many rows share a tree; by default a 64th of all rows, but 8,192 at least and 65,536 at most.
     """
     spark = df.sparkSession
     whole = F.transform(df[vector], lambda x: F.floor(x.cast("double") * scale).cast("long"))
     rows = df.where(finite(vector) & df[key].isNotNull()).select(df[key].cast("long").alias("id"), whole.alias("v"), F.coalesce(asks, F.lit(False)).alias("asks"))
     rows = materialise(rows.withColumn("d", F.size("v")), "vectors")
     n = rows.count()
-    shard_rows = shard_rows or min(65_536, max(1024, n // 64))
+    shard_rows = shard_rows or min(65_536, max(8192, n // 64))
     sample = rows.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < (1 << 30) * min(1.0, SAMPLE_ROWS / max(1, n))).select("d", "v").collect()  # about SAMPLE_ROWS rows
     by: dict[int, list] = {}
     for r in sorted(sample, key=lambda r: (r.d, r.v)):
