@@ -12,9 +12,9 @@ Plan. Counts are too many for one machine, and tokens too many to shuffle as row
      word hash for its distinct words (with their training counts in the chunk).
   2. A bucket adds the counts up, numbers the words and answers each chunk.
   3. For each order k from 2 a chunk notes the answers of order k - 1 in a file beside its tokens, and asks a table partitioned by history
-     for its distinct k-grams. Left out are histories without training counts, about which nothing is to be learned, and
-     histories that no other chunk holds: the chunk counts those itself. Histories with over 1/P of all tokens are
-     partitioned by history and word, and their sums are put together from the parts, a bounded number of them.
+     for its distinct k-grams. Left out are histories without training counts, about which nothing is to be learned. Histories with
+     over 1/P of all tokens are partitioned by history and word, and their sums are put together from the parts, a bounded number
+     of them.
   4. A bucket adds up k-gram counts and answers with each count, and for each history with how many continuations have each low count and
      with what order k - 1 knows of its seen words, as whole numbers: how many have each low count, and the sum of higher ones.
   5. With the answers of the last order a chunk scores its texts, from the unigrams up.
@@ -49,7 +49,7 @@ END = np.uint64(0x5851F42D4C957F2D)
 LOW = 5
 #: Hot histories are kept for all chunks; there are fewer than this many.
 MOST_HOT = 1 << 16
-#: Kinds of rows: questions and answers; sums over a bucket; a chunk's own sums; parts of a hot history.
+#: Kinds of rows: questions and answers; sums over a bucket; a chunk's name, so that it gets an answer; parts of a hot history.
 ASK, SUMS, OWN, HOT = 0, 1, 2, 3
 _ROW = "chunk string, bucket int, kind int, data binary, h string, x array<long>"
 _SCHEMA = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()), ("h", pa.string()), ("x", pa.list_(pa.int64()))])
@@ -256,14 +256,14 @@ def _ask_words(batches: Iterator[pa.RecordBatch], folder: str, buckets: int, chu
 def _answer_words(table: pa.Table, buckets: int) -> pa.Table:
     """Step 2."""
     bucket, asked = table["bucket"][0].as_py(), [unpack(x) for x in table["data"].to_pylist()]
-    words, place, often = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True, return_counts=True)
+    words, place = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
     total = np.bincount(place, np.concatenate([a[1] for a in asked]), len(words)).astype(np.int64)
     number = np.empty(len(words), np.int64)
     number[np.argsort(-total, kind="stable")] = np.arange(len(words)) * buckets + bucket + 1  # 0 is the begin mark
     rows, at = [], 0
     for chunk, a in zip(table["chunk"].to_pylist(), asked, strict=True):
         own = place[at : at + len(a[0])]
-        rows.append({"chunk": chunk, "bucket": bucket, "kind": ASK, "data": pack(number[own], total[own], (often[own] == 1).view(np.uint8))})
+        rows.append({"chunk": chunk, "bucket": bucket, "kind": ASK, "data": pack(number[own], total[own])})
         at += len(a[0])
     rows.append({"kind": SUMS, "bucket": bucket, "x": [int(total.sum()), int((total > 0).sum()), int(total[words == END].sum()), *tally(total)]})
     return _table(rows)
@@ -288,14 +288,13 @@ class Model:
 
 
 class Reader:
-    """A chunk with what it has learned: for each order counts of its k-grams, which of them no other chunk holds, and of histories the
-    sums; all from the answers and from the chunk itself."""
+    """A chunk with what it has learned from the answers: for each order counts of its k-grams, and what counts after each history are
+    divided by and what unseen words there are multiplied with."""
 
     def __init__(self, path: str, model: Model) -> None:
         self.path, self.model = path, model
         self.chunk = Chunk.unpacked(load(path))
         self.counts: list[np.ndarray] = []
-        self.private: list[np.ndarray] = []
         self.lines: list[tuple[np.ndarray, np.ndarray]] = []
         self.numbers = np.zeros(0, np.int64)
         #: The last order's answers, to be noted.
@@ -303,7 +302,7 @@ class Reader:
 
     def words(self, data: list[bytes]) -> None:
         got = [unpack(d) for d in data]  # in the order of the buckets, which is that of the words
-        numbers, count, private = (np.concatenate([g[i] for g in got]) for i in range(3))
+        numbers, count = (np.concatenate([g[i] for g in got]) for i in range(2))
         # from here on the chunk's words, and so its k-grams, are in the order of all words' numbers: questions are sorted, and differences small
         turn = np.argsort(numbers)
         rank = np.empty(len(turn), np.int64)
@@ -311,7 +310,6 @@ class Reader:
         self.chunk.renumber(rank)
         self.numbers = numbers[turn]
         self.counts.append(count[turn])
-        self.private.append(private[turn].astype(bool))
 
     def history_counts(self, order: int) -> np.ndarray:
         """Training counts of all histories of an order, the begin marks last."""
@@ -329,10 +327,9 @@ class Reader:
         return out[::-1]
 
     def asks(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(order by bucket of the k-grams that other chunks may know about, cuts of the buckets)."""
+        """(order by bucket of the k-grams whose histories have training counts, cuts of the buckets)."""
         grams, count = self.chunk.orders[order - 1], self.history_counts(order)
-        private = np.append(self.private[order - 2], False)
-        open_ = np.flatnonzero((count[grams.history] > 0) & ~private[grams.history])
+        open_ = np.flatnonzero(count[grams.history] > 0)
         x = np.zeros(len(count), np.uint64)
         for c in self.names(order, np.arange(len(count))):
             x = mixed(x + c.astype(np.uint64) + np.uint64(1))
@@ -344,7 +341,7 @@ class Reader:
     def learn(self, order: int, answers: dict[int, bytes]) -> None:
         """Take in an order's answers by bucket. Sums of histories become at once what probabilities need of them, as sums take more room."""
         grams, d = self.chunk.grow(), self.model.discounts_of(order)
-        count, private = self.history_counts(order), np.append(self.private[order - 2], False)
+        count = self.history_counts(order)
         line, alpha = np.ones(len(count)), np.ones(len(count))
 
         def note(histories: np.ndarray, sums: np.ndarray) -> None:
@@ -354,23 +351,17 @@ class Reader:
             alpha[histories] = left / np.maximum(1 - mass / self.lines_below(order, histories), 1e-300)
 
         own, cuts = self.asks(order)
-        c, only = np.zeros(len(grams.word), np.int64), private[grams.history]
-        alone = np.flatnonzero(only & (count[grams.history] > 0))
-        c[alone] = grams.seen[alone]
-        starts, lengths = _runs(grams.history[alone])
-        note(grams.history[alone[starts]], history_sums(np.repeat(np.arange(len(starts)), lengths), c[alone], self.counts[order - 2][grams.lower[alone]], len(starts)))
+        c = np.zeros(len(grams.word), np.int64)
         for b, data in answers.items():
             mine = own[cuts[b] : cuts[b + 1]]
-            got, bits, *rest = unpack(data)
-            c[mine], only[mine] = got, np.unpackbits(bits, count=len(mine)).astype(bool)
+            c[mine], *rest = unpack(data)
             starts, _ = _runs(grams.history[mine])
             note(grams.history[mine[starts]], np.stack(rest, 1))
-        for h in np.flatnonzero(self.model.is_hot(count) & ~private):
+        for h in np.flatnonzero(self.model.is_hot(count)):
             found = self.model.hot[order - 2].get(",".join(str(int(n[0])) for n in self.names(order, np.array([h]))))
             if found:
                 note(np.array([h]), np.array([found]))
         self.counts.append(c)
-        self.private.append(only)
         self.lines.append((line, alpha))
 
     def lines_below(self, order: int, histories: np.ndarray) -> np.ndarray | float:
@@ -419,7 +410,7 @@ def _reader(table: pa.Table, model: Model, order: int) -> Reader:
 
 
 def _ask(table: pa.Table, model: Model, order: int) -> pa.Table:
-    """Step 3: note the answers of the order below and ask for k-grams. A chunk's own sums go to some bucket, which gives it a row without
+    """Step 3: note the answers of the order below and ask for k-grams. A chunk's name goes to some bucket, which gives it a row without
     data back: so a chunk that has nothing to ask isn't lost."""
     reader = _reader(table, model, order - 1)
     path = reader.path
@@ -427,8 +418,7 @@ def _ask(table: pa.Table, model: Model, order: int) -> pa.Table:
     grams = reader.chunk.grow()
     own, cuts = reader.asks(order)
     count = reader.history_counts(order)
-    private = np.append(reader.private[order - 2], False)[grams.history] & (count[grams.history] > 0)
-    rows = [{"chunk": path, "bucket": zlib.crc32(path.encode()) % model.buckets, "kind": OWN, "x": tally(grams.seen[private])}]
+    rows = [{"chunk": path, "bucket": zlib.crc32(path.encode()) % model.buckets, "kind": OWN}]
     lower = reader.counts[order - 2][grams.lower]
     for b in range(model.buckets):
         mine = own[cuts[b] : cuts[b + 1]]
@@ -443,11 +433,7 @@ def _ask(table: pa.Table, model: Model, order: int) -> pa.Table:
 def _answer(table: pa.Table, model: Model, order: int) -> pa.Table:
     """Step 4, a bucket."""
     bucket, kind = table["bucket"][0].as_py(), table["kind"].to_pylist()
-    sums, rows = np.zeros(LOW + 1, np.int64), []
-    for chunk, x, k in zip(table["chunk"].to_pylist(), table["x"].to_pylist(), kind, strict=True):
-        if k == OWN:
-            sums += np.array(x)
-            rows.append({"chunk": chunk, "bucket": -1, "kind": ASK})
+    rows = [{"chunk": chunk, "bucket": -1, "kind": ASK} for chunk, k in zip(table["chunk"].to_pylist(), kind, strict=True) if k == OWN]
     table = table.filter(pa.array([k == ASK for k in kind]))
     asked = [unpack(x) for x in table["data"].to_pylist()]
     n = order - 1
@@ -461,21 +447,20 @@ def _answer(table: pa.Table, model: Model, order: int) -> pa.Table:
         word = np.concatenate([a[n + 2] for a in asked])
         if word.max() >= 1 << 32:
             word = np.unique(word, return_inverse=True)[1]
-        _, first, place, often = np.unique(history << 32 | word, return_index=True, return_inverse=True, return_counts=True)
-        total = np.bincount(place, np.concatenate([a[n + 4] for a in asked]), len(often)).astype(np.int64)
+        _, first, place = np.unique(history << 32 | word, return_index=True, return_inverse=True)
+        total = np.bincount(place, np.concatenate([a[n + 4] for a in asked]), len(first)).astype(np.int64)
         below = np.concatenate([a[n + 3] for a in asked])[first]
         found = history_sums(history[first], total, below, int(each.max()) + 1)
         at = 0
         for chunk, (a, lo, hi) in zip(table["chunk"].to_pylist(), _spans(asked, n), strict=True):
             own = place[at : at + len(a[n + 2])]
             at += len(own)
-            rows.append({"chunk": chunk, "bucket": bucket, "kind": ASK, "data": pack(total[own], np.packbits(often[own] == 1), *found[each[lo:hi]].T)})
+            rows.append({"chunk": chunk, "bucket": bucket, "kind": ASK, "data": pack(total[own], *found[each[lo:hi]].T)})
         counts = np.concatenate([a[n] for a in asked])
         _, one = np.unique(each, return_index=True)
         for i in one[model.is_hot(counts[one])]:
             rows.append({"kind": HOT, "bucket": bucket, "h": ",".join(str(int(c[i])) for c in names), "x": [int(v) for v in found[each[i]]]})
-        sums += np.array(tally(total))
-    rows.append({"kind": SUMS, "bucket": bucket, "x": [int(v) for v in sums]})
+        rows.append({"kind": SUMS, "bucket": bucket, "x": tally(total)})
     return _table(rows)
 
 
