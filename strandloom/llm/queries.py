@@ -68,9 +68,9 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op3_embedding_dedup"] = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (
-  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
 ), reach(x, y) AS (
   SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
@@ -88,10 +88,11 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op7_exact_topk"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 20
 """
@@ -139,18 +140,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixing_sql() -> str:
-    ctes = ["""d AS (
-  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
-    CASE WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, '!!') THEN 'loud' WHEN contains(t, '$$$') OR contains(t, '%%%') THEN 'symbols'
-      WHEN contains(t, '@') OR contains(t, 'token =') THEN 'record' WHEN contains(t, '.' || chr(10)) THEN 'prose' ELSE 'short' END AS topic,
-    CASE WHEN length(t) = 0 THEN 0 ELSE length(t) - length(replace(t, ' ', '')) + 1 END::BIGINT AS n_tokens
-  FROM (SELECT *, coalesce(text, '') AS t FROM documents)
+    ctes = [f"""docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS t FROM documents),
+words AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(t, ' '))) AS w FROM docs) WHERE length(w) >= {raking_mix.LETTERS} GROUP BY w),
+anchors AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS k FROM words WHERE n * {raking_mix.RARE} <= (SELECT count(*) FROM docs) ORDER BY n DESC, w LIMIT {raking_mix.TOPICS}),
+held AS (SELECT rid, k, w, count(*) AS n FROM (SELECT rid, unnest(string_split(t, ' ')) AS w FROM docs) JOIN anchors USING (w) GROUP BY rid, k, w),
+best AS (SELECT rid, w FROM held QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n DESC, k) = 1),
+d AS (
+  SELECT doc_id, source, lang, coalesce(w, '{raking_mix.OTHER}') AS topic, CASE WHEN length(t) = 0 THEN 0 ELSE length(t) - length(replace(t, ' ', '')) + 1 END::BIGINT AS n_tokens
+  FROM docs LEFT JOIN best USING (rid)
 ), c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)"""]
     for s in raking_mix.SIDES:
         ctes.append(f"t_{s} AS (SELECT {s}, p / sum(p) OVER () AS t FROM (SELECT {s}, pow(sum(tokens), {raking_mix.TEMPER}) AS p FROM c GROUP BY {s}))")
     ctes.append("w0 AS (SELECT *, tokens AS w FROM c)")
     k = 0
-    for _ in range(raking_mix.SWEEPS):
+    for _ in range(raking_mix.MOST_SWEEPS):
         for s in raking_mix.SIDES:
             ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT x.* REPLACE (w * t / sum(w) OVER (PARTITION BY x.{s}) AS w) FROM w{k} x JOIN t_{s} USING ({s}))")
             k += 1

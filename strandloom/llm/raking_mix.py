@@ -1,13 +1,19 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
+Topics are learned from the corpus, or taken from a column. Learned topics have an anchor each: the words of four letters or more that most
+documents hold, among those that at most an eighth of all documents hold, as words in more documents tell no topic. A document's
+topic is the anchor that it holds most often; one without anchors is of topic 'other'.
+
 Token counts of the cells (source, language, topic) are raked in turn to target marginals: each sweep scales the cells of
-every source, then of every language, then of every topic to its target. A document's sampling probability is its
+every source, then of every language, then of every topic to its target, until all marginals are met or MOST_SWEEPS are done, as targets may
+contradict each other where cells are empty. A document's sampling probability is its
 cell's ratio r of raked weight to observed tokens times a factor f, at most 1. f is the one at which the expected tokens of the
 sample are the share `keep` of all: so cells keep their calibrated odds to each other, and a cell whose target is more than it has is
 taken whole. A document is drawn if a hash of its id, as a number in [0, 1), is under its probability.
 
 Targets are tempered: a value's share is its observed share to the power `temper`, normalised. Cells are few next to
-documents; they are written after every few sweeps, so plans stay short.
+documents; they are written after every few sweeps, so plans stay short. As cells taken whole can't grow, the sample's expected marginals
+differ from the targets there; marginals() reports both.
 
 Defined results: null sources and languages are values of their own, '(none)'; a null or empty text has no tokens,
 its cell's probability applies, and a cell without tokens has probability 0; rows that repeat an id share its draw; an
@@ -24,9 +30,14 @@ from strandloom.session import materialise
 
 #: Columns of the cells, in the order of raking.
 SIDES = ("source", "lang", "topic")
-TEMPER, SWEEPS, SWEEPS_A_JOB, KEEP = 0.7, 24, 6, 0.5
-#: Cells beyond this many are joined by shuffle, not broadcast.
-BROADCAST_CELLS = 20_000
+TEMPER, KEEP = 0.7, 0.5
+#: Sweeps until cells are written and looked at, sweeps at most, and how near to their targets all marginals must be.
+SWEEPS_A_JOB, MOST_SWEEPS, NEAR = 6, 24, 1e-12
+#: Learned topics, the share of documents that an anchor may be in, and its letters at least.
+TOPICS, RARE, LETTERS = 12, 8, 4
+OTHER = "other"
+#: Up to this many cells are a broadcast, of some 2 MB; more are joined by shuffle, each in so many parts.
+BROADCAST_CELLS, PARTS = 20_000, 64
 
 
 def tokens(text: Column) -> Column:
@@ -34,67 +45,112 @@ def tokens(text: Column) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def topic(text: Column) -> Column:
-    """The kind of a text by what it holds: the first that fits."""
-    has = lambda x: F.contains(text, F.lit(x))
-    return F.when(has(" | "), "table").when(has("!!"), "loud").when(has("$$$") | has("%%%"), "symbols").when(has("@") | has("token ="), "record").when(has(".\n"), "prose").otherwise("short")
+def learn_topics(df: DataFrame, text: str = "text", topics: int = TOPICS) -> list[str]:
+    """The anchors, most frequent first; ties go to the word that sorts first."""
+    n = df.count()
+    words = df.select(F.explode(F.array_distinct(F.split(df[text], " "))).alias("w")).where(F.length("w") >= LETTERS)
+    often = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") * RARE <= n)
+    return [r.w for r in often.orderBy(F.desc("n"), "w").limit(topics).collect()]
+
+
+def occurrences(text: Column, words: list[str]) -> Column:
+    """How often each word stands between spaces, as an array."""
+    apart = F.concat(F.lit(" "), F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("  ")), F.lit(" "))
+    return F.array(*(((F.length(apart) - F.length(F.replace(apart, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int") for w in words))
+
+
+def topic(counts: Column, words: list[str]) -> Column:
+    """The word with the largest count, the first of equals."""
+    names = F.array(*(F.lit(w) for w in words))
+    return F.when(F.array_max(counts) > 0, F.element_at(names, F.array_position(counts, F.array_max(counts)).cast("int"))).otherwise(OTHER)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def labelled(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, source, lang, topic, n_tokens)."""
-    value = lambda c: F.coalesce(df[c].cast("string"), F.lit("(none)")).alias(c)
-    body = F.coalesce(df[text], F.lit(""))
-    return df.select(df[key], value("source"), value("lang"), topic(body).alias("topic"), tokens(df[text]).alias("n_tokens"))
+def sides(df: DataFrame, anchors: list[str], key: str, text: str, topic_column: str | None) -> tuple[DataFrame, dict[str, str]]:
+    """df with the cell of each row in added columns, and their names."""
+    name = {s: unused(df, f"__{s}") for s in (*SIDES, "counts", "tokens")}
+    value = lambda c: F.coalesce(df[c].cast("string"), F.lit("(none)"))
+    out = df.withColumns({name["source"]: value("source"), name["lang"]: value("lang"), name["tokens"]: tokens(df[text])})
+    if topic_column:
+        return out.withColumn(name["topic"], value(topic_column)), name
+    if not anchors:
+        return out.withColumn(name["topic"], F.lit(OTHER)), name
+    out = out.withColumn(name["counts"], occurrences(df[text], anchors))
+    return out.withColumn(name["topic"], topic(F.col(name["counts"]), anchors)).drop(name["counts"]), name
 
 
-def rake(cells: DataFrame, temper: float = TEMPER, sweeps: int = SWEEPS) -> DataFrame:
+def rake(cells: DataFrame, temper: float = TEMPER, most_sweeps: int = MOST_SWEEPS) -> DataFrame:
     """cells (source, lang, topic, tokens) with target shares t_<side>, raked weight w and ratio r = w / tokens."""
     cells = cells.where("tokens > 0").withColumn("tokens", F.col("tokens").cast("double"))
-    sides = cells.select(F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("value"), "tokens") for s in SIDES))).alias("x")).select("x.*")
-    sums = sides.groupBy("side", "value").agg(F.pow(F.sum("tokens"), F.lit(temper)).alias("p")).groupBy("side").agg(F.sum("p").alias("p")).collect()
+    each = cells.select(F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("value"), "tokens") for s in SIDES))).alias("x")).select("x.*")
+    sums = each.groupBy("side", "value").agg(F.pow(F.sum("tokens"), F.lit(temper)).alias("p")).groupBy("side").agg(F.sum("p").alias("p")).collect()
     whole = {r.side: r.p for r in sums}  # three numbers
     over = {s: Window.partitionBy(s) for s in SIDES}
     w = cells.withColumns({f"t_{s}": F.pow(F.sum("tokens").over(over[s]), F.lit(temper)) / F.lit(whole.get(s, 1.0)) for s in SIDES}).withColumn("w", F.col("tokens"))
-    for done in range(sweeps):
+    for done in range(1, most_sweeps + 1):
         for s in SIDES:
             w = w.withColumn("w", F.col("w") * F.col(f"t_{s}") / F.sum("w").over(over[s]))
-        if (done + 1) % SWEEPS_A_JOB == 0 or done + 1 == sweeps:
+        if done % SWEEPS_A_JOB == 0 or done == most_sweeps:
             w = materialise(w, "raked")
+            off = [w.groupBy(s).agg((F.sum("w") / F.min(f"t_{s}") - 1).alias("x")).agg(F.max(F.abs("x")).alias("x")) for s in SIDES[:-1]]
+            if all((x.first().x or 0.0) <= NEAR for x in off):
+                break
     return w.withColumn("r", F.col("w") / F.col("tokens"))
 
 
+def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
+    """(source, lang, topic, probability) of the cells. The factor starts as if no cell were taken whole; cells whose ratio times the factor
+    reaches 1 are, and the others share what is left, until no more cells are. It only grows, so this ends."""
+    factor, taken = 0.0, -1
+    while True:
+        full = F.col("r") * factor >= 1
+        x = raked.agg(F.count_if(full).alias("n"), F.sum("tokens").alias("all"), F.sum(F.when(full, F.col("tokens"))).alias("t"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
+        if x.n == taken or not x.w:
+            break
+        factor, taken = max(factor, (keep * x["all"] - (x.t or 0.0)) / x.w), x.n
+    return raked.select(*SIDES, F.round(F.least(F.col("r") * factor, F.lit(1.0)), 9).alias("probability"))
+
+
 def draw(key: Column, seed: str = "mix") -> Column:
     """A number in [0, 1) that only the key and the seed decide."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
-    """(source, lang, topic, probability) of the cells. With the k largest ratios taken whole the factor would be (keep T - t_k) / (W - w_k), for
-    their tokens t_k and weights w_k; the right k gives the largest of these. One row for each cell is ordered here, none for documents."""
-    above = Window.orderBy(F.desc("r"), *SIDES)
-    sums = raked.select("r", F.sum("tokens").over(above).alias("t"), F.sum("w").over(above).alias("s"), F.sum("tokens").over(Window.partitionBy()).alias("all_t"), F.sum("w").over(Window.partitionBy()).alias("all_w"))
-    left = F.col("all_w") - F.col("s")
-    factor = F.greatest(keep * F.max("all_t") / F.max("all_w"), F.max(F.when(left > 1e-9 * F.col("all_w"), (keep * F.col("all_t") - F.col("t")) / left)))
-    f = sums.agg(factor.alias("f")).first().f or 0.0
-    return raked.select(*SIDES, F.round(F.least(F.col("r") * f, F.lit(1.0)), 9).alias("probability"))
-
-
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", temper: float = TEMPER, sweeps: int = SWEEPS, keep: float = KEEP, keep_all_columns: bool = False) -> DataFrame:
+def mix(
+    df: DataFrame, key: str = "doc_id", text: str = "text", temper: float = TEMPER, keep: float = KEEP, topics: int = TOPICS,
+    topic_column: str | None = None, keep_all_columns: bool = False,
+) -> DataFrame:
     """(key, source, lang, topic, n_tokens, probability, sampled) for each row; keep_all_columns: df's sampled rows instead."""
-    rows = labelled(df, key, text)
-    cells = materialise(rows.groupBy(*SIDES).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    odds = materialise(probabilities(rake(cells, temper, sweeps), keep).select(*(F.col(s).alias(f"__odds_{s}") for s in SIDES), F.col("probability").alias("__odds")), "odds")
-    if keep_all_columns:
-        value = lambda c: F.coalesce(df[c].cast("string"), F.lit("(none)"))
-        rows = df
-        on = [value("source"), value("lang"), topic(F.coalesce(df[text], F.lit("")))]
+    anchors = [] if topic_column else learn_topics(df, text, topics)
+    rows, name = sides(df, anchors, key, text, topic_column)
+    cells = materialise(rows.groupBy(*(F.col(name[s]).alias(s) for s in SIDES)).agg(F.sum(name["tokens"]).alias("tokens")), "cells")
+    chance, drawn, part = (unused(rows, x) for x in ("__probability", "__drawn", "__part"))
+    odds = probabilities(rake(cells, temper), keep).select(*(F.col(s).alias(name[s]) for s in SIDES), F.col("probability").alias(chance))
+    odds = materialise(odds, "odds")
+    on = [name[s] for s in SIDES]
+    if odds.count() <= BROADCAST_CELLS:
+        out = rows.join(F.broadcast(odds), on, "left")
     else:
-        on = [rows[s] for s in SIDES]
-    few = odds.count() <= BROADCAST_CELLS
-    meets = on[0].eqNullSafe(odds["__odds_source"]) & on[1].eqNullSafe(odds["__odds_lang"]) & on[2].eqNullSafe(odds["__odds_topic"])
-    out = rows.join(F.broadcast(odds) if few else odds, meets, "left")
-    probability = F.coalesce(odds["__odds"], F.lit(0.0))
-    drawn = draw(rows[key]) < probability
+        # a large cell's rows are dealt to many tasks
+        salted = odds.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        out = rows.withColumn(part, F.pmod(F.xxhash64(key, F.length(text)), F.lit(PARTS)).cast("int")).join(salted.hint("merge"), [*on, part], "left")
+    out = out.withColumn(chance, F.coalesce(chance, F.lit(0.0))).withColumn(drawn, draw(F.col(key)) < F.col(chance))
     if keep_all_columns:
-        return out.where(drawn).select(*(rows[c] for c in df.columns))
-    return out.select(*(rows[c] for c in rows.columns), probability.alias("probability"), drawn.alias("sampled"))
+        return out.where(drawn).select(*df.columns)
+    return out.select(key, *(F.col(name[s]).alias(s) for s in SIDES), F.col(name["tokens"]).alias("n_tokens"), F.col(chance).alias("probability"), F.col(drawn).alias("sampled"))
+
+
+def marginals(mixed: DataFrame, temper: float = TEMPER) -> DataFrame:
+    """(side, value, observed, target, expected): shares of the tokens of each source, language and topic in mix()'s rows: of all, as aimed at,
+    and in the sample on average."""
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("value")) for s in SIDES))).alias("x")
+    sums = mixed.select(each, F.col("n_tokens").cast("double").alias("n"), (F.col("n_tokens") * F.col("probability")).alias("e"))
+    sums = sums.groupBy("x.side", "x.value").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).where("n > 0")
+    whole = sums.groupBy("side").agg(F.sum("n").alias("all_n"), F.sum(F.pow("n", F.lit(temper))).alias("all_t"), F.sum("e").alias("all_e"))  # three rows
+    return sums.join(F.broadcast(whole), "side").select("side", "value", (F.col("n") / F.col("all_n")).alias("observed"), (F.pow("n", F.lit(temper)) / F.col("all_t")).alias("target"), (F.col("e") / F.col("all_e")).alias("expected"))

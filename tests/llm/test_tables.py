@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from strandloom.llm import _chunks, flow_sharding, katz_lm, queries, raking_mix, warc
 from strandloom.session import scratch_path
-from tests.llm.conftest import edge_rows, prose
+from tests.llm.conftest import CLASHES, edge_rows, prose
 
 PAGES = "page_id long, url string, html string"
 
@@ -239,33 +239,58 @@ def test_language_model_edges(edge, clashing, empty):
     assert katz_lm.score(empty, F.lit(True)).collect() == []
 
 
-def test_mixing_meets_its_targets(spark):
+def test_mixing_meets_its_targets(spark, monkeypatch):
     docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
-    rows = raking_mix.labelled(docs)
-    cells = rows.groupBy(*raking_mix.SIDES).agg(F.sum("n_tokens").alias("tokens"))
-    raked = raking_mix.rake(cells).collect()
-    for s in raking_mix.SIDES:
-        sums, want = collections.Counter(), {}
-        for r in raked:
-            sums[r[s]] += r.w
-            want[r[s]] = r[f"t_{s}"]
-        assert sum(want.values()) == pytest.approx(1)
-        assert all(sums[k] == pytest.approx(want[k], rel=1e-4) for k in want)
+    anchors = raking_mix.learn_topics(docs)
+    held = collections.Counter(w for r in docs.collect() for w in set((r.text or "").split(" ")) if len(w) >= 4)
+    most = docs.count() / 8
+    assert anchors == sorted((w for w, n in held.items() if n <= most), key=lambda w: (-held[w], w))[:12]
     out = raking_mix.mix(docs).collect()
+    texts = {r.doc_id: collections.Counter((r.text or "").split(" ")) for r in docs.collect()}
+    for r in out:
+        best = max(anchors, key=lambda w: (texts[r.doc_id][w], -anchors.index(w)))
+        assert r.topic == (best if best in texts[r.doc_id] else "other")
     assert max(r.probability for r in out) == 1 and all(0 <= r.probability <= 1 for r in out)
     expected, drawn = sum(r.probability * r.n_tokens for r in out), sum(r.n_tokens for r in out if r.sampled)
+    assert expected == pytest.approx(0.5 * sum(r.n_tokens for r in out), rel=1e-6)
     assert drawn == pytest.approx(expected, rel=0.25)
+    # without the broadcast of cells nothing changes
+    monkeypatch.setattr(raking_mix, "BROADCAST_CELLS", 0)
+    assert sorted(map(tuple, raking_mix.mix(docs).collect())) == sorted(map(tuple, out))
+
+
+def test_raking_converges(spark):
+    r = random.Random(1)
+    cells = [(f"s{i}", f"l{j}", f"t{k}", r.randint(1, 900)) for i in range(6) for j in range(3) for k in range(4)]
+    raked = raking_mix.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")).collect()
+    for s in raking_mix.SIDES:
+        sums, want = collections.Counter(), {}
+        for x in raked:
+            sums[x[s]] += x.w
+            want[x[s]] = x[f"t_{s}"]
+        assert sum(want.values()) == pytest.approx(1)
+        assert all(sums[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_marginals_and_topic_column(spark):
+    rows = [(i, "a b c d" * (1 + i % 3), f"s{i % 2}", "en" if i % 5 else "de", f"k{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, kind string")
+    out = raking_mix.mix(df, keep=0.2, topic_column="kind")
+    assert {r.topic for r in out.select("topic").collect()} == {"k0", "k1", "k2"} and out.agg(F.max("probability")).first()[0] < 1
+    for r in raking_mix.marginals(out).collect():
+        assert r.expected == pytest.approx(r.target, rel=1e-6) and 0 < r.observed < 1
 
 
 def test_mixing_edges(edge, clashing, empty):
     for df in (edge, clashing):
-        rows = raking_mix.mix(df, sweeps=2).collect()
+        rows = raking_mix.mix(df).collect()
         assert len(rows) == len(edge_rows())
         assert {r.n_tokens for r in rows if r.doc_id in (0, 1)} == {0}
         drawn = collections.Counter(r.doc_id for r in rows if r.sampled)
-        kept = raking_mix.mix(df, sweeps=2, keep_all_columns=True)
+        kept = raking_mix.mix(df, keep_all_columns=True)
         assert kept.columns == df.columns and collections.Counter(r.doc_id for r in kept.collect()) == drawn
-    assert raking_mix.mix(empty, sweeps=1).collect() == []
+        assert df is edge or {r.topic for r in kept.collect()} <= {"x"}
+    assert raking_mix.mix(empty).collect() == []
 
 
 def test_queries_and_stages_are_registered():
@@ -288,6 +313,7 @@ def test_stages_on_edges(spark, clashing, empty, small):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, clashing, small)
         assert name == "sentencepiece" or out.columns == clashing.columns
+        assert name == "sentencepiece" or all(set(r) == {"x"} for r in out.select(*CLASHES[:4]).collect())
         assert out.count() <= clashing.count()
         assert stage(spark, empty, small).collect() == []
 
