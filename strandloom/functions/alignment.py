@@ -6,7 +6,7 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DataType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from strandloom.functions.sequence import IUPAC
 
@@ -142,3 +142,15 @@ def label_track(labels: list[str], lengths: list[int]) -> str:
     for text, n in zip(labels, lengths, strict=True):
         out.append("" if n <= 0 else "│" if n == 1 else "┌" + text[: n - 2].center(n - 2, "─") + "┐")
     return "".join(out)
+
+
+def fuzzy_search(patterns: list[str]):
+    """A UDF: whether a text holds a match of any pattern, which may allow errors as in `(?:ACGT){e<=1}`; case doesn't count."""
+    @F.pandas_udf(BooleanType())
+    def search(text: pd.Series) -> pd.Series:
+        import regex
+
+        compiled = regex.compile("|".join(patterns), flags=regex.IGNORECASE | regex.ENHANCEMATCH)
+        return text.map(lambda t: t is not None and compiled.search(t) is not None).astype(bool)
+
+    return search

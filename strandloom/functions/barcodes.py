@@ -20,7 +20,7 @@ def levenshtein(a: str, b: str) -> int:
 
 
 def codes(pattern: str, distance: int, most_fails: int = 1000, most: int = 200, seed: int = 0) -> list[str]:
-    """Instances of a motif part, each at least `distance` edits from all before it; ends after most_fails misses in a row."""
+    """Instances of a motif part, each at least `distance` edits from all before it; ends after most_fails misses in all."""
     out: list[str] = []
     fails, k = 0, seed
     while fails < most_fails and len(out) < most:
@@ -28,7 +28,6 @@ def codes(pattern: str, distance: int, most_fails: int = 1000, most: int = 200,
         k += 1
         if all(levenshtein(new, x) >= distance for x in out):
             out.append(new)
-            fails = 0
         else:
             fails += 1
     return out

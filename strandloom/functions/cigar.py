@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequence import positions
+from strandloom.functions.sequence import letters
 
 TOKEN = "([0-9]*)([MIDNSHP=X])"
 # Operations that advance along the query and along the subject.
@@ -49,34 +49,32 @@ def expand(cigar: Column) -> Column:
 
 def collapse(steps: Column, abbreviate: bool = False) -> Column:
     """Run-length form of a string of steps; abbreviate leaves counts of 1 out."""
-    n = F.length(steps)
-    at = lambda i: F.substring(steps, i, F.lit(1))
-    starts = F.filter(positions(F.lit(1), n), lambda i: (i == 1) | (at(i) != at(i - 1)))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(n + 1))
-    count = lambda a, b: F.when(F.lit(abbreviate) & (b - a == 1), F.lit("")).otherwise((b - a).cast("string"))
-    return F.when(n == 0, F.lit("")).otherwise(F.array_join(F.zip_with(starts, ends, lambda a, b: F.concat(count(a, b), at(a))), ""))
+    runs = F.regexp_extract_all(steps, F.lit("(.)\\1*"), F.lit(0))
+    count = lambda r: F.when(F.lit(abbreviate) & (F.length(r) == 1), F.lit("")).otherwise(F.length(r).cast("string"))
+    return F.array_join(F.transform(runs, lambda r: F.concat(count(r), F.left(r, F.lit(1)))), "")
 
 
 def reverse_cigar(cigar: Column) -> Column:
     return F.array_join(F.reverse(F.regexp_extract_all(cigar, F.lit("[0-9]*[MIDNSHP=X]"), F.lit(0))), "")
 
 
+_KINDS = {"matches": "=", "mismatches": "X", "insertions": "I", "deletions": "D"}
+
+
 def errors(cigar: Column) -> Column:
-    """(matches, mismatches, insertions, deletions, errors) of a cigar of =, X, I and D."""
-    total = {k: op_total(cigar, op) for k, op in (("matches", "="), ("mismatches", "X"), ("insertions", "I"), ("deletions", "D"))}
-    return F.struct(*(v.alias(k) for k, v in total.items()), (total["mismatches"] + total["insertions"] + total["deletions"]).alias("errors"))
+    """(matches, mismatches, insertions, deletions, errors) of a cigar of =, X, I and D, in one pass."""
+    start = F.struct(*(F.lit(0).alias(k) for k in _KINDS))
+    step = lambda s, t: F.struct(*((s[k] + F.when(t["op"] == op, t["n"]).otherwise(0)).alias(k) for k, op in _KINDS.items()))
+    done = lambda s: F.struct(*(s[k].alias(k) for k in _KINDS), (s["mismatches"] + s["insertions"] + s["deletions"]).alias("errors"))
+    return F.aggregate(tokens(cigar), start, step, done)
 
 
 def from_alignment(query: Column, subject: Column, specific: bool = True) -> Column:
     """Steps of two gapped strings of one length; null if the lengths differ. A gap in the subject is an insertion."""
     same = F.lit("=" if specific else "M")
     other = F.lit("X" if specific else "M")
-
-    def step(i: Column) -> Column:
-        a, b = F.substring(query, i, F.lit(1)), F.substring(subject, i, F.lit(1))
-        return F.when(a == "-", "D").when(b == "-", "I").when(a == b, same).otherwise(other)
-
-    steps = F.array_join(F.transform(positions(F.lit(1), F.length(query)), step), "")
+    step = lambda a, b: F.when(a == "-", "D").when(b == "-", "I").when(a == b, same).otherwise(other)
+    steps = F.array_join(F.zip_with(letters(query), letters(subject), step), "")
     return F.when(F.length(query) == F.length(subject), steps)
 
 
@@ -95,8 +93,9 @@ def specify(cigar: Column, query: Column, subject: Column) -> Column:
 
 
 def cigar_score(cigar: Column, match: float, mismatch: float, insertion: float, deletion: float) -> Column:
-    e = errors(cigar)
-    return e["matches"] * F.lit(match) + e["mismatches"] * F.lit(mismatch) + e["insertions"] * F.lit(insertion) + e["deletions"] * F.lit(deletion)
+    weights = dict(zip(_KINDS.values(), (match, mismatch, insertion, deletion), strict=True))
+    each = F.create_map(*(F.lit(x) for op, w in weights.items() for x in (op, float(w))))
+    return F.aggregate(tokens(cigar), F.lit(0.0), lambda s, t: s + t["n"] * F.coalesce(F.try_element_at(each, t["op"]), F.lit(0.0)))
 
 
 def strand(flags: Column) -> Column:

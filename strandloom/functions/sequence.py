@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import Column
@@ -92,6 +93,11 @@ def proximal_g(seq: Column, side: Column) -> Column:
     return base_share(F.when(side == ">", F.right(seq, F.lit(1))).otherwise(F.left(seq, F.lit(1))), "G")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def positions(first: Column, last: Column) -> Column:
     """first to last; empty if last is smaller."""
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
@@ -210,26 +216,57 @@ def slug(text: Column, lower: bool = False, decimal: str = "!", space: str = "_"
 
 
 def justify(left: Column, right: Column, width: int = 140) -> Column:
-    """left and right at the two edges of a line; if they don't fit, left ends in an ellipsis."""
-    room = F.lit(width) - F.length(right)
-    shown = F.when(F.length(left) < room, F.rpad(left, room, " ")).otherwise(F.concat(F.left(left, room - 4), F.lit("... ")))
-    return F.concat(shown, right)
+    """left and right at the two edges of a line. If they don't fit, left ends in dots; with a right of over half the line, both are cut to less than
+    half of it, with dots between them."""
+    half = width // 2 - 1
+    fits = F.length(left) + F.length(right) < width
+    halves = F.concat(F.left(left, F.lit(half)), F.lit("." * (width - 2 * half)), F.right(right, F.lit(half)))
+    room = F.lit(width) - F.length(right) - 3
+    # a negative room counts from left's end, as slices do
+    cut = F.when(room >= 0, F.left(left, room)).otherwise(F.left(left, F.greatest(F.length(left) + room, F.lit(0))))
+    return F.when(fits, F.concat(left, F.lpad(right, width - F.length(left), " "))).when(F.length(right) > half, halves).otherwise(F.concat(cut, F.lit("..."), right))
+
+
+def justify_split(left: Column, right: Column, width: int = 140, split: int | None = None) -> Column:
+    """left and right at the two edges of a line. If they don't fit, left is cut at the column `split` (half the line), a space and three
+    dots follow, and right's end fills the rest."""
+    split = width // 2 if split is None else max(0, min(split, width))
+    fits = F.length(left) + F.length(right) < width
+    shown = F.left(left, F.lit(split))
+    head = F.concat(shown, F.lit(" ..."))
+    room = F.greatest(F.lit(width) - F.length(head), F.lit(0))
+    tail = F.right(right, room)
+    over = F.concat(head, F.lpad(tail, room, " "))
+    return F.when(fits, F.concat(left, F.lpad(right, width - F.length(left), " "))).otherwise(over)
+
 
+# Characters that GFF3 text writes as percent codes, beside those up to the space.
+GFF_RESERVED = "\"%&'(),;=[\\]\x7f"
 
-# Characters that GFF3 text writes as percent codes.
-GFF_RESERVED = "%;=&,\t\n\r"
+
+def _hex(c: int) -> str:
+    """Two hex digits: of signs in upper case, of controls in lower case."""
+    return f"%{c:02x}" if c < 33 else f"%{c:02X}"
 
 
 def gff_encode(text: Column) -> Column:
-    for c in GFF_RESERVED:
-        text = F.replace(text, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    """Text with percent codes for the space, controls and reserved signs."""
+    text = F.replace(text, F.lit("%"), F.lit("%25"))
+    for c in [chr(i) for i in range(33)] + [c for c in GFF_RESERVED if c != "%"]:
+        text = F.replace(text, F.lit(c), F.lit(_hex(ord(c))))
     return text
 
 
 def gff_decode(text: Column) -> Column:
-    for c in reversed(GFF_RESERVED):
-        text = F.replace(text, F.lit(f"%{ord(c):02X}"), F.lit(c))
-    return text
+    """Percent codes of two digits or upper-case letters as their characters; others stay, so codes of some controls do too. One pass from
+    the left: what a code gives is no part of another code."""
+    parts = F.split(text, "%")
+
+    def piece(x: Column) -> Column:
+        code = F.left(x, F.lit(2))
+        return F.when(x.rlike("^[0-9A-F]{2}"), F.concat(F.decode(F.unhex(code), "ISO-8859-1"), F.substring(x, F.lit(3), F.length(x)))).otherwise(F.concat(F.lit("%"), x))
+
+    return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
 
 
 def strand_flip(strand: Column) -> Column:

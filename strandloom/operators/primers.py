@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
 from strandloom.functions.statistics import logistic_down, logistic_up, logistic_updown
+from strandloom.operators.windows import windows
 
 
 def scan(regions: DataFrame, sizes: tuple[int, int], overlap: tuple[int, int] | None = (4, 8)) -> DataFrame:
@@ -86,23 +89,46 @@ def wallace(seq: Column) -> Column:
     return 64.9 + 41 * (S.count_letters(seq, "GCgc") - 16.4) / F.length(seq)
 
 
-def binding_sites(primers: DataFrame, contigs: DataFrame) -> DataFrame:
-    """(primer, contig, strand, start, end): exact hits on both strands, overlapping ones too, from (primer) and (contig, seq).
+def binding_sites(primers: DataFrame, contigs: DataFrame, substitutions: int = 0) -> DataFrame:
+    """(primer, contig, strand, start, end): hits on both strands, overlapping ones too, from (primer) and (contig, seq); with up to so many
+    other letters than the primer's.
 
-    Contigs give their windows of each primer length, which meet the primers by equality.
+    Contigs give their windows of each primer length, which meet the primers, and with substitutions the primers with any letter at so many
+    places, by equality.
     """
     own = primers.select(F.upper("primer").alias("primer")).distinct()
     both = own.select("primer", F.lit("+").alias("strand"), F.col("primer").alias("site")).unionByName(own.select("primer", F.lit("-").alias("strand"), S.reverse_complement(F.col("primer")).alias("site")))
-    lengths = [r[0] for r in own.select(F.length("primer")).distinct().collect()]  # a handful of primer lengths
-    spans = F.array(*(F.lit(n) for n in sorted(lengths))) if lengths else F.array().cast("array<int>")
-    w = contigs.withColumn("n", F.explode(spans)).withColumn("start", F.explode(S.positions(F.lit(0), F.length("seq") - F.col("n"))))
-    w = w.select("contig", "start", (F.col("start") + F.col("n")).alias("end"), F.upper(F.substring("seq", F.col("start") + 1, F.col("n"))).alias("site"))
-    return w.join(both, "site").select("primer", "contig", "strand", "start", "end")
-
-
-def amplicons(pairs: DataFrame, sites: DataFrame, least: int = 0, most: int = 1 << 30) -> DataFrame:
-    """(forward, reverse, contig, start, end, size): products of a '+' hit of forward and a later '-' hit of reverse."""
-    f = sites.where("strand = '+'").select(F.col("primer").alias("forward"), "contig", F.col("start"), F.col("start").alias("f0"))
+    lengths = sorted(r[0] for r in own.select(F.length("primer")).distinct().collect())  # a handful of primer lengths
+    out = None
+    for n in lengths:
+        w = windows(contigs.select("contig", "seq"), n).select("contig", F.col("i").alias("start"), (F.col("i") + n).alias("end"), F.upper("window").alias("window"))
+        p = both.where(F.length("primer") == n)
+        holes = [places for places in itertools.combinations(range(n), min(substitutions, n))]
+        mask = lambda c, holes=holes: F.explode(F.array(*(_with_holes(F.col(c), h) for h in holes)))
+        met = w.withColumn("site", mask("window") if substitutions else F.col("window")).join(p.withColumn("site", mask("site") if substitutions else F.col("site")), "site")
+        met = met.select("primer", "contig", "strand", "start", "end")
+        met = met.distinct() if substitutions else met
+        out = met if out is None else out.unionByName(met)
+    return contigs.select(F.lit("").alias("primer"), "contig", F.lit("").alias("strand"), F.lit(0).alias("start"), F.lit(0).alias("end")).where(F.lit(False)) if out is None else out
+
+
+def _with_holes(seq: Column, holes: tuple[int, ...]) -> Column:
+    for h in holes:
+        seq = F.overlay(seq, F.lit("_"), F.lit(h + 1))
+    return seq
+
+
+def amplicons(pairs: DataFrame, sites: DataFrame, least: int = 0, most: int = 10_000) -> DataFrame:
+    """(forward, reverse, contig, start, end, size): products of a '+' hit of forward and a later '-' hit of reverse. Hits meet only where they are
+    near enough: by stretches of `most` letters, a reverse hit being looked for in its own and the one before."""
+    f = sites.where("strand = '+'").select(F.col("primer").alias("forward"), "contig", F.col("start"), F.floor(F.col("start") / most).alias("bin"))
     r = sites.where("strand = '-'").select(F.col("primer").alias("reverse"), "contig", "end")
-    met = pairs.join(f, "forward").join(r, ["reverse", "contig"]).where("f0 < end")
+    r = r.withColumn("bin", F.explode(F.array(F.floor(F.col("end") / most), F.floor(F.col("end") / most) - 1)))
+    met = pairs.join(f, "forward").join(r, ["reverse", "contig", "bin"]).where("start < end")
     return met.select("forward", "reverse", "contig", "start", "end", (F.col("end") - F.col("start")).alias("size")).where(F.col("size").between(least, most))
+
+
+def simulate_amplification(pairs: DataFrame, contigs: DataFrame, sizes: tuple[int, int] = (10, 5000)) -> DataFrame:
+    """amplicons() of pairs (forward, reverse), whose primers may each differ from their sites in one letter."""
+    own = pairs.select(F.col("forward").alias("primer")).union(pairs.select("reverse"))
+    return amplicons(pairs.select(F.upper("forward").alias("forward"), F.upper("reverse").alias("reverse")), binding_sites(own, contigs, 1), *sizes)

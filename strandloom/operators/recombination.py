@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
+from strandloom.operators.windows import cut, windows
 from strandloom.session import materialise
 
 
@@ -52,10 +53,10 @@ def exact_arms(contigs: DataFrame, donors: DataFrame, arm: int = 35) -> DataFram
     n = F.length("seq")
     d = donors.where(n >= 2 * arm)
     ends = d.select("donor", F.col("seq").alias("dseq"), F.lit(True).alias("left"), F.left("seq", F.lit(arm)).alias("key")).unionByName(d.select("donor", F.col("seq").alias("dseq"), F.lit(False).alias("left"), F.right("seq", F.lit(arm)).alias("key")))
-    w = contigs.select("contig", "seq", F.explode(S.positions(F.lit(0), n - arm)).alias("i")).withColumn("key", F.substring("seq", F.col("i") + 1, F.lit(arm)))
-    met = w.join(ends, "key")
-    fwd = S.matching_prefix(F.col("dseq"), F.substring("seq", F.col("i") + 1, F.length("dseq")))
-    back_from = F.substring("seq", F.greatest(F.col("i") + arm - F.length("dseq"), F.lit(0)) + 1, F.least(F.length("dseq"), F.col("i") + arm))
+    w = windows(contigs.select("contig", "seq"), arm).withColumnRenamed("window", "key")
+    met = w.join(ends, "key").join(contigs.select("contig", "seq"), "contig")  # a donor's arms have few hits
+    fwd = S.matching_prefix(F.col("dseq"), cut(F.col("seq"), F.col("i"), F.length("dseq")))
+    back_from = cut(F.col("seq"), F.greatest(F.col("i") + arm - F.length("dseq"), F.lit(0)), F.least(F.length("dseq"), F.col("i") + arm))
     back = S.matching_suffix(F.col("dseq"), back_from)
     size, m = F.when(F.col("left"), fwd).otherwise(back), F.length("dseq")
     q0 = F.when(F.col("left"), 0).otherwise(m - size)

@@ -1,7 +1,7 @@
 """Nuclease targets on both strands.
 
 Every start gives at most one match, the first spacer and PAM that fit, as the motif's alternatives are tried in
-sorted order. Long contigs are cut into overlapping chunks that spread over the cluster; a match belongs to the chunk it starts in.
+sorted order. Contigs are cut into short overlapping chunks that spread over the cluster; a match belongs to the chunk it starts in.
 """
 
 from __future__ import annotations
@@ -11,37 +11,24 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import motif as M
 from strandloom.functions import sequence as S
+from strandloom.operators.windows import CHUNK, chunks
 from strandloom.session import materialise
 
 FLANK = 10
 
 
-def chunks(contigs: DataFrame, size: int, reach: int, before: int = FLANK) -> DataFrame:
-    """(contig, n, at, first, text): chunk starting at `at`; text runs from `first`, up to `before` letters earlier, to `reach` letters past
-    the chunk's end. n is the contig's length."""
-    n = F.length("seq")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    cut = contigs.select("contig", n.alias("n"), "seq", F.explode(starts).alias("at"))
-    first = F.greatest(F.col("at") - before, F.lit(0))
-    return cut.select("contig", "n", "at", first.alias("first"), F.substring("seq", first + 1, F.col("at") - first + size + reach).alias("text"))
-
-
-def search(contigs: DataFrame, motif: str, chunk: int = 1 << 16, spread: int | None = None, case: str = "ignore") -> DataFrame:
+def search(contigs: DataFrame, motif: str, chunk: int = CHUNK, spread: int | None = None, case: str = "ignore") -> DataFrame:
     """(contig, strand, start, end, upstream, downstream, seq, side, spacer, pam, motif) of every target of (contig, seq).
 
     Coordinates are on the given strand's contig, half-open from 0. Upstream of '+' (downstream of '-') is empty nearer than
-    10 letters to the contig's start. spread: repartition the chunks to so many tasks, for few long contigs. Letters other
+    10 letters to the contig's start. spread: to how many tasks chunks are dealt; 0 leaves them where they are. Letters other
     than A, C, G and T match only '.'.
     """
     m = M.parse(motif)
-    cut = chunks(contigs, chunk, m.longest + FLANK)
-    # the reverse strand's chunk has its own flanks on both sides
-    wide = chunks(contigs, chunk, m.longest + FLANK, m.longest + FLANK)
-    if spread:
-        cut, wide = cut.repartition(spread, "contig", "at"), wide.repartition(spread, "contig", "at")
-    out = _one_strand(cut.withColumn("strand", F.lit("+")), m, chunk)
-    back = wide.withColumn("text", S.reverse_complement(F.col("text"))).withColumn("strand", F.lit("-"))
-    found = out.unionByName(_one_strand(back, m, chunk))
+    reach = m.longest + FLANK
+    rows = chunks(contigs.select("contig", "seq"), chunk, reach, reach, spread)
+    sides = F.array(F.struct(F.lit("+").alias("strand"), F.col("text").alias("text")), F.struct(F.lit("-").alias("strand"), S.reverse_complement(F.col("text")).alias("text")))
+    found = _one_strand(rows.select("contig", "n", "at", "first", F.inline(sides)), m, chunk)
     return found.where(S.case_rule(F.col("seq"), case)).withColumn("seq", F.upper("seq")).withColumn("motif", F.lit(m.text))
 
 

@@ -13,6 +13,8 @@ from strandloom.plans.registry import table
 
 HEX = "0123456789abcdef"
 DNA, AMBIGUOUS, MIXED = "ACGT" * 4, "ACGTRYMKWSBDHVNA", "ACGTacgtACGTacgt"
+#: Letters for sequences with few ambiguous ones; the last digit stands for one of these, by the key.
+FEW, RARE = "ACGTACGTACGTACG?", "RYMKWSBDHVN"
 
 
 def letters_of(key: Column, prefix: str = "", alphabet: str = DNA) -> Column:
@@ -27,6 +29,19 @@ def contigs(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy(F.col("p_brand").alias("contig")).agg(F.array_join(F.transform(ordered, lambda x: x["s"]), "").alias("seq"))
 
 
+def sparse(spark: SparkSession, d: str) -> DataFrame:
+    """(id, few, cased): for each part 32 letters of which some two are ambiguous, and 32 in upper, lower or mixed case."""
+    k = F.col("id")
+    few = F.replace(letters_of(k, "r", FEW), F.lit("?"), F.substring(F.lit(RARE), (k % len(RARE) + 1).cast("int"), F.lit(1)))
+    cased = F.when(k % 3 == 0, F.upper("mixed")).when(k % 3 == 1, F.lower("mixed")).otherwise(F.col("mixed"))
+    return oligos(spark, d).select("id", few.alias("few"), cased.alias("cased"))
+
+
+SPARSE = (
+    f"sparse AS (SELECT p_partkey AS id, replace(translate(md5('r' || p_partkey), '{HEX}', '{FEW}'), '?', substr('{RARE}', (p_partkey % {len(RARE)} + 1)::INTEGER, 1)) AS few, "
+    f"CASE p_partkey % 3 WHEN 0 THEN upper(m) WHEN 1 THEN lower(m) ELSE m END AS cased FROM (SELECT p_partkey, translate(md5('m' || p_partkey), '{HEX}', '{MIXED}') AS m FROM part))"
+)
+
 CONTIGS = f"contigs AS (SELECT p_brand AS contig, string_agg(translate(md5(p_partkey::VARCHAR), '{HEX}', '{DNA}'), '' ORDER BY p_partkey) AS seq FROM part GROUP BY p_brand)"
 
 
@@ -94,5 +109,5 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
 HITS = (
     "hits AS (SELECT l_orderkey * 10 + l_linenumber AS hit, l_suppkey % 50 AS target, contig, ((l_orderkey * 37 + l_suppkey) % (length(seq) - 23))::INTEGER AS start, "
     "((l_orderkey * 37 + l_suppkey) % (length(seq) - 23))::INTEGER + 23 AS \"end\", l_quantity * 2 AS score "
-    "FROM lineitem JOIN part ON l_partkey = p_partkey JOIN contigs ON contig = p_brand WHERE l_linenumber <= 2)"
+    "FROM lineitem JOIN part ON l_partkey = p_partkey JOIN contigs ON contig = p_brand)"
 )

@@ -12,9 +12,12 @@ from strandloom.operators import offtarget as O
 from strandloom.operators import primers as P
 from strandloom.operators.components import connected_components
 from strandloom.operators.interval_join import interval_join, overlap
-from strandloom.operators.target_finder import find_targets, number_rows
+from strandloom.operators.recombination import flank_pairs
+from strandloom.operators.target_finder import distinct_targets, find_targets, number_rows
+from strandloom.plans import api
 from strandloom.plans import bridge as B
 from strandloom.plans.registry import query, table
+from strandloom.session import materialise
 
 CAS9, CPF1, FLEXIBLE = "N{17}|N{3}>NGG", "TTTN<N{19}/.{4}\\", "N{17,20}>NGG"
 
@@ -60,9 +63,7 @@ def motif_search_variable(spark, d):
 @query(f"""{_CAS9_SQL}, one AS (SELECT seq, min((contig, start, strand)) AS first, count(*) AS locations, min(spacer) AS spacer FROM targets GROUP BY seq)
   SELECT 'Target-' || (row_number() OVER (ORDER BY first) - 1) AS name, seq, spacer, locations FROM one""")
 def target_dedupe(spark, d):
-    t = _targets(spark, d)
-    one = t.groupBy("seq").agg(F.min(F.struct("contig", "start", "strand")).alias("first"), F.count("*").alias("locations"), F.min("spacer").alias("spacer"))
-    return number_rows(one, ["first"], "i").select(F.concat(F.lit("Target-"), F.col("i").cast("string")).alias("name"), "seq", "spacer", "locations")
+    return distinct_targets(_targets(spark, d)).select("name", "seq", "spacer", "locations")
 
 
 _GC = "(20 - length(translate(spacer, 'GC', ''))) * 5.0::DOUBLE"
@@ -77,7 +78,7 @@ def target_prefilter(spark, d):
 @query(f"""{_CAS9_SQL}, t AS (SELECT DISTINCT spacer FROM targets)
   SELECT a.spacer AS guide, b.spacer AS site, hamming(a.spacer, b.spacer)::INTEGER AS mismatches FROM t a, t b WHERE hamming(a.spacer, b.spacer) <= 5""")
 def offtarget_seed_join(spark, d):
-    t = _targets(spark, d).select("spacer").distinct()
+    t = materialise(_targets(spark, d).select("spacer").distinct(), "spacers")
     return O.seed_join(t.select(F.col("spacer").alias("guide"), "spacer"), t.select(F.col("spacer").alias("site"), "spacer"), 5, 20)
 
 
@@ -93,12 +94,11 @@ _TOP_SQL = f"""{_CAS9_SQL}, kept AS (SELECT contig, spacer, count(*) AS location
 def top_targets(spark, d):
     """The 20 best targets: search, filters, off-targets of each contig, guide score, weight."""
     t = _targets(spark, d).where(S.gc_percent(F.col("spacer")).between(25, 75) & ~F.contains("spacer", F.lit("TTTTT")))
-    kept = t.groupBy("contig", "spacer").agg(F.count("*").alias("locations"))
-    named = kept.withColumn("key", F.struct("contig", "spacer"))
-    pairs = O.seed_join(named.select(F.col("key").alias("guide"), "spacer"), named.select(F.col("key").alias("site"), "spacer"), 4, 20)
-    near = pairs.where("guide.contig = site.contig").withColumn("s", linear(F.col("guide.spacer"), F.col("site.spacer")))
+    kept = materialise(t.groupBy("contig", "spacer").agg(F.count("*").alias("locations")), "kept")
+    side = lambda x: kept.select("contig", F.col("spacer").alias(x), "spacer")
+    near = O.seed_join(side("guide"), side("site"), 4, 20, by=("contig",)).withColumn("s", linear(F.col("guide"), F.col("site")))
     on, off = F.sum(F.when(F.col("mismatches") == 0, F.col("s"))), F.sum(F.when(F.col("mismatches") > 0, F.col("s")))
-    g = near.groupBy("guide").agg(O.guide_score(F.coalesce(on, F.lit(0.0)), F.coalesce(off, F.lit(0.0))).alias("score")).select("guide.*", "score")
+    g = near.groupBy("contig", F.col("guide").alias("spacer")).agg(O.guide_score(F.coalesce(on, F.lit(0.0)), F.coalesce(off, F.lit(0.0))).alias("score"))
     w = g.withColumns({"guide": F.round("score", 6), "weight": F.round(registered_weight("Hsu-Zhang", F.col("score")), 6)}).join(kept, ["contig", "spacer"])
     best = w.orderBy(F.desc("weight"), "contig", "spacer").limit(20)
     rank = F.row_number().over(Window.orderBy(F.desc("weight"), "contig", "spacer")).alias("rank")
@@ -140,7 +140,7 @@ def guide_score(spark, d):
     return sums.select("target", F.round(O.guide_score(F.col("on"), F.col("off")), 6).alias("guide"))
 
 
-_HOMOLOGS = "edges AS (SELECT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_orderkey % 40 = 0)"
+_HOMOLOGS = "edges AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem)"
 
 
 @query(f"""WITH RECURSIVE {_HOMOLOGS}, sides AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), nodes AS (SELECT DISTINCT a AS node FROM sides),
@@ -176,10 +176,10 @@ def rank_targets(spark, d):
     return w.select("o_orderkey", "weight", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("weight"), "o_orderkey")).alias("rank"))
 
 
-@query("SELECT p_brand, p_partkey, k::INTEGER AS k FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part WHERE p_retailprice >= 950) WHERE k <= 5")
+@query("SELECT p_brand, p_partkey, k::INTEGER AS k FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) WHERE k <= 5")
 def topk_per_group(spark, d):
     k = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))
-    return table(spark, d, "part").where("p_retailprice >= 950").withColumn("k", k).where("k <= 5").select("p_brand", "p_partkey", "k")
+    return table(spark, d, "part").withColumn("k", k).where("k <= 5").select("p_brand", "p_partkey", "k")
 
 
 @query(f"WITH {B.FEATURES}, g AS (SELECT gene, min(length(feature) + \"end\" - start) AS gap FROM features GROUP BY gene) SELECT gene, gap, row_number() OVER (ORDER BY gap, gene)::INTEGER AS rank FROM g")
@@ -214,7 +214,7 @@ def unitag_donors(spark, d):
     return met.select("feature", "donor", F.col("t0").alias("tag_start"), found["strand"].alias("strand"))
 
 
-@query(f"""{_SEQD}, ins AS (SELECT '' AS insert UNION ALL SELECT unnest(['A', 'C', 'G', 'T'])), z AS (SELECT * FROM x WHERE substr(feature, 2)::INTEGER % 10 = 0),
+@query(f"""{_SEQD}, ins AS (SELECT '' AS insert UNION ALL SELECT unnest(['A', 'C', 'G', 'T'])), z AS (SELECT * FROM x),
   y AS (SELECT feature, insert, {_CUT('start - 24', 'start')} || insert || {_CUT('"end"', '"end" + 24')} AS donor, length({_CUT('start - 24', 'start')}) AS up_n FROM z, ins),
   b AS (SELECT *, '+' AS t_strand, donor AS s FROM y UNION ALL SELECT *, '-', reverse(translate(donor, 'ACGT', 'TGCA')) FROM y),
   w AS (SELECT feature, insert, donor, up_n, t_strand, length(donor) AS n, i, substr(s, i + 1, 23) AS w FROM (SELECT *, unnest(range(0, length(s) - 22)) AS i FROM b)),
@@ -287,7 +287,7 @@ def derive_features(spark, d):
     return x.groupBy("contig", bound("a"), bound("b")).agg(F.array_join(F.sort_array(F.collect_list("feature")), "/").alias("parents"), F.count("*").alias("n"))
 
 
-_REGIONS = "r AS (SELECT feature, start, \"end\", seq FROM x WHERE substr(feature, 2)::INTEGER % 10 = 0)"
+_REGIONS = "r AS (SELECT feature, start, \"end\", seq FROM x)"
 
 
 @query(f"""{_SEQD}, {_REGIONS}, sizes AS (SELECT unnest([18, 20]) AS size), st AS (SELECT unnest(['+', '-']) AS strand),
@@ -304,12 +304,12 @@ _OWN = "CASE " + " ".join(f"WHEN contains(r, right(s, {n})) THEN {n}" for n in r
 
 
 @query(
-    f"WITH {B.OLIGOS}, p AS (SELECT id, left(seq, (15 + id % 15)::INTEGER) AS s FROM oligos), q AS (SELECT *, reverse(translate(s, 'ACGT', 'TGCA')) AS r, (length(s) - length(translate(s, 'GC', '')))::DOUBLE / length(s) AS g FROM p) "
+    f"WITH {B.OLIGOS}, p AS (SELECT id, left(seq, (15 + id % 18)::INTEGER) AS s FROM oligos), q AS (SELECT *, reverse(translate(s, 'ACGT', 'TGCA')) AS r, (length(s) - length(translate(s, 'GC', '')))::DOUBLE / length(s) AS g FROM p) "
     f"SELECT id, true AS mask, length(s) BETWEEN 17 AND 28 AS length, {_LAST5} BETWEEN 1 AND 3 AS last5, {_CLAMP} BETWEEN 0 AND 2 AS clamp, g BETWEEN 0.25 AND 0.75 AS gc, "
     "NOT regexp_matches(s, 'A{5}|C{5}|G{5}|T{5}') AS run, " + f"{_OWN} <= 3 AS own FROM q"
 )
 def primer_checks(spark, d):
-    p = B.oligos(spark, d).select("id", F.expr("left(seq, cast(15 + id % 15 as int))").alias("s"))
+    p = B.oligos(spark, d).select("id", F.expr("left(seq, cast(15 + id % 18 as int))").alias("s"))
     return p.select("id", *(c.alias(k) for k, c in P.checks(F.col("s")).items()))
 
 
@@ -346,34 +346,32 @@ def insilico_pcr(spark, d):
     return P.amplicons(pairs, P.binding_sites(own, B.contigs(spark, d)), 10, 5000)
 
 
-@query(f"{_SITES}, m AS (SELECT contig, i, '+' AS strand FROM w WHERE s IN ('ACGAG', 'ACGAA', 'ATGAG', 'ATGAA') UNION ALL SELECT contig, i, '-' FROM w WHERE reverse(translate(s, 'ACGT', 'TGCA')) IN ('ACGAG', 'ACGAA', 'ATGAG', 'ATGAA')) SELECT contig, (i + 1)::INTEGER AS start, (i + 5)::INTEGER AS \"end\", strand, 'q_' || (row_number() OVER (ORDER BY contig, strand, i) - 1) AS id FROM m")
+@query(f"{_SITES}, m AS (SELECT contig, i, '+' AS strand FROM w WHERE s IN ('ACGTC', 'ATGTC', 'ACTTC', 'ATTTC') UNION ALL SELECT contig, i, '-' FROM w WHERE reverse(translate(s, 'ACGT', 'TGCA')) IN ('ACGTC', 'ATGTC', 'ACTTC', 'ATTTC')) SELECT contig, (i + 1)::INTEGER AS start, (i + 5)::INTEGER AS \"end\", strand, 'q0_' || (row_number() OVER (ORDER BY contig, strand, i) - 1) AS id FROM m")
 def iupac_search(spark, d):
-    """Hits of AYGAR on both strands, from 1 and closed, numbered; hits of this query can't overlap themselves."""
-    pattern = "^" + S.class_pattern("AYGAR")
-    w = B.contigs(spark, d).select("contig", F.explode(S.windows(F.col("seq"), 5)).alias("w")).select("contig", F.col("w.start").alias("i"), F.col("w.text").alias("s"))
-    hit = lambda mark, text: w.where(text.rlike(pattern)).select("contig", F.lit(mark).alias("strand"), "i")
-    both = hit("+", F.col("s")).unionByName(hit("-", S.reverse_complement(F.col("s"))))
-    return number_rows(both, ["contig", "strand", "i"], "k").select("contig", (F.col("i") + 1).alias("start"), (F.col("i") + 5).alias("end"), "strand", F.concat(F.lit("q_"), F.col("k").cast("string")).alias("id"))
+    """Hits of AYKTC on both strands, from 1 and closed, numbered; hits of this query can't overlap themselves."""
+    return api.find_sequence(B.contigs(spark, d), ["AYKTC"])
 
 
-@query("SELECT page_id, url FROM pages WHERE regexp_matches(url, 'page/1[0-9]|[?]') OR contains(url, '7')")
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(lower('>' || page_id || ' ' || coalesce(url, '')), 'page/1[0-9]|[?]|html 7|^>2')")
 def header_search(spark, d):
-    return table(spark, d, "pages").where(F.col("url").rlike("page/1[0-9]|[?]") | F.contains("url", F.lit("7"))).select("page_id", "url")
+    p = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("contig"), F.coalesce("url", F.lit("")).alias("info"), "page_id", "url")
+    return api.find_header(p, ["PAGE/1[0-9]", "[?]", "html 7", "^>2"]).select("page_id", "url")
 
 
-_ALIGN = "al AS (SELECT l_orderkey % 200 AS q, l_suppkey % 20 AS s, (l_partkey % 10)::INTEGER AS q0, (90 + l_linenumber * 2)::INTEGER AS q1, l_quantity AS n FROM lineitem WHERE l_quantity >= 35)"
+_ALIGN = "al AS (SELECT l_orderkey AS q, l_suppkey % 3 AS s, (l_partkey % 10)::INTEGER AS q0, (90 + l_linenumber * 2)::INTEGER AS q1, l_quantity AS n FROM lineitem)"
 
 
 def _alignments(spark, d):
     c = F.col
-    return table(spark, d, "lineitem").select((c("l_orderkey") % 200).alias("q"), (c("l_suppkey") % 20).alias("s"), (c("l_partkey") % 10).cast("int").alias("q0"), (90 + c("l_linenumber") * 2).cast("int").alias("q1"), c("l_quantity").alias("n"))
+    return table(spark, d, "lineitem").select(c("l_orderkey").alias("q"), (c("l_suppkey") % 3).alias("s"), (c("l_partkey") % 10).cast("int").alias("q0"), (90 + c("l_linenumber") * 2).cast("int").alias("q1"), c("l_quantity").alias("n"))
 
 
 @query(f"WITH {_ALIGN} SELECT q, s FROM al GROUP BY q, s HAVING count(*) FILTER (q0 < 3) = 1 AND count(*) FILTER (q0 >= 3 AND q1 > 97) = 1")
 def flank_pair_filter(spark, d):
     """Query and subject pairs with exactly one hit at the left edge and one at the right one."""
-    left, right = F.col("q0") < 3, (F.col("q0") >= 3) & (F.col("q1") > 97)
-    return _alignments(spark, d).groupBy("q", "s").agg(F.count_if(left).alias("l"), F.count_if(right).alias("r")).where("l = 1 and r = 1").select("q", "s")
+    a = _alignments(spark, d).select(F.col("q").alias("query"), F.col("s").alias("subject"), F.col("q0").alias("q_start"), F.col("q1").alias("q_end"), F.col("q0").alias("s_start"), F.col("q1").alias("s_end"), F.lit(0.0).alias("evalue"), F.lit(35).alias("length"))
+    donors = a.select(F.col("query").alias("donor")).distinct().withColumn("seq", F.lit("N" * 100))
+    return flank_pairs(a, donors).select(F.col("donor").alias("q"), F.col("contig").alias("s"))
 
 
 @query(f"WITH {_ALIGN} SELECT q, s, min(q0) AS q0, min(q1) AS q1 FROM al WHERE q0 < 3 AND q1 > 97 GROUP BY q, s HAVING count(*) = 1")
@@ -413,7 +411,7 @@ def expected_score(spark, d):
     return j.agg(F.round(F.sum(F.col("pq") * F.col("ps") * F.col("score")), 6).alias("expected"))
 
 
-_MSA = f"msa AS (SELECT p_brand AS grp, p_partkey AS id, translate(md5('m' || p_partkey % 7 || p_brand), '{B.HEX}', 'ACGTACGTACGTACG-') AS s FROM part WHERE p_partkey % 10 < 7), cols AS (SELECT grp, i, substr(s, i, 1) AS nt, count(*) AS n FROM msa, (SELECT unnest(range(1, 33)) AS i) GROUP BY ALL)"
+_MSA = f"msa AS (SELECT p_brand AS grp, p_partkey AS id, translate(md5('m' || p_partkey % 7 || p_brand), '{B.HEX}', 'ACGTACGTACGTACG-') AS s FROM part), cols AS (SELECT grp, i, substr(s, i, 1) AS nt, count(*) AS n FROM msa, (SELECT unnest(range(1, 33)) AS i) GROUP BY ALL)"
 
 
 def _msa_columns(spark, d):
@@ -491,7 +489,7 @@ def features_by_gene(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_type").alias("gene")).agg(F.count("*").alias("features"), F.array_join(F.sort_array(F.collect_list("p_name")), ",").alias("names"))
 
 
-@query(f"WITH {B.OLIGOS} SELECT id, i::INTEGER AS cut, left(s, i) AS l, substr(s, i + 1) AS r FROM (SELECT id, left(seq, 12) AS s, unnest(range(4, 9)) AS i FROM oligos)")
+@query(f"WITH {B.OLIGOS} SELECT id, i::INTEGER AS cut, left(s, i) AS l, substr(s, i + 1) AS r FROM (SELECT id, seq AS s, unnest(range(4, 29)) AS i FROM oligos)")
 def donor_splits(spark, d):
     x = B.oligos(spark, d).select("id", F.inline(D.splits(F.col("seq"), 4)))
     return x.select("id", F.length("left").alias("cut"), F.col("left").alias("l"), F.col("right").alias("r"))

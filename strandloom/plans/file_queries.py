@@ -8,9 +8,11 @@ from pyspark.sql.window import Window
 from strandloom.functions import cigar as C
 from strandloom.functions import sequence as S
 from strandloom.operators.target_finder import number_rows
+from strandloom.plans import api
 from strandloom.plans import bridge as B
 from strandloom.plans.registry import query, table
 from strandloom.sources import readers as R
+from strandloom.session import scratch_path
 from strandloom.sources import sinks as K
 
 
@@ -29,13 +31,16 @@ def gff_parse(spark, d):
     return rows.select("contig", "source", "type", "start", "end", "strand", "name", F.col("attributes")["Alias"].alias("alias"))
 
 
-@query(f"""WITH {B.FEATURES}, hit AS (SELECT DISTINCT 'a' || "end" AS alias FROM features WHERE regexp_matches(feature, '77') OR regexp_matches(gene, '77') OR regexp_matches('a' || "end", '77'))
-  SELECT feature FROM features WHERE 'a' || "end" IN (SELECT alias FROM hit)""")
+_GFF_TEXTS = "v AS (SELECT feature, lower(unnest([feature, gene, 'a' || \"end\"])) AS t FROM features)"
+
+
+@query(f"""WITH {B.FEATURES}, {_GFF_TEXTS}, hit AS (SELECT DISTINCT feature FROM v WHERE regexp_matches(t, '^f1$|a99$')),
+  link AS (SELECT DISTINCT t FROM v JOIN hit USING (feature))
+  SELECT DISTINCT v.feature FROM v JOIN link ON contains(v.t, link.t)""")
 def gff_search_linked(spark, d):
-    """Features with an attribute that the query matches, and those that share an alias with them."""
-    rows = R.parse_gff(_gff_lines(spark, d)).withColumn("alias", F.col("attributes")["Alias"])
-    hit = rows.where(F.exists(F.map_values("attributes"), lambda v: F.rlike(v, F.lit("77")))).select("alias").distinct()
-    return rows.join(hit, "alias", "left_semi").select(F.col("name").alias("feature"))
+    """Features with an attribute that a query matches, and those with an attribute that holds one of their linked values."""
+    rows = api.find_feature(R.parse_gff(_gff_lines(spark, d)), ["^F1$", "A99$"])
+    return rows.select(F.col("name").alias("feature"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, least(a, b) - 1 AS s_start, greatest(a, b) AS s_end, CASE WHEN a > b THEN 16 ELSE 0 END AS flags, l_tax AS evalue FROM
@@ -69,18 +74,23 @@ def sam_scan(spark, d):
     return rows.select(F.col("query").cast("long").alias("id"), C.query_length(F.col("cigar")).alias("q"), C.subject_length(F.col("cigar")).alias("s"), F.concat(F.lit("seq"), "query").alias("name"))
 
 
-@query(f"WITH {B.CONTIGS} SELECT contig, seq, 'nt=' || length(seq) AS info FROM contigs")
+@query(f"WITH {B.CONTIGS} SELECT contig, seq, 'nt=' || length(seq) || ' >x' AS info FROM contigs")
 def fasta_round_trip(spark, d):
-    """Contigs written as wrapped FASTA text, one record a row, and parsed again."""
+    """Contigs written as wrapped FASTA files and read again; a '>' inside a header starts no record."""
     c = B.contigs(spark, d).withColumn("contig", F.replace("contig", F.lit("#"), F.lit("_")))
-    text = K.fasta_text(F.col("contig"), F.col("seq"), F.concat(F.lit("nt="), F.length("seq").cast("string")), 60)
-    rows = R.parse_fasta(c.select(F.substring(text, 2, 1 << 30).alias("value")))
-    return rows.select(F.replace("contig", F.lit("_"), F.lit("#")).alias("contig"), "seq", "info")
+    text = K.fasta_text(F.col("contig"), F.col("seq"), F.concat(F.lit("nt="), F.length("seq").cast("string"), F.lit(" >x")), 60)
+    path = scratch_path(spark, "fasta")
+    K.write_text(c, text, path)
+    return R.read_fasta(spark, path).select(F.replace("contig", F.lit("_"), F.lit("#")).alias("contig"), "seq", "info")
+
+
+_CODED = "replace(" * 12 + "t" + "".join(f", '{a}', '{b}')" for a, b in (("%", "%25"), (" ", "%20"), (";", "%3B"), ("=", "%3D"), ("\"", "%22"), ("(", "%28"), (")", "%29"), ("[", "%5B"), ("]", "%5D"), ("\\", "%5C"), (",", "%2C"), ("&", "%26")))
 
 
-@query("SELECT p_partkey, replace(replace(replace(p_name || ';' || p_type || '=%', '%', '%25'), ';', '%3B'), '=', '%3D') AS encoded, p_name || ';' || p_type || '=%' AS decoded FROM part")
+@query(f"""WITH x AS (SELECT p_partkey, p_name || ';' || p_type || '=%("a",[b])\\&%41' || chr(10) AS t FROM part)
+  SELECT p_partkey, replace({_CODED}, chr(10), '%0a') AS encoded, replace(t, chr(10), '%0a') AS decoded FROM x""")
 def gff_encode(spark, d):
-    raw = F.concat("p_name", F.lit(";"), "p_type", F.lit("=%"))
+    raw = F.concat("p_name", F.lit(";"), "p_type", F.lit('=%("a",[b])\\&%41\n'))
     return table(spark, d, "part").select("p_partkey", S.gff_encode(raw).alias("encoded"), S.gff_decode(S.gff_encode(raw)).alias("decoded"))
 
 

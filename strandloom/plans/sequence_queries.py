@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from strandloom.functions import cigar as C
 from strandloom.functions import scoring, sequence as S, statistics as St
+from strandloom.operators.windows import windows
 from strandloom.plans import bridge as B
 from strandloom.plans.registry import query, table
 
@@ -71,27 +72,27 @@ _LOW, _UP = "regexp_matches(m, '[a-z]')", "regexp_matches(m, '[A-Z]')"
 
 
 @query(
-    f"WITH {B.OLIGOS}, x AS (SELECT id, substr(mixed, 1, 3) AS m FROM oligos) SELECT id, true AS c_ignore, NOT {_LOW} AS c_upper_only, NOT {_UP} AS c_lower_only, "
+    f"WITH {B.SPARSE}, x AS (SELECT id, cased AS m FROM sparse) SELECT id, true AS c_ignore, NOT {_LOW} AS c_upper_only, NOT {_UP} AS c_lower_only, "
     f"{_LOW} AS c_mixed_lower, {_UP} AS c_mixed_upper, {_LOW} AND {_UP} AS c_mixed_only FROM x"
 )
 def target_case_filter(spark, d):
-    m = F.col("mixed")
+    m = F.col("cased")
     modes = ["ignore", "upper-only", "lower-only", "mixed-lower", "mixed-upper", "mixed-only"]
-    return B.oligos(spark, d).select("id", *(S.case_rule(m, x).alias("c_" + x.replace("-", "_")) for x in modes))
+    return B.sparse(spark, d).select("id", *(S.case_rule(m, x).alias("c_" + x.replace("-", "_")) for x in modes))
 
 
-@query(f"WITH {B.OLIGOS} SELECT id, substr(amb, 1, 4) AS s FROM oligos WHERE NOT regexp_matches(substr(amb, 1, 4), '[^ACGT]')")
+@query(f"WITH {B.SPARSE} SELECT id, few AS s FROM sparse WHERE NOT regexp_matches(few, '[^ACGT]')")
 def target_ambiguity_discard(spark, d):
-    return B.oligos(spark, d).select("id", F.col("amb").alias("s")).where(~S.is_ambiguous(F.col("s")))
+    return B.sparse(spark, d).select("id", F.col("few").alias("s")).where(~S.is_ambiguous(F.col("s")))
 
 
 @query(
-    f"WITH RECURSIVE {_IUPAC}, {B.OLIGOS}, o AS (SELECT id, substr(amb, 1, 5) AS s FROM oligos), "
-    "r(id, s, n, t) AS (SELECT id, s, 0, '' FROM o UNION ALL SELECT r.id, r.s, n + 1, t || substr(b, k, 1) FROM r JOIN iupac ON l = substr(s, n + 1, 1), (SELECT unnest(range(1, 5)) AS k) WHERE n < 5 AND k <= length(b)) "
-    "SELECT id, t AS concrete FROM r WHERE n = 5"
+    f"WITH RECURSIVE {_IUPAC}, {B.SPARSE}, "
+    "r(id, s, n, t) AS (SELECT id, few, 0, '' FROM sparse UNION ALL SELECT r.id, r.s, n + 1, t || substr(b, k, 1) FROM r JOIN iupac ON l = substr(s, n + 1, 1), (SELECT unnest(range(1, 5)) AS k) WHERE n < 32 AND k <= length(b)) "
+    "SELECT id, t AS concrete FROM r WHERE n = 32"
 )
 def target_disambiguate(spark, d):
-    return B.oligos(spark, d).select("id", F.explode(S.disambiguate(F.substring("amb", 1, 5))).alias("concrete"))
+    return B.sparse(spark, d).select("id", F.explode(S.disambiguate(F.col("few"))).alias("concrete"))
 
 
 @query(f"WITH {B.OLIGOS} SELECT id, k.i::INTEGER AS start, substr(seq, k.i + 1, 8) AS text FROM oligos, (SELECT unnest(range(0, 25, 3)) AS i) k")
@@ -103,7 +104,7 @@ _KMERS = f"WITH {B.CONTIGS}, k AS (SELECT contig, substr(seq, i, 3) AS kmer FROM
 
 
 def _kmers(spark, d, k: int = 3):
-    return B.contigs(spark, d).select("contig", F.explode(S.windows(F.col("seq"), k)).alias("w")).select("contig", F.col("w.text").alias("kmer"))
+    return windows(B.contigs(spark, d), k).select("contig", F.col("window").alias("kmer"))
 
 
 @query(_KMERS + " SELECT kmer, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS freq FROM k GROUP BY kmer")
@@ -375,10 +376,20 @@ def slugs(spark, d):
     return table(spark, d, "part").select("p_partkey", S.slug(F.concat("p_name", F.lit(".x/"), "p_type")).alias("slug"))
 
 
-@query("SELECT p_partkey, rpad(p_name, (60 - length(p_type))::INTEGER, ' ') || p_type AS line FROM part WHERE length(p_name) < 60 - length(p_type)")
+_FITS, _LEFT = "length(l) + length(r) < 40", "substr(l, 1, least(length(l), 20))"
+
+
+@query(
+    "WITH t AS (SELECT p_partkey, p_name AS l, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN p_type || ' ' || p_name || ' ' || p_type ELSE right(p_type, 3) || p_brand END AS r FROM part) "
+    f"SELECT p_partkey, CASE WHEN {_FITS} THEN l || lpad(r, (40 - length(l))::INTEGER, ' ') WHEN length(r) > 19 THEN substr(l, 1, 19) || '..' || right(r, 19) ELSE substr(l, 1, 37 - length(r)) || '...' || r END AS line, "
+    f"CASE WHEN {_FITS} THEN l || lpad(r, (40 - length(l))::INTEGER, ' ') ELSE {_LEFT} || ' ...' || lpad(right(r, 36 - length({_LEFT})), (36 - length({_LEFT}))::INTEGER, ' ') END AS split_line FROM t"
+)
 def justified_lines(spark, d):
-    p = table(spark, d, "part").where(F.length("p_name") < 60 - F.length("p_type"))
-    return p.select("p_partkey", S.justify(F.col("p_name"), F.col("p_type"), 60).alias("line"))
+    """Both ways to put two texts at the edges of a line, for texts that fit and that don't."""
+    k = F.col("p_partkey") % 3
+    right = F.when(k == 0, F.col("p_type")).when(k == 1, F.concat_ws(" ", "p_type", "p_name", "p_type")).otherwise(F.concat(F.right("p_type", F.lit(3)), "p_brand"))
+    p = table(spark, d, "part").withColumn("r", right)
+    return p.select("p_partkey", S.justify(F.col("p_name"), F.col("r"), 40).alias("line"), S.justify_split(F.col("p_name"), F.col("r"), 40).alias("split_line"))
 
 
 @query("SELECT n, CASE WHEN n % 2 = 0 THEN n // 2 || 'b' ELSE n // 2 || 'a' END AS label, (CASE WHEN n % 2 = 0 THEN n // 2 ELSE n // 2 + 1 END)::INTEGER AS genome FROM (SELECT unnest(range(0, 12)) AS n)")
@@ -394,14 +405,9 @@ STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGG
 
 def translate(seq, code: str = STANDARD_CODE):
     """Amino acids of one frame; a codon with a letter other than A, C, G, T is X; a last part of a codon is left out."""
-    def acid(i):
-        codon = F.substring(seq, i, F.lit(3))
-        at = lambda k: F.instr(F.lit("TCAG"), F.substring(codon, k, 1)) - 1
-        place = at(1) * 16 + at(2) * 4 + at(3) + 1
-        return F.when(codon.rlike("^[ACGT]{3}$"), F.substring(F.lit(code), place, F.lit(1))).otherwise("X")
-
-    starts = F.filter(S.positions(F.lit(1), F.length(seq) - 2), lambda i: i % 3 == 1)
-    return F.array_join(F.transform(starts, acid), "")
+    acids = F.create_map(*(F.lit(x) for i, a in enumerate(code) for x in ("TCAG"[i // 16] + "TCAG"[i // 4 % 4] + "TCAG"[i % 4], a)))
+    codons = F.regexp_extract_all(seq, F.lit("..."), F.lit(0))
+    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(acids, c), F.lit("X"))), "")
 
 
 _AT = lambda s, i, k: f"(instr('TCAG', substr({s}, {i} + {k}, 1)) - 1)"

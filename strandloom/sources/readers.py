@@ -14,16 +14,23 @@ from strandloom.functions.sequence import gff_decode
 def read_fasta(spark: SparkSession, paths: str | list[str], stream: bool = False) -> DataFrame:
     """(contig, info, seq, file): records of plain or gzipped FASTA. A name ends at the first white space; case is kept.
 
-    Records are split at '>', so a file is read by as many tasks as it has blocks; a gzipped one by one task. A record
-    is one row: contigs of over 2 GB don't fit.
+    Records are split where a line starts with '>', so a file is read by as many tasks as it has blocks; a gzipped one by one task. A
+    record is one row: contigs of over 2 GB don't fit.
     """
-    reader = (spark.readStream if stream else spark.read).option("lineSep", ">")
+    reader = (spark.readStream if stream else spark.read).option("lineSep", RECORD)
     return parse_fasta(reader.text(paths).select("value", F.col("_metadata.file_path").alias("file")))
 
 
+#: What lies between two records of a file.
+RECORD = "\n>"
+
+
 def parse_fasta(records: DataFrame) -> DataFrame:
-    head = F.regexp_extract("value", "^([^\\r\\n]*)", 1)
-    seq = F.regexp_replace(F.regexp_replace("value", "^[^\\r\\n]*", ""), "\\s", "")
+    """Records without the '>' of their start, which only a file's first one still has. What stands before a file's first record is
+    left out."""
+    value = F.regexp_replace("value", "^>", "")
+    head = F.regexp_extract(value, "^([^\\r\\n]*)", 1)
+    seq = F.regexp_replace(F.regexp_replace(value, "^[^\\r\\n]*", ""), "\\s", "")
     extra = [c for c in records.columns if c != "value"]
     rows = records.where(F.length(F.trim("value")) > 0)
     return rows.select(F.regexp_extract(head, "^(\\S*)", 1).alias("contig"), F.trim(F.regexp_replace(head, "^\\S*", "")).alias("info"), seq.alias("seq"), *extra)
