@@ -142,7 +142,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mixing_sql() -> str:
     ctes = [f"""docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS t FROM documents),
 words AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(t, ' '))) AS w FROM docs) WHERE length(w) >= {raking_mix.LETTERS} GROUP BY w),
-anchors AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS k FROM words WHERE n * {raking_mix.RARE} <= (SELECT count(*) FROM docs) ORDER BY n DESC, w LIMIT {raking_mix.TOPICS}),
+anchors AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS k FROM words WHERE n * {raking_mix.RARE} <= (SELECT count(*) FROM docs) AND n * {raking_mix.MOST_RARE} >= (SELECT count(*) FROM docs) ORDER BY n DESC, w LIMIT {raking_mix.TOPICS}),
 held AS (SELECT rid, k, w, count(*) AS n FROM (SELECT rid, unnest(string_split(t, ' ')) AS w FROM docs) JOIN anchors USING (w) GROUP BY rid, k, w),
 best AS (SELECT rid, w FROM held QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n DESC, k) = 1),
 d AS (

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Topics are learned from the corpus, or taken from a column. Learned topics have an anchor each: the words of four letters or more that most
-documents hold, among those that at most an eighth of all documents hold, as words in more documents tell no topic. A document's
+documents hold, among those that at most an eighth and at least a thousandth of all documents hold, as others tell no topic. A document's
 topic is the anchor that it holds most often; one without anchors is of topic 'other'.
 
 Token counts of the cells (source, language, topic) are raked in turn to target marginals: each sweep scales the cells of
@@ -26,15 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.session import materialise
+from strandloom.functions.sequence import let
+from strandloom.session import drop_tables, materialise
 
 #: Columns of the cells, in the order of raking.
 SIDES = ("source", "lang", "topic")
 TEMPER, KEEP = 0.7, 0.5
 #: Sweeps until cells are written and looked at, sweeps at most, and how near to their targets all marginals must be.
 SWEEPS_A_JOB, MOST_SWEEPS, NEAR = 6, 24, 1e-12
-#: Learned topics, the share of documents that an anchor may be in, and its letters at least.
-TOPICS, RARE, LETTERS = 12, 8, 4
+#: Learned topics; an anchor is in a share of the documents between these (one in so many), and has so many letters at least.
+TOPICS, RARE, MOST_RARE, LETTERS = 12, 8, 1000, 4
 OTHER = "other"
 #: Up to this many cells are a broadcast, of some 2 MB; more are joined by shuffle, each in so many parts.
 BROADCAST_CELLS, PARTS = 20_000, 64
@@ -46,23 +47,29 @@ def tokens(text: Column) -> Column:
 
 
 def learn_topics(df: DataFrame, text: str = "text", topics: int = TOPICS) -> list[str]:
-    """The anchors, most frequent first; ties go to the word that sorts first."""
+    """The anchors, most frequent first; ties go to the word that sorts first. Words are counted by a hash of 64 bits, as numbers take less room;
+    only words that can be anchors are then looked up."""
     n = df.count()
     words = df.select(F.explode(F.array_distinct(F.split(df[text], " "))).alias("w")).where(F.length("w") >= LETTERS)
-    often = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") * RARE <= n)
-    return [r.w for r in often.orderBy(F.desc("n"), "w").limit(topics).collect()]
+    often = materialise(words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n")).where((F.col("n") * RARE <= n) & (F.col("n") * MOST_RARE >= n)), "words")
+    best = often.orderBy(F.desc("n")).limit(topics).collect()
+    if not best:
+        return []
+    names = words.withColumn("h", F.xxhash64("w")).join(often.where(F.col("n") >= best[-1].n), "h").groupBy("w").agg(F.min("n").alias("n"))
+    found = [r.w for r in names.orderBy(F.desc("n"), "w").limit(topics).collect()]
+    drop_tables(often)
+    return found
 
 
-def occurrences(text: Column, words: list[str]) -> Column:
-    """How often each word stands between spaces, as an array."""
-    apart = F.concat(F.lit(" "), F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("  ")), F.lit(" "))
-    return F.array(*(((F.length(apart) - F.length(F.replace(apart, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int") for w in words))
+def topic(text: Column, words: list[str]) -> Column:
+    """The word that the text holds most often between spaces, the first of equals; 'other' without any."""
+    order = F.create_map(*(F.lit(x) for i, w in enumerate(words) for x in (w, i)))
 
+    def best(own: Column) -> Column:
+        often = lambda w: F.struct((-F.size(F.filter(own, lambda x: x == w))).alias("n"), F.try_element_at(order, w).alias("k"), w.alias("w"))
+        return F.array_min(F.transform(F.array_intersect(own, F.array(*(F.lit(w) for w in words))), often))["w"]
 
-def topic(counts: Column, words: list[str]) -> Column:
-    """The word with the largest count, the first of equals."""
-    names = F.array(*(F.lit(w) for w in words))
-    return F.when(F.array_max(counts) > 0, F.element_at(names, F.array_position(counts, F.array_max(counts)).cast("int"))).otherwise(OTHER)
+    return F.coalesce(let(F.split(F.coalesce(text, F.lit("")), " "), best), F.lit(OTHER))
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -74,15 +81,12 @@ def unused(df: DataFrame, name: str) -> str:
 
 def sides(df: DataFrame, anchors: list[str], key: str, text: str, topic_column: str | None) -> tuple[DataFrame, dict[str, str]]:
     """df with the cell of each row in added columns, and their names."""
-    name = {s: unused(df, f"__{s}") for s in (*SIDES, "counts", "tokens")}
+    name = {s: unused(df, f"__{s}") for s in (*SIDES, "tokens")}
     value = lambda c: F.coalesce(df[c].cast("string"), F.lit("(none)"))
     out = df.withColumns({name["source"]: value("source"), name["lang"]: value("lang"), name["tokens"]: tokens(df[text])})
     if topic_column:
         return out.withColumn(name["topic"], value(topic_column)), name
-    if not anchors:
-        return out.withColumn(name["topic"], F.lit(OTHER)), name
-    out = out.withColumn(name["counts"], occurrences(df[text], anchors))
-    return out.withColumn(name["topic"], topic(F.col(name["counts"]), anchors)).drop(name["counts"]), name
+    return out.withColumn(name["topic"], topic(df[text], anchors) if anchors else F.lit(OTHER)), name
 
 
 def rake(cells: DataFrame, temper: float = TEMPER, most_sweeps: int = MOST_SWEEPS) -> DataFrame:
