@@ -226,16 +226,15 @@ def _grouped(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     # numbers follow the smallest ids, so the smallest number of a component belongs to its smallest id
     classes = materialise(number_rows(classes, ["rep", "print", "one", "two", "weight"], "node"), "classes")
     spread = classes.select("node", "weight", F.explode(F.array_distinct("buckets")).alias("bucket"))
-    several = materialise(spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub", "n"), "buckets")
+    several = materialise(spread.groupBy("bucket").agg(F.min(F.struct("node", "weight")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub", "n"), "buckets")
     shared = materialise(spread.join(several, "bucket").select("bucket", "node", "weight", "hub", "n"), "shared")
     drop_tables(several)
     own = shared.select("node").distinct().join(classes.select("node", F.col("rep").alias("id"), "print"), "node")
     bodies = materialise(rows.join(own, ["id", "print"]).groupBy("node").agg(F.min("text").alias("text")), "bodies")
 
-    weights = classes.select(F.col("node").alias("a"), F.col("weight").alias("wa"))
-    stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("weight").alias("wb"), "bucket", "n")
-    hubs = stars.select("a").distinct().join(weights, "a")
-    links = _verified(stars.join(hubs, "a"), bodies, threshold)
+    hub = F.col("hub.node")
+    stars = shared.where(F.col("node") != hub).select(hub.alias("a"), F.col("hub.weight").alias("wa"), F.col("node").alias("b"), F.col("weight").alias("wb"), "bucket", "n")
+    links = _verified(stars, bodies, threshold)
     components = connected_components(links)
     at = shared.select("bucket", "node", "weight").join(components, "node", "left").withColumn("c", F.coalesce("component", "node"))
     spans = at.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.sum("weight").alias("sum")).where("low <> high")
