@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -154,3 +155,80 @@ def fuzzy_search(patterns: list[str]):
         return text.map(lambda t: t is not None and compiled.search(t) is not None).astype(bool)
 
     return search
+
+
+_COUNTS = _struct(substitutions=_INT, insertions=_INT, deletions=_INT)
+
+
+@F.pandas_udf(_COUNTS)
+def error_counts(first: pd.Series, second: pd.Series) -> pd.DataFrame:
+    """Substitutions, insertions and deletions of the best match of the first text, as a pattern, at the start of the second."""
+    import regex
+
+    def one(a: str, b: str) -> tuple:
+        return (None,) * 3 if a is None or b is None else regex.match(f"(?:{a}){{e}}", b, flags=regex.BESTMATCH | regex.IGNORECASE).fuzzy_counts
+
+    return pd.DataFrame([one(a, b) for a, b in zip(first, second, strict=True)], columns=_COUNTS.names)
+
+
+def identity(first: str, second: str, least: float = 0.8) -> float:
+    """1 less the errors of the shorter text against the longer one, as a pattern with IUPAC letters, over the longer one's length; 0 with more errors
+    than `least` allows. Of equally long texts the one with the longer pattern is the pattern."""
+    import regex
+
+    from strandloom.functions.sequence import class_pattern
+    from strandloom.functions.words import fuzzy_pattern
+
+    if len(first) == len(second):
+        shorter, longer = (first, second) if len(class_pattern(first)) < len(class_pattern(second)) else (second, first)
+    else:
+        shorter, longer = sorted((first, second), key=len)
+    if not longer:
+        return 0.0
+    pattern = fuzzy_pattern(longer, None, None, None, int(len(longer) * max(0, min(1, 1 - least))))
+    m = regex.match(pattern, shorter, flags=regex.IGNORECASE | regex.BESTMATCH)
+    return (len(longer) - sum(m.fuzzy_counts)) / len(longer) if m else 0.0
+
+
+@F.pandas_udf(DoubleType())
+def percent_identity(first: pd.Series, second: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else identity(a, b) for a, b in zip(first, second, strict=True)], dtype=float)
+
+
+def match_cigar(text: str, pattern: str, errors: int, specific: bool = False, abbreviated: bool = False) -> str | None:
+    """The cigar of the best match of an IUPAC pattern in a text, with up to so many errors, from its own traceback over the matched letters;
+    None without a match."""
+    import regex
+
+    from strandloom.functions.sequence import class_pattern
+
+    m = regex.search(f"(?:{class_pattern(pattern)}){{e<={errors}}}", text, flags=regex.IGNORECASE | regex.BESTMATCH)
+    if m is None:
+        return None
+    a, b = pattern, m[0]
+    fits = lambda x, y: y.upper() in IUPAC.get(x.upper(), x) or x == "."
+    cost = [[(i + j, "D" if i else "I") for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            same = fits(a[i - 1], b[j - 1])
+            cost[i][j] = min((cost[i - 1][j - 1][0] + (not same), "=" if same else "X"), (cost[i - 1][j][0] + 1, "D"), (cost[i][j - 1][0] + 1, "I"), key=lambda x: x[0])
+    i, j, steps = len(a), len(b), ""
+    while i or j:
+        step = cost[i][j][1]
+        steps = (step if specific or step in "DI" else "M") + steps
+        i, j = i - (step in "=XD"), j - (step in "=XI")
+    runs = [(len(list(g)), k) for k, g in itertools.groupby(steps)]
+    return "".join(("" if abbreviated and n == 1 else str(n)) + k for n, k in runs)
+
+
+def label_rows(labels: list[str], lengths: list[int], names: list[str], rows: list[str]) -> str:
+    """A track of labels over named rows of letters."""
+    width = max((len(n) for n in names), default=0)
+    return "\n".join([" " * (width + 1) + label_track(labels, lengths), *(f"{n:>{width}} {r}" for n, r in zip(names, rows, strict=True))])
+
+
+def donor_tracks(upstream: str, insert: str, downstream: str, targets: list[tuple[str, int]]) -> str:
+    """A donor's arms and insert as a track, its letters, and the targets on it, each at its place."""
+    whole = upstream + insert + downstream
+    track = label_track(["us", "insert", "ds"], [len(upstream), len(insert), len(downstream)])
+    return "\n".join([track, whole, *(" " * at + text for text, at in targets)])

@@ -277,3 +277,13 @@ def upside_down(text: Column) -> Column:
     """Text turned by half a circle, for the letters that have a turned form."""
     # Letters and their turned forms.
     return F.reverse(F.translate(text, "abcdefghijklmnopqrstuvwyz", "ɐqɔpǝɟƃɥᴉɾʞlɯuodbɹsʇnʌʍʎz"))
+
+
+def has_right_match(a: Column, b: Column, length: int) -> Column:
+    """1 if so many last letters agree, else 0."""
+    return F.when(matching_suffix(a, b) >= length, 1).otherwise(0)
+
+
+def flattened(nested: Column, remove_null: bool = False) -> Column:
+    out = F.flatten(nested)
+    return F.array_compact(out) if remove_null else out

@@ -159,3 +159,19 @@ def karlin_altschul_k(steps: dict[int, float], lam: float, h: float, most: int =
         if part < least:
             break
     return lam_unit * math.exp(-2 * sigma) / (h * tilt)
+
+
+def search_space(m: Column, n: Column) -> Column:
+    return m * n
+
+
+def estimated_expect(score: Column, query_length: Column, k: float, lam: float, h: float, database: float, sequences: int) -> Column:
+    """The E-value of a raw score from effective lengths of query and database."""
+    kk, ll, hh, db = (F.lit(float(x)) for x in (k, lam, h, database))
+    length = hsp_length(kk, query_length, db, hh)
+    return raw_score_expect(score, kk, ll, effective_query_length(query_length, length, kk), effective_database_length(db, length, F.lit(sequences), kk))
+
+
+def pair_probabilities(query: dict[str, float], database: dict[str, float]) -> dict[tuple[str, str], float]:
+    """The chance of each pair of letters."""
+    return {(a, b): p * q for a, p in query.items() for b, q in database.items()}

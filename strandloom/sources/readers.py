@@ -165,3 +165,40 @@ def parse_clustal(lines: DataFrame) -> DataFrame:
 def read_scores(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A tab-separated table of weights with '#' comments."""
     return spark.read.csv(path, sep="\t", comment="#", schema=schema)
+
+
+def last_of_each(contigs: DataFrame, order: str = "number", name: str = "contig") -> DataFrame:
+    """contigs with the last of the records that share a name, by a column that tells their order in the file."""
+    others = [c for c in contigs.columns if c not in (name, order)]
+    return contigs.groupBy(name).agg(F.max_by(F.struct(*others), order).alias("x")).select(name, "x.*")
+
+
+def parse_gff_places(lines: DataFrame, kind: str, tag: str = "ID") -> DataFrame:
+    """(name, contig, start, end, strand) of one type's features by a plain search for the tag: up to the next semicolon. Lines without it are
+    left out."""
+    f = F.split("value", "\t")
+    at = lambda i: F.get(f, F.lit(i))
+    name = F.regexp_extract(at(8), f"(?:^|;)\\s*{tag}=([^;]*)", 1)
+    rows = lines.where(~F.startswith("value", F.lit("#")) & (F.size(f) > 8) & (at(2) == kind))
+    return rows.select(name.alias("name"), at(0).alias("contig"), (at(3).cast("int") - 1).alias("start"), at(4).cast("int").alias("end"), at(6).alias("strand")).where("name <> ''")
+
+
+def parse_codes(blocks: DataFrame) -> DataFrame:
+    """(number, name, codon, acid, start) of genetic codes, one block of text a row: a line with number and name, then `label = letters` lines of
+    acids (AAs), starts (Starts) and the three bases (Base1 to Base3)."""
+    line = lambda label: F.regexp_extract("value", f"(?m)^\\s*{label}\\s*=\\s*(\\S+)", 1)
+    parts = [S.letters(line(x)) for x in ("Base1", "Base2", "Base3", "AAs", "Starts")]
+    rows = blocks.where(F.col("value").rlike("^\\s*\\d+\\."))
+    head = rows.select(F.regexp_extract("value", "^\\s*(\\d+)\\.", 1).cast("int").alias("number"), F.trim(F.regexp_extract("value", "^\\s*\\d+\\.\\s*([^(\\r\\n]*)", 1)).alias("name"), F.inline(F.arrays_zip(*(p.alias(f"c{i}") for i, p in enumerate(parts)))))
+    cols = head.columns[2:]
+    return head.select("number", "name", F.concat(*cols[:3]).alias("codon"), F.col(cols[3]).alias("acid"), (F.col(cols[4]) == "M").alias("start"))
+
+
+def read_codes(spark: SparkSession, path: str) -> DataFrame:
+    """Genetic codes of a file whose blocks are parted by empty lines."""
+    return parse_codes(spark.read.option("lineSep", "\n\n").text(path))
+
+
+def known_results(spark: SparkSession, path: str, rows: DataFrame, key: str) -> DataFrame:
+    """rows with what an earlier run wrote about their key; null where it knows nothing."""
+    return rows.join(spark.read.parquet(path), key, "left")

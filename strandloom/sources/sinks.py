@@ -55,3 +55,27 @@ def genbank_text(name: Column, seq: Column, annotations: Column, date: str = "01
 
 def write_text(df: DataFrame, text: Column, path: str) -> None:
     df.select(text.alias("value")).write.text(path)
+
+
+def scored_spacer_text(name: Column, spacer: Column, pam: Column, fields: dict[str, Column]) -> Column:
+    """A FASTA record of a spacer whose header tells motif, counts, scores, weight and rank, whatever is given, and the PAM."""
+    said = [F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in fields.items()]
+    return F.concat(F.lit(">"), F.concat_ws(" ", name, *said, F.concat(F.lit("pam="), pam)), F.lit("\n"), spacer)
+
+
+def donor_place_text(feature: Column, contig: Column, strand: Column, segments: Column, sep: str = ":") -> Column:
+    """feature:contig:strand:start..end:insert:start..end; segments is an array of the parts' texts."""
+    return F.concat_ws(sep, feature, contig, strand, segments)
+
+
+def donor_text(name: Column, seq: Column, spacers: Column, places: Column, fields: dict[str, Column] | None = None) -> Column:
+    """A FASTA record of a donor: number of spacers, other fields as far as they are known, and its places in order."""
+    said = [F.when(v.isNotNull(), F.concat(F.lit(f"{k}="), v.cast("string"))) for k, v in (fields or {}).items()]
+    return F.concat(F.lit(">"), F.concat_ws(" ", name, F.concat(F.lit("spacers="), spacers.cast("string")), *said, F.array_sort(places)), F.lit("\n"), seq)
+
+
+def alignment_text(name: Column, rows: Column, marks: Column, consensus: Column) -> Column:
+    """A multiple alignment as text: its rows (name, seq), then marks of conservation and the consensus below them, all behind names of one width."""
+    width = F.array_max(F.transform(rows, lambda r: F.length(r["name"])))
+    line = lambda n, t: F.concat(F.rpad(n, width, " "), F.lit(" "), t)
+    return F.concat(name, F.lit("\n"), F.array_join(F.transform(rows, lambda r: line(r["name"], r["seq"])), "\n"), F.lit("\n"), line(F.lit(""), marks), F.lit("\n"), line(F.lit(""), consensus))
