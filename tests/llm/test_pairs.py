@@ -174,6 +174,11 @@ def test_quantised_bound_holds():
     exact, got = unit @ unit.T, (a.q.astype(float) @ a.q.T.astype(float)) * a.scale[:, None] * a.scale
     slack = a.lost[:, None] * (a.part + a.lost) + a.part[:, None] * a.lost
     assert (np.abs(exact - got) <= slack + 1e-12).all()
+    for threshold in (0.3, 0.9, 1.0):
+        sure, maybe = np.zeros(exact.shape, bool), np.zeros(exact.shape, bool)
+        for i, j, s in embedding_dedup.bounded(a, a, threshold):
+            sure[i, j], maybe[i, j] = s, True
+        assert (exact[sure] >= threshold).all() and (exact[~maybe] < threshold).all()
 
 
 @pytest.mark.parametrize("sizes", [(8192, 2048), (16, 3)])
