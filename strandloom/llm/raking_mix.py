@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Topics are learned from the corpus, or taken from a column. Learned topics have an anchor each: the words of four letters or more that most
-documents hold, among those that at most an eighth and at least a thousandth of all documents hold, as others tell no topic. A document's
+documents hold, among those that at most an eighth and at least a 200th of all documents hold, as others tell no topic. A document's
 topic is the anchor that it holds most often; one without anchors is of topic 'other'.
 
 Token counts of the cells (source, language, topic) are raked in turn to target marginals: each sweep scales the cells of
@@ -35,7 +35,9 @@ TEMPER, KEEP = 0.7, 0.5
 #: Sweeps until cells are written and looked at, sweeps at most, and how near to their targets all marginals must be.
 SWEEPS_A_JOB, MOST_SWEEPS, NEAR = 6, 24, 1e-12
 #: Learned topics; an anchor is in a share of the documents between these (one in so many), and has so many letters at least.
-TOPICS, RARE, MOST_RARE, LETTERS = 12, 8, 1000, 4
+TOPICS, RARE, MOST_RARE, LETTERS = 12, 8, 200, 4
+#: Words are first counted in so many groups.
+GROUPS = 1 << 18
 OTHER = "other"
 #: Up to this many cells are a broadcast, of some 2 MB; more are joined by shuffle, each in so many parts.
 BROADCAST_CELLS, PARTS = 20_000, 64
@@ -47,18 +49,16 @@ def tokens(text: Column) -> Column:
 
 
 def learn_topics(df: DataFrame, text: str = "text", topics: int = TOPICS) -> list[str]:
-    """The anchors, most frequent first; ties go to the word that sorts first. Words are counted by a hash of 64 bits, as numbers take less room;
-    only words that can be anchors are then looked up."""
+    """The anchors, most frequent first; ties go to the word that sorts first. A word can't be in more documents than all words of its group, so
+    words are counted by themselves only in groups that reach an anchor's least count; groups are at most GROUPS rows."""
     n = df.count()
     words = df.select(F.explode(F.array_distinct(F.split(df[text], " "))).alias("w")).where(F.length("w") >= LETTERS)
-    often = materialise(words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n")).where((F.col("n") * RARE <= n) & (F.col("n") * MOST_RARE >= n)), "words")
-    best = often.orderBy(F.desc("n")).limit(topics).collect()
-    if not best:
-        return []
-    names = words.withColumn("h", F.xxhash64("w")).join(often.where(F.col("n") >= best[-1].n), "h").groupBy("w").agg(F.min("n").alias("n"))
-    found = [r.w for r in names.orderBy(F.desc("n"), "w").limit(topics).collect()]
-    drop_tables(often)
-    return found
+    words = words.withColumn("g", F.pmod(F.xxhash64("w"), F.lit(GROUPS)).cast("int"))
+    heavy = materialise(words.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") * MOST_RARE >= n).select("g"), "groups")
+    often = words.join(F.broadcast(heavy), "g", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
+    found = often.where((F.col("n") * RARE <= n) & (F.col("n") * MOST_RARE >= n)).orderBy(F.desc("n"), "w").limit(topics).collect()
+    drop_tables(heavy)
+    return [r.w for r in found]
 
 
 def topic(text: Column, words: list[str]) -> Column:
