@@ -4,9 +4,12 @@ Writer: a gzip member for each record. Of records with equal payloads (of at lea
 key is a `response`, the others are `revisit` records that refer to it. Tasks write files of their own and
 return rows of a manifest; the manifest's commit decides which attempts count.
 
-Reader: each task takes a byte range, looks for the gzip magic, accepts a candidate if it inflates to a WARC
-header, and then owns all members that start inside its range, reading over its end where the last one does. Files are
-reached through pyarrow's file systems (local paths, HDFS, object stores), under the shared scratch folder.
+Reader: each task takes a byte range and looks for the gzip magic. A candidate counts if it inflates to a record's header (version line,
+record id and content length), and if members follow each other from it, each whole with its check sum, to the end of the range: so an
+archive that lies uncompressed inside a record isn't taken for records. The task then owns all members that start inside its
+range, reading over its end where the last one does. The writer never lets such a thing come up: where a record holds the gzip magic, the
+compressed stream is broken between its bytes. Files are reached through pyarrow's file systems (local paths, HDFS, object stores), under
+the shared scratch folder.
 
 Defined results: a null payload is empty; a null url is written as urn:page:<key>; a null key sorts after all
 others and is read back as null; rows that repeat the smallest key with an equal payload are all responses.
@@ -16,22 +19,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.llm._chunks import shared_fs
 from strandloom.session import materialise, scratch_path
 
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
-_READ = 1 << 18
+_READ, _HEAD = 1 << 18, 1 << 16
 
 
 def digest(payload: bytes) -> str:
@@ -90,8 +94,9 @@ class _Window:
         self.file, self.at, self.data = file, at, b""
 
     def more(self) -> bool:
+        """Read on: as much again as is held, so that a large member is copied a few times only."""
         self.file.seek(self.at + len(self.data))
-        got = self.file.read(_READ)
+        got = self.file.read(max(_READ, len(self.data)))
         self.data += got
         return bool(got)
 
@@ -101,27 +106,59 @@ class _Window:
 
 
 def _inflate(window: _Window, only_head: bool) -> tuple[bytes, int] | None:
-    """The member at the window's start: (its content, its compressed length), or None if there is none. only_head:
-    the content may end after the first bytes."""
+    """The member at the window's start: (its content, its compressed length), or None if there is none or its check sum is wrong. only_head: the
+    content may end after the header."""
     z, out, used = zlib.decompressobj(31), [], 0
     try:
         while not z.eof:
             if used == len(window.data) and not window.more():
                 return None
-            chunk = window.data[used : used + 64 if only_head and not out else None]
+            chunk = window.data[used : used + 1024 if only_head else None]
             got = z.decompress(chunk)
             used += len(chunk) - len(z.unused_data)
             if got:
                 out.append(got)
-            if only_head and sum(map(len, out)) >= 6:
+            if only_head and (sum(map(len, out)) >= _HEAD or b"\r\n\r\n" in b"".join(out)):
                 break
     except zlib.error:
         return None
     return b"".join(out), used
 
 
+def is_record(head: bytes) -> bool:
+    """Whether bytes start as a record does."""
+    lines = head.partition(b"\r\n\r\n")[0].split(b"\r\n")
+    names = {x.partition(b":")[0].strip().lower(): x.partition(b":")[2].strip() for x in lines[1:]}
+    return re.fullmatch(rb"WARC/1\.\d+", lines[0]) is not None and names.get(b"warc-record-id", b"").startswith(b"<") and names.get(b"content-length", b"").isdigit()
+
+
+def _starts_record(window: _Window) -> bool:
+    while len(window.data) < len(MAGIC) and window.more():
+        pass
+    if not window.data.startswith(MAGIC):
+        return False
+    head = _inflate(window, True)
+    return head is not None and is_record(head[0])
+
+
+def _holds(file, at: int, end: int) -> bool:
+    """Whether members follow each other from a candidate to the range's end. A record that starts well and can't be read to its end is damaged."""
+    window = _Window(file, at)
+    while window.at < end:
+        window.data or window.more()
+        if not window.data:
+            return window.at > at
+        if not _starts_record(window):
+            return False
+        if (got := _inflate(window, False)) is None:
+            raise ValueError(f"a member at byte {window.at} is cut off or damaged")
+        window.skip_to(window.at + got[1])
+    window.data or window.more()
+    return not window.data or _starts_record(window)
+
+
 def members(file, start: int, end: int) -> Iterator[bytes]:
-    """Contents of the gzip members with a WARC header that start in [start, end)."""
+    """Contents of the gzip members with a record that start in [start, end)."""
     window, chained = _Window(file, start), False
     while window.at < end:
         found = window.data.find(MAGIC)
@@ -135,9 +172,10 @@ def members(file, start: int, end: int) -> Iterator[bytes]:
         if window.at >= end:
             return
         if not chained or found:
-            head = _inflate(window, True)
-            if head is None or not head[0].startswith(b"WARC/1"):
+            # a file's first member needs no proof: what follows it may be damaged, which is an error and no reason to pass it over
+            if not _starts_record(window) or window.at and not _holds(file, window.at, end):
                 window.skip_to(window.at + 1)
+                chained = False
                 continue
         got = _inflate(window, False)
         if got is None:
@@ -147,8 +185,18 @@ def members(file, start: int, end: int) -> Iterator[bytes]:
         chained = True
 
 
+def build_member(record: bytes, level: int) -> bytes:
+    """A gzip member of a record. Between the bytes of a gzip magic in it the stream is flushed, so no other member can be seen in it."""
+    z, out, at = zlib.compressobj(level, zlib.DEFLATED, 31), [], 0
+    while (found := record.find(MAGIC, at)) >= 0:
+        out += [z.compress(record[at : found + 1]), z.flush(zlib.Z_SYNC_FLUSH)]
+        at = found + 1
+    return b"".join([*out, z.compress(record[at:]), z.flush()])
+
+
 def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", revisit_bytes: int = 0, level: int = 4, file_bytes: int = 1 << 30) -> DataFrame:
     """Write a record for each row under path; the manifest: (path, bytes, records)."""
+    shared_fs(path)
     body = F.coalesce(df[payload].cast("binary"), F.lit(b""))
     rows = df.select(df[key].cast("long").alias("id"), df[url].alias("url"), body.alias("body")).withColumn("sha", F.sha1("body"))
     slim = rows.where(F.octet_length("body") >= revisit_bytes).select("id", "sha")
@@ -158,7 +206,7 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payl
     joined = rows.join(repeats, (rows.sha == repeats.sha) & rows.id.eqNullSafe(repeats.rid), "left").select("id", "url", "body", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, folder = pyarrow.fs.FileSystem.from_uri(path)
+        fs, folder = shared_fs(path)
         fs.create_dir(folder, recursive=True)
         out, name, size, records = None, "", 0, 0
         done: list[tuple[str, int, int]] = []
@@ -167,8 +215,7 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payl
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out, size, records = fs.open_output_stream(f"{folder}/{name}", compression=None), 0, 0
-                z = zlib.compressobj(level, zlib.DEFLATED, 31)
-                data = z.compress(build_record(*row, row[3] is not None)) + z.flush()
+                data = build_member(build_record(*row, row[3] is not None), level)
                 out.write(data)
                 size, records = size + len(data), records + 1
                 if size >= file_bytes:
@@ -194,7 +241,7 @@ def read(manifest: DataFrame, split_bytes: int = 4 << 20, payloads: bool = True,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fs, inside = pyarrow.fs.FileSystem.from_uri(name)
+                fs, inside = shared_fs(name)
                 rows, held = [], 0
                 with fs.open_input_file(inside) as file:
                     for data in members(file, start, min(size, start + split_bytes)):

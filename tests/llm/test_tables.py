@@ -63,6 +63,45 @@ def test_members_are_owned_once_and_damage_is_an_error():
         assert got == records
     with pytest.raises(ValueError):
         list(warc.members(io.BytesIO(data[:-5]), 0, len(data)))
+    with pytest.raises(ValueError):
+        list(warc.members(io.BytesIO(data[:-5]), len(data) // 2, len(data)))
+
+
+def stored(record):
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    return z.compress(record) + z.flush()
+
+
+def test_an_archive_inside_a_record_is_no_record():
+    """Neither the writer's members, which hide it, nor foreign ones, in which it lies as it is."""
+    inner = b"".join(stored(warc.build_record(i, "u", prose(i, 20).encode(), None, False)) for i in range(20))
+    records = [warc.build_record(i, "u", inner if i % 3 == 1 else prose(i, 40).encode(), None, False) for i in range(9)]
+    for pack in (lambda r: warc.build_member(r, 4), stored):
+        packed = [pack(r) for r in records]
+        data = b"".join(packed)
+        assert [zlib.decompress(p, 31) for p in packed] == records
+        for split in (700, 20_000, 10**7):
+            got = [m for s in range(0, len(data), split) for m in warc.members(io.BytesIO(data), s, min(len(data), s + split))]
+            assert pack is stored and split < len(inner) or got == records
+    assert warc.MAGIC in b"".join(map(stored, records[1:2]))[10:] and warc.MAGIC not in warc.build_member(records[1], 0)[10:]
+
+
+def test_a_member_larger_than_many_splits():
+    records = [warc.build_record(1, "u", random.Random(1).randbytes(3_000_000), None, False), warc.build_record(2, "u", b"x", None, False)]
+    data = b"".join(warc.build_member(r, 1) for r in records)
+    got = [m for s in range(0, len(data), 50_000) for m in warc.members(io.BytesIO(data), s, min(len(data), s + 50_000))]
+    assert got == records
+
+
+def test_only_whole_headers_count():
+    good = warc.build_record(1, "u", b"x", None, False)
+    assert warc.is_record(good) and not any(map(warc.is_record, (b"WARC/1", b"WARC/1.1\r\n\r\n", good.replace(b"WARC/1.1", b"WARC/x"), good.replace(b"Content-Length", b"Content-Size"), good.replace(b"WARC-Record-ID", b"ID"))))
+
+
+def test_shared_folders_have_known_schemes():
+    with pytest.raises(ValueError):
+        _chunks.shared_fs("nosuchscheme://bucket/x")
+    assert _chunks.shared_fs("/tmp/x")[1] == "/tmp/x"
 
 
 def test_flow_moves_the_fewest_bytes():
