@@ -46,7 +46,7 @@ from strandloom.session import drop_tables, materialise
 
 WORDS, BANDS, ROWS, SIMILAR = 5, 24, 4, 0.8
 #: Buckets of up to this many classes are compared pair by pair; a tile has two blocks of about so many classes and shingles.
-SMALL, BLOCK, BLOCK_WEIGHT = 12, 1024, 2_000_000
+SMALL, BLOCK, BLOCK_WEIGHT = 12, 512, 1_000_000
 #: Classes of a bucket that are compared with its hub in one group.
 STAR = 256
 PLACES = BANDS * ROWS
