@@ -132,3 +132,34 @@ def simulate_amplification(pairs: DataFrame, contigs: DataFrame, sizes: tuple[in
     """amplicons() of pairs (forward, reverse), whose primers may each differ from their sites in one letter."""
     own = pairs.select(F.col("forward").alias("primer")).union(pairs.select("reverse"))
     return amplicons(pairs.select(F.upper("forward").alias("forward"), F.upper("reverse").alias("reverse")), binding_sites(own, contigs, 1), *sizes)
+
+
+def pair_primers(forward: DataFrame, reverse: DataFrame, product: tuple[int, int] | None = (300, 700), most_tm: float = 3.0, most_end: int = 3, by: str = "name") -> DataFrame:
+    """forward's and reverse's columns (as f_<name> and r_<name>) of the pairs of one region, size: whose product is in the range, whose melting
+    temperatures differ by at most most_tm and whose 3' ends lie in the other by at most most_end letters. Both need p_start, p_end, primer, tm.
+
+    Pairs meet by region, by stretches of the contig and by degrees, so a large region spreads over many tasks; ends are prepared once
+    for each primer. A range of None sets no bound.
+    """
+    low, high = product or (0, 0)
+    width = max(50, (high - low) // 4)
+    end = most_end + 1
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        named = [F.col(c).alias(f"{mark}_{c}") for c in df.columns if c != by]
+        return df.select(by, *named, F.right("primer", F.lit(end)).alias(f"{mark}__end"), S.reverse_complement(F.col("primer")).alias(f"{mark}__rc"))
+
+    degree = F.floor(F.col("r_tm") / most_tm)
+    f = side(forward, "f").withColumn("__degree", F.floor(F.col("f_tm") / most_tm)).withColumn("__bin", F.floor(F.col("f_p_start") / width) if product else F.lit(0).cast("long"))
+    r = side(reverse, "r").withColumn("__degree", F.explode(F.array(degree - 1, degree, degree + 1)))
+    r = r.withColumn("__bin", F.explode(F.sequence(F.floor((F.col("r_p_end") - high) / width), F.floor((F.col("r_p_end") - low) / width))) if product else F.lit(0).cast("long"))
+    # without a range a region has a few degrees only, so its forward primers are dealt out
+    parts = 1 if product else 32
+    f = f.withColumn("__part", F.pmod(F.xxhash64("f_primer", "f_p_start"), F.lit(parts)))
+    r = r.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    met = f.join(r, [by, "__degree", "__bin", "__part"]).withColumn("size", F.col("r_p_end") - F.col("f_p_start"))
+    good = F.abs(F.col("f_tm") - F.col("r_tm")) <= most_tm
+    if product:
+        good = good & F.col("size").between(low, high)
+    met = met.where(good).where(~F.contains("r__rc", F.col("f__end")) & ~F.contains("f__rc", F.col("r__end")))
+    return met.drop("__degree", "__bin", "__part", "f__end", "r__end", "f__rc", "r__rc")

@@ -139,7 +139,7 @@ def design_targets(contigs: DataFrame, features: DataFrame, motifs: list[str], m
 def design_primers(contigs: DataFrame, regions: DataFrame, sizes: tuple[int, int] = (19, 26), subset: int = 1000, product: tuple[int, int] = (300, 700)) -> DataFrame:
     """(region, forward, reverse, size, weight): pairs for each region (name, contig, f_start, f_end, r_start, r_end).
 
-    Each side's primers are checked and its `subset` best by weight are kept; pairs then meet by region only.
+    Each side's primers are checked and its `subset` best by weight are kept; pairs then meet by region, place and temperature.
     """
     from strandloom.functions.thermodynamics import dimer_dg, duplex
 
@@ -156,9 +156,6 @@ def design_primers(contigs: DataFrame, regions: DataFrame, sizes: tuple[int, int
         k = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("w"), "primer", "p_start"))
         return w.withColumn("k", k).where(F.col("k") <= subset).drop("k")
 
-    f, r = side("+", "f_start", "f_end"), side("-", "r_start", "r_end")
-    met = f.select("name", *(F.col(c).alias(f"f_{c}") for c in ("p_start", "primer", "tm", "w", "dg"))).join(r.select("name", *(F.col(c).alias(f"r_{c}") for c in ("p_end", "primer", "tm", "w", "dg"))), "name")
-    size = F.col("r_p_end") - F.col("f_p_start")
-    good = met.where(size.between(*product) & (F.abs(F.col("f_tm") - F.col("r_tm")) <= 3) & (S.three_prime_complement(F.col("f_primer"), F.col("r_primer")) <= 3))
-    weight = P.joint_weight(P.pair_weight(size, F.least("f_dg", "r_dg"), F.col("f_tm") - F.col("r_tm")), F.col("f_w"), F.col("r_w"), F.col("f_primer") == F.col("r_primer"))
-    return good.select("name", F.col("f_primer").alias("forward"), F.col("r_primer").alias("reverse"), size.alias("size"), weight.alias("weight"))
+    met = P.pair_primers(side("+", "f_start", "f_end"), side("-", "r_start", "r_end"), product)
+    weight = P.joint_weight(P.pair_weight(F.col("size"), F.least("f_dg", "r_dg"), F.col("f_tm") - F.col("r_tm")), F.col("f_w"), F.col("r_w"), F.col("f_primer") == F.col("r_primer"))
+    return met.select("name", F.col("f_primer").alias("forward"), F.col("r_primer").alias("reverse"), "size", weight.alias("weight"))

@@ -470,6 +470,19 @@ def best_structure(spark, d):
     return best.select("l_orderkey", F.round("s.dg", 6).alias("dg"), F.round(-F.col("s.minus_tm"), 6).alias("tm"))
 
 
+@query(
+    f"WITH {B.OLIGOS}, p AS (SELECT id, left(seq, 20) AS s, (id % 4) AS side, id // 40 AS reg, (id * 37 % 1000)::INTEGER AS at, 50 + (id % 23) / 2.0::DOUBLE AS tm FROM oligos), "
+    "m AS (SELECT f.id AS f, r.id AS r, f.s AS fs, r.s AS rs, r.at + 20 - f.at AS size FROM p f JOIN p r ON f.reg = r.reg AND f.side < 2 AND r.side >= 2 WHERE r.at + 20 - f.at BETWEEN 300 AND 700 AND abs(f.tm - r.tm) <= 3) "
+    "SELECT f, r, size::INTEGER AS size FROM m WHERE NOT contains(reverse(translate(rs, 'ACGT', 'TGCA')), right(fs, 4)) AND NOT contains(reverse(translate(fs, 'ACGT', 'TGCA')), right(rs, 4))"
+)
+def primer_pairs(spark, d):
+    """Primers of a region that pair by size, temperature and ends."""
+    k = F.col("id")
+    at = (k * 37 % 1000).cast("int")
+    p = B.oligos(spark, d).select("id", F.left("seq", F.lit(20)).alias("primer"), (k % 4).alias("side"), F.floor(k / 40).alias("name"), at.alias("p_start"), (at + 20).alias("p_end"), (50 + (k % 23) / 2.0).alias("tm"))
+    return P.pair_primers(p.where("side < 2").drop("side"), p.where("side >= 2").drop("side")).select(F.col("f_id").alias("f"), F.col("r_id").alias("r"), "size")
+
+
 @query("SELECT o_custkey, o_orderkey AS best, o_totalprice AS weight FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1")
 def distinct_designs(spark, d):
     """One design for each key, that of the largest weight."""

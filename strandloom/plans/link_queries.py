@@ -399,3 +399,92 @@ def default_scores(spark, d):
     position = scoring.position_percent((F.col("id") % 30).cast("int"), F.lit(0), F.lit(30), F.when(F.col("id") % 2 == 0, "+").otherwise("-"))
     s = A.default_scores(["CFD", "CRISPRater"])
     return B.guides(spark, d).select("id", s["CFD"].alias("cfd"), s["CRISPRater"].alias("crisprater"), F.round(position, 6).alias("position"))
+
+
+_EDITS = """e AS (SELECT l_orderkey * 10 + l_linenumber AS edit, (l_linenumber - 1)::INTEGER AS round, 'c' || (l_orderkey % 50) AS contig, (l_partkey % 400)::INTEGER AS start, (l_partkey % 400 + 10)::INTEGER AS "end",
+  'c' || (l_orderkey % 50) AS after_contig, (l_suppkey % 400)::INTEGER AS after_start, (l_suppkey % 400 + 6)::INTEGER AS after_end, repeat('A', 10) || l_returnflag AS up, 'CCCC' AS down, repeat('A', 10) || l_returnflag AS after_up, 'CCCC' AS after_down
+  FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1))"""
+
+
+@query(f"""WITH {_EDITS} SELECT a.edit AS a, b.edit AS b FROM e a JOIN e b ON a.after_contig = b.contig AND b.round = a.round + 1 AND a.after_start < b."end" AND b.start < a.after_end
+  WHERE 1 - levenshtein(a.after_up, b.up) / 11.0 > 0.95""")
+def edit_links(spark, d):
+    """Edits of neighbouring rounds at one place whose flanks agree."""
+    from pyspark.sql.window import Window
+
+    from strandloom.operators.rounds import links
+
+    c = F.col
+    one = table(spark, d, "lineitem").withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey"))).where("k = 1")
+    contig, start, after = F.concat(F.lit("c"), (c("l_orderkey") % 50).cast("string")), (c("l_partkey") % 400).cast("int"), (c("l_suppkey") % 400).cast("int")
+    flank = lambda x: F.concat(F.lit("A" * 10), x)
+    e = one.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("edit"), (c("l_linenumber") - 1).cast("int").alias("round"), contig.alias("contig"), start.alias("start"), (start + 10).alias("end"), contig.alias("after_contig"), after.alias("after_start"), (after + 6).alias("after_end"), flank(c("l_returnflag")).alias("up"), F.lit("CCCC").alias("down"), flank(c("l_returnflag")).alias("after_up"), F.lit("CCCC").alias("after_down"))
+    return links(e, 0.95, 32)
+
+
+@query(f"""WITH {B.CONTIGS}, {B.FEATURES}, sides AS (SELECT contig, '+' AS strand, seq FROM contigs UNION ALL SELECT contig, '-', {_RC('seq')} FROM contigs),
+  win AS (SELECT contig, strand, length(seq) AS n, i, substr(seq, i + 1, 23) AS w FROM (SELECT *, unnest(range(0, length(seq) - 22)) AS i FROM sides)),
+  t AS (SELECT contig, n, (CASE WHEN strand = '+' THEN i ELSE n - i - 23 END)::INTEGER AS ts, (CASE WHEN strand = '+' THEN i ELSE n - i - 23 END)::INTEGER + 23 AS te, left(w, 20) AS spacer FROM win WHERE substr(w, 22, 2) = 'GG'),
+  x AS (SELECT feature, f.contig, n, ts, te, spacer, least(start, ts) - 3 AS xs, greatest("end", te) + 3 AS xe FROM t JOIN features f ON f.contig = t.contig AND ts < "end" AND start < te)
+  SELECT feature, ts AS t_start, spacer, xs::INTEGER AS x_start, xe::INTEGER AS x_end FROM x WHERE xs >= 0 AND xe <= n AND xe - xs <= 70""")
+def expanded_features(spark, d):
+    """Features widened to hold each target on them."""
+    from strandloom.plans import design
+
+    f = B.features(spark, d).select("feature", "contig", "start", "end", "strand")
+    return design.expand_features(f, B.contigs(spark, d), ["N{20}>NGG"], "center_both", 3, 0, 70).select("feature", "t_start", "spacer", "x_start", "x_end")
+
+
+@query(f"""WITH {B.CONTIGS}, {B.OLIGOS}, sides AS (SELECT seq FROM contigs UNION ALL SELECT {_RC('seq')} FROM contigs), win AS (SELECT substr(seq, i + 1, 23) AS w FROM (SELECT *, unnest(range(0, length(seq) - 22)) AS i FROM sides)),
+  s AS (SELECT left(w, 20) AS site FROM win WHERE substr(w, 22, 2) = 'GG'), t AS (SELECT id AS target, left(seq, 20) AS spacer FROM oligos UNION ALL SELECT 1000000000 + row_number() OVER (ORDER BY site), site FROM (SELECT DISTINCT site FROM s)),
+  m AS (SELECT target, hamming(site, spacer) AS h FROM s JOIN t ON hamming(site, spacer) <= 4)
+  SELECT spacer, count(*) FILTER (h = 0) AS places, count(*) FILTER (h > 0) AS near, round((20 - length(translate(spacer, 'GC', ''))) * 5.0::DOUBLE, 6) AS gc FROM t LEFT JOIN m USING (target) GROUP BY target, spacer""")
+def evaluated_spacers(spark, d):
+    """How often each spacer stands in the contigs, and how many places are near."""
+    from strandloom.operators.target_finder import find_targets
+    from strandloom.plans import design
+
+    sites = find_targets(B.contigs(spark, d), ["N{20}>NGG"]).select("spacer").distinct().select(F.concat(F.lit("s"), "spacer").alias("target"), "spacer")
+    own = B.oligos(spark, d).select(F.col("id").cast("string").alias("target"), F.left("seq", F.lit(20)).alias("spacer"))
+    return design.evaluate_spacers(own.unionByName(sites), B.contigs(spark, d), ["N{20}>NGG"], 4).select("spacer", "places", "near", F.round("gc", 6).alias("gc"))
+
+
+@query("SELECT l_orderkey, l_linenumber, 5 * (l_linenumber % 2)::INTEGER AS q_start, (5 * (l_linenumber % 2) + 10 + l_linenumber + 4)::INTEGER AS q_end, repeat('M', (10 + l_linenumber)::INTEGER) || 'DD' || 'IIII' AS steps FROM lineitem")
+def cigar_spans(spark, d):
+    """The stretch of the query that an alignment covers, and its steps one by one."""
+    from strandloom.functions import cigar as C
+
+    n = F.col("l_linenumber")
+    body = F.concat((n + 10).cast("string"), F.lit("M2D4I"))
+    whole = F.concat(F.when(n % 2 == 1, "5H").otherwise(""), body)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.query_span(whole)["start"].alias("q_start"), C.query_span(whole)["end"].alias("q_end"), C.expand(body).alias("steps"))
+
+
+@query("SELECT p_partkey, 's' || p_partkey AS pattern, p_brand AS contig, (p_partkey % 90)::INTEGER AS start, p_type AS site, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand, p_size AS mismatches FROM part")
+def site_rows(spark, d):
+    p = table(spark, d, "part")
+    text = lambda c: c.cast("string")
+    line = F.concat_ws("\t", F.concat(F.lit("s"), text(F.col("p_partkey"))), "p_brand", text(F.col("p_partkey") % 90), "p_type", F.when(F.col("p_size") % 2 == 0, "+").otherwise("-"), text(F.col("p_size")))
+    rows = R.parse_sites(p.select(line.alias("value")))
+    return rows.select(F.substring("pattern", 2, 20).cast("long").alias("p_partkey"), "*")
+
+
+@query("SELECT 'g' || (p_partkey % 30) AS gene, 'f' || p_partkey AS feature FROM part UNION ALL SELECT 'g' || (p_partkey % 30), 'x' || p_partkey FROM part WHERE p_size % 2 = 0")
+def homolog_rows(spark, d):
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    line = F.concat_ws("\t", F.concat(F.lit("g"), (k % 30).cast("string")), F.concat(F.lit("f"), k.cast("string")), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("x"), k.cast("string"))))
+    return R.parse_homologs(p.select(line.alias("value")))
+
+
+@query("SELECT l_orderkey, count(*) AS r, round(exp(-2.0::DOUBLE) * pow(2.0::DOUBLE, factorial((count(*) - 1)::INTEGER)::DOUBLE) / (factorial(count(*)::INTEGER)::DOUBLE * factorial((count(*) - 1)::INTEGER)::DOUBLE), 6) AS p FROM lineitem GROUP BY l_orderkey HAVING count(*) <= 5")
+def pairwise_sums(spark, d):
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("r")).where("r <= 5")
+    return g.select("l_orderkey", "r", F.round(St.pairwise_sum_p(F.lit(2.0), F.col("r").cast("int")), 6).alias("p"))
+
+
+@query("SELECT name, least, most FROM (VALUES " + ", ".join(f"('{s.name}', {float(s.least)!r}::DOUBLE, {float(s.most)!r}::DOUBLE)" for s in scoring.REGISTRY) + ") x(name, least, most)")
+def registered_scores(spark, d):
+    from strandloom.plans import api
+
+    return api.list_algorithms(spark).select("name", "least", "most")

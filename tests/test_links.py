@@ -248,3 +248,52 @@ def test_split_of_a_sequence_by_a_motif():
     assert Al.split_errors("TTTAACGT", "NNNN", "TTTN", "<")[4:] == ("ACGT", "TTTA")
     m = motif.parse("N{17}|N{3}>NGG")
     assert m.spacer_cuts[0] == ([17], [17]) and m.pam_cuts[0] == ([], [])
+
+
+def test_edits_of_a_place_form_chains(spark):
+    from strandloom.operators import rounds
+
+    e = lambda k, r, a, b, up="AAAAAAAAAA", after_up="AAAAAAAAAA", contig="c": (k, r, contig, a, a + 10, contig, b, b + 5, up, "CC", after_up, "CC")
+    rows = [e(1, 0, 100, 100), e(2, 1, 103, 200), e(3, 2, 204, 300), e(4, 1, 500, 1), e(5, 1, 101, 900, up="TTTTTTTTTT"), e(6, 2, 202, 1, contig="d"), e(7, 3, 301, 1)]
+    df = spark.createDataFrame(rows, "edit long, round int, contig string, start int, end int, after_contig string, after_start int, after_end int, up string, down string, after_up string, after_down string")
+    assert {r.edit: r.chain for r in rounds.chains(df).collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 4: 4, 5: 5, 6: 6}
+
+
+def test_donors_by_kind(spark):
+    from strandloom.plans import design
+
+    seq = dna(3, 400)
+    contigs = spark.createDataFrame([("c", seq)], "contig string, seq string")
+    f = spark.createDataFrame([("f", "c", 150, 200), ("g", "c", 220, 260)], "feature string, contig string, start int, end int")
+    mint = design.excision_donors(f, contigs, "mintag").where("feature = 'f' and insert = ''").first()
+    assert mint.donor == seq[126:150] + seq[200:224]
+    bar = {r.feature: r for r in design.excision_donors(f, contigs, "bartag", codes=["ACGTACGTAC", "TTTTTTTTTT"]).collect()}
+    assert bar["g"].insert == "TTTTTTTTTT" and bar["f"].donor == seq[105:150] + "ACGTACGTAC" + seq[200:245]
+    uni = {r.insert for r in design.excision_donors(f, contigs, "unitag", compositions={"A": 0.4, "C": 0.1, "G": 0.1, "T": 0.4}).collect()}
+    assert len(uni) == 1 and len(next(iter(uni))) == 23 and next(iter(uni)).endswith("GG")
+    assert all(r.insert in r.donor for r in design.excision_donors(f, contigs, "addtag", samples=3).collect())
+    with pytest.raises(ValueError):
+        design.excision_donors(f, contigs, "sigtag")
+    back = f.withColumns({"parent_start": F.col("start") + 5, "parent_end": F.col("end") - 5})
+    assert {r.feature: r.donor for r in design.reversion_donors(back, contigs, least=10, most=30).collect()} == {"f": seq[120:230], "g": seq[190:290]}
+
+
+def test_reversion_donors_with_primers_and_whole_designs(spark):
+    from strandloom.plans import design
+
+    seq = dna(11, 1500)
+    contigs = spark.createDataFrame([("c", seq)], "contig string, seq string")
+    f = spark.createDataFrame([("f", "c", 700, 760, 710, 750)], "feature string, contig string, start int, end int, parent_start int, parent_end int")
+    rows = design.reversion_donors(f, contigs, True, 100, 250, subset=60, keep=3).collect()
+    turn = str.maketrans("ACGT", "TGCA")
+    assert 0 < len(rows) <= 3
+    for r in rows:
+        assert r.donor in seq and r.donor.startswith(r.forward) and r.donor.endswith(r.reverse.translate(turn)[::-1]) and len(r.donor) == r["size"] and seq[700:760] in r.donor
+    whole = design.design_all(contigs, f.select(F.col("feature").alias("name"), "contig", "start", "end"), ["N{20}>NGG"])
+    targets = whole["targets"].collect()
+    assert targets and [r["rank"] for r in targets] == list(range(1, len(targets) + 1))
+    here = {r.spacer for r in find_targets(contigs, ["N{20}>NGG"]).collect()}
+    assert whole["donors"].count() > 0 and not here & {r.spacer for r in whole["retargets"].collect()}
+    wide = design.expand_features(f.select("feature", "contig", "start", "end"), contigs, ["N{20}>NGG"], "center_both", 2)
+    derived = design.derive_features(wide).collect()
+    assert sum(len(r.parents) for r in derived) >= 1 and all(r.name.startswith("f_derived-") for r in derived)
