@@ -208,7 +208,7 @@ def rewrite(planned: Plan, path: str, key: str = "doc_id", text: str = "text") -
     spark = planned.rows.sparkSession
     moved = slotted(planned, planned.affected, key, text)
     if planned.affected:
-        moved.write.partitionBy(planned.name("shard")).option("compression", "zstd").parquet(path)
+        moved.write.partitionBy(planned.name("shard")).parquet(path)
         written = spark.read.schema(moved.schema).parquet(path).select(*moved.columns)
         if not planned.untouched:
             return written
