@@ -222,3 +222,11 @@ def test_cells_cut_every_row():
     assert len(set(at.tolist())) == 16 and set(at.tolist()) <= {n for n, _, left, _ in cells if left < 0}
     assert kdtree_topk.cell_of(x, list(kdtree_topk.halves(x[:1], 16))).tolist() == [0] * 500
     assert len(list(kdtree_topk.halves(np.zeros((40, 0), np.int64), 8))) == 1
+
+
+def test_a_query_id_that_repeats(spark):
+    rows = [(20, [1.0, 0.0], 0), (20, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (2, [0.5, 0.0], 0), (2, [0.25, 0.0], 0), (40, [0.0, 1.0], 0)]
+    from pyspark.sql import functions as F
+
+    got = [tuple(r) for r in kdtree_topk.top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()]
+    assert got == [(20, 1, 1, 4096), (20, 2, 2, 2048), (20, 3, 2, 1024), (40, 1, 1, 4096), (40, 2, 2, 0), (40, 3, 2, 0)]

@@ -1,6 +1,7 @@
 """WARC, sharding, language model, mixing and the pipeline: round trips, brute force and edge cases."""
 
 import collections
+import hashlib
 import io
 import math
 import os
@@ -10,12 +11,14 @@ import zlib
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandloom.llm import _chunks, flow_sharding, katz_lm, queries, raking_mix, warc
+from strandloom.llm import _chunks, flow_sharding, katz_lm, language_id, queries, raking_mix, warc
 from strandloom.session import scratch_path
 from tests.llm.conftest import CLASHES, edge_rows, prose
+from tests.llm.test_pairs import classes
 
 PAGES = "page_id long, url string, html string"
 
@@ -370,3 +373,61 @@ def test_pipeline_runs(spark):
     d = "/root/testdata/sf0.001"
     out = corpus_pipeline.run(spark, d)
     assert out.columns[0] == "doc_id" and 0 < out.count() <= spark.read.parquet(f"{d}/documents.parquet").count()
+
+
+def mixed(rows):
+    """Rows (id, text, source, lang) that mixing draws, by its definition in plain Python."""
+    words = {i: (t or "").split(" ") for i, t, _, _ in rows}
+    held = collections.Counter(w for i, *_ in rows for w in set(words[i]) if len(w) >= raking_mix.LETTERS)
+    fits = lambda n: n * raking_mix.RARE <= len(rows) <= n * raking_mix.MOST_RARE
+    anchors = sorted((w for w, n in held.items() if fits(n)), key=lambda w: (-held[w], w))[: raking_mix.TOPICS]
+    cell, n = {}, {}
+    for i, t, source, lang in rows:
+        own = collections.Counter(w for w in words[i] if w in anchors)
+        cell[i] = (source or "(none)", lang or "(none)", min(own, key=lambda w: (-own[w], anchors.index(w))) if own else raking_mix.OTHER)
+        n[i] = len(words[i]) if t else 0
+    tokens = collections.Counter()
+    for i, c in cell.items():
+        tokens[c] += n[i]
+    tokens = {c: float(x) for c, x in tokens.items() if x}
+    sums = [collections.Counter() for _ in range(3)]
+    for c, x in tokens.items():
+        for k in range(3):
+            sums[k][c[k]] += x
+    goal = [{v: x**raking_mix.TEMPER / sum(y**raking_mix.TEMPER for y in s.values()) for v, x in s.items()} for s in sums]
+    w = dict(tokens)
+    for _ in range(raking_mix.MOST_SWEEPS):
+        for k in range(3):
+            now = collections.Counter()
+            for c, x in w.items():
+                now[c[k]] += x
+            w = {c: x * goal[k][c[k]] / now[c[k]] for c, x in w.items()}
+    ratio, whole = {c: w[c] / tokens[c] for c in w}, sum(tokens.values())
+    factor, taken = 0.0, None
+    while (full := {c for c in ratio if ratio[c] * factor >= 1}) != taken:
+        taken = full
+        factor = max(factor, (raking_mix.KEEP * whole - sum(tokens[c] for c in full)) / sum(w[c] for c in w if c not in full))
+    draw = lambda i: int(hashlib.md5(f"mix{i}".encode()).hexdigest()[:12], 16) / 2**48
+    return {i for i in cell if draw(i) < round(min(1.0, ratio.get(cell[i], 0.0) * factor), 9)}
+
+
+def test_pipeline_end_to_end(spark):
+    """Every stage's decisions by the models in plain Python, exact similarities, raking in plain Python, and the library's ids."""
+    d = "/root/testdata/sf0.001"
+    docs = queries.table(spark, d, "documents")
+    rows = [(r.doc_id, r.text, r.source, r.lang) for r in docs.collect()]
+    model = language_id.train(docs.where(corpus_pipeline.remainder("doc_id", 4) != 2))
+    scores = model.predict([t.encode() if t is not None else None for _, t, _, _ in rows])[1]
+    rows = [r for r, x in zip(rows, scores, strict=True) if x >= corpus_pipeline.LEAST_LANGUAGE]
+    named = lambda: docs.where(F.col("doc_id").isin([r[0] for r in rows]))
+    quality = queries.quality_model(named(), queries.table(spark, d, "labels"))
+    scores = quality.predict([t.encode() if t is not None else None for _, t, _, _ in rows])[0]
+    rows = [r for r, x in zip(rows, scores, strict=True) if x >= corpus_pipeline.LEAST_QUALITY]
+    groups = classes({i: t for i, t, _, _ in rows})
+    rows = [r for r in rows if groups[r[0]] == r[0]]
+    kept = mixed(rows)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=queries.piece_model())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {(i, len(ids := sp.encode(t or "")), sha(",".join(map(str, ids))), sha(sp.decode(ids))) for i, t, _, _ in rows if i in kept}
+    got = [tuple(r) for r in corpus_pipeline.run(spark, d).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
+    assert len(got) == len(want) > 20 and set(got) == want

@@ -193,3 +193,23 @@ def test_quality_held_out_accuracy(spark):
     score = np.array(model.predict([bytes(r.t) for r in held])[0])
     y = np.array([r.quality for r in held])
     assert (score[y == 1] >= 0.3).mean() > 0.98 and (score[y == 0] < 0.3).mean() > 0.6
+
+
+def test_quality_query_on_held_out_rows(spark):
+    """The registered query with its production parameters: ranking and errors on rows it never learned from."""
+    d = "/root/testdata/sf0.01"
+    label = {r.doc_id: r.quality for r in queries.table(spark, d, "labels").collect()}
+    rows = [(label[r.doc_id], r.score) for r in queries.QUERIES["op4_quality"](spark, d).collect() if r.held_out and label.get(r.doc_id) in (0, 1)]
+    good, bad = [s for y, s in rows if y], [s for y, s in rows if not y]
+    assert sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad)) > 0.97
+    assert sum(s < 0.3 for s in good) <= 0.02 * len(good) and sum(s >= 0.3 for s in bad) <= 0.4 * len(bad)
+
+
+def test_quality_of_very_long_and_equal_texts(spark, labels):
+    r = random.Random(9)
+    texts = ["".join(r.choices("ab !", k=50)) for _ in range(40)]
+    model = quality_cnn.fit([t.encode() for t in texts], [i % 2 for i in range(40)], passes=1)
+    long = "ab! " * 500_000
+    df = spark.createDataFrame([(1, long), (2, long), (3, texts[0]), (4, texts[0])], "doc_id long, text string")
+    got = {x.doc_id: x.score for x in quality_cnn.predict(df, model).collect()}
+    assert got[1] == got[2] and got[3] == got[4] and all(0 <= x <= 1 for x in got.values())
