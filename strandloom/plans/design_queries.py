@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from strandloom.functions import sequence as S
 from strandloom.functions.scoring import linear, registered_weight
 from strandloom.operators import donors as D
+from strandloom.operators import msa
 from strandloom.operators import offtarget as O
 from strandloom.operators import primers as P
 from strandloom.operators.components import connected_components
@@ -417,27 +418,19 @@ _MSA = f"msa AS (SELECT p_brand AS grp, p_partkey AS id, translate(md5('m' || p_
 def _msa_columns(spark, d):
     k = F.col("p_partkey")
     s = F.translate(F.md5(F.concat(F.lit("m"), (k % 7).cast("string"), "p_brand")), B.HEX, "ACGTACGTACGTACG-")
-    rows = table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.posexplode(S.letters(s)).alias("i", "nt"))
-    return rows.groupBy("grp", (F.col("i") + 1).cast("long").alias("i"), "nt").agg(F.count("*").alias("n"))
+    return msa.columns(table(spark, d, "part").select(F.col("p_brand").alias("grp"), s.alias("s")))
 
 
 @query(f"""WITH {_MSA}, t AS (SELECT grp, i, sum(n) AS total, max(n) FILTER (nt <> '-') AS best, coalesce(sum(n) FILTER (nt = '-'), 0) AS gaps FROM cols GROUP BY grp, i)
   SELECT t.grp, t.i, string_agg(nt, '' ORDER BY nt) AS consensus, min(best)::BIGINT AS count, CASE WHEN min(gaps) > 0 THEN ' ' WHEN min(best) = min(total) THEN '*' WHEN min(best) * 4 >= min(total) * 3 THEN '|' WHEN min(best) * 2 >= min(total) THEN ':' WHEN min(best) * 4 >= min(total) THEN '.' ELSE ' ' END AS mark
   FROM t LEFT JOIN cols c ON c.grp = t.grp AND c.i = t.i AND nt <> '-' AND n = best GROUP BY t.grp, t.i""")
 def msa_consensus(spark, d):
-    c = _msa_columns(spark, d)
-    base = F.col("nt") != "-"
-    t = c.groupBy("grp", "i").agg(F.sum("n").alias("total"), F.max(F.when(base, F.col("n"))).alias("count"), F.coalesce(F.sum(F.when(~base, F.col("n"))), F.lit(0)).alias("gaps"), F.sort_array(F.collect_list(F.when(base, F.struct("nt", "n")))).alias("all"))
-    letters = F.transform(F.filter("all", lambda x: x["n"] == F.col("count")), lambda x: x["nt"])
-    n, total = F.col("count"), F.col("total")
-    mark = F.when(F.col("gaps") > 0, " ").when(n == total, "*").when(n * 4 >= total * 3, "|").when(n * 2 >= total, ":").when(n * 4 >= total, ".").otherwise(" ")
-    return t.select("grp", "i", F.when(F.size("all") > 0, F.array_join(letters, "")).alias("consensus"), "count", mark.alias("mark"))
+    return msa.consensus(_msa_columns(spark, d))
 
 
 @query(f"WITH {_MSA} SELECT grp, i FROM cols GROUP BY grp, i HAVING coalesce(sum(n) FILTER (nt = '-'), 0) * 2 <= sum(n)")
 def msa_gap_filter(spark, d):
-    gaps = F.sum(F.when(F.col("nt") == "-", F.col("n")).otherwise(0))
-    return _msa_columns(spark, d).groupBy("grp", "i").agg(gaps.alias("g"), F.sum("n").alias("t")).where("g * 2 <= t").select("grp", "i")
+    return msa.minority_gaps(_msa_columns(spark, d))
 
 
 @query(f"""WITH {_MSA}, t AS (SELECT grp, i, (max(n) FILTER (nt <> '-') < sum(n) FILTER (nt <> '-'))::INTEGER AS mm, (count(*) FILTER (nt = '-') > 0)::INTEGER AS gap FROM cols GROUP BY grp, i),
@@ -445,11 +438,7 @@ def msa_gap_filter(spark, d):
   SELECT grp, max(i) AS nearest, count(*) AS windows FROM w WHERE n = 8 AND mismatches <= 8 AND gaps <= 3 GROUP BY grp""")
 def msa_window_search(spark, d):
     """The window of 8 columns nearest to the right edge with few enough mismatches and gaps, each counted once a column."""
-    base = F.col("nt") != "-"
-    t = _msa_columns(spark, d).groupBy("grp", "i").agg((F.max(F.when(base, F.col("n"))) < F.sum(F.when(base, F.col("n")))).cast("int").alias("mm"), (F.count_if(~base) > 0).cast("int").alias("gap"))
-    x = Window.partitionBy("grp").orderBy("i").rowsBetween(0, 7)
-    w = t.select("grp", "i", F.sum(F.coalesce("mm", F.lit(0))).over(x).alias("mismatches"), F.sum("gap").over(x).alias("gaps"), F.count("*").over(x).alias("n"))
-    return w.where("n = 8 and mismatches <= 8 and gaps <= 3").groupBy("grp").agg(F.max("i").alias("nearest"), F.count("*").alias("windows"))
+    return msa.nearest_windows(_msa_columns(spark, d), 8, "right", 8, 3)
 
 
 @query("WITH g AS (SELECT l_orderkey AS set_id, l_partkey AS primer, avg(50 + l_quantity / 10) AS tm FROM lineitem GROUP BY ALL), m AS (SELECT set_id, tm - avg(tm) OVER (PARTITION BY set_id) AS x FROM g) SELECT set_id, round(exp(sum(ln((1 / (1 + pow(5.0::DOUBLE, -2.5 - x))) * (1 / (1 + pow(5.0::DOUBLE, x - 2.5)))))), 6) AS weight FROM m GROUP BY set_id")

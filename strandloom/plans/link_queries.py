@@ -488,3 +488,17 @@ def registered_scores(spark, d):
     from strandloom.plans import api
 
     return api.list_algorithms(spark).select("name", "least", "most")
+
+
+_SIDES = f"up AS (SELECT p_brand AS grp, translate(md5('u' || p_partkey % 3 || p_brand), '{B.HEX}', 'AAAAAAAAAAAAACG-') AS s FROM part), down AS (SELECT p_brand AS grp, translate(md5('w' || p_partkey % 3 || p_brand), '{B.HEX}', 'AAAAAAAAAAAAACG-') AS s FROM part)"
+_SIDE = lambda t: f"{t}c AS (SELECT grp, i, count(DISTINCT nt) FILTER (nt <> '-') > 1 AS mm, count(*) FILTER (nt = '-') > 0 AS gap FROM (SELECT grp, i, substr(s, i, 1) AS nt FROM {t}, (SELECT unnest(range(1, 33)) AS i)) GROUP BY grp, i), {t}w AS (SELECT grp, i, sum(mm::INTEGER) OVER x AS m, sum(gap::INTEGER) OVER x AS g, count(*) OVER x AS n FROM {t}c WINDOW x AS (PARTITION BY grp ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))"
+
+
+@query(f"WITH {_SIDES}, {_SIDE('up')}, {_SIDE('down')}, a AS (SELECT grp, 32 - max(i) - 4 + 1 AS up_end FROM upw WHERE n = 4 AND m <= 2 AND g <= 1 AND m + g <= 2 GROUP BY grp), b AS (SELECT grp, min(i) - 1 AS down_start FROM downw WHERE n = 4 AND m <= 2 AND g <= 1 AND m + g <= 2 GROUP BY grp) SELECT grp, up_end, down_start FROM (SELECT DISTINCT p_brand AS grp FROM part) LEFT JOIN a USING (grp) LEFT JOIN b USING (grp)")
+def homologous_regions(spark, d):
+    """The nearest stretches at both sides that homologs share well enough."""
+    from strandloom.operators import msa
+
+    k = F.col("p_partkey") % 3
+    side = lambda mark: table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.translate(F.md5(F.concat(F.lit(mark), k.cast("string"), "p_brand")), B.HEX, "AAAAAAAAAAAAACG-").alias("s"))
+    return msa.homologous_region(side("u"), side("w"), 4, 2, 1, 2)
