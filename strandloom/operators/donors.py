@@ -14,10 +14,21 @@ def part(seq: Column, start: Column, end: Column) -> Column:
     return F.substring(seq, low + 1, F.greatest(end - low, F.lit(0)))
 
 
-def words(length: int) -> Column:
-    """All words of A, C, G, T of a length."""
-    digit = lambda i, k: F.substring(F.lit("ACGT"), (F.floor(i / 4**k) % 4 + 1).cast("int"), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), F.lit(4**length - 1)), lambda i: F.concat(F.lit(""), *(digit(i, k) for k in reversed(range(length)))))
+#: Letters of a word that one array of words has at most.
+_STEP = 5
+
+
+def with_words(rows: DataFrame, length: str, name: str) -> DataFrame:
+    """A row for each word of A, C, G, T of the length that a column tells. Long words come up in steps, so that no row holds many."""
+    digit = lambda i, k: F.substring(F.lit("ACGT"), (F.floor(i / F.pow(F.lit(4), k)) % 4 + 1).cast("int"), F.lit(1))
+    word = lambda i, n: F.array_join(F.transform(S.positions(F.lit(1), n), lambda k: digit(i, n - k)), "")
+    grown = rows.withColumn(name, F.lit("")).withColumn("__left", F.col(length).cast("int"))
+    longest = rows.agg(F.max(length)).first()[0] or 0
+    for _ in range(-(-int(longest) // _STEP)):
+        now = F.least(F.col("__left"), F.lit(_STEP))
+        grown = grown.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(4), now).cast("long") - 1)))
+        grown = grown.withColumn(name, F.concat(name, word(F.col("__i"), now))).withColumn("__left", F.col("__left") - now).drop("__i")
+    return grown.drop("__left")
 
 
 def centred(features: DataFrame, insert: Column, length: int) -> DataFrame:
@@ -33,15 +44,13 @@ def centred(features: DataFrame, insert: Column, length: int) -> DataFrame:
 def mintag(features: DataFrame, up: tuple[int, int], down: tuple[int, int], total: tuple[int, int], inserts: tuple[int, int], trims: tuple[tuple[int, int], tuple[int, int]] = ((0, 0), (0, 0))) -> DataFrame:
     """Every donor with arms, trims and insert lengths in the given ranges, a row for each insert of that length.
 
-    Grows with 4^insert length; lengths over 5 are refused, as are negative ones.
+    Grows with 4^insert length; negative lengths are refused.
     """
-    if inserts[0] < 0 or inserts[1] > 5:
-        raise ValueError("insert lengths go from 0 to 5")
+    if inserts[0] < 0:
+        raise ValueError("insert lengths go from 0")
     span = lambda r: F.explode(F.sequence(F.lit(r[0]), F.lit(r[1])))
     rows = features.withColumn("us_trim", span(trims[0])).withColumn("ds_trim", span(trims[1])).withColumn("us_hom", span(up)).withColumn("ds_hom", span(down)).withColumn("n", span(inserts))
-    rows = rows.where((F.col("us_hom") + F.col("ds_hom") + F.col("n")).between(*total))
-    by_length = F.map_from_arrays(F.array(*(F.lit(n) for n in range(inserts[0], inserts[1] + 1))), F.array(*(words(n) for n in range(inserts[0], inserts[1] + 1))))
-    rows = rows.withColumn("insert", F.explode(by_length[F.col("n")]))
+    rows = with_words(rows.where((F.col("us_hom") + F.col("ds_hom") + F.col("n")).between(*total)), "n", "insert")
     s, e = F.col("start") - F.col("us_trim"), F.col("end") + F.col("ds_trim")
     upstream, downstream = part(F.col("seq"), s - F.col("us_hom"), s), part(F.col("seq"), e, e + F.col("ds_hom"))
     return rows.withColumns({"donor": F.concat(upstream, "insert", downstream), "up_n": F.length(upstream)})

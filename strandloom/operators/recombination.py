@@ -25,6 +25,13 @@ def flank_pairs(hits: DataFrame, donors: DataFrame, edge: int = 3, most_expect:
     return both.where("nl = 1 and nr = 1").select("donor", "contig", "l", "r")
 
 
+def whole_hits(hits: DataFrame, donors: DataFrame, edge: int = 3) -> DataFrame:
+    """(query, subject, q_start, q_end): the one hit that reaches both edges of a donor on a contig; pairs with more are left out."""
+    full = hits.join(donors.select(F.col("donor").alias("query"), F.length("seq").alias("n")), "query").where((F.col("q_start") < edge) & (F.col("q_end") > F.col("n") - edge))
+    one = full.groupBy("query", "subject").agg(F.min("q_start").alias("q_start"), F.min("q_end").alias("q_end"), F.count("*").alias("k"))
+    return one.where("k = 1").drop("k")
+
+
 def edits(pairs: DataFrame, donors: DataFrame) -> DataFrame:
     """(contig, donor, start, end, insert): what each donor takes out of the contig and puts in."""
     insert = F.expr("substring(seq, l.q_end + 1, greatest(r.q_start - l.q_end, 0))")

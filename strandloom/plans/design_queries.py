@@ -8,12 +8,14 @@ from pyspark.sql.window import Window
 from strandloom.functions import sequence as S
 from strandloom.functions.scoring import linear, registered_weight
 from strandloom.operators import donors as D
+from strandloom.operators import features as Fe
 from strandloom.operators import msa
 from strandloom.operators import offtarget as O
+from strandloom.operators import primer_sets as PS
 from strandloom.operators import primers as P
 from strandloom.operators.components import connected_components
 from strandloom.operators.interval_join import interval_join, overlap
-from strandloom.operators.recombination import flank_pairs
+from strandloom.operators.recombination import flank_pairs, whole_hits
 from strandloom.operators.target_finder import distinct_targets, find_targets, number_rows
 from strandloom.plans import api
 from strandloom.plans import bridge as B
@@ -158,16 +160,14 @@ def homolog_components(spark, d):
 def homolog_complete_targets(spark, d):
     """Targets that reach enough of a group (relational division; a quarter, as whole groups are large here)."""
     f = B.features(spark, d)
-    j = interval_join(B.hits(spark, d), f, 64).select(F.col("l_target").alias("target"), F.col("r_contig").alias("grp"), F.col("r_gene").alias("gene")).distinct()
-    size = f.groupBy(F.col("contig").alias("grp")).agg(F.count_distinct("gene").alias("size"))
-    n = j.groupBy("target", "grp").agg(F.count("*").alias("covered"))
-    return n.join(size, "grp").where("covered * 4 >= size").select("target", "grp", "covered")
+    reached = interval_join(B.hits(spark, d), f, 64).select(F.col("l_target").alias("target"), F.col("r_contig").alias("grp"), F.col("r_gene").alias("member"))
+    return Fe.covered_groups(reached, f.select(F.col("contig").alias("grp"), F.col("gene").alias("member")), 0.25)
 
 
 @query(f"""WITH {B.CONTIGS}, {B.FEATURES}, {B.HITS} SELECT hit, min(feature) AS feature FROM hits h JOIN features f ON h.contig = f.contig AND h.start < f."end" AND f.start < h."end" GROUP BY hit HAVING count(DISTINCT feature) = 1""")
 def allele_specific_targets(spark, d):
     j = interval_join(B.hits(spark, d), B.features(spark, d), 64)
-    return j.groupBy(F.col("l_hit").alias("hit")).agg(F.min("r_feature").alias("feature"), F.count_distinct("r_feature").alias("n")).where("n = 1").drop("n")
+    return Fe.on_one_feature(j.select(F.col("l_hit").alias("hit"), F.col("r_feature").alias("feature")), "hit")
 
 
 @query("SELECT o_orderkey, weight, row_number() OVER (PARTITION BY o_orderpriority ORDER BY weight DESC, o_orderkey)::INTEGER AS rank FROM (SELECT o_orderkey, o_orderpriority, round(1 / (1 + pow(1.22::DOUBLE, 66 - o_totalprice % 100)) * (1 / (1 + pow(1.2::DOUBLE, 40 - o_totalprice % 90))), 6) AS weight FROM orders)")
@@ -362,6 +362,13 @@ def header_search(spark, d):
 _ALIGN = "al AS (SELECT l_orderkey AS q, l_suppkey % 3 AS s, (l_partkey % 10)::INTEGER AS q0, (90 + l_linenumber * 2)::INTEGER AS q1, l_quantity AS n FROM lineitem)"
 
 
+def _edge_hits(spark, d):
+    """Hits of donors of 100 letters, and the donors."""
+    c = F.col
+    a = _alignments(spark, d).select(c("q").alias("query"), c("s").alias("subject"), c("q0").alias("q_start"), c("q1").alias("q_end"), c("q0").alias("s_start"), c("q1").alias("s_end"), F.lit(0.0).alias("evalue"), F.lit(35).alias("length"))
+    return a, a.select(c("query").alias("donor")).distinct().withColumn("seq", F.lit("N" * 100))
+
+
 def _alignments(spark, d):
     c = F.col
     return table(spark, d, "lineitem").select(c("l_orderkey").alias("q"), (c("l_suppkey") % 3).alias("s"), (c("l_partkey") % 10).cast("int").alias("q0"), (90 + c("l_linenumber") * 2).cast("int").alias("q1"), c("l_quantity").alias("n"))
@@ -370,15 +377,13 @@ def _alignments(spark, d):
 @query(f"WITH {_ALIGN} SELECT q, s FROM al GROUP BY q, s HAVING count(*) FILTER (q0 < 3) = 1 AND count(*) FILTER (q0 >= 3 AND q1 > 97) = 1")
 def flank_pair_filter(spark, d):
     """Query and subject pairs with exactly one hit at the left edge and one at the right one."""
-    a = _alignments(spark, d).select(F.col("q").alias("query"), F.col("s").alias("subject"), F.col("q0").alias("q_start"), F.col("q1").alias("q_end"), F.col("q0").alias("s_start"), F.col("q1").alias("s_end"), F.lit(0.0).alias("evalue"), F.lit(35).alias("length"))
-    donors = a.select(F.col("query").alias("donor")).distinct().withColumn("seq", F.lit("N" * 100))
-    return flank_pairs(a, donors).select(F.col("donor").alias("q"), F.col("contig").alias("s"))
+    return flank_pairs(*_edge_hits(spark, d)).select(F.col("donor").alias("q"), F.col("contig").alias("s"))
 
 
 @query(f"WITH {_ALIGN} SELECT q, s, min(q0) AS q0, min(q1) AS q1 FROM al WHERE q0 < 3 AND q1 > 97 GROUP BY q, s HAVING count(*) = 1")
 def full_length_hit_filter(spark, d):
-    a = _alignments(spark, d).where("q0 < 3 and q1 > 97")
-    return a.groupBy("q", "s").agg(F.min("q0").alias("q0"), F.min("q1").alias("q1"), F.count("*").alias("k")).where("k = 1").drop("k")
+    a, donors = _edge_hits(spark, d)
+    return whole_hits(a, donors).select(F.col("query").alias("q"), F.col("subject").alias("s"), F.col("q_start").alias("q0"), F.col("q_end").alias("q1"))
 
 
 # The default alignment scores.
@@ -444,19 +449,15 @@ def msa_window_search(spark, d):
 @query("WITH g AS (SELECT l_orderkey AS set_id, l_partkey AS primer, avg(50 + l_quantity / 10) AS tm FROM lineitem GROUP BY ALL), m AS (SELECT set_id, tm - avg(tm) OVER (PARTITION BY set_id) AS x FROM g) SELECT set_id, round(exp(sum(ln((1 / (1 + pow(5.0::DOUBLE, -2.5 - x))) * (1 / (1 + pow(5.0::DOUBLE, x - 2.5)))))), 6) AS weight FROM m GROUP BY set_id")
 def primer_group_weight(spark, d):
     """Mean Tm of each distinct primer of a set, then the product of the weights of its distance from the set's mean."""
-    from strandloom.functions.statistics import logistic_updown
-
-    g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("set_id"), "l_partkey").agg(F.avg(50 + F.col("l_quantity") / 10).alias("tm"))
-    m = g.withColumn("x", F.col("tm") - F.avg("tm").over(Window.partitionBy("set_id")))
-    return m.groupBy("set_id").agg(F.round(F.product(logistic_updown(F.col("x"), 5, -2.5, 5, 2.5)), 6).alias("weight"))
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("set_id"), F.col("l_partkey").alias("primer"), (50 + F.col("l_quantity") / 10).alias("tm"))
+    return PS.group_weights(t).select("set_id", F.round("weight", 6).alias("weight"))
 
 
 @query("SELECT l_orderkey, round(min(dg), 6) AS dg, round(max(tm) FILTER (dg = low), 6) AS tm FROM (SELECT l_orderkey, 0 - (l_partkey % 6)::DOUBLE AS dg, l_quantity AS tm, min(0 - (l_partkey % 6)::DOUBLE) OVER (PARTITION BY l_orderkey) AS low FROM lineitem) GROUP BY l_orderkey")
 def best_structure(spark, d):
     """The structure with the lowest delta G, and of those the highest melting temperature."""
-    s = F.struct((0 - (F.col("l_partkey") % 6).cast("double")).alias("dg"), (-F.col("l_quantity")).alias("minus_tm"))
-    best = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(s).alias("s"))
-    return best.select("l_orderkey", F.round("s.dg", 6).alias("dg"), F.round(-F.col("s.minus_tm"), 6).alias("tm"))
+    t = table(spark, d, "lineitem").select("l_orderkey", (0 - (F.col("l_partkey") % 6).cast("double")).alias("dg"), F.col("l_quantity").alias("tm"))
+    return PS.best_structures(t, "l_orderkey").select("l_orderkey", F.round("dg", 6).alias("dg"), F.round("tm", 6).alias("tm"))
 
 
 @query(
@@ -475,15 +476,12 @@ def primer_pairs(spark, d):
 @query("SELECT o_custkey, o_orderkey AS best, o_totalprice AS weight FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1")
 def distinct_designs(spark, d):
     """One design for each key, that of the largest weight."""
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.min(F.struct((-F.col("o_totalprice")).alias("w"), "o_orderkey")).alias("x"))
-    return o.select("o_custkey", F.col("x.o_orderkey").alias("best"), (-F.col("x.w")).alias("weight"))
+    return PS.best_designs(table(spark, d, "orders"), "o_custkey", "o_orderkey", "o_totalprice").select("o_custkey", F.col("o_orderkey").alias("best"), F.col("o_totalprice").alias("weight"))
 
 
 @query("WITH n AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS k, min(o_orderpriority) AS p FROM orders GROUP BY o_custkey) SELECT o_custkey, CASE k WHEN 1 THEN 'haploid' WHEN 2 THEN 'diploid' WHEN 3 THEN 'triploid' ELSE 'polyploid' END AS ploidy FROM n")
 def ploidy_labels(spark, d):
-    n = table(spark, d, "orders").groupBy("o_custkey").agg(F.count_distinct("o_orderstatus").alias("k"))
-    names = F.array(*(F.lit(x) for x in ("haploid", "diploid", "triploid")))
-    return n.select("o_custkey", F.coalesce(F.get(names, (F.col("k") - 1).cast("int")), F.lit("polyploid")).alias("ploidy"))
+    return PS.ploidy(table(spark, d, "orders"), "o_custkey", "o_orderstatus")
 
 
 @query("SELECT p_type AS gene, count(*) AS features, string_agg(p_name, ',' ORDER BY p_name) AS names FROM part GROUP BY p_type")

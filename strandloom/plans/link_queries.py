@@ -9,6 +9,7 @@ from strandloom.functions import statistics as St
 from strandloom.functions import words as W
 from strandloom.functions import scoring
 from strandloom.functions.motif import parse as motif
+from strandloom.functions.translation import STANDARD_CODE
 from strandloom.operators import alignments as A
 from strandloom.operators import features as Fe
 from strandloom.operators import primer_sets as PS
@@ -16,7 +17,6 @@ from strandloom.operators import primers as P
 from strandloom.plans import bridge as B
 from strandloom.plans import reports
 from strandloom.plans.registry import query, table
-from strandloom.plans.sequence_queries import STANDARD_CODE
 from strandloom.sources import readers as R
 from strandloom.sources import sinks as K
 

@@ -7,6 +7,8 @@ from pyspark.sql.window import Window
 
 from strandloom.functions import cigar as C
 from strandloom.functions import scoring, sequence as S, statistics as St
+from strandloom.functions.translation import STANDARD_CODE, translate
+from strandloom.operators.frames import reading_frames
 from strandloom.operators.windows import windows
 from strandloom.plans import bridge as B
 from strandloom.plans.registry import query, table
@@ -399,17 +401,6 @@ def round_labels(spark, d):
     return n.select("n", F.concat(half.cast("string"), F.when(even, "b").otherwise("a")).alias("label"), F.when(even, half).otherwise(half + 1).alias("genome"))
 
 
-# The standard genetic code, codons in the order T, C, A, G of each base.
-STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
-
-
-def translate(seq, code: str = STANDARD_CODE):
-    """Amino acids of one frame; a codon with a letter other than A, C, G, T is X; a last part of a codon is left out."""
-    acids = F.create_map(*(F.lit(x) for i, a in enumerate(code) for x in ("TCAG"[i // 16] + "TCAG"[i // 4 % 4] + "TCAG"[i % 4], a)))
-    codons = F.regexp_extract_all(seq, F.lit("..."), F.lit(0))
-    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(acids, c), F.lit("X"))), "")
-
-
 _AT = lambda s, i, k: f"(instr('TCAG', substr({s}, {i} + {k}, 1)) - 1)"
 
 
@@ -429,12 +420,4 @@ def codon_translate(spark, d):
 )
 def orfs(spark, d):
     """Stretches from a first M to the stop or the frame's end, of at least 12 amino acids, in six frames."""
-    c = B.contigs(spark, d)
-    both = c.select("contig", F.lit("+").alias("strand"), "seq").unionByName(c.select("contig", F.lit("-").alias("strand"), S.reverse_complement(F.col("seq")).alias("seq")))
-    frames = both.withColumn("frame", F.explode(F.array(*(F.lit(i) for i in range(3)))))
-    protein = translate(F.expr("substring(seq, frame + 1)"))
-    pieces = frames.select("contig", "strand", "frame", F.posexplode(F.split(protein, "\\*")).alias("piece", "aa"), F.lit(0).alias("z"))
-    before = F.sum(F.length("aa") + 1).over(Window.partitionBy("contig", "strand", "frame").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
-    at = F.coalesce(before, F.lit(0)) + F.instr("aa", F.lit("M")) - 1
-    out = pieces.select("contig", "strand", "frame", (F.col("frame") + 3 * at).cast("int").alias("start"), (F.length("aa") - F.instr("aa", F.lit("M")) + 1).alias("n"), F.contains("aa", F.lit("M")).alias("m"))
-    return out.where("m and n >= 12").select("contig", "strand", "frame", "start", F.col("n").alias("aa"))
+    return reading_frames(B.contigs(spark, d), 12)

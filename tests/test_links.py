@@ -297,3 +297,11 @@ def test_reversion_donors_with_primers_and_whole_designs(spark):
     wide = design.expand_features(f.select("feature", "contig", "start", "end"), contigs, ["N{20}>NGG"], "center_both", 2)
     derived = design.derive_features(wide).collect()
     assert sum(len(r.parents) for r in derived) >= 1 and all(r.name.startswith("f_derived-") for r in derived)
+
+
+def test_inserts_of_any_length(spark):
+    from strandloom.operators.donors import with_words
+
+    rows = spark.createDataFrame([(0,), (1,), (6,)], "n int")
+    got = [(r.n, r.word) for r in with_words(rows, "n", "word").collect()]
+    assert sorted(got) == sorted((n, "".join(x)) for n in (0, 1, 6) for x in itertools.product("ACGT", repeat=n))
