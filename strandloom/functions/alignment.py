@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import itertools
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DoubleType, IntegerType, StringType, StructField, StructType
@@ -28,52 +29,92 @@ def pair_score(a: str, b: str, match: float = 1.0, transition: float = -1.0, tra
     return sum(one) / len(one)
 
 
+#: Cells of one run of align_all().
+_CELLS = 20_000_000
+
+
 def align(a: str, b: str, open_gap: float = -4.0, extend: float = -2.0) -> tuple:
-    """Global alignment with one matrix: a gap costs `extend` where the neighbour's own best step was a gap of that kind, else `open_gap`.
-    On ties a pair goes before a deletion, a deletion before an insertion."""
-    best = [[(0.0, "")] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) + 1):
-        for j in range(len(b) + 1):
+    """align_all() of one pair."""
+    return align_all([(a, b)], open_gap, extend)[0]
+
+
+def align_all(pairs: list[tuple[str, str]], open_gap: float = -4.0, extend: float = -2.0) -> list[tuple]:
+    """(score, gapped texts, substitutions, insertions, deletions, errors) of global alignments with one matrix: a gap costs `extend` where the
+    neighbour's own best step was a gap of that kind, else `open_gap`. On ties a pair goes before a deletion, a deletion before an insertion. Each
+    cell is worked out for all pairs at once; pairs of like lengths go together, some of them at a time."""
+    out: list[tuple] = [()] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    at = 0
+    while at < len(order):
+        size = lambda k: (len(pairs[k][0]) + 1) * (max(len(pairs[order[at]][1]), len(pairs[k][1])) + 1)  # noqa: B023, E731
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * size(order[end]) <= _CELLS:
+            end += 1
+        own = order[at:end]
+        for k, found in zip(own, _aligned([pairs[k] for k in own], open_gap, extend), strict=True):
+            out[k] = found
+        at = end
+    return out
+
+
+def _aligned(pairs: list[tuple[str, str]], open_gap: float, extend: float) -> list[tuple]:
+    letters = sorted({c for a, b in pairs for c in a + b})
+    number = {c: i for i, c in enumerate(letters)}
+    scores = np.array([[pair_score(x, y) for y in letters] for x in letters]).reshape(len(letters), len(letters))
+    n, m = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
+    code = lambda texts, width: np.array([[number[c] for c in t] + [0] * (width - len(t)) for t in texts], np.int32).reshape(len(texts), width)
+    x, y = code([a for a, _ in pairs], n), code([b for _, b in pairs], m)
+    pair, deletion, insertion = 1, 2, 3
+    best = np.zeros((n + 1, m + 1, len(pairs)))
+    step = np.zeros((n + 1, m + 1, len(pairs)), np.int8)
+    for i in range(n + 1):
+        for j in range(m + 1):
             if not i and not j:
                 continue
-            options = []
+            now, kind = np.full(len(pairs), -np.inf), np.zeros(len(pairs), np.int8)
             if i and j:
-                options.append((best[i - 1][j - 1][0] + pair_score(a[i - 1], b[j - 1]), "P"))
-            if i:
-                options.append((best[i - 1][j][0] + (extend if best[i - 1][j][1] == "D" else open_gap), "D"))
-            if j:
-                options.append((best[i][j - 1][0] + (extend if best[i][j - 1][1] == "I" else open_gap), "I"))
-            best[i][j] = max(options, key=lambda o: o[0])  # the first of equals
-    i, j, top, bottom = len(a), len(b), "", ""
-    n = dict.fromkeys("SID", 0)
-    while i or j:
-        step = best[i][j][1]
-        x, y = (a[i - 1] if step in "PD" else "-"), (b[j - 1] if step in "PI" else "-")
-        n["S" if step == "P" else step] += step != "P" or x != y
-        top, bottom, i, j = x + top, y + bottom, i - (step in "PD"), j - (step in "PI")
-    return best[len(a)][len(b)][0], top, bottom, n["S"], n["I"], n["D"], sum(n.values())
+                now, kind = best[i - 1, j - 1] + scores[x[:, i - 1], y[:, j - 1]], np.full(len(pairs), pair, np.int8)
+            for on, di, dj, mark in ((i, 1, 0, deletion), (j, 0, 1, insertion)):
+                if on:
+                    other = best[i - di, j - dj] + np.where(step[i - di, j - dj] == mark, extend, open_gap)
+                    better = other > now
+                    now, kind = np.where(better, other, now), np.where(better, mark, kind)
+            best[i, j], step[i, j] = now, kind
+    out = []
+    for k, (a, b) in enumerate(pairs):
+        i, j, top, bottom = len(a), len(b), [], []
+        count = dict.fromkeys("SID", 0)
+        while i or j:
+            kind = step[i, j, k]
+            u, v = a[i - 1] if kind != insertion else "-", b[j - 1] if kind != deletion else "-"
+            count["S" if kind == pair else "D" if kind == deletion else "I"] += kind != pair or u != v
+            top.append(u)
+            bottom.append(v)
+            i, j = i - (kind != insertion), j - (kind != deletion)
+        out.append((float(best[len(a), len(b), k]), "".join(top[::-1]), "".join(bottom[::-1]), count["S"], count["I"], count["D"], sum(count.values())))
+    return out
 
 
 @F.pandas_udf(RESULT)
 def global_alignment(query: pd.Series, subject: pd.Series) -> pd.DataFrame:
-    done: dict[tuple, tuple] = {}
-    rows = [done.get(k) or done.setdefault(k, align(*k) if None not in k else (None,) * 7) for k in zip(query, subject, strict=True)]
-    return pd.DataFrame(rows, columns=RESULT.names)
+    pairs = list(zip(query, subject, strict=True))
+    own = list(dict.fromkeys(p for p in pairs if None not in p))
+    done = dict(zip(own, align_all(own), strict=True))
+    return pd.DataFrame([done.get(p, (None,) * 7) for p in pairs], columns=RESULT.names)
 
 
 def pam_identity(pams: list[str]):
     """A UDF: the best of the motif's PAMs for a sequence, 0 to 100 between the worst and the best score that it could have."""
     @F.pandas_udf(DoubleType())
     def score(pam: pd.Series) -> pd.Series:
-        def one(p: str) -> float:
-            out = []
-            for m in pams:
-                columns = [[pair_score(c, x) for x in "ACGT"] for c in m]
-                low, high = sum(map(min, columns)), sum(map(max, columns))
-                out.append((align(m, p)[0] - low) / (high - low) * 100)
-            return max(out)
-
-        return pam.map(lambda p: None if p is None else one(p))
+        own = [p for p in dict.fromkeys(pam) if p is not None]
+        best = dict.fromkeys(own, -float("inf"))
+        for m in pams:
+            columns = [[pair_score(c, x) for x in "ACGT"] for c in m]
+            low, high = sum(map(min, columns)), sum(map(max, columns))
+            for p, found in zip(own, align_all([(m, p) for p in own]), strict=True):
+                best[p] = max(best[p], (found[0] - low) / (high - low) * 100)
+        return pam.map(best.get)
 
     return score
 

@@ -305,3 +305,35 @@ def test_inserts_of_any_length(spark):
     rows = spark.createDataFrame([(0,), (1,), (6,)], "n int")
     got = [(r.n, r.word) for r in with_words(rows, "n", "word").collect()]
     assert sorted(got) == sorted((n, "".join(x)) for n in (0, 1, 6) for x in itertools.product("ACGT", repeat=n))
+
+
+def plain_alignment(a, b):
+    """The rule for one pair, cell by cell."""
+    best = {(0, 0): (0.0, "")}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            options = []
+            if i and j:
+                options.append((best[i - 1, j - 1][0] + Al.pair_score(a[i - 1], b[j - 1]), "P"))
+            if i:
+                options.append((best[i - 1, j][0] + (-2 if best[i - 1, j][1] == "D" else -4), "D"))
+            if j:
+                options.append((best[i, j - 1][0] + (-2 if best[i, j - 1][1] == "I" else -4), "I"))
+            if options:
+                best[i, j] = max(options, key=lambda o: o[0])
+    i, j, steps = len(a), len(b), ""
+    while i or j:
+        s = best[i, j][1]
+        steps, i, j = s + steps, i - (s in "PD"), j - (s in "PI")
+    return best[len(a), len(b)][0], steps
+
+
+def test_alignments_of_many_pairs(spark, monkeypatch):
+    r = random.Random(8)
+    pairs = [(dna(r.random(), r.randint(0, 12), "ACGTRN"), dna(r.random(), r.randint(0, 12), "ACGTRN")) for _ in range(120)]
+    for cells in (Al._CELLS, 50):
+        monkeypatch.setattr(Al, "_CELLS", cells)
+        for (a, b), (score, top, bottom, *counts) in zip(pairs, Al.align_all(pairs), strict=True):
+            want, steps = plain_alignment(a, b)
+            assert score == pytest.approx(want) and (top.replace("-", ""), bottom.replace("-", "")) == (a, b)
+            assert "".join("D" if y == "-" else "I" if x == "-" else "P" for x, y in zip(top, bottom, strict=True)) == steps and counts[3] == sum(counts[:3])
