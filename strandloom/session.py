@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,6 +91,17 @@ def drop_tables(*tables: DataFrame) -> None:
             drop_path(t.sparkSession, files[0].rpartition("/")[0])
 
 
+def tidied(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """build()'s result as a written table; all else that build() wrote is deleted."""
+    own = _written.setdefault(spark.sparkContext.applicationId, [])
+    before = len(own)
+    out = materialise(build(), name)
+    for path in own[before:-1]:
+        drop_path(spark, path)
+    del own[before:-1]
+    return out
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all that this session has written to the shared folder. Results that still read it fail afterwards."""
     for path in _written.pop(spark.sparkContext.applicationId, []):
