@@ -42,7 +42,7 @@ from strandloom.llm._vectors import merge_labels
 from strandloom.llm._words import mixed, word_hashes
 from strandloom.operators.components import connected_components
 from strandloom.operators.target_finder import number_rows
-from strandloom.session import drop_tables, materialise
+from strandloom.session import drop_tables, materialise, tidied
 
 WORDS, BANDS, ROWS, SIMILAR = 5, 24, 4, 0.8
 #: Buckets of up to this many classes are compared pair by pair; a tile has two blocks of about so many classes and shingles.
@@ -215,7 +215,11 @@ def _verified(pairs: DataFrame, bodies: DataFrame, threshold: float) -> DataFram
 
 
 def _grouped(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """(id, print, weight, class_id, kept) for each row of df; print is a hash of the text."""
+    """(id, print, weight, class_id, kept) for each row of df, a written table; print is a hash of the text."""
+    return tidied(df.sparkSession, lambda: _group(df, key, text, threshold), "groups")
+
+
+def _group(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     body = F.coalesce(df[text].cast("binary"), F.lit(b""))
     rows = df.select(df[key].cast("long").alias("id"), F.xxhash64(body).alias("print"), body.alias("text"))
     small_batches(df.sparkSession)
@@ -269,7 +273,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
     """df with one row of each class: that with the smallest key; rows with a null key and rows without words have no class and stay."""
-    found = materialise(_grouped(df, key, text, threshold), "classes")
+    found = _grouped(df, key, text, threshold)
     own = F.xxhash64(F.coalesce(df[text].cast("binary"), F.lit(b"")))
     gone = found.where("not kept").select(F.col("id").alias("__gone"), F.col("print").alias("__print")).distinct()
     # one plan at every size: ids of all dropped rows aren't a broadcast of bounded size

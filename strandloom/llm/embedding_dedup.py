@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm._vectors import finite, matrix, merge_labels
 from strandloom.operators.components import connected_components
-from strandloom.session import materialise
+from strandloom.session import materialise, tidied
 
 
 class Quantised:
@@ -136,7 +136,11 @@ TILE = ["label", "d", "p", "q_block"]
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, block: int = 2048) -> DataFrame:
-    """(key, n_links, component_id, kept), a row for each row of df."""
+    """(key, n_links, component_id, kept), a row for each row of df; a written table."""
+    return tidied(df.sparkSession, lambda: _linked(df, key, vector, label, threshold, block), "linked")
+
+
+def _linked(df: DataFrame, key: str, vector: str, label: str, threshold: float, block: int) -> DataFrame:
     rows = df.select(df[key].cast("long").alias("id"), df[vector].alias("vector"), df[label].alias("label"))
     good = finite("vector") & F.col("label").isNotNull() & F.col("id").isNotNull() & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumns({"good": F.coalesce(good, F.lit(False)), "h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")})
