@@ -24,12 +24,19 @@ def search(contigs: DataFrame, motif: str, chunk: int = CHUNK, spread: int | Non
     10 letters to the contig's start. spread: to how many tasks chunks are dealt; 0 leaves them where they are. Letters other
     than A, C, G and T match only '.'.
     """
-    m = M.parse(motif)
-    reach = m.longest + FLANK
-    rows = chunks(contigs.select("contig", "seq"), chunk, reach, reach, spread)
+    reach = M.parse(motif).longest + FLANK
+    return find_in_chunks(chunks(contigs.select("contig", "seq"), chunk, reach, reach, spread), [motif], chunk, case)
+
+
+def find_in_chunks(rows: DataFrame, motifs: list[str], chunk: int, case: str = "ignore") -> DataFrame:
+    """search() of several motifs over chunks (contig, at, first, text) with the longest motif and ten letters more at both sides."""
     sides = F.array(F.struct(F.lit("+").alias("strand"), F.col("text").alias("text")), F.struct(F.lit("-").alias("strand"), S.reverse_complement(F.col("text")).alias("text")))
-    found = _one_strand(rows.select("contig", "n", "at", "first", F.inline(sides)), m, chunk)
-    return found.where(S.case_rule(F.col("seq"), case)).withColumn("seq", F.upper("seq")).withColumn("motif", F.lit(m.text))
+    both, out = rows.select("contig", "at", "first", F.inline(sides)), None
+    for text in motifs:
+        m = M.parse(text)
+        found = _one_strand(both, m, chunk).where(S.case_rule(F.col("seq"), case)).withColumn("seq", F.upper("seq")).withColumn("motif", F.lit(m.text))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _one_strand(rows: DataFrame, m: M.Motif, chunk: int) -> DataFrame:

@@ -337,3 +337,36 @@ def test_alignments_of_many_pairs(spark, monkeypatch):
             want, steps = plain_alignment(a, b)
             assert score == pytest.approx(want) and (top.replace("-", ""), bottom.replace("-", "")) == (a, b)
             assert "".join("D" if y == "-" else "I" if x == "-" else "P" for x, y in zip(top, bottom, strict=True)) == steps and counts[3] == sum(counts[:3])
+
+
+def test_contigs_of_any_length_by_lines(spark, tmp_path):
+    from strandloom.sources.long_contigs import fasta_lines, find_targets_in_files, line_chunks
+
+    r, seqs = random.Random(4), {f"c{i}": dna(i, n) for i, n in enumerate((3000, 1, 700, 5000, 40))}
+    for part in range(2):
+        lines = ["stray"] if part else []
+        for name in list(seqs)[part::2]:
+            lines.append(f">{name} x > y")
+            at = 0
+            while at < len(seqs[name]):
+                n = r.randint(1, 90)
+                lines.append(seqs[name][at : at + n] + "  " * (n % 2))
+                at += n
+            lines.append("")
+        (tmp_path / f"{part}.fa").write_text("\n".join(lines))
+    paths = [str(tmp_path / f"{k}.fa") for k in range(2)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "512b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {}
+            for x in fasta_lines(spark, paths).orderBy("contig", "start").collect():
+                assert x.start == len(got.get(x.contig, ""))
+                got[x.contig] = got.get(x.contig, "") + x.text
+            assert got == seqs
+            for x in line_chunks(fasta_lines(spark, paths), 64, 20, 10).collect():
+                assert x.text == seqs[x.contig][x["first"] : x["at"] + 84] and x["first"] == max(0, x["at"] - 10)
+            whole = find_targets(spark.createDataFrame(list(seqs.items()), "contig string, seq string"), ["N{20}>NGG"])
+            assert sorted(map(str, find_targets_in_files(spark, paths, ["N{20}>NGG"]).collect())) == sorted(map(str, whole.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
