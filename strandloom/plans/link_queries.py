@@ -502,3 +502,56 @@ def homologous_regions(spark, d):
     k = F.col("p_partkey") % 3
     side = lambda mark: table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.translate(F.md5(F.concat(F.lit(mark), k.cast("string"), "p_brand")), B.HEX, "AAAAAAAAAAAAACG-").alias("s"))
     return msa.homologous_region(side("u"), side("w"), 4, 2, 1, 2)
+
+
+@query(f"""WITH {B.CONTIGS}, sides AS (SELECT contig, '+' AS strand, seq FROM contigs UNION ALL SELECT contig, '-', {_RC('seq')} FROM contigs),
+  win AS (SELECT contig, strand, length(seq) AS n, i, substr(seq, i + 1, 23) AS w FROM (SELECT *, unnest(range(0, length(seq) - 22)) AS i FROM sides))
+  SELECT contig, strand, (CASE WHEN strand = '+' THEN i ELSE n - i - 23 END)::BIGINT AS start, left(w, 20) AS spacer FROM win WHERE substr(w, 22, 2) = 'GG'""")
+def targets_from_files(spark, d):
+    """Contigs written as FASTA files, and their targets found chunk by chunk from the files' lines."""
+    from strandloom.session import scratch_path
+    from strandloom.sources.long_contigs import find_targets_in_files
+
+    c = B.contigs(spark, d).withColumn("contig", F.replace("contig", F.lit("#"), F.lit("_")))
+    path = scratch_path(spark, "fasta")
+    K.write_text(c, K.fasta_text(F.col("contig"), F.col("seq"), None, 60), path)
+    found = find_targets_in_files(spark, path, ["N{20}>NGG"])
+    return found.select(F.replace("contig", F.lit("_"), F.lit("#")).alias("contig"), "strand", F.col("start").cast("long").alias("start"), "spacer")
+
+
+def _stack_sql(k: int) -> str:
+    from strandloom.functions.thermodynamics import STACKS
+
+    both = STACKS | {x.translate(str.maketrans("ACGT", "TGCA"))[::-1]: v for x, v in STACKS.items()}
+    return "CASE two " + " ".join(f"WHEN '{x}' THEN {v[k]!r}" for x, v in sorted(both.items())) + " END::DOUBLE"
+
+
+_END = lambda k: f"(CASE WHEN left(s, 1) IN ('G', 'C') THEN {(0.1, -2.8)[k]} ELSE {(2.3, 4.1)[k]} END::DOUBLE + CASE WHEN right(s, 1) IN ('G', 'C') THEN {(0.1, -2.8)[k]} ELSE {(2.3, 4.1)[k]} END::DOUBLE)"
+
+
+@query(f"""WITH {B.OLIGOS}, o AS (SELECT id, left(seq, (15 + id % 18)::INTEGER) AS s FROM oligos), t AS (SELECT id, s, substr(s, i, 2) AS two FROM (SELECT id, s, unnest(range(1, length(s))) AS i FROM o)),
+  e AS (SELECT id, s, sum({_stack_sql(0)}) + {_END(0)} AS dh, sum({_stack_sql(1)}) + {_END(1)} AS ds FROM t GROUP BY id, s),
+  p AS (SELECT id, s, s = {_RC('s')} AS own, dh, ds FROM e), q AS (SELECT id, dh, ds + CASE WHEN own THEN -1.4 ELSE 0 END::DOUBLE + 0.368::DOUBLE * (length(s) - 1) * ln(0.05::DOUBLE) AS ds, own FROM p)
+  SELECT id, round(dh, 6) AS dh, round(ds, 6) AS ds, round(dh - 298.15::DOUBLE * ds / 1000, 6) AS dg, round(1000 * dh / (ds + 1.987::DOUBLE * ln(2.5e-7::DOUBLE / CASE WHEN own THEN 1 ELSE 4 END)) - 273.15::DOUBLE, 6) AS tm FROM q""")
+def duplex_thermodynamics(spark, d):
+    """Enthalpy, entropy, free energy and melting temperature of oligos with their complements, by neighbouring pairs."""
+    from strandloom.functions.thermodynamics import duplex
+
+    o = B.oligos(spark, d).select("id", F.expr("left(seq, cast(15 + id % 18 as int))").alias("s")).select("id", duplex(F.col("s")).alias("x"))
+    return o.select("id", *(F.round(f"x.{c}", 6).alias(c) for c in ("dh", "ds", "dg", "tm")))
+
+
+@query("SELECT l_orderkey, round(product((1 / (1 + pow(1.03::DOUBLE, 300 - l_quantity * 20))) * (1 / (1 + pow(1.03::DOUBLE, l_quantity * 20 - 700)))), 9) AS weight FROM lineitem GROUP BY l_orderkey")
+def size_weight_products(spark, d):
+    """The product of a group's size weights."""
+    w = St.logistic_updown(F.col("l_quantity") * 20, 1.03, 300, 1.03, 700)
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.product(w), 9).alias("weight"))
+
+
+@query(f"WITH {B.OLIGOS} SELECT id, seq AS donor, list_aggregate(list_transform(range(1, 32), lambda i: left(seq, i) || '|' || substr(seq, i + 1)), 'string_agg', ';') AS cuts FROM oligos")
+def donor_splits_from_one(spark, d):
+    """All cuts of a donor with a letter at least at both sides."""
+    from strandloom.operators import donors as D
+
+    cuts = F.array_join(F.transform(D.splits(F.col("seq"), 1), lambda x: F.concat(x["left"], F.lit("|"), x["right"])), ";")
+    return B.oligos(spark, d).select("id", F.col("seq").alias("donor"), cuts.alias("cuts"))
