@@ -49,13 +49,14 @@ def tokens(text: Column) -> Column:
 
 
 def learn_topics(df: DataFrame, text: str = "text", topics: int = TOPICS) -> list[str]:
-    """The anchors, most frequent first; ties go to the word that sorts first. A word can't be in more documents than all words of its group, so
-    words are counted by themselves only in groups that reach an anchor's least count; groups are at most GROUPS rows."""
+    """The anchors, most frequent first; ties go to the word that sorts first. A word can't be in more documents than all words of its group stand in all
+    texts, so words are counted by themselves only in groups that reach an anchor's least count; groups are at most GROUPS rows."""
     n = df.count()
-    words = df.select(F.explode(F.array_distinct(F.split(df[text], " "))).alias("w")).where(F.length("w") >= LETTERS)
-    words = words.withColumn("g", F.pmod(F.xxhash64("w"), F.lit(GROUPS)).cast("int"))
-    heavy = materialise(words.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") * MOST_RARE >= n).select("g"), "groups")
-    often = words.join(F.broadcast(heavy), "g", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
+    group = F.pmod(F.xxhash64("w"), F.lit(GROUPS)).cast("int")
+    words = lambda own: df.select(F.explode(own).alias("w")).where(F.length("w") >= LETTERS).withColumn("g", group)
+    split = F.split(df[text], " ")
+    heavy = materialise(words(split).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") * MOST_RARE >= n).select("g"), "groups")
+    often = words(F.array_distinct(split)).join(F.broadcast(heavy), "g", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
     found = often.where((F.col("n") * RARE <= n) & (F.col("n") * MOST_RARE >= n)).orderBy(F.desc("n"), "w").limit(topics).collect()
     drop_tables(heavy)
     return [r.w for r in found]
