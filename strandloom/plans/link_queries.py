@@ -74,9 +74,9 @@ def targets_with_features(spark, d):
     return Fe.targets_with_features(_places(spark, d), spark.createDataFrame([("f7",), ("f11",)], "feature string"))
 
 
-@query(f"WITH {_PLACES}, donors AS (SELECT DISTINCT p_brand AS donor FROM part WHERE p_partkey % 2 = 0 AND p_size > 40) SELECT DISTINCT target, donor FROM places JOIN donors ON contig = donor")
+@query(f"WITH {_PLACES}, donors AS (SELECT DISTINCT p_brand AS donor FROM part) SELECT DISTINCT target, donor FROM places JOIN donors ON contig = donor")
 def donors_of_targets(spark, d):
-    donors = table(spark, d, "part").where("p_partkey % 2 = 0 and p_size > 40").select(F.col("p_brand").alias("donor"))
+    donors = table(spark, d, "part").select(F.col("p_brand").alias("donor"))
     return Fe.donors_of_targets(_places(spark, d), donors)
 
 
@@ -194,16 +194,13 @@ def shared_primer_pairs(spark, d):
     return PS.filter_pairs(PS.distinct_pairs(pairs, sizes), forward="p11")
 
 
-_SETS = "sets AS (SELECT l_orderkey AS set_id, (l_linenumber - 1) AS slot, 'f' || (l_partkey % 5) AS forward, CASE WHEN l_suppkey % 4 > 0 THEN 'r' || (l_suppkey % 4) END AS \"reverse\" FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1))"
+_SETS = "sets AS (SELECT l_orderkey AS set_id, (l_linenumber - 1) AS slot, 'f' || (l_partkey % 5) AS forward, CASE WHEN l_suppkey % 4 > 0 THEN 'r' || (l_suppkey % 4) END AS \"reverse\" FROM lineitem)"
 _PLACE = "CASE WHEN slot = 0 THEN k WHEN (slot - 1) % 3 = 0 THEN 2 + 4 * ((slot - 1) // 3) WHEN (slot - 1) % 3 = 1 THEN 3 + 4 * ((slot - 1) // 3) ELSE 4 + k + 4 * ((slot - 1) // 3) END"
 
 
 def _sets(spark, d):
-    from pyspark.sql.window import Window
-
     c = F.col
-    one = table(spark, d, "lineitem").withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey"))).where("k = 1")
-    return one.select(c("l_orderkey").alias("set_id"), (c("l_linenumber") - 1).alias("slot"), F.concat(F.lit("f"), (c("l_partkey") % 5).cast("string")).alias("forward"), F.when(c("l_suppkey") % 4 > 0, F.concat(F.lit("r"), (c("l_suppkey") % 4).cast("string"))).alias("reverse"))
+    return table(spark, d, "lineitem").select(c("l_orderkey").alias("set_id"), (c("l_linenumber") - 1).alias("slot"), F.concat(F.lit("f"), (c("l_partkey") % 5).cast("string")).alias("forward"), F.when(c("l_suppkey") % 4 > 0, F.concat(F.lit("r"), (c("l_suppkey") % 4).cast("string"))).alias("reverse"))
 
 
 @query(f"""WITH {_SETS}, e AS (SELECT *, unnest([0, 1]) AS k FROM sets), x AS (SELECT set_id, ({_PLACE})::INTEGER AS place, 'r' || ((slot - 1) // 3) AS r, slot, k, CASE WHEN slot = 0 AND k = 0 OR slot > 0 AND ((slot - 1) % 3 = 1 OR (slot - 1) % 3 = 2 AND k = 0) THEN forward ELSE "reverse" END AS primer FROM e WHERE slot = 0 OR (slot - 1) % 3 = 2 OR k = 0)
@@ -403,19 +400,17 @@ def default_scores(spark, d):
 
 _EDITS = """e AS (SELECT l_orderkey * 10 + l_linenumber AS edit, (l_linenumber - 1)::INTEGER AS round, 'c' || (l_orderkey % 50) AS contig, (l_partkey % 400)::INTEGER AS start, (l_partkey % 400 + 10)::INTEGER AS "end",
   'c' || (l_orderkey % 50) AS after_contig, (l_suppkey % 400)::INTEGER AS after_start, (l_suppkey % 400 + 6)::INTEGER AS after_end, repeat('A', 10) || l_returnflag AS up, 'CCCC' AS down, repeat('A', 10) || l_returnflag AS after_up, 'CCCC' AS after_down
-  FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1))"""
+  FROM lineitem)"""
 
 
 @query(f"""WITH {_EDITS} SELECT a.edit AS a, b.edit AS b FROM e a JOIN e b ON a.after_contig = b.contig AND b.round = a.round + 1 AND a.after_start < b."end" AND b.start < a.after_end
   WHERE 1 - levenshtein(a.after_up, b.up) / 11.0 > 0.95""")
 def edit_links(spark, d):
     """Edits of neighbouring rounds at one place whose flanks agree."""
-    from pyspark.sql.window import Window
-
     from strandloom.operators.rounds import links
 
     c = F.col
-    one = table(spark, d, "lineitem").withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey"))).where("k = 1")
+    one = table(spark, d, "lineitem")
     contig, start, after = F.concat(F.lit("c"), (c("l_orderkey") % 50).cast("string")), (c("l_partkey") % 400).cast("int"), (c("l_suppkey") % 400).cast("int")
     flank = lambda x: F.concat(F.lit("A" * 10), x)
     e = one.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("edit"), (c("l_linenumber") - 1).cast("int").alias("round"), contig.alias("contig"), start.alias("start"), (start + 10).alias("end"), contig.alias("after_contig"), after.alias("after_start"), (after + 6).alias("after_end"), flank(c("l_returnflag")).alias("up"), F.lit("CCCC").alias("down"), flank(c("l_returnflag")).alias("after_up"), F.lit("CCCC").alias("after_down"))
@@ -477,10 +472,10 @@ def homolog_rows(spark, d):
     return R.parse_homologs(p.select(line.alias("value")))
 
 
-@query("SELECT l_orderkey, count(*) AS r, round(exp(-2.0::DOUBLE) * pow(2.0::DOUBLE, factorial((count(*) - 1)::INTEGER)::DOUBLE) / (factorial(count(*)::INTEGER)::DOUBLE * factorial((count(*) - 1)::INTEGER)::DOUBLE), 6) AS p FROM lineitem GROUP BY l_orderkey HAVING count(*) <= 5")
+@query("SELECT l_orderkey, count(*) AS r, round(exp(-1.001::DOUBLE) * pow(1.001::DOUBLE, factorial((count(*) - 1)::INTEGER)::DOUBLE) / (factorial(count(*)::INTEGER)::DOUBLE * factorial((count(*) - 1)::INTEGER)::DOUBLE), 9) AS p FROM lineitem GROUP BY l_orderkey")
 def pairwise_sums(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("r")).where("r <= 5")
-    return g.select("l_orderkey", "r", F.round(St.pairwise_sum_p(F.lit(2.0), F.col("r").cast("int")), 6).alias("p"))
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("r"))
+    return g.select("l_orderkey", "r", F.round(St.pairwise_sum_p(F.lit(1.001), F.col("r").cast("int")), 9).alias("p"))
 
 
 @query("SELECT name, least, most FROM (VALUES " + ", ".join(f"('{s.name}', {float(s.least)!r}::DOUBLE, {float(s.most)!r}::DOUBLE)" for s in scoring.REGISTRY) + ") x(name, least, most)")
