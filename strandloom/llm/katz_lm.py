@@ -334,8 +334,8 @@ class Reader:
         for c in self.names(order, np.arange(len(count))):
             x = mixed(x + c.astype(np.uint64) + np.uint64(1))
         x = np.where(self.model.is_hot(count)[grams.history[open_]], mixed(x[grams.history[open_]] + self.numbers[grams.word[open_]].astype(np.uint64)), x[grams.history[open_]])
-        to = ((x >> np.uint64(33)) % np.uint64(self.model.buckets)).astype(np.int64)
-        turn = np.argsort(to, kind="stable")
+        to = ((x >> np.uint64(33)) % np.uint64(self.model.buckets)).astype(np.uint16 if self.model.buckets < 1 << 16 else np.int64)
+        turn = np.argsort(to, kind="stable")  # numbers of two bytes are sorted by their digits
         return open_[turn], np.searchsorted(to[turn], np.arange(self.model.buckets + 1))
 
     def learn(self, order: int, answers: dict[int, bytes]) -> None:
@@ -447,10 +447,11 @@ def _answer(table: pa.Table, model: Model, order: int) -> pa.Table:
         word = np.concatenate([a[n + 2] for a in asked])
         if word.max() >= 1 << 32:
             word = np.unique(word, return_inverse=True)[1]
-        _, first, place = np.unique(history << 32 | word, return_index=True, return_inverse=True)
-        total = np.bincount(place, np.concatenate([a[n + 4] for a in asked]), len(first)).astype(np.int64)
-        below = np.concatenate([a[n + 3] for a in asked])[first]
-        found = history_sums(history[first], total, below, int(each.max()) + 1)
+        key, place = np.unique(history << 32 | word, return_inverse=True)
+        total = np.bincount(place, np.concatenate([a[n + 4] for a in asked]), len(key)).astype(np.int64)
+        below = np.empty(len(key), np.int64)
+        below[place] = np.concatenate([a[n + 3] for a in asked])
+        found = history_sums(key >> 32, total, below, int(each.max()) + 1)
         at = 0
         for chunk, (a, lo, hi) in zip(table["chunk"].to_pylist(), _spans(asked, n), strict=True):
             own = place[at : at + len(a[n + 2])]
