@@ -180,6 +180,24 @@ def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Every pair that shares a shingle, by exact weighted Jaccard: what the query's links are but for 3 in a million pairs at the threshold.
+SQL["op5_bagminhash"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) < {bagminhash.WORDS} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {bagminhash.WORDS - 2}), lambda i: array_to_string(w[i:i + {bagminhash.WORDS - 1}], ' ')) END) AS x
+  FROM w WHERE len(w) > 0
+), c AS (SELECT doc_id, x, count(*) AS n FROM s GROUP BY ALL),
+t AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS low FROM c a JOIN c b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT p.x, p.y FROM p JOIN t a ON a.doc_id = p.x JOIN t b ON b.doc_id = p.y WHERE low::DOUBLE / (a.n + b.n - low) >= {bagminhash.SIMILAR}::DOUBLE),
+sides AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+reach(node, root) AS (SELECT doc_id, doc_id FROM t UNION SELECT y, root FROM reach JOIN sides ON x = node WHERE root < y),
+g AS (SELECT node, min(root) AS class_id FROM reach GROUP BY node)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(class_id, doc_id) = doc_id AS kept FROM documents LEFT JOIN g ON node = doc_id
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
