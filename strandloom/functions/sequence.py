@@ -273,10 +273,14 @@ def strand_flip(strand: Column) -> Column:
     return F.translate(strand, "+-", "-+")
 
 
+# Letters and their forms turned by half a circle.
+UPRIGHT = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+TURNED = "ɐqɔpǝɟɓɥᴉſʞ┐ɯuodbɹsʇnʌʍxʎzⱯʚƆpƎℲϑHIſʞ˥WNOԀÕᴚS┴ՈΛMXʎZ"
+
+
 def upside_down(text: Column) -> Column:
-    """Text turned by half a circle, for the letters that have a turned form."""
-    # Letters and their turned forms.
-    return F.reverse(F.translate(text, "abcdefghijklmnopqrstuvwyz", "ɐqɔpǝɟƃɥᴉɾʞlɯuodbɹsʇnʌʍʎz"))
+    """Text turned by half a circle."""
+    return F.reverse(F.translate(text, UPRIGHT, TURNED))
 
 
 def has_right_match(a: Column, b: Column, length: int) -> Column:

@@ -550,3 +550,52 @@ def donor_splits_from_one(spark, d):
 
     cuts = F.array_join(F.transform(D.splits(F.col("seq"), 1), lambda x: F.concat(x["left"], F.lit("|"), x["right"])), ";")
     return B.oligos(spark, d).select("id", F.col("seq").alias("donor"), cuts.alias("cuts"))
+
+
+@query("SELECT k, a, b FROM (VALUES (0, 0.0::DOUBLE, 10.0::DOUBLE), (1, 1.0, 10.0), (2, 1.0, 8.0), (3, 2.0, 8.0), (4, 2.0, 6.0), (5, 3.0, 6.0), (6, 3.0, 4.0)) x(k, a, b)")
+def cutoff_schedule(spark, d):
+    """Cutoffs cycle by cycle, one parameter at a time."""
+    from strandloom.operators.designs import schedule
+
+    rows = schedule({"a": 0.0, "b": 10.0}, {"a": 3.0, "b": 4.0}, {"a": 1.0, "b": 2.0})
+    return spark.createDataFrame([(k, r["a"], r["b"]) for k, r in enumerate(rows)], "k int, a double, b double")
+
+
+_G_SCORE = lambda i: f"CASE substr(pam, {i}, 1) WHEN 'G' THEN 1.0 WHEN 'A' THEN -1.0 ELSE -1.2 END::DOUBLE"
+
+
+@query(f"WITH {B.OLIGOS}, {B.GUIDES} SELECT id, round((-0.6::DOUBLE + {_G_SCORE(2)} + {_G_SCORE(3)} + 3.0::DOUBLE) / 4.4::DOUBLE * 100, 6) AS identity FROM guides")
+def pam_identity_score(spark, d):
+    """How near a PAM is to NGG, between the worst and the best score that three letters can have; gaps cost more than any of them."""
+    from strandloom.functions.alignment import pam_identity
+
+    return B.guides(spark, d).select("id", F.round(pam_identity(["NGG"])("pam"), 6).alias("identity"))
+
+
+@query(f"WITH {B.OLIGOS} SELECT 's' || id AS name, seq FROM oligos")
+def clustal_rows(spark, d):
+    """Rows of an alignment in two blocks of lines, joined in order."""
+    block = lambda k, part: B.oligos(spark, d).select((F.col("id") + k * 10_000_000).alias("number"), F.concat(F.lit("s"), F.col("id").cast("string"), F.lit("   "), part).alias("value"))
+    head = spark.createDataFrame([(-1, "CLUSTAL W (1.8)"), (9_999_999, ""), (9_999_998, "     ** *")], "number long, value string")
+    return R.parse_clustal(head.unionByName(block(0, F.left("seq", F.lit(16)))).unionByName(block(1, F.right("seq", F.lit(16)))))
+
+
+@query(f"WITH {B.OLIGOS}, {B.GUIDES} SELECT id, CASE WHEN id % 2 = 0 THEN spacer || '>' || pam ELSE pam || '<' || spacer END AS target FROM guides")
+def target_texts(spark, d):
+    return B.guides(spark, d).select("id", K.target_text(F.col("spacer"), F.col("pam"), F.when(F.col("id") % 2 == 0, ">").otherwise("<")).alias("target"))
+
+
+@query(f"SELECT p_partkey, reverse(translate(p_name || ' ' || p_type, '{S.UPRIGHT}', '{S.TURNED}')) AS turned FROM part")
+def turned_text(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.upside_down(F.concat_ws(" ", "p_name", "p_type")).alias("turned"))
+
+
+@query("SELECT motif, spacer, sense, antisense FROM (VALUES ('N{2}|N{3}>NGG', 'NNNNN', '2', '2'), ('TTN<N{4}/.{2}\\', 'NNNN..', '4', '6')) x(motif, spacer, sense, antisense)")
+def motif_cuts(spark, d):
+    """Where motifs cut their spacers, on both strands."""
+    rows = []
+    for text in ("N{2}|N{3}>NGG", "TTN<N{4}/.{2}\\"):
+        m = motif(text)
+        sense, antisense = m.spacer_cuts[0]
+        rows.append((text, m.spacers[0], ",".join(map(str, sense)), ",".join(map(str, antisense))))
+    return spark.createDataFrame(rows, "motif string, spacer string, sense string, antisense string")
