@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
+from strandloom.operators.windows import cut
 
 
 def part(seq: Column, start: Column, end: Column) -> Column:
@@ -49,11 +50,16 @@ def mintag(features: DataFrame, up: tuple[int, int], down: tuple[int, int], tota
     if inserts[0] < 0:
         raise ValueError("insert lengths go from 0")
     span = lambda r: F.explode(F.sequence(F.lit(r[0]), F.lit(r[1])))
-    rows = features.withColumn("us_trim", span(trims[0])).withColumn("ds_trim", span(trims[1])).withColumn("us_hom", span(up)).withColumn("ds_hom", span(down)).withColumn("n", span(inserts))
+    # what donors can hold of a contig is cut out once for each feature
+    base = F.greatest(F.col("start") - (up[1] + trims[0][1]), F.lit(0))
+    near = cut(F.col("seq"), base, F.greatest(F.col("end") + down[1] + trims[1][1] - base, F.lit(0)))
+    rows = features.withColumns({"__base": base, "__near": near})
+    rows = rows.withColumn("us_trim", span(trims[0])).withColumn("ds_trim", span(trims[1])).withColumn("us_hom", span(up)).withColumn("ds_hom", span(down)).withColumn("n", span(inserts))
     rows = with_words(rows.where((F.col("us_hom") + F.col("ds_hom") + F.col("n")).between(*total)), "n", "insert")
     s, e = F.col("start") - F.col("us_trim"), F.col("end") + F.col("ds_trim")
-    upstream, downstream = part(F.col("seq"), s - F.col("us_hom"), s), part(F.col("seq"), e, e + F.col("ds_hom"))
-    return rows.withColumns({"donor": F.concat(upstream, "insert", downstream), "up_n": F.length(upstream)})
+    own = lambda a, b: part(F.col("__near"), a - F.col("__base"), b - F.col("__base"))
+    upstream, downstream = own(s - F.col("us_hom"), s), own(e, e + F.col("ds_hom"))
+    return rows.withColumns({"donor": F.concat(upstream, "insert", downstream), "up_n": F.length(upstream)}).drop("__base", "__near")
 
 
 def over_junction(start: Column, end: Column, up: Column, insert: Column) -> Column:

@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
 from strandloom.functions.statistics import logistic_down, logistic_up, logistic_updown
-from strandloom.operators.windows import windows
+from strandloom.operators.windows import cut, windows
 
 
 def scan(regions: DataFrame, sizes: tuple[int, int], overlap: tuple[int, int] | None = (4, 8)) -> DataFrame:
     """(region columns, strand, p_start, p_end, primer): every oligo of a size that lies in [start, end) of seq, or hangs over its
     edges by leaving at least overlap[0] letters of its 3' end and overlap[1] of its 5' end inside."""
-    n = F.length("seq")
-    sized = regions.withColumn("size", F.explode(F.sequence(F.lit(sizes[0]), F.lit(sizes[1]))))
+    n = F.col("__n")
+    # what primers can hold of a contig is cut out once for each region
+    base = F.greatest(F.col("start") - sizes[1], F.lit(0))
+    near = cut(F.col("seq"), base, F.greatest(F.col("end") + sizes[1] - base, F.lit(0)))
+    sized = regions.withColumns({"__n": F.length("seq"), "__base": base, "__near": near}).withColumn("size", F.explode(F.sequence(F.lit(sizes[0]), F.lit(sizes[1]))))
     inside3, inside5 = overlap if overlap else (None, None)
 
     def strand(mark: str) -> DataFrame:
@@ -28,7 +31,7 @@ def scan(regions: DataFrame, sizes: tuple[int, int], overlap: tuple[int, int] |
             low, high = F.col("start") - (F.col("size") - left), F.col("end") - right
         low, high = F.greatest(low, F.lit(0)), F.least(high, n - F.col("size"))
         at = sized.withColumn("p_start", F.explode(S.positions(low.cast("int"), high.cast("int"))))
-        text = F.substring("seq", F.col("p_start") + 1, F.col("size"))
+        text = F.substring("__near", F.col("p_start") - F.col("__base") + 1, F.col("size"))
         return at.select(*regions.columns, F.lit(mark).alias("strand"), "p_start", (F.col("p_start") + F.col("size")).alias("p_end"), (text if mark == "+" else S.reverse_complement(text)).alias("primer"))
 
     return strand("+").unionByName(strand("-"))
