@@ -112,6 +112,24 @@ def splits(seq: Column, least: int = 1) -> Column:
     return F.transform(cuts, lambda i: F.struct(F.left(seq, i).alias("left"), F.substring(seq, i + 1, F.length(seq)).alias("right")))
 
 
+def spanned(donors: DataFrame, motif: str) -> DataFrame:
+    """donors (donor, up_n, tag, ...) with t_strand and spacer, a row for each target that spans the whole tag, which starts at up_n.
+
+    Whether one does is told by the tag and what a longer alternative of the motif could take of the letters beside it, so each distinct such
+    text is searched once.
+    """
+    from strandloom.functions.motif import parse
+    from strandloom.operators.target_finder import find_targets
+
+    n, up = F.length("tag"), F.col("up_n")
+    more = F.greatest(F.lit(parse(motif).longest) - n, F.lit(0))
+    off = F.least(up, more)
+    made = donors.withColumns({"__off": off, "__n": n, "__text": F.substring("donor", up - off + 1, off + n + more)})
+    texts = made.select(F.struct("__text", "__off", "__n").alias("contig"), F.col("__text").alias("seq")).distinct()
+    found = find_targets(texts, [motif]).where((F.col("start") == F.col("contig.__off")) & (F.col("end") == F.col("contig.__off") + F.col("contig.__n")))
+    return made.join(found.select("contig.*", F.col("strand").alias("t_strand"), "spacer"), ["__text", "__off", "__n"]).drop("__text", "__off", "__n")
+
+
 def spanning_tag(features: DataFrame, motif: str, length: int, samples: int = 100) -> DataFrame:
     """Donors whose insert is an instance of the motif, kept where a target spans the whole insert. Instances are decided by their number."""
     from strandloom.functions.motif import random_instance

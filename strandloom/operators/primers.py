@@ -104,7 +104,7 @@ def binding_sites(primers: DataFrame, contigs: DataFrame, substitutions: int = 0
     lengths = sorted(r[0] for r in own.select(F.length("primer")).distinct().collect())  # a handful of primer lengths
     out = None
     for n in lengths:
-        w = windows(contigs.select("contig", "seq"), n).select("contig", F.col("i").alias("start"), (F.col("i") + n).alias("end"), F.upper("window").alias("window"))
+        w = windows(contigs.select("contig", F.upper("seq").alias("seq")), n).select("contig", F.col("i").alias("start"), (F.col("i") + n).alias("end"), "window")
         p = both.where(F.length("primer") == n)
         holes = [places for places in itertools.combinations(range(n), min(substitutions, n))]
         mask = lambda c, holes=holes: F.explode(F.array(*(_with_holes(F.col(c), h) for h in holes)))
