@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from strandloom.operators import donors as D
+from strandloom.operators import features as Fe
 from strandloom.operators import windows as W
 
 SEQ = "".join("ACGT"[(i * i * 7 + i // 3) % 4] for i in range(3000))
@@ -33,3 +34,10 @@ def test_spanned_tags(spark):
     tag = "ACGATCGATCGATTACGATCTGG"
     made = spark.createDataFrame([("a", "TTT" + tag + "CCAA", 3, tag), ("b", "TTT" + tag[:-1] + "ACCAA", 3, tag[:-1] + "A")], "feature string, donor string, up_n int, tag string")
     assert [(r.feature, r.t_strand, r.spacer) for r in D.spanned(made, "N{20}>NGG").collect()] == [("a", "+", tag[:20])]
+
+
+def test_donors_over_chunk_borders(spark):
+    contigs = spark.createDataFrame([("c", SEQ.lower()), ("d", SEQ[400:1300])], "contig string, seq string")
+    donors = {"a": SEQ[500:530], "b": SEQ[450:1200], "c": SEQ[2976:], "d": SEQ[600:623]}
+    want = {(k, c, s.find(v)) for k, v in donors.items() for c, s in (("c", SEQ), ("d", SEQ[400:1300])) if len(v) >= 24 and v in s}
+    assert {tuple(r) for r in Fe.donors_elsewhere(spark.createDataFrame(list(donors.items()), "donor string, seq string"), contigs).collect()} == want
