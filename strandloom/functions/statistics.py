@@ -99,8 +99,14 @@ def sum_score(raws: Column, k: Column, lam: Column, m: Column, n: Column, gap: C
 
 def pairwise_sum_p(s: Column, r: Column) -> Column:
     """As the program computes it: the exponent is (r - 1)!."""
-    f = F.factorial(r - 1).cast("double")
-    return F.exp(-s) * F.pow(s, f) / (F.factorial(r) * f)
+    f = _factorial(r - 1)
+    return F.exp(-s) * F.pow(s, f) / (_factorial(r) * f)
+
+
+def _factorial(n: Column) -> Column:
+    """As a double, since Spark's own ends at 20; infinite over 170; null below 0."""
+    known = F.array(*(F.lit(float(math.factorial(k))) for k in range(171)))
+    return F.when(n > 170, F.lit(math.inf)).otherwise(F.get(known, n.cast("int")))
 
 
 def tests_corrected_p(r: Column, p: Column, beta: Column) -> Column:

@@ -1,9 +1,11 @@
 """What must not grow with a contig's length or with the number of pairs."""
 
+import math
 import time
 
 from pyspark.sql import functions as F
 
+from strandloom.functions import statistics as St
 from strandloom.operators import donors as D
 from strandloom.operators import features as Fe
 from strandloom.operators import windows as W
@@ -41,3 +43,9 @@ def test_donors_over_chunk_borders(spark):
     donors = {"a": SEQ[500:530], "b": SEQ[450:1200], "c": SEQ[2976:], "d": SEQ[600:623]}
     want = {(k, c, s.find(v)) for k, v in donors.items() for c, s in (("c", SEQ), ("d", SEQ[400:1300])) if len(v) >= 24 and v in s}
     assert {tuple(r) for r in Fe.donors_elsewhere(spark.createDataFrame(list(donors.items()), "donor string, seq string"), contigs).collect()} == want
+
+
+def test_pairwise_sums_of_many(spark):
+    rows = dict(spark.range(1, 34).select("id", St.pairwise_sum_p(F.lit(1.0), F.col("id").cast("int"))).collect())
+    for r, p in rows.items():
+        assert math.isclose(p, math.exp(-1) / (math.factorial(r) * math.factorial(r - 1)), rel_tol=1e-12)
