@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from strandloom.functions import sequence as S
 from strandloom.functions.words import likeliest_instance
-from strandloom.operators import alignments as A
 from strandloom.operators import donors as D
 from strandloom.operators import offtarget as O
 from strandloom.operators.interval_join import interval_join
@@ -75,17 +74,23 @@ def derive_features(expanded: DataFrame) -> DataFrame:
     return one.withColumn("name", F.concat(F.array_join("parents", "/"), F.lit("_derived-"), F.col("x_start").cast("string"), F.lit(".."), F.col("x_end").cast("string")))
 
 
-def evaluate_spacers(spacers: DataFrame, contigs: DataFrame, motifs: list[str], mismatches: int = 5, length: int = 20) -> DataFrame:
+def evaluate_spacers(spacers: DataFrame, contigs: DataFrame, motifs: list[str], mismatches: int = 5, length: int = 20, found: DataFrame | None = None) -> DataFrame:
     """(target, spacer, places, near, gc, guide): for each of a user's spacers how often it stands in the contigs, how many other places are near, its GC
-    and its guide score; a spacer that stands nowhere has no score."""
-    found = A.align_targets(spacers, contigs, motifs, mismatches, length)
-    both = found.withColumnRenamed("spacer", "site").join(spacers.select("target", "spacer"), "target")
+    and its guide score; a spacer that stands nowhere has no score. found: the motifs' targets in the contigs, where they are known.
+
+    Places are counted by their spacer first, and equal spacers are judged once, so pairs are of different texts and hold nothing else."""
     from strandloom.functions.scoring import hsu_zhang
 
-    s = both.withColumn("s", hsu_zhang(F.col("spacer"), F.col("site")))
-    own = F.col("mismatches") == 0
-    sums = s.groupBy("target").agg(F.count_if(own).alias("places"), F.count_if(~own).alias("near"), F.coalesce(F.sum(F.when(own, F.col("s"))), F.lit(0.0)).alias("on"), F.coalesce(F.sum(F.when(~own, F.col("s"))), F.lit(0.0)).alias("off"))
-    out = spacers.select("target", "spacer").join(sums, "target", "left")
+    place = ["contig", "strand", "start", "end"]
+    there = (find_targets(contigs, motifs) if found is None else found).where((F.length("spacer") == length) & ~S.is_ambiguous(F.col("spacer")))
+    counts = there.select(*place, "spacer").dropDuplicates(place).groupBy("spacer").agg(F.count("*").alias("n"))
+    counts = materialise(counts, "places")
+    own_rows = materialise(spacers.select("target", "spacer"), "own-spacers")
+    pairs = O.near_spacers(own_rows, counts, mismatches, length).join(counts.withColumnRenamed("spacer", "site"), "site")
+    own, n = F.col("mismatches") == 0, F.col("n")
+    s = pairs.withColumn("s", hsu_zhang(F.col("guide"), F.col("site")) * n)
+    sums = s.groupBy(F.col("guide").alias("spacer")).agg(F.sum(F.when(own, n)).alias("places"), F.sum(F.when(~own, n)).alias("near"), F.coalesce(F.sum(F.when(own, F.col("s"))), F.lit(0.0)).alias("on"), F.coalesce(F.sum(F.when(~own, F.col("s"))), F.lit(0.0)).alias("off"))
+    out = own_rows.join(sums, "spacer", "left")
     guide = F.when(F.col("places") > 0, O.guide_score(F.col("on"), F.col("off")))
     return out.select("target", "spacer", F.coalesce("places", F.lit(0)).alias("places"), F.coalesce("near", F.lit(0)).alias("near"), S.gc_percent(F.col("spacer")).alias("gc"), guide.alias("guide"))
 
