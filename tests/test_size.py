@@ -103,3 +103,15 @@ def test_spacers_at_several_places_are_judged_once(spark):
     assert sorted((r.target, r.places, r.near, r.guide is None) for r in out.collect()) == [("a", 6, 2, False), ("b", 6, 2, False), ("x", 0, 0, True)]
     known = spark.createDataFrame([("k", "+", 1, 24, one)], "contig string, strand string, start int, end int, spacer string")
     assert {r.target: r.places for r in design.evaluate_spacers(spacers, contigs, ["N{20}>NGG"], 1, found=known).collect()} == {"a": 1, "b": 1, "x": 0}
+
+
+def test_homologs_are_not_shuffled_for_each_feature(spark):
+    f = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4), (None, 5)], "name string, group int")
+    groups = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("c", "x"), ("d", None)], "feature string, group string")
+    out = Fe.with_homologs(f, groups)
+    rows = [(r.name, r.group, r.homologs) for r in out.collect()]
+    assert out.columns == ["name", "group", "homologs"]
+    assert sorted(rows, key=str) == sorted([("a", 1, ["a", "b", "c"]), ("b", 2, ["a", "b", "c"]), ("c", 3, ["c"]), ("c", 3, ["a", "b", "c"]), ("d", 4, None), (None, 5, None)], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan()
+    joins = [plan.apply(i).toString() for i in range(12) if plan.apply(i) is not None and plan.apply(i).nodeName() == "Join"]
+    assert "homologs" not in joins[1]  # the second join's whole tree: before, it was where lists met features
