@@ -2,6 +2,7 @@
 
 import math
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from strandloom.functions.scoring import linear
 from strandloom.operators import donors as D
 from strandloom.operators import features as Fe
 from strandloom.operators import offtarget as O
+from strandloom.operators import rounds
 from strandloom.operators import windows as W
 from strandloom.plans import design
 
@@ -115,3 +117,20 @@ def test_homologs_are_not_shuffled_for_each_feature(spark):
     plan = out._jdf.queryExecution().optimizedPlan()
     joins = [plan.apply(i).toString() for i in range(12) if plan.apply(i) is not None and plan.apply(i).nodeName() == "Join"]
     assert "homologs" not in joins[1]  # the second join's whole tree: before, it was where lists met features
+
+
+def test_edits_of_one_place_are_compared_once(spark, monkeypatch):
+    names = ("edit", "round", "contig", "start", "end", "after_contig", "after_start", "after_end", "up", "down", "after_up", "after_down")
+    long = ("ACGT" * 300, "ACGT" * 299 + "ACGA")
+    e = lambda k, r, up=long[0], after_up=long[1], contig="c", at=100: (k, r, contig, at, at + 10, contig, at + 3, at + 8, up, "CC", after_up, "CC")
+    rows = [e(k, k % 2) for k in range(500)] + [e(7, 1), e(8, 0), e(None, 1), e(600, 1, up="T"), e(601, 1, at=108), e(602, 0, contig=None), e(603, 1, contig=None), e(604, None), e(605, 1, up=None), e(606, 2, contig="d"), e(607, 1, contig="d")]
+    taken = {id(x): dict(zip(names, x, strict=True)) for x in rows}.values()
+    meet = lambda a, b: a["contig"] is not None and a["contig"] == b["contig"] and a["round"] is not None and b["round"] == a["round"] + 1 and a["after_start"] < b["end"] and b["start"] < a["after_end"] and b["up"] in long
+    want = Counter((a["edit"], b["edit"]) for a in taken for b in taken if meet(a, b))
+    assert want.total() == 251 * 252 + 1 and want[8, 7] == 4 and want[8, None] == 2
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'string' if 'contig' in c or 'up' in c or 'down' in c else 'int'}" for c in names))
+    for most in (128, 50):
+        monkeypatch.setattr(rounds, "LIST", most)
+        began = time.time()
+        assert Counter(map(tuple, rounds.links(df, 0.9, 32).collect())) == want
+        assert time.time() - began < 40  # 63,000 comparisons of 1,200 letters were stopped at 110 s
