@@ -70,22 +70,23 @@ def find_feature(features: DataFrame, patterns: list[str], linked: tuple[str, ..
     """Features (with a map `attributes`) of which an attribute matches a pattern, and those of which an attribute holds a linked value of those;
     each row once, whatever the case. Linked values count as plain text; an Alias is a list of values.
 
-    A linked value is in an attribute only if its first three letters are, so rows meet in an equi-join on three letters.
+    A linked value is in an attribute only if its first three letters are, so rows meet in an equi-join on three letters. Nothing
+    is broadcast: a value is there once for each of its places, and nearly all features may be linked.
     """
     rows = features.withColumn("__values", F.map_values(F.map_filter("attributes", lambda k, _: ~k.isin(*excluded)))).withColumn("__row", F.xxhash64(F.struct(*(c for c in features.columns if c != "attributes")), F.to_json("attributes")))
     rows = materialise(rows, "features")
     if allow_errors:
         found = rows.select("__row", F.explode("__values").alias("v")).where(matches_any(F.col("v"), patterns, True)).select("__row").distinct()
-        first = rows.join(found, "__row", "left_semi")
+        first = rows.hint("merge").join(found, "__row", "left_semi")
     else:
         first = rows.where(F.exists("__values", lambda v: matches_any(v, patterns)))
     values = F.flatten(F.array(*(F.split(F.coalesce(F.try_element_at("attributes", F.lit(t)), F.lit("")), "," if t == "Alias" else "\u0000") for t in linked if t not in excluded)))
     links = first.select(F.explode(values).alias("link")).where("link <> ''").select(F.lower("link").alias("link")).distinct().withColumn("gram", F.left("link", F.lit(3)))
     grams = lambda v: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(S.positions(F.lit(1), F.length(v) - n + 1), lambda i: F.substring(v, i, n)))))
     texts = rows.select("__row", F.explode("__values").alias("v")).select("__row", F.lower("v").alias("v")).select("__row", "v", F.explode(grams(F.col("v"))).alias("gram"))
-    second = texts.join(links, "gram").where(F.contains("v", F.col("link"))).select("__row")
+    second = texts.hint("merge").join(links, "gram").where(F.contains("v", F.col("link"))).select("__row")
     hit = first.select("__row").union(second).distinct()
-    return rows.join(hit, "__row", "left_semi").drop("__row", "__values")
+    return rows.hint("merge").join(hit, "__row", "left_semi").drop("__row", "__values")
 
 
 def list_algorithms(spark: SparkSession) -> DataFrame:

@@ -1,6 +1,8 @@
 """What must not grow with a contig's length or with the number of pairs."""
 
+import itertools
 import math
+import re
 import time
 from collections import Counter
 
@@ -15,7 +17,7 @@ from strandloom.operators import features as Fe
 from strandloom.operators import offtarget as O
 from strandloom.operators import rounds
 from strandloom.operators import windows as W
-from strandloom.plans import design
+from strandloom.plans import api, design
 
 SEQ = "".join("ACGT"[(i * i * 7 + i // 3) % 4] for i in range(3000))
 
@@ -52,6 +54,20 @@ def test_donors_over_chunk_borders(spark):
     assert {tuple(r) for r in Fe.donors_elsewhere(spark.createDataFrame(list(donors.items()), "donor string, seq string"), contigs).collect()} == want
 
 
+def broadcasts(df):
+    """The parts of df's plan that are broadcast, each with its branches."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[-1].splitlines()
+    depth = lambda x: re.search(r"[^\s:+*-]", x).start()
+    at = [i for i, x in enumerate(lines) if "BroadcastExchange" in x]
+    return ["\n".join([lines[i], *itertools.takewhile(lambda x, i=i: depth(x) > depth(lines[i]), lines[i + 1 :])]) for i in at]
+
+
+def test_linked_features_broadcast_no_rows(spark):
+    features = spark.range(9).select(F.col("id").alias("n"), F.create_map(F.lit("ID"), F.concat(F.lit("gene"), F.col("id").cast("string"))).alias("attributes"))
+    for errors in (False, True):
+        assert not broadcasts(api.find_feature(features, ["gene3"], allow_errors=errors))
+
+
 def test_pairwise_sums_of_many(spark):
     rows = dict(spark.range(1, 34).select("id", St.pairwise_sum_p(F.lit(1.0), F.col("id").cast("int"))).collect())
     for r, p in rows.items():
