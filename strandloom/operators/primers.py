@@ -11,6 +11,9 @@ from strandloom.functions import sequence as S
 from strandloom.functions.statistics import logistic_down, logistic_up, logistic_updown
 from strandloom.operators.windows import cut, windows
 
+#: The most rows of primers, with letters left out or not, that are broadcast.
+FEW = 1 << 16
+
 
 def scan(regions: DataFrame, sizes: tuple[int, int], overlap: tuple[int, int] | None = (4, 8)) -> DataFrame:
     """(region columns, strand, p_start, p_end, primer): every oligo of a size that lies in [start, end) of seq, or hangs over its
@@ -97,18 +100,20 @@ def binding_sites(primers: DataFrame, contigs: DataFrame, substitutions: int = 0
     other letters than the primer's.
 
     Contigs give their windows of each primer length, which meet the primers, and with substitutions the primers with any letter at so many
-    places, by equality.
+    places, by equality. Up to FEW rows of primers are broadcast; windows never are, though Spark takes them for as small as the table of contigs.
     """
     own = primers.select(F.upper("primer").alias("primer")).distinct()
     both = own.select("primer", F.lit("+").alias("strand"), F.col("primer").alias("site")).unionByName(own.select("primer", F.lit("-").alias("strand"), S.reverse_complement(F.col("primer")).alias("site")))
-    lengths = sorted(r[0] for r in own.select(F.length("primer")).distinct().collect())  # a handful of primer lengths
+    lengths = sorted(map(tuple, own.groupBy(F.length("primer")).count().where(F.length("primer").isNotNull()).collect()))  # a handful of primer lengths
     out = None
-    for n in lengths:
+    for n, count in lengths:
         w = windows(contigs.select("contig", F.upper("seq").alias("seq")), n).select("contig", F.col("i").alias("start"), (F.col("i") + n).alias("end"), "window")
         p = both.where(F.length("primer") == n)
         holes = [places for places in itertools.combinations(range(n), min(substitutions, n))]
         mask = lambda c, holes=holes: F.explode(F.array(*(_with_holes(F.col(c), h) for h in holes)))
-        met = w.withColumn("site", mask("window") if substitutions else F.col("window")).join(p.withColumn("site", mask("site") if substitutions else F.col("site")), "site")
+        p = p.withColumn("site", mask("site") if substitutions else F.col("site"))
+        p = F.broadcast(p) if 2 * count * len(holes) <= FEW else p
+        met = w.withColumn("site", mask("window") if substitutions else F.col("window")).hint("merge").join(p, "site")
         met = met.select("primer", "contig", "strand", "start", "end")
         met = met.distinct() if substitutions else met
         out = met if out is None else out.unionByName(met)

@@ -15,6 +15,7 @@ from strandloom.functions.scoring import linear
 from strandloom.operators import donors as D
 from strandloom.operators import features as Fe
 from strandloom.operators import offtarget as O
+from strandloom.operators import primers as P
 from strandloom.operators import rounds
 from strandloom.operators import windows as W
 from strandloom.plans import api, design
@@ -62,6 +63,19 @@ def broadcasts(df):
     return ["\n".join([lines[i], *itertools.takewhile(lambda x, i=i: depth(x) > depth(lines[i]), lines[i + 1 :])]) for i in at]
 
 
+@pytest.mark.parametrize("substitutions", [0])
+def test_windows_are_not_broadcast_to_primers(spark, monkeypatch, substitutions):
+    contigs = spark.range(3).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("contig"), F.lit(SEQ).alias("seq"))
+    own = spark.createDataFrame([(SEQ[40:48],), (SEQ[900:908].lower(),), (SEQ[7:12],)], "primer string")
+    few = P.binding_sites(own, contigs, substitutions)
+    assert broadcasts(few) and not any("Range" in x for x in broadcasts(few))
+    monkeypatch.setattr(P, "FEW", 0)
+    many = P.binding_sites(own.unionByName(own.select(F.lit(None).cast("string").alias("primer"))), contigs, substitutions)
+    assert not broadcasts(many)
+    rows = Counter(map(tuple, few.collect()))
+    assert rows and rows == Counter(map(tuple, many.collect()))
+
+
 def test_linked_features_broadcast_no_rows(spark):
     features = spark.range(9).select(F.col("id").alias("n"), F.create_map(F.lit("ID"), F.concat(F.lit("gene"), F.col("id").cast("string"))).alias("attributes"))
     for errors in (False, True):
