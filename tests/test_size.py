@@ -76,12 +76,33 @@ def test_windows_are_not_broadcast_to_primers(spark, monkeypatch, substitutions)
     assert rows and rows == Counter(map(tuple, many.collect()))
 
 
+def test_donors_broadcast_no_windows(spark):
+    contigs = spark.range(3).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("contig"), F.lit(SEQ).alias("seq"))
+    donors = spark.range(3).select(F.col("id").alias("donor"), F.lit(SEQ[100:140]).alias("seq"))
+    assert not broadcasts(Fe.donors_elsewhere(donors, contigs))
+
+
 def test_linked_features_broadcast_no_rows(spark):
     features = spark.range(9).select(F.col("id").alias("n"), F.create_map(F.lit("ID"), F.concat(F.lit("gene"), F.col("id").cast("string"))).alias("attributes"))
     for errors in (False, True):
         assert not broadcasts(api.find_feature(features, ["gene3"], allow_errors=errors))
 
 
+@pytest.mark.parametrize("least", [1, 5, 24])
+def test_donors_at_every_place(spark, least):
+    donors = [(f"{i}-{n}", SEQ[i : i + n]) for i in (0, 1, 2, 3, 509, 510, 511, 512, 2990 - least, 3000 - least) for n in (least, least + 1, least + 9)]
+    donors = [x for x in donors if len(x[1]) >= least] + [("lost", "ACGT" * 10), ("twice", SEQ[5:50]), ("twice", SEQ[800:850])]
+    contigs = {"c": SEQ, "d": SEQ[2:1000], "short": SEQ[:least], "shorter": SEQ[: least - 1], "A": "A" * 60}
+    want = {}
+    for name, x in donors:
+        for c, s in contigs.items():
+            if x in s:
+                want[name, c] = min(s.find(x), want.get((name, c), 1 << 30))
+    got = Fe.donors_elsewhere(spark.createDataFrame(donors, "donor string, seq string"), spark.createDataFrame(list(contigs.items()), "contig string, seq string"), least)
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.donor, r.contig): r.start for r in rows} == want
+
+
 def test_pairwise_sums_of_many(spark):
     rows = dict(spark.range(1, 34).select("id", St.pairwise_sum_p(F.lit(1.0), F.col("id").cast("int"))).collect())
     for r, p in rows.items():
