@@ -63,7 +63,7 @@ def broadcasts(df):
     return ["\n".join([lines[i], *itertools.takewhile(lambda x, i=i: depth(x) > depth(lines[i]), lines[i + 1 :])]) for i in at]
 
 
-@pytest.mark.parametrize("substitutions", [0])
+@pytest.mark.parametrize("substitutions", [0, 1])
 def test_windows_are_not_broadcast_to_primers(spark, monkeypatch, substitutions):
     contigs = spark.range(3).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("contig"), F.lit(SEQ).alias("seq"))
     own = spark.createDataFrame([(SEQ[40:48],), (SEQ[900:908].lower(),), (SEQ[7:12],)], "primer string")
