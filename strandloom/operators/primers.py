@@ -147,7 +147,8 @@ def pair_primers(forward: DataFrame, reverse: DataFrame, product: tuple[int, int
     temperatures differ by at most most_tm and whose 3' ends lie in the other by at most most_end letters. Both need p_start, p_end, primer, tm.
 
     Pairs meet by region, by stretches of the contig and by degrees, so a large region spreads over many tasks; ends are prepared once
-    for each primer. A range of None sets no bound.
+    for each primer. A range of None sets no bound. Neither side is broadcast: each primer is there once for every degree and stretch, and Spark
+    takes it for one row.
     """
     low, high = product or (0, 0)
     width = max(50, (high - low) // 4)
@@ -165,7 +166,7 @@ def pair_primers(forward: DataFrame, reverse: DataFrame, product: tuple[int, int
     parts = 1 if product else 32
     f = f.withColumn("__part", F.pmod(F.xxhash64("f_primer", "f_p_start"), F.lit(parts)))
     r = r.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    met = f.join(r, [by, "__degree", "__bin", "__part"]).withColumn("size", F.col("r_p_end") - F.col("f_p_start"))
+    met = f.hint("merge").join(r, [by, "__degree", "__bin", "__part"]).withColumn("size", F.col("r_p_end") - F.col("f_p_start"))
     good = F.abs(F.col("f_tm") - F.col("r_tm")) <= most_tm
     if product:
         good = good & F.col("size").between(low, high)

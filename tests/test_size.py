@@ -76,6 +76,11 @@ def test_windows_are_not_broadcast_to_primers(spark, monkeypatch, substitutions)
     assert rows and rows == Counter(map(tuple, many.collect()))
 
 
+def test_pairing_primers_broadcasts_no_side(spark):
+    p = spark.range(100).select((F.col("id") % 3).alias("name"), (F.col("id") * 11).cast("int").alias("p_start"), (F.col("id") * 11 + 20).cast("int").alias("p_end"), F.lit("ACGTACGTACGTACGTACGA").alias("primer"), F.lit(50.0).alias("tm"))
+    assert not broadcasts(P.pair_primers(p, p))
+
+
 def test_donors_broadcast_no_windows(spark):
     contigs = spark.range(3).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("contig"), F.lit(SEQ).alias("seq"))
     donors = spark.range(3).select(F.col("id").alias("donor"), F.lit(SEQ[100:140]).alias("seq"))
